@@ -68,8 +68,13 @@ def dot(a, b) -> Column:
 
 
 def cosine_similarity(a, b) -> Column:
-    """Cosine similarity of two vectors (no built-in exists in Spark 4.1)."""
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Cosine similarity of two vectors (no built-in exists in Spark 4.1).
+
+    A zero vector gives NaN (not an error, not NULL), so a mean over a post's
+    words becomes NaN and the post is dropped, as with numpy division.
+    """
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms == 0, F.lit(float("nan"))).otherwise(dot(a, b) / norms)
 
 
 def pad_codes(c, length: int) -> Column:

@@ -115,10 +115,11 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order_col: str |
 def load_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None) -> int:
     """Append the not-yet-stored posts of ``new`` to the parquet table at ``path``.
 
-    Returns the number of rows appended, counted by an observed metric in the
-    same write (no second pass).
+    The delta is materialised once with a reliable ``checkpoint()`` (in the
+    shared checkpoint folder): it is counted and written from there, so the
+    anti join runs once and a lost executor does not recompute it from the
+    source. Returns the number of rows appended.
     """
-    from pyspark.sql import Observation
     try:
         target = spark.read.schema(new.schema).parquet(path).select(*new.columns)
     except Exception:  # first load: table does not exist yet
@@ -126,9 +127,11 @@ def load_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str |
     rows = insert_if_absent(new, target, order_col=order_col)
     if order_col is not None:
         rows = rows.drop(order_col)
-    obs = Observation("load_posts")
-    append_by_name(rows.observe(obs, F.count(F.lit(1)).alias("n")), path)
-    return int(obs.get["n"])
+    rows = rows.checkpoint(eager=True)
+    n = rows.count()
+    if n:
+        append_by_name(rows, path)
+    return n
 
 
 def upsert_bars_to_path(spark: SparkSession, new: DataFrame, path: str, run_id: str) -> None:

@@ -110,7 +110,8 @@ def parse_post_time(text: Column | str, year: Column | int | str) -> Column:
 
 # ---- forum listing pages (P1) -----------------------------------------------
 
-_BLOCK_SPLIT = r'<div class="normal_post"'
+# a <div> whose class list holds "normal_post" starts a post block
+_BLOCK_SPLIT = r'<div class="(?:[^"]*\s)?normal_post(?:\s[^"]*)?"'
 _TIME_RE = r'<span class="l5 a5">([^<]*)</span>'
 _TITLE_RE = r'<span class="l3 a3">\s*<a [^>]*?title="([^"]*)"'
 _AUTHOR_RE = r'<span class="l4 a4">\s*<a [^>]*>\s*<font[^>]*>([^<]*)</font>'
