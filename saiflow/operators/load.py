@@ -25,6 +25,16 @@ def _null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]):
     return cond
 
 
+def _non_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Key columns are NOT NULL in the stored tables; rows with a null key are
+    not loadable and are left out (a database would reject them too)."""
+    cond = None
+    for k in keys:
+        c = F.col(k).isNotNull()
+        cond = c if cond is None else cond & c
+    return df.where(cond)
+
+
 def with_code(posts: DataFrame, code: str) -> DataFrame:
     """Set the constant board/stock code of a crawled batch."""
     return posts.withColumn("code", F.lit(code))
@@ -56,9 +66,10 @@ def insert_if_absent(new: DataFrame, target: DataFrame, keys: list[str] | None =
     Appending the result is idempotent: a rerun finds every key stored.
     """
     keys = keys or schemas.POST_KEYS
-    fresh = dedup_posts(new, keys, order_col)
-    stored = target.select(*keys)
-    return fresh.join(stored, _null_safe_keys(fresh, stored, keys), "left_anti")
+    fresh = dedup_posts(_non_null_keys(new, keys), keys, order_col)
+    # a plain equi-join on the keys reuses the dedup's hash partitioning, so
+    # the batch side is shuffled once
+    return fresh.join(target.select(*keys), keys, "left_anti")
 
 
 def append_until_conflict(new: DataFrame, target: DataFrame, order_col: str,
@@ -70,9 +81,8 @@ def append_until_conflict(new: DataFrame, target: DataFrame, order_col: str,
     First-conflict position is one scalar aggregate; no global window.
     """
     keys = keys or schemas.POST_KEYS
-    fresh = dedup_posts(new, keys, order_col)
-    stored = target.select(*keys)
-    first_conflict = (fresh.join(stored, _null_safe_keys(fresh, stored, keys), "left_semi")
+    fresh = dedup_posts(_non_null_keys(new, keys), keys, order_col)
+    first_conflict = (fresh.join(target.select(*keys), keys, "left_semi")
                       .agg(F.min(order_col).alias("_fc")))
     bound = first_conflict.scalar()
     return fresh.where(bound.isNull() | (F.col(order_col) < bound))

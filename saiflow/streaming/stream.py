@@ -54,12 +54,17 @@ def start_dedup_load(spark: SparkSession, landing: str, target: str, name: str =
     twice. Progress is checkpointed in the shared checkpoint folder.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(*schemas.POST_KEYS)
+        # the micro-batch comes out of a stateful operator: evaluate it once
+        rows = batch.select(*schemas.POST_KEYS).persist()
+        ss = batch.sparkSession          # the micro-batch's own session
         try:
-            stored = spark.read.schema(schemas.POSTS).parquet(target)
-        except Exception:  # first batch: table does not exist yet
-            stored = spark.createDataFrame([], schemas.POSTS)
-        insert_if_absent(rows, stored).write.mode("append").parquet(target)
+            try:
+                stored = ss.read.schema(schemas.POSTS).parquet(target)
+            except Exception:  # first batch: table does not exist yet
+                stored = ss.createDataFrame([], schemas.POSTS)
+            insert_if_absent(rows, stored).write.mode("append").parquet(target)
+        finally:
+            rows.unpersist()
 
     w = (dedup_stream(read_landed_posts(spark, landing), delay)
          .writeStream.foreachBatch(load)

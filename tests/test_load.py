@@ -1,4 +1,4 @@
-import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -64,13 +64,13 @@ def test_upsert_bars_partition_overwrite(spark, tmp_path):
     mk = lambda rows: spark.createDataFrame(rows, schemas.SECTOR_DAILY)
     first = mk([("881101", "20230103", 1.0, 2.0, 0.5, 1.5, 10.0, 100.0),
                 ("881101", "20220103", 1.0, 2.0, 0.5, 1.5, 10.0, 100.0)])
-    D.upsert_bars_to_path(spark, first, path, "r1")
+    D.upsert_bars_to_path(spark, first, path, uuid.uuid4().hex)
     again = mk([("881101", "20230103", 1.0, 2.0, 0.5, 9.9, 10.0, 100.0),
                 ("881101", "20230104", 1.0, 2.0, 0.5, 1.6, 10.0, 3716640000.0)])
-    D.upsert_bars_to_path(spark, again, path, "r2")
+    D.upsert_bars_to_path(spark, again, path, uuid.uuid4().hex)
     rows = {(r.trade_date): r for r in spark.read.parquet(path).collect()}
     assert set(rows) == {"20220103", "20230103", "20230104"}
     assert rows["20230103"].close == 9.9
     assert rows["20230104"].amount == 3716640000.0     # above 2^24, kept exact as DOUBLE
-    D.upsert_bars_to_path(spark, again, path, "r3")  # replay: same table
+    D.upsert_bars_to_path(spark, again, path, uuid.uuid4().hex)  # replay: same table
     assert spark.read.parquet(path).count() == 3

@@ -1,3 +1,5 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from saiflow import schemas
@@ -25,14 +27,14 @@ def test_stream_dedup_load_matches_batch_and_is_idempotent(spark, tmp_path):
     root = str(tmp_path)
     posts = _land(spark, root)
     landing, target = f"{root}/landing", f"{root}/posts"
-    q = S.start_dedup_load(spark, landing, target, name=f"t1-{tmp_path.name}", delay="40 days")
+    q = S.start_dedup_load(spark, landing, target, name=f"t1-{uuid.uuid4().hex}", delay="40 days")
     q.awaitTermination()
     got = spark.read.parquet(target)
     want = dedup_posts(clean_posts(posts))
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
     # a second run over the same files (new checkpoint) appends nothing
-    q2 = S.start_dedup_load(spark, landing, target, name=f"t1b-{tmp_path.name}", delay="40 days")
+    q2 = S.start_dedup_load(spark, landing, target, name=f"t1b-{uuid.uuid4().hex}", delay="40 days")
     q2.awaitTermination()
     assert spark.read.parquet(target).count() == want.count()
 
