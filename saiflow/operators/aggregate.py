@@ -24,23 +24,26 @@ def author_histogram(counts: DataFrame, value_col: str = "n_posts", bins: int =
 
     When all values are equal the range is widened by 0.5 on each side (as the
     plotting library does). Bin assignment uses integer arithmetic so edges
-    are exact. ``lo``/``hi`` are scalar subqueries (one row each).
+    are exact. The minimum and maximum are one scalar subquery, bound to a
+    column once; the bin grid is generated from the per-bin result, whose
+    shuffle is reused.
     """
-    spark = counts.sparkSession
     v = F.col(value_col)
-    stats = counts.agg(F.min(v).alias("lo"), F.max(v).alias("hi"))
-    lo, hi = stats.select("lo").scalar(), stats.select("hi").scalar()
+    stats = counts.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")).alias("s")).scalar()
+    lo, hi = F.col("_s.lo"), F.col("_s.hi")
     equal = lo == hi
     # numerator/denominator of the bin position, doubled so that the +-0.5
     # widening stays integral: (2v - 2lo + 1) / 2 over a width of 1.
     num = F.when(equal, (v - lo) * 2 * bins + bins).otherwise((v - lo) * bins)
     den = F.when(equal, F.lit(2)).otherwise(hi - lo)
-    per_bin = (counts.select(F.least((num / den).cast("long").cast("int"), F.lit(bins - 1)).alias("bin"))
-               .groupBy("bin").agg(F.count(F.lit(1)).alias("n_authors")))
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    per_bin = (counts.withColumn("_s", stats)
+               .groupBy(F.least((num / den).cast("long").cast("int"), F.lit(bins - 1)).alias("bin"))
+               .agg(F.count(F.lit(1)).alias("n_authors"), F.first("_s").alias("_s")))
+    grid = per_bin.agg(F.first("_s").alias("_s")).select(
+        "_s", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     lo_d = F.when(equal, lo - 0.5).otherwise(lo.cast("double"))
     width = F.when(equal, F.lit(1.0)).otherwise((hi - lo).cast("double"))
-    return (grid.join(per_bin, "bin", "left")
+    return (grid.join(per_bin.drop("_s"), "bin", "left")
             .select("bin",
                     F.round(lo_d + F.col("bin") * width / bins, 6).alias("left_edge"),
                     F.round(lo_d + (F.col("bin") + 1) * width / bins, 6).alias("right_edge"),

@@ -73,10 +73,11 @@ def sector_attention(posts: DataFrame, constituents: DataFrame, period: str = "d
     counts = p.join(cons, "code").groupBy("bk_code", "period").agg(F.count(F.lit(1)).alias("n_posts"))
     if not zero_fill:
         return counts
-    rng = p.agg(F.min("period").alias("lo"), F.max("period").alias("hi"))
-    lo, hi = rng.select("lo").scalar(), rng.select("hi").scalar()
-    grid = cons.select("bk_code").distinct().select(
-        "bk_code", F.explode(F.sequence(lo, hi, F.expr(_step(period)))).alias("period"))
+    # first/last period: one scalar subquery, bound to a column once so it is
+    # evaluated once (each textual use of a scalar would be its own scan)
+    rng = p.agg(F.struct(F.min("period").alias("lo"), F.max("period").alias("hi")).alias("s")).scalar()
+    grid = cons.select("bk_code").distinct().withColumn("_r", rng).select(
+        "bk_code", F.explode(F.sequence(F.col("_r.lo"), F.col("_r.hi"), F.expr(_step(period)))).alias("period"))
     return grid.join(counts, ["bk_code", "period"], "left") \
                .select("bk_code", "period", F.coalesce("n_posts", F.lit(0)).cast("long").alias("n_posts"))
 

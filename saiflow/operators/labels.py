@@ -39,29 +39,31 @@ def lexicon_label_cumulative(posts: DataFrame, order_col: str, bearish: Sequence
     counts as bearish (bullish). Expressed as ``ord >= first hit`` with two
     scalar aggregates — no window over the whole table."""
     f = lexicon_flags(posts, bearish, bullish, title_col)
-    firsts = f.agg(F.min(F.when(F.col("has_put"), F.col(order_col))).alias("p"),
-                   F.min(F.when(F.col("has_call"), F.col(order_col))).alias("c"))
-    first_put, first_call = firsts.select("p").scalar(), firsts.select("c").scalar()
+    # one scalar subquery (a single pass) yields both first-hit positions
+    firsts = f.agg(F.struct(F.min(F.when(F.col("has_put"), F.col(order_col))).alias("p"),
+                            F.min(F.when(F.col("has_call"), F.col(order_col))).alias("c")).alias("s")).scalar()
     o = F.col(order_col)
-    put = F.coalesce(o >= first_put, F.lit(False))
-    call = F.coalesce(o >= first_call, F.lit(False))
-    return f.withColumn("label", _label(put, call)).drop("has_put", "has_call")
+    put = F.coalesce(o >= F.col("_f.p"), F.lit(False))
+    call = F.coalesce(o >= F.col("_f.c"), F.lit(False))
+    return (f.withColumn("_f", firsts)          # bound once: one evaluation
+             .withColumn("label", _label(put, call)).drop("has_put", "has_call", "_f"))
 
 
 def lexicon_term_counts(posts: DataFrame, bearish: Sequence[str] = K.BEARISH_TERMS,
                         bullish: Sequence[str] = K.BULLISH_TERMS, title_col: str = "title") -> DataFrame:
     """Per lexicon term, how many titles contain it.
 
-    Each title yields one flag per term through a generator (no join), and the
-    flags are summed with a map-side combined aggregate.
+    One pass: a single global aggregate holds one counter per term (partial
+    sums per task, one row per task shuffled), then the one result row is
+    unpivoted to (side, term, n_titles). No join and no row explosion.
     """
     terms = [(K.LABEL_PUT, t) for t in bearish if t] + [(K.LABEL_CALL, t) for t in bullish if t]
     t = F.col(title_col)
-    flags = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(term).alias("term"),
-                               F.coalesce(t.contains(term), F.lit(False)).cast("long").alias("hit"))
-                      for side, term in terms])
-    return (posts.select(F.inline(flags))
-            .groupBy("side", "term").agg(F.sum("hit").alias("n_titles")))
+    sums = posts.agg(*[F.count_if(F.coalesce(t.contains(term), F.lit(False))).alias(f"c{i}")
+                       for i, (_, term) in enumerate(terms)])
+    rows = F.array(*[F.struct(F.lit(side).alias("side"), F.lit(term).alias("term"), F.col(f"c{i}").alias("n_titles"))
+                     for i, (side, term) in enumerate(terms)])
+    return sums.select(F.inline(rows))
 
 
 # ---- model scoring (N4) ------------------------------------------------------

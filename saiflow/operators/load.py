@@ -85,7 +85,7 @@ def append_until_conflict(new: DataFrame, target: DataFrame, order_col: str,
     first_conflict = (fresh.join(target.select(*keys), keys, "left_semi")
                       .agg(F.min(order_col).alias("_fc")))
     bound = first_conflict.scalar()
-    return fresh.where(bound.isNull() | (F.col(order_col) < bound))
+    return fresh.where(F.coalesce(F.col(order_col) < bound, F.lit(True)))
 
 
 def incremental_backfill(new: DataFrame, stored: DataFrame, year: int,

@@ -101,10 +101,14 @@ def anchor_similarity(post_words: DataFrame, vectors: DataFrame, anchor: str, po
     """
     # the anchor's vector is attached by an equi-join on the anchor word (one
     # matching row, so the join is a broadcast hash join)
-    av = vectors.where(F.col("word") == F.lit(anchor)).select(F.col("word").alias("_aw"), F.col("vec").alias("_av"))
+    # The anchor's vector is attached by an equi-join on the anchor word. Every
+    # row carries the same key, so this side must be broadcast (a shuffle
+    # would send all rows to one task); limit(1) proves it is one row.
+    av = (vectors.where(F.col("word") == F.lit(anchor)).limit(1)
+          .select(F.col("word").alias("_aw"), F.col("vec").alias("_av")))
     joined = (post_words.select(post_col, F.col(word_col).alias("word"), F.lit(anchor).alias("_aw"))
               .join(vectors.select("word", "vec"), "word", "left")
-              .join(av, "_aw", "left"))
+              .join(F.broadcast(av), "_aw", "left"))
     per_post = joined.groupBy(post_col).agg(
         F.bool_and(F.col("vec").isNotNull()).alias("_known"),
         F.avg(cosine_similarity("vec", "_av")).alias("_m"))
