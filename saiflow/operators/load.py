@@ -122,25 +122,47 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order_col: str |
 
 # ---- writers -----------------------------------------------------------------
 
-def load_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None) -> int:
+def stored_days(stored: DataFrame, batch: DataFrame, partition_col: str = "day") -> DataFrame:
+    """The stored rows of the days present in ``batch``.
+
+    The batch's first and last day (one scalar subquery) become a runtime
+    partition filter on the stored table, so the scan lists and reads only
+    the partitions in that range, not the whole history; a semi join then
+    keeps exactly the batch's days.
+    """
+    rng = batch.agg(F.struct(F.min(partition_col).alias("lo"), F.max(partition_col).alias("hi")).alias("r")).scalar()
+    p = F.col(partition_col)
+    in_range = stored.withColumn("_r", rng).where(p.between(F.col("_r.lo"), F.col("_r.hi"))).drop("_r")
+    return in_range.join(batch.select(partition_col).distinct(), partition_col, "left_semi")
+
+
+def load_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None,
+               partition_col: str = "day") -> int:
     """Append the not-yet-stored posts of ``new`` to the parquet table at ``path``.
 
+    The table is partitioned by post day (``partition_col``). The day is part
+    of the anti-join keys, so dynamic partition pruning restricts the scan of
+    the stored table to the days present in the batch: a nightly load reads
+    a few partitions, not the whole history.
+
     The delta is materialised once with a reliable ``checkpoint()`` (in the
     shared checkpoint folder): it is counted and written from there, so the
     anti join runs once and a lost executor does not recompute it from the
     source. Returns the number of rows appended.
     """
+    batch = new.withColumn(partition_col, F.to_date("dtime"))
+    keys = [partition_col] + schemas.POST_KEYS
     try:
-        target = spark.read.schema(new.schema).parquet(path).select(*new.columns)
+        target = stored_days(spark.read.parquet(path).select(*keys), batch, partition_col)
     except Exception:  # first load: table does not exist yet
-        target = spark.createDataFrame([], new.schema)
-    rows = insert_if_absent(new, target, order_col=order_col)
+        target = spark.createDataFrame([], batch.select(*keys).schema)
+    rows = insert_if_absent(batch, target, keys=keys, order_col=order_col)
     if order_col is not None:
         rows = rows.drop(order_col)
     rows = rows.checkpoint(eager=True)
     n = rows.count()
     if n:
-        append_by_name(rows, path)
+        append_by_name(rows, path, partition_by=[partition_col])
     return n
 
 

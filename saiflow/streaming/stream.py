@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators.clean import clean_posts
-from ..operators.load import insert_if_absent
+from ..operators.load import insert_if_absent, stored_days
 from ..session import scratch_path
 
 
@@ -34,13 +34,25 @@ def _event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("event_ts", F.col("dtime").cast("timestamp"))
 
 
+def _drop_batch_copies(batches):
+    """Drop repeated posts inside each Arrow batch (no state, no shuffle)."""
+    for pdf in batches:
+        yield pdf.drop_duplicates(subset=schemas.POST_KEYS)
+
+
 def dedup_stream(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     """T1 core: cleaned posts, duplicates dropped within the watermark delay.
 
-    State holds each key only until the watermark passes it, so state size is
-    bounded by the posts of one ``delay`` window.
+    The stateful dedup has no map-side combine, so copies of one post (a
+    re-crawled page, a spam wave) would all reach one state task. Copies are
+    first dropped inside each Arrow batch of each partition (vectorised,
+    stateless), which bounds what reaches a state task to one row per key and
+    batch. State holds each key only until the watermark passes it, so state
+    size is bounded by the posts of one ``delay`` window.
     """
-    return (_event_time(clean_posts(posts))
+    cleaned = clean_posts(posts).select(*schemas.POST_KEYS)
+    local = cleaned.mapInPandas(_drop_batch_copies, schema=schemas.POSTS)
+    return (_event_time(local)
             .withWatermark("event_ts", delay)
             .dropDuplicatesWithinWatermark(schemas.POST_KEYS))
 
@@ -51,18 +63,23 @@ def start_dedup_load(spark: SparkSession, landing: str, target: str, name: str =
 
     Each micro-batch anti-joins with the stored keys before appending, so a
     replayed batch (after a failure between write and commit) appends nothing
-    twice. Progress is checkpointed in the shared checkpoint folder.
+    twice. The table is partitioned by day and the day is a join key, so only
+    the partitions of the batch's days are scanned. Progress is checkpointed
+    in the shared checkpoint folder.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
         # the micro-batch comes out of a stateful operator: evaluate it once
-        rows = batch.select(*schemas.POST_KEYS).persist()
+        rows = batch.select(*schemas.POST_KEYS).withColumn("day", F.to_date("dtime")).persist()
         ss = batch.sparkSession          # the micro-batch's own session
+        keys = ["day"] + schemas.POST_KEYS
         try:
             try:
-                stored = ss.read.schema(schemas.POSTS).parquet(target)
+                stored = stored_days(ss.read.parquet(target).select(*keys), rows)
             except Exception:  # first batch: table does not exist yet
-                stored = ss.createDataFrame([], schemas.POSTS)
-            insert_if_absent(rows, stored).write.mode("append").parquet(target)
+                stored = ss.createDataFrame([], rows.select(*keys).schema)
+            # day is a key and the partition column: only the batch's days are read
+            (insert_if_absent(rows, stored, keys=keys)
+             .write.mode("append").partitionBy("day").parquet(target))
         finally:
             rows.unpersist()
 

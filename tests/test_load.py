@@ -2,6 +2,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pyspark.sql import functions as F
+
 from conftest import posts_df
 from saiflow import schemas
 from saiflow.operators import load as D
@@ -74,3 +76,19 @@ def test_upsert_bars_partition_overwrite(spark, tmp_path):
     assert rows["20230104"].amount == 3716640000.0     # above 2^24, kept exact as DOUBLE
     D.upsert_bars_to_path(spark, again, path, uuid.uuid4().hex)  # replay: same table
     assert spark.read.parquet(path).count() == 3
+
+
+def test_load_prunes_stored_days(spark, tmp_path):
+    """Only the partitions of the batch's days are scanned (dynamic pruning)."""
+    path = str(tmp_path / "posts_by_day")
+    days = [(f"c{i}", f"2024-01-{d:02d} 10:00:00", f"t{d}", "u") for d in range(1, 11) for i in range(3)]
+    D.load_posts(spark, posts_df(spark, days), path)
+    batch = posts_df(spark, [("c0", "2024-01-10 11:00:00", "new", "u"), ("c0", "2024-01-10 10:00:00", "t10", "u")])
+    batch = batch.withColumn("day", F.to_date("dtime"))
+    target = D.stored_days(spark.read.parquet(path), batch)
+    target.write.format("noop").mode("overwrite").save()
+    plan = target._jdf.queryExecution().executedPlan().toString()
+    scans = [ln.split("PartitionFilters: ")[1] for ln in plan.splitlines() if "PartitionFilters: [isnotnull(day" in ln]
+    assert scans and all("Subquery" in s for s in scans)
+    assert target.count() == 3
+    assert D.load_posts(spark, batch.drop("day"), path) == 1

@@ -44,3 +44,10 @@ def test_histogram_equal_values(spark):
     counts = spark.createDataFrame([(3,), (3,)], "n_posts long")
     rows = A.author_histogram(counts).where("n_authors > 0").collect()
     assert [(r.bin, r.left_edge, r.n_authors) for r in rows] == [(10, 3.0, 2)]
+
+
+def test_scale_conf():
+    from saiflow.session import scale_conf
+    c = scale_conf(100 * 2**40, 1000, 8)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_conf(2**30, 10, 4)["spark.sql.shuffle.partitions"] == "120"
