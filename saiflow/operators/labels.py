@@ -73,16 +73,25 @@ def train_sentiment_model(train: DataFrame, text_col: str = "text", label_col: s
     """Tokens -> hashed term frequencies -> IDF -> logistic regression.
 
     A stand-in for the pre-trained sentence classifier, trained on labelled
-    posts; fitting and scoring run on the executors (MLlib)."""
-    from pyspark.ml import Pipeline
+    posts; fitting and scoring run on the executors (MLlib). The stateless
+    tokenise+hash step is computed once and persisted, so the IDF fit and the
+    regression iterations do not re-tokenise the (long) texts.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[\p{L}\p{N}]+", gaps=False)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    idf = IDF(inputCol="_tf", outputCol="_features")
-    lr = LogisticRegression(featuresCol="_features", labelCol=label_col, maxIter=20, regParam=0.01)
-    return Pipeline(stages=[tok, tf, idf, lr]).fit(train)
+    featurized = tf.transform(tok.transform(train.where(F.col(text_col).isNotNull()))) \
+                   .select("_tf", label_col).persist()
+    try:
+        fitted = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_features"),
+                                  LogisticRegression(featuresCol="_features", labelCol=label_col,
+                                                     maxIter=20, regParam=0.01)]).fit(featurized)
+    finally:
+        featurized.unpersist()
+    return PipelineModel(stages=[tok, tf, *fitted.stages])
 
 
 def score_sentiment(model, posts: DataFrame, text_col: str = "text") -> DataFrame:

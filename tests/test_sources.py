@@ -51,3 +51,19 @@ def test_scale_conf():
     c = scale_conf(100 * 2**40, 1000, 8)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert scale_conf(2**30, 10, 4)["spark.sql.shuffle.partitions"] == "120"
+
+
+def test_coverage_golden(spark):
+    """Recorded check of the original load: 76 sectors; bars per sector of
+    244, 243, 244, 243, 243, 242 for 2017-2022 and 163 for 2023."""
+    from pyspark.sql import functions as F
+
+    from saiflow.operators.market import coverage_check
+    per_year = {2017: 244, 2018: 243, 2019: 244, 2020: 243, 2021: 243, 2022: 242, 2023: 163}
+    import datetime as dt
+    days = [(dt.date(y, 1, 1) + dt.timedelta(days=i)).strftime("%Y%m%d") for y, n in per_year.items() for i in range(n)]
+    bars = spark.range(76).select((F.col("id") + 881101).cast("string").alias("bk_code"),
+                                  F.explode(F.array(*[F.lit(d) for d in days])).alias("trade_date"))
+    got = coverage_check(bars).groupBy("year").agg(F.count("bk_code").alias("sectors"), F.min("n_bars").alias("lo"),
+                                                   F.max("n_bars").alias("hi")).collect()
+    assert {(int(r.year), r.sectors, r.lo, r.hi) for r in got} == {(y, 76, n, n) for y, n in per_year.items()}
