@@ -6,7 +6,7 @@ any extra columns) to a filtered or enriched DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -91,28 +91,57 @@ def clean_posts(posts: DataFrame, house: str = K.HOUSE_ACCOUNT, suffix: str = K.
 #
 # The original compares each title with ONE string made by concatenating all
 # stock names, through an O(len1*len2) longest-common-substring table. Here the
-# concatenated string is represented by its set of n-grams, and a title is an
-# advert when it shares a gram of length NAME_OVERLAP_MIN with it:
+# concatenated string is represented by its set of n-grams (built distributed,
+# never as one string), and a title is an advert when it shares a gram of
+# length NAME_OVERLAP_MIN with it:
 # "LCS >= 4" <=> "some 4-character substring of the title occurs in the string".
 
 
-def name_string(names: DataFrame, *, order_col: str = "ord", name_col: str = "name",
-                max_chars: int = 5_000_000) -> DataFrame:
-    """One-row DataFrame ``(s)``: all names concatenated in ``order_col`` order.
+def concat_grams(names: DataFrame, n_min: int, n_max: int, *, order_col: str = "ord",
+                 name_col: str = "name", buckets: int = 256) -> DataFrame:
+    """Distinct substrings (``gram``) of lengths n_min..n_max of the string made
+    by concatenating all names in ``order_col`` order (numeric, unique), built
+    without ever forming that string in one place.
 
-    The stock-name universe is a dimension table (a few thousand listed
-    names); its size is checked against ``max_chars`` at run time by
-    ``raise_error`` so an unexpectedly large input fails loudly instead of
-    overloading one task.
+    Each name contributes the grams that START inside it; those need the next
+    ``n_max - 1`` characters after it, which come from the following names.
+    Names are cut into ``buckets`` ranges of ``order_col`` (boundaries from one
+    approximate-percentile scalar). Inside a range, a window over the next
+    ``n_max - 1`` rows supplies the characters; across ranges, each range's
+    first characters (its "head") are handed to the preceding ranges. Work per
+    task is bounded by the range size and ``n_max``.
     """
-    agg = names.where(F.col(name_col).isNotNull()).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(name_col).alias("n")))),
-                        lambda x: x["n"]), "").alias("s"))
-    return agg.select(
-        F.when(F.coalesce(F.length("s"), F.lit(0)) <= max_chars, F.coalesce("s", F.lit("")))
-         .otherwise(F.raise_error(F.lit(f"stock-name string exceeds {max_chars} characters")).cast("string"))
-         .alias("s"))
+    look = n_max - 1
+    o, nmc = F.col(order_col), F.col(name_col)
+    nm = names.where(F.length(nmc) > 0).select(o.alias("o"), nmc.alias("n"))
+    probs = [i / buckets for i in range(1, buckets)]
+    # distinct boundaries are actual values of `o`, so every range but the
+    # last holds at least its boundary: range ids are consecutive, non-empty
+    bounds = nm.agg(F.array_distinct(F.percentile_approx("o", probs, 10000)).alias("b")).scalar()
+    nb = (nm.withColumn("_b", bounds)
+            .withColumn("bk", F.size(F.filter("_b", lambda x: x < F.col("o")))).drop("_b"))
+    w = Window.partitionBy("bk").orderBy("o")
+    if look > 0:
+        nxt = F.array_join(F.collect_list("n").over(w.rowsBetween(1, look)), "")
+        # head of each range: its first `look` characters (from at most `look` names)
+        heads = (nb.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= look)
+                   .groupBy("bk").agg(F.array_sort(F.collect_list(F.struct("o", "n"))).alias("_h"))
+                   .select("bk", F.substring(F.array_join(F.transform("_h", lambda x: x["n"]), ""), 1, look).alias("head")))
+        # continuation after range b: heads of ranges b+1, b+2, ... (each holds
+        # at least one character, so `look` ranges suffice)
+        cont = (heads.select(F.explode(F.sequence(F.col("bk") - look, F.col("bk") - 1)).alias("tb"), "bk", "head")
+                     .where(F.col("tb") >= 0)
+                     .groupBy(F.col("tb").alias("bk"))
+                     .agg(F.array_sort(F.collect_list(F.struct("bk", "head"))).alias("_c"))
+                     .select("bk", F.substring(F.array_join(F.transform("_c", lambda x: x["head"]), ""), 1, look).alias("cont")))
+        ext = (nb.withColumn("_nx", nxt).join(cont, "bk", "left")
+                 .select("n", F.concat("n", F.substring(F.concat("_nx", F.coalesce("cont", F.lit(""))), 1, look)).alias("s")))
+    else:
+        ext = nb.select("n", F.col("n").alias("s"))
+    pos = ext.select("n", "s", F.explode(F.sequence(F.lit(1), F.length("n"))).alias("_p"))
+    grams = pos.select("s", "_p", F.explode(F.sequence(F.lit(n_min), F.lit(n_max))).alias("_l")) \
+               .where(F.col("_p") + F.col("_l") - 1 <= F.length("s"))
+    return grams.select(F.col("s").substr(F.col("_p"), F.col("_l")).alias("gram")).distinct()
 
 
 def string_grams(strings: DataFrame, n_min: int, n_max: int, col: str = "s") -> DataFrame:
@@ -131,11 +160,11 @@ def name_grams(names: DataFrame, n: int = K.NAME_OVERLAP_MIN, *, per_name: bool
 
     Default: of the concatenated string (grams across name boundaries
     included, as the original does). ``per_name=True``: grams inside each name
-    only — fully distributed, for name tables too large for one string.
+    only.
     """
     if per_name:
         return string_grams(names.select(F.col(name_col).alias("s")).where(F.length("s") >= n), n, n)
-    return string_grams(name_string(names, order_col=order_col, name_col=name_col), n, n)
+    return concat_grams(names, n, n, order_col=order_col, name_col=name_col)
 
 
 def title_grams(posts: DataFrame, n: int, key_cols: list[str], title_col: str = "title") -> DataFrame:
@@ -163,10 +192,10 @@ def filter_name_overlap(posts: DataFrame, grams: DataFrame, n: int = K.NAME_OVER
     return keyed.join(hits, cond, "left_anti").drop("_rk")
 
 
-def _best_in_band(titles: DataFrame, names_string: DataFrame, key_cols: list[str], lo: int, hi: int) -> DataFrame:
+def _best_in_band(titles: DataFrame, names: DataFrame, key_cols: list[str], lo: int, hi: int) -> DataFrame:
     """Per title, the longest substring with length in [lo, hi] that occurs in
     the name string; earliest position among equal lengths."""
-    g_dict = string_grams(names_string, lo, hi)
+    g_dict = concat_grams(names, lo, hi)
     cand = titles.select(*key_cols, "_t",
                          F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))).alias("pos"))
     cand = cand.select(*key_cols, "_t", "pos", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("len")) \
@@ -178,15 +207,16 @@ def _best_in_band(titles: DataFrame, names_string: DataFrame, key_cols: list[str
     return best.select(*key_cols, F.col("b.gram").alias("max_sub"), F.col("b.len").alias("max_len"))
 
 
-def longest_name_match(posts: DataFrame, names_string: DataFrame, key_cols: list[str],
+def longest_name_match(posts: DataFrame, names: DataFrame, key_cols: list[str],
                        title_col: str = "title", start_cap: int = 8) -> DataFrame:
     """Longest common substring of each title with the name string.
 
     Returns ``key_cols + (max_sub, max_len)``; the first longest match in the
     title wins; ``('', 0)`` when nothing matches.
 
-    Exact at any length: lengths 1..cap are matched by an equi-join of title
-    grams with the distinct grams of the string. Only titles whose best match
+    ``names(ord, name)`` define the string (names concatenated in ``ord``
+    order). Exact at any length: lengths 1..cap are matched by an equi-join of
+    title grams with the distinct grams of the string (``concat_grams``). Only titles whose best match
     reaches the cap can have a longer one; they alone are re-run on the band
     (cap, 2*cap], and so on until no title reaches the band's top. The loop
     runs at most log2(longest title) times.
@@ -195,7 +225,7 @@ def longest_name_match(posts: DataFrame, names_string: DataFrame, key_cols: list
     bands = []
     todo, lo, hi = base, 1, start_cap
     while True:
-        best = _best_in_band(todo, names_string, key_cols, lo, hi).persist()
+        best = _best_in_band(todo, names, key_cols, lo, hi).persist()
         bands.append(best)
         reached = best.where(F.col("max_len") >= hi).select(*key_cols)
         if reached.isEmpty():

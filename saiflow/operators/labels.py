@@ -69,29 +69,23 @@ def lexicon_term_counts(posts: DataFrame, bearish: Sequence[str] = K.BEARISH_TER
 # ---- model scoring (N4) ------------------------------------------------------
 
 def train_sentiment_model(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                          num_features: int = 1 << 18):
-    """Tokens -> hashed term frequencies -> IDF -> logistic regression.
+                          num_features: int = 1 << 18, smoothing: float = 1.0):
+    """Tokens -> hashed term counts -> multinomial naive Bayes.
 
     A stand-in for the pre-trained sentence classifier, trained on labelled
-    posts; fitting and scoring run on the executors (MLlib). The stateless
-    tokenise+hash step is computed once and persisted, so the IDF fit and the
-    regression iterations do not re-tokenise the (long) texts.
+    posts. Naive Bayes fits in ONE aggregation pass over the data (per-class
+    term sums, combined map-side), so training cost is one scan however large
+    the labelled set; scoring is a per-row projection. The label column holds
+    0/1 (negative/positive).
     """
-    from pyspark.ml import Pipeline, PipelineModel
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
 
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[\p{L}\p{N}]+", gaps=False)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    featurized = tf.transform(tok.transform(train.where(F.col(text_col).isNotNull()))) \
-                   .select("_tf", label_col).persist()
-    try:
-        fitted = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_features"),
-                                  LogisticRegression(featuresCol="_features", labelCol=label_col,
-                                                     maxIter=20, regParam=0.01)]).fit(featurized)
-    finally:
-        featurized.unpersist()
-    return PipelineModel(stages=[tok, tf, *fitted.stages])
+    nb = NaiveBayes(featuresCol="_tf", labelCol=label_col, modelType="multinomial", smoothing=smoothing)
+    return Pipeline(stages=[tok, tf, nb]).fit(train.where(F.col(text_col).isNotNull()))
 
 
 def score_sentiment(model, posts: DataFrame, text_col: str = "text") -> DataFrame:

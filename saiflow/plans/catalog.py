@@ -123,7 +123,7 @@ def q_filter_name_overlap(spark, d):
        "from part p left join best b on p.p_partkey = b.p_partkey")
 def q_longest_name_match(spark, d):
     v = Views(spark, d)
-    return C.longest_name_match(_titles(v), C.name_string(_names(v)), ["ord"])
+    return C.longest_name_match(_titles(v), _names(v), ["ord"])
 
 
 @query("filter_authors", with_views("posts_doc") +

@@ -100,7 +100,7 @@ def test_longest_match_equals_dp(spark_session_holder, titles, names):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "ord long, title string")
     nm = spark.createDataFrame([(0, names)], "ord long, name string")
     got = {r.ord: (r.max_sub, r.max_len) for r in
-           C.longest_name_match(df, C.name_string(nm), ["ord"], start_cap=2).collect()}
+           C.longest_name_match(df, nm, ["ord"], start_cap=2).collect()}
     assert got == {i: lcs_first(t, names) for i, t in enumerate(titles)}
 
 
@@ -122,3 +122,17 @@ def test_pages_until_cutoff(spark):
     got = sorted({r.page_no for r in C.pages_until_cutoff(df, "2024-01-20", 2).collect()})
     assert got == [2, 3]
     assert sorted({r.page_no for r in C.pages_by_count(df, 2, 3).collect()}) == [2, 3, 4]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text(alphabet="abcxyz", min_size=0, max_size=4), min_size=0, max_size=30),
+       st.integers(1, 5), st.integers(1, 4))
+def test_concat_grams_equal_python(spark_session_holder, names, n_max, buckets):
+    """Grams of the concatenated string, built range by range, equal the
+    grams of the string itself (1-character names and tiny ranges included)."""
+    spark = spark_session_holder
+    df = spark.createDataFrame([(i * 7, n) for i, n in enumerate(names)] or [(0, None)], "ord long, name string")
+    got = {r.gram for r in C.concat_grams(df, 1, n_max, buckets=buckets).collect()}
+    s = "".join(names)
+    want = {s[i:i + k] for i in range(len(s)) for k in range(1, n_max + 1) if i + k <= len(s)}
+    assert got == want
