@@ -114,7 +114,7 @@ def parse_post_time(text: Column | str, year: Column | int | str) -> Column:
 _BLOCK_SPLIT = r'<div class="(?:[^"]*\s)?normal_post(?:\s[^"]*)?"'
 _TIME_RE = r'<span class="l5 a5">([^<]*)</span>'
 _TITLE_RE = r'<span class="l3 a3">\s*<a [^>]*?title="([^"]*)"'
-_AUTHOR_RE = r'<span class="l4 a4">\s*<a [^>]*>\s*<font[^>]*>([^<]*)</font>'
+_AUTHOR_RE = r'(?s)<span class="l4 a4">.*?<font[^>]*>([^<]*)</font>'
 
 
 def parse_forum_page(pages: DataFrame, year: int | Column, html_col: str = "html",

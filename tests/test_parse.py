@@ -11,7 +11,8 @@ FORUM_PAGE = """<html><body><div id="articlelistnew">
 <div class="articleh normal_post"><span class="l3 a3"><a href="/news,2.html">无标题属性</a></span>
 <span class="l4 a4"><a href="/u/2"><font>匿名</font></a></span><span class="l5 a5">01-05 10:20</span></div>
 <div class="articleh normal_post"><span class="l3 a3"><a href="/news,3.html" title="下跌中继">x</a></span>
-<span class="l4 a4"><a href="/u/3"><font>东方资讯</font></a></span><span class="l5 a5">1-4 9:05</span></div>
+<span class="l4 a4">
+  <font color="red">东方资讯</font></span><span class="l5 a5">1-4 9:05</span></div>
 </div></body></html>"""
 
 
