@@ -52,3 +52,29 @@ def test_stream_daily_volume_matches_batch(spark, tmp_path):
     want = daily_post_volume(posts)
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
+
+
+def test_late_row_is_left_to_backfill(spark, tmp_path):
+    """A post older than the watermark does not change a closed window; the
+    batch backfill (idempotent) is the path for it."""
+    import datetime as dt
+    root = str(tmp_path)
+    mk = lambda rows: spark.createDataFrame(
+        [("A", dt.datetime.fromisoformat(t), ti, "u") for t, ti in rows], schemas.POSTS)
+    mk([("2024-01-02 10:00:00", "a"), ("2024-01-10 10:00:00", "b")]).write.parquet(f"{root}/land/f1")
+    ck = f"{root}/ck-late"
+
+    def run():
+        src = S.read_landed_posts(spark, f"{root}/land/*")
+        q = (S.daily_volume_stream(src, "1 day").writeStream.outputMode("update")
+             .foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{root}/updates"))
+             .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination()
+
+    run()
+    mk([("2024-01-02 11:00:00", "late"), ("2024-01-11 10:00:00", "c")]).write.parquet(f"{root}/land/f2")
+    run()
+    upd = spark.read.parquet(f"{root}/updates").groupBy("trade_date").agg(F.max("n_posts").alias("n_posts"))
+    got = {(r.trade_date.isoformat(), r.n_posts) for r in upd.collect()}
+    assert ("2024-01-02", 2) not in got and ("2024-01-02", 1) in got
+    assert ("2024-01-11", 1) in got
