@@ -67,3 +67,10 @@ def test_coverage_golden(spark):
     got = coverage_check(bars).groupBy("year").agg(F.count("bk_code").alias("sectors"), F.min("n_bars").alias("lo"),
                                                    F.max("n_bars").alias("hi")).collect()
     assert {(int(r.year), r.sectors, r.lo, r.hi) for r in got} == {(y, 76, n, n) for y, n in per_year.items()}
+
+
+def test_read_viewpoints(spark, tmp_path):
+    (tmp_path / "v.csv").write_text("Dates,viewpoints\n2024-01-02,看多\n2024-01-02,\"看空, 回调\"\n", encoding="utf-8")
+    df = sources.read_viewpoints(spark, str(tmp_path / "v.csv"))
+    assert df.columns == ["dt", "viewpoint"]
+    assert sorted(r.viewpoint for r in df.collect()) == sorted(["看多", "看空, 回调"])
