@@ -359,7 +359,7 @@ def q_posts_per_author(spark, d):
        f"round(e.l0 + (g.bin + 1) * e.w / {HIST_BINS}, 6) as right_edge, "
        "(select count(*) from b where b.bin = g.bin) as n_authors from g, e")
 def q_author_histogram(spark, d):
-    return A.author_histogram(A.posts_per_author(Views(spark, d).posts_ev()), "n_posts", HIST_BINS)
+    return A.author_histogram(A.posts_per_author(Views(spark, d).posts_ev(), ordered=False), "n_posts", HIST_BINS)
 
 
 _DAILY = "select code, cast(dtime as date) as trade_date, count(*) as n_posts from posts_ev group by code, cast(dtime as date)"
