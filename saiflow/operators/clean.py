@@ -167,40 +167,50 @@ def name_grams(names: DataFrame, n: int = K.NAME_OVERLAP_MIN, *, per_name: bool
     return concat_grams(names, n, n, order_col=order_col, name_col=name_col)
 
 
+def ngrams(text: Column | str, n: int) -> Column:
+    """All overlapping ``n``-character substrings of a text, in order, in ONE
+    linear pass (a zero-width lookahead capture at every position).
+
+    Positional ``substring`` on a UTF-8 string walks from its start, so
+    cutting every gram with it would be quadratic in the text length.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    return F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+
+
 def title_grams(posts: DataFrame, n: int, key_cols: list[str], title_col: str = "title") -> DataFrame:
-    """All (key, pos, gram) of length ``n`` of each title."""
-    t = F.col(title_col)
-    exploded = posts.where(F.length(t) >= n).select(
-        *key_cols, t.alias("_tt"), F.explode(F.sequence(F.lit(1), F.length(t) - n + 1)).alias("pos"))
-    return exploded.select(*key_cols, "pos", F.col("_tt").substr(F.col("pos"), F.lit(n)).alias("gram"))
+    """All (key, pos, gram) of length ``n`` of each title (``pos`` 1-based)."""
+    g = posts.select(*key_cols, F.posexplode(ngrams(title_col, n)).alias("_i", "gram"))
+    return g.select(*key_cols, (F.col("_i") + 1).alias("pos"), "gram")
 
 
 def filter_name_overlap(posts: DataFrame, grams: DataFrame, n: int = K.NAME_OVERLAP_MIN,
                         title_col: str = "title") -> DataFrame:
     """Drop posts whose title shares an ``n``-gram with the name string.
 
-    Titles are exploded to grams, semi-joined with the (small) gram set to
-    find the offending posts, and the posts are anti-joined by a row key.
+    Titles are exploded to grams and semi-joined with the gram set; the
+    titles with a hit are identified by a 128-bit fingerprint (two seeded
+    64-bit hashes), so only fingerprints — never the texts — are shuffled,
+    and posts are anti-joined on it. (The flag depends on the title alone;
+    two different titles share a fingerprint with probability ~2^-128.)
     With an empty name string nothing is dropped.
     """
-    keyed = posts.withColumn("_rk", F.xxhash64(F.col(title_col)))
-    hits = (title_grams(keyed.select("_rk", F.col(title_col).alias("_t")), n, ["_rk", "_t"], "_t")
+    t = F.col(title_col)
+    keyed = posts.withColumn("_h1", F.xxhash64(t)).withColumn("_h2", F.xxhash64(F.lit("saiflow-fp"), t))
+    hits = (title_grams(keyed.select("_h1", "_h2", t.alias("_t")), n, ["_h1", "_h2"], "_t")
             .join(grams.select("gram"), "gram", "left_semi")
-            .select("_rk", "_t").distinct())
-    # the flag depends on the title alone, so (hash, title) identifies it exactly
-    cond = (keyed["_rk"] == hits["_rk"]) & (keyed[title_col] == hits["_t"])
-    return keyed.join(hits, cond, "left_anti").drop("_rk")
+            .select("_h1", "_h2").distinct())
+    return keyed.join(hits, ["_h1", "_h2"], "left_anti").drop("_h1", "_h2")
 
 
 def _best_in_band(titles: DataFrame, names: DataFrame, key_cols: list[str], lo: int, hi: int) -> DataFrame:
     """Per title, the longest substring with length in [lo, hi] that occurs in
     the name string; earliest position among equal lengths."""
     g_dict = concat_grams(names, lo, hi)
-    cand = titles.select(*key_cols, "_t",
-                         F.explode(F.sequence(F.lit(1), F.greatest(F.length("_t"), F.lit(1)))).alias("pos"))
-    cand = cand.select(*key_cols, "_t", "pos", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("len")) \
-               .where(F.col("pos") + F.col("len") - 1 <= F.length("_t"))
-    cand = cand.select(*key_cols, "pos", "len", F.col("_t").substr(F.col("pos"), F.col("len")).alias("gram"))
+    per_len = F.array(*[F.struct(F.lit(L).alias("len"), ngrams("_t", L).alias("g")) for L in range(lo, hi + 1)])
+    by_len = titles.select(*key_cols, F.inline(per_len))
+    cand = by_len.select(*key_cols, "len", F.posexplode("g").alias("_i", "gram")) \
+                 .select(*key_cols, (F.col("_i") + 1).alias("pos"), "len", "gram")
     matched = cand.join(g_dict, "gram", "left_semi")
     best = matched.groupBy(*key_cols).agg(
         F.max_by(F.struct("len", "pos", "gram"), F.struct("len", -F.col("pos"))).alias("b"))
