@@ -1,3 +1,4 @@
+import datetime as dt
 import uuid
 
 from pyspark.sql import functions as F
@@ -78,3 +79,18 @@ def test_late_row_is_left_to_backfill(spark, tmp_path):
     got = {(r.trade_date.isoformat(), r.n_posts) for r in upd.collect()}
     assert ("2024-01-02", 2) not in got and ("2024-01-02", 1) in got
     assert ("2024-01-11", 1) in got
+
+
+def test_daily_volume_append_sink_emits_closed_windows(spark, tmp_path):
+    """Append mode writes a (code, day) once the watermark has passed the day's
+    end; the still-open last days stay in state."""
+    root = str(tmp_path)
+    posts = _land(spark, root)
+    q = S.start_daily_volume(spark, f"{root}/landing/batch=[0-2]", f"{root}/daily", name=f"t2-{uuid.uuid4().hex}")
+    q.awaitTermination()
+    got = spark.read.parquet(f"{root}/daily")
+    want = daily_post_volume(posts)
+    last = posts.agg(F.max("dtime")).first()[0].date()
+    closed = want.where(F.col("trade_date") < F.lit(last - dt.timedelta(days=1)))
+    assert got.exceptAll(want).count() == 0          # nothing emitted is wrong
+    assert closed.exceptAll(got).count() == 0        # every closed day is emitted
