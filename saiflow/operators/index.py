@@ -146,3 +146,25 @@ def attention_correlation(sai: DataFrame, returns: DataFrame, key_col: str = "bk
         F.round(F.corr("ret", n), 6).alias("corr_ret"),
         F.round(F.corr("log_amount", n), 6).alias("corr_amount"),
         F.count(F.lit(1)).alias("n_obs"))
+
+
+def pooled_regression(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """X6 with several regressors: pooled OLS (MLlib ``LinearRegression``,
+    normal-equation solver) with standard errors, t and p values.
+
+    The fit is one distributed aggregation (X'X and X'y); the result is one
+    row per coefficient (k + 1 rows), built from the model summary.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    data = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip") \
+        .transform(df.select(F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double") for c in features])
+                     .where(F.col("_y").isNotNull()))
+    model = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal", fitIntercept=True).fit(data)
+    sm = model.summary
+    names = features + ["intercept"]
+    coefs = list(model.coefficients) + [model.intercept]
+    rows = [(n, float(c), float(se), float(t), float(p))
+            for n, c, se, t, p in zip(names, coefs, sm.coefficientStandardErrors, sm.tValues, sm.pValues)]
+    return df.sparkSession.createDataFrame(rows, "term string, coef double, std_err double, t_value double, p_value double")

@@ -108,6 +108,16 @@ def parse_post_time(text: Column | str, year: Column | int | str) -> Column:
     return F.when(F.try_to_timestamp(s, F.lit(fmt)).isNotNull(), F.to_timestamp_ntz(s, F.lit(fmt)))
 
 
+def post_year_from_fetch(text: Column | str, fetched_at: Column | str) -> Column:
+    """P5 year [our choice]: listing pages show ``MM-dd HH:mm`` without a year.
+    A post cannot be newer than the page fetch, so a month later than the
+    fetch month belongs to the previous year."""
+    t = F.col(text) if isinstance(text, str) else text
+    f = F.col(fetched_at) if isinstance(fetched_at, str) else fetched_at
+    month = F.regexp_extract(F.trim(t), r"^(\d{1,2})-", 1).try_cast("int")
+    return F.year(f) - F.when(month > F.month(f), 1).otherwise(0)
+
+
 # ---- forum listing pages (P1) -----------------------------------------------
 
 # a <div> whose class list holds "normal_post" starts a post block

@@ -84,6 +84,19 @@ def remove_stopwords(df: DataFrame, stopwords: Sequence[str], tokens_col: str =
     return df.withColumn(tokens_col, F.filter(F.col(tokens_col), keep))
 
 
+def remove_stopwords_join(df: DataFrame, stopwords: DataFrame, key_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """N2 for large stop-word tables: tokens are exploded with their position,
+    anti-joined with the ``stopwords(term)`` table (broadcast by AQE when it is
+    small, shuffled otherwise) and gathered back per post in order (one
+    post's tokens per group). Posts left without tokens get an empty list."""
+    toks = df.select(key_col, F.posexplode(tokens_col).alias("_i", "_w"))
+    kept = toks.join(stopwords.select(F.col("term").alias("_w")).distinct(), "_w", "left_anti")
+    back = kept.groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct("_i", "_w"))).alias("_k"))
+    return (df.drop(tokens_col).join(back, key_col, "left")
+              .withColumn(tokens_col, F.coalesce(F.transform("_k", lambda x: x["_w"]), F.array().cast("array<string>")))
+              .drop("_k"))
+
+
 def pad_sequence(df: DataFrame, text_col: str = "title", length: int = K.SEQUENCE_LENGTH,
                  out_col: str = "seq") -> DataFrame:
     """Fixed-length character-code sequence (cut, or zeros at the end)."""

@@ -73,3 +73,10 @@ def test_page_items(spark):
     df = spark.createDataFrame([(1, "<title>T</title><h1>H</h1><p>a<b>x</b><p>b</p>")], "id int, html string")
     got = [(r.kind, r.text) for r in P.extract_page_items(df, keep=["id"]).orderBy("pos").collect()]
     assert got == [("title", "T"), ("h1", "H"), ("p", "a"), ("p", "b")]
+
+
+def test_post_year_from_fetch(spark):
+    df = spark.createDataFrame([("12-31 10:00", dt.datetime(2024, 1, 2, 8, 0)), ("01-02 07:00", dt.datetime(2024, 1, 2, 8, 0))],
+                               "t string, f timestamp_ntz")
+    rows = df.select(P.parse_post_time("t", P.post_year_from_fetch("t", "f")).alias("ts")).collect()
+    assert [r.ts for r in rows] == [dt.datetime(2023, 12, 31, 10, 0), dt.datetime(2024, 1, 2, 7, 0)]

@@ -35,3 +35,20 @@ def test_sector_keywords(spark):
     pos = spark.createDataFrame([("coal", "n"), ("processing", "v"), ("and", "c")], "word string, tag string")
     got = {r.bk_code: r.keywords for r in N.sector_keywords(sectors, pos).collect()}
     assert got == {1: ["coal", "processing"], 2: []}
+
+
+def test_remove_stopwords_join_equals_array_form(spark):
+    df = spark.createDataFrame([(1, ["a", "the", "b", "a"]), (2, ["the"]), (3, [])], "k int, tokens array<string>")
+    sw = spark.createDataFrame([("the",), ("x",)], "term string")
+    got = {r.k: r.tokens for r in N.remove_stopwords_join(df, sw, "k").collect()}
+    want = {r.k: r.tokens for r in N.remove_stopwords(df, ["the", "x"]).collect()}
+    assert got == want == {1: ["a", "b", "a"], 2: [], 3: []}
+
+
+def test_pooled_regression(spark):
+    from saiflow.operators.index import pooled_regression
+    rows = [(float(i), float(i % 3), 2.0 * i - 1.0 * (i % 3) + 0.5 + (0.01 if i % 2 else -0.01)) for i in range(30)]
+    df = spark.createDataFrame(rows, "x1 double, x2 double, y double")
+    got = {r.term: r for r in pooled_regression(df, "y", ["x1", "x2"]).collect()}
+    assert abs(got["x1"].coef - 2.0) < 1e-2 and abs(got["x2"].coef + 1.0) < 1e-2
+    assert abs(got["intercept"].coef - 0.5) < 5e-2 and got["x1"].std_err > 0
