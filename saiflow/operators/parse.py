@@ -51,12 +51,17 @@ def extract_sector_links(pages: DataFrame, data_date: str, bk_type: str = "thshy
 
 def strided_rows(df: DataFrame, arr_col: str, step: int, keep: list[str] | None = None) -> DataFrame:
     """Cut a flat list into records of ``step`` items and keep the
-    first two as (code, name). A short tail gives a NULL name; an empty list
-    gives no rows. ``idx`` is the 0-based record number."""
+    first two as (code, name); ``idx`` is the 0-based record number.
+
+    Only records whose name exists are emitted. For pairs this is exactly the
+    original loop (it runs over complete pairs, so an odd last item is
+    skipped); for triples the original fails on a one-item tail, which is
+    skipped here instead. An empty list gives no rows.
+    """
     keep = keep or []
     a = F.col(arr_col)
-    recs = F.when(F.size(a) > 0, F.transform(
-        F.sequence(F.lit(0), F.size(a) - 1, F.lit(step)),
+    recs = F.when(F.size(a) > 1, F.transform(
+        F.sequence(F.lit(0), F.size(a) - 2, F.lit(step)),
         lambda i: F.struct((i / step).cast("int").alias("idx"), F.get(a, i).alias("code"),
                            F.get(a, i + 1).alias("name"))))
     return df.select(*keep, F.inline(recs))

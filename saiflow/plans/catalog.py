@@ -277,7 +277,7 @@ def q_extract_sector_links(spark, d):
 
 def _strided_sql(step: int) -> str:
     return (f"with a as (select page_id, regexp_extract_all(html, '{_ANCHOR}', 2) as arr from pages), "
-            f"s as (select page_id, arr, unnest(range(0, len(arr), {step})) as i from a) "
+            f"s as (select page_id, arr, unnest(range(0, len(arr) - 1, {step})) as i from a) "
             f"select page_id, cast(i // {step} as integer) as idx, arr[i + 1] as code, arr[i + 2] as name from s")
 
 

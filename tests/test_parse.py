@@ -47,9 +47,11 @@ def test_strided_rows(spark):
     df = spark.createDataFrame([(1, ["600000", "浦发银行", "600036", "招商银行", "600999"]), (2, [])],
                                "k int, a array<string>")
     pairs = P.strided_rows(df, "a", 2, keep=["k"]).orderBy("idx").collect()
-    assert [(r.idx, r.code, r.name) for r in pairs] == [(0, "600000", "浦发银行"), (1, "600036", "招商银行"), (2, "600999", None)]
+    assert [(r.idx, r.code, r.name) for r in pairs] == [(0, "600000", "浦发银行"), (1, "600036", "招商银行")]
     triples = P.strided_rows(df, "a", 3, keep=["k"]).orderBy("idx").collect()
     assert [(r.code, r.name) for r in triples] == [("600000", "浦发银行"), ("招商银行", "600999")]
+    one_tail = spark.createDataFrame([(1, ["a", "b", "c", "d"])], "k int, a array<string>")
+    assert [(r.code, r.name) for r in P.strided_rows(one_tail, "a", 3).collect()] == [("a", "b")]
 
 
 def test_parse_bars_edges(spark):
