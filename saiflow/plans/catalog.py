@@ -414,10 +414,20 @@ def q_viewpoints_by_day(spark, d):
     return A.viewpoints_by_day(ev, VIEW_START, 4096).withColumn("part", F.col("part").cast("double"))
 
 
-@query("distinct_sectors", with_views("sectors") +
-       "select distinct bk_code from sectors where '同花顺' = '同花顺' and bk_type = 'ASIA'")
+# sector_info stand-in that grows with the data: one sector row per supplier
+# (a sector listed again and again, like daily snapshots of the list)
+_SECTOR_INFO_DUCK = ("sector_info as (select s.s_nationkey as bk_code, n.n_name as bk_name, '同花顺' as bk_source, "
+                     "r.r_name as bk_type, 0 as use_flag, cast(s.s_suppkey as varchar) as data_date from supplier s "
+                     "join nation n on s.s_nationkey = n.n_nationkey join region r on n.n_regionkey = r.r_regionkey)")
+
+
+@query("distinct_sectors", f"with {_SECTOR_INFO_DUCK} "
+       "select distinct bk_code from sector_info where bk_source = '同花顺' and bk_type = 'ASIA'")
 def q_distinct_sectors(spark, d):
-    info = Views(spark, d).sectors().withColumn("bk_source", F.lit("同花顺"))
+    v = Views(spark, d)
+    info = v.t("supplier").join(v.sectors(), F.col("s_nationkey") == F.col("bk_code")).select(
+        "bk_code", "bk_name", F.lit("同花顺").alias("bk_source"), "bk_type", F.lit(0).alias("use_flag"),
+        F.col("s_suppkey").cast("string").alias("data_date"))
     return M.distinct_sectors(info, "同花顺", "ASIA")
 
 
