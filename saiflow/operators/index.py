@@ -39,7 +39,7 @@ def attention_vs_close(daily: DataFrame, prices: DataFrame, how: str = "inner")
         raise ValueError(f"unsupported join type {how!r}")
     w = Window.partitionBy("code").orderBy("trade_date")
     return j.select("code", to_yyyymmdd("trade_date").alias("trade_date"), "n_posts", "close",
-                    (F.row_number().over(w) - 1).alias("idx"))
+                    (F.row_number().over(w) - 1).cast("long").alias("idx"))
 
 
 # ---- sector attention (X1-X4) ------------------------------------------------

@@ -481,7 +481,7 @@ _TOK = r"regexp_extract_all(title, '[\p{L}\p{N}]+')"
        f"select ord, len({_TOK}) as n_tokens, array_to_string({_TOK}, ' ') as tokens from posts_doc")
 def q_tokenize_posts(spark, d):
     t = N.tokenize_posts(Views(spark, d).posts_doc())
-    return t.select("ord", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    return t.select("ord", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 def _sw_list(words):
@@ -493,7 +493,7 @@ def _sw_list(words):
        "from posts_doc) select ord, len(k) as n_tokens, array_to_string(k, ' ') as tokens from t")
 def q_remove_stopwords(spark, d):
     t = N.remove_stopwords(N.tokenize_posts(Views(spark, d).posts_doc()), STOPWORDS)
-    return t.select("ord", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    return t.select("ord", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("remove_stopwords_first_char", with_views("posts_doc") +
@@ -502,7 +502,7 @@ def q_remove_stopwords(spark, d):
        "select ord, len(k) as n_tokens, array_to_string(k, ' ') as tokens from t")
 def q_remove_stopwords_first_char(spark, d):
     t = N.remove_stopwords(N.tokenize_posts(Views(spark, d).posts_doc()), FIRST_CHAR_STOPWORDS, first_char=True)
-    return t.select("ord", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+    return t.select("ord", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("pad_sequence_40", with_views("posts_doc") +
@@ -628,7 +628,7 @@ def q_sector_returns(spark, d):
        ", s as (select bk_code, period, n_posts, lag(n_posts) over (partition by bk_code order by period) as sai_lag "
        "from sai) select s.bk_code, round(regr_slope(r.ret, cast(s.sai_lag as double)), 6) as slope, "
        "round(regr_intercept(r.ret, cast(s.sai_lag as double)), 6) as intercept, "
-       "round(regr_r2(r.ret, cast(s.sai_lag as double)), 6) as r2, regr_count(r.ret, cast(s.sai_lag as double)) as n_obs "
+       "round(regr_r2(r.ret, cast(s.sai_lag as double)), 6) as r2, cast(regr_count(r.ret, cast(s.sai_lag as double)) as bigint) as n_obs "
        "from s join ret r on s.bk_code = r.bk_code and s.period = r.period group by s.bk_code")
 def q_attention_regression(spark, d):
     v = Views(spark, d)

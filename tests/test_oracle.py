@@ -26,10 +26,17 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert missing == {"score_sentiment"}
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_matches_oracle(spark, duck, name):
-    got = queries()[name](spark, SF).toPandas()
-    want = duck.sql(oracle_sql()[name]).df()
+    sdf = queries()[name](spark, SF)
+    rel = duck.sql(oracle_sql()[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sdf.dtypes} == duck_types
+    got, want = sdf.toPandas(), rel.df()
     assert sorted(got.columns) == sorted(want.columns)
     assert norm(got) == norm(want)
 
