@@ -534,7 +534,7 @@ def _cos_sql(a, b):
 
 @query("anchor_similarity",
        "with a as (select embedding as v from embeddings where vec_id = 0) "
-       f"select label, round_even(avg({_cos_sql('embedding', 'a.v')}), 3) as similarity "
+       f"select label, (round_even(avg({_cos_sql('embedding', 'a.v')}), 3) + 0.0) as similarity "
        "from embeddings, a group by label")
 def q_anchor_similarity(spark, d):
     e = Views(spark, d).t("embeddings")
@@ -552,6 +552,9 @@ def q_score_sentiment(spark, d):
     return L.score_sentiment(model, docs, "text")
 
 
+# DuckDB rounds a tiny negative value to -0.0 where Spark's decimal rounding
+# gives 0.0; "+ 0.0" turns -0.0 into 0.0 so both engines emit the same value.
+
 # ---- indices ---------------------------------------------------------------------
 
 @query("top_stocks_per_sector",
@@ -591,7 +594,7 @@ def q_sector_attention(spark, d):
 
 @query("abnormal_attention", _SAI_SQL +
        "select bk_code, period, n_posts, round(ln(1 + n_posts) - ln(1 + quantile_cont(n_posts, 0.5) over "
-       "(partition by bk_code order by period rows between 5 preceding and 1 preceding)), 6) as abnormal from sai")
+       "(partition by bk_code order by period rows between 5 preceding and 1 preceding)), 6) + 0.0 as abnormal from sai")
 def q_abnormal_attention(spark, d):
     return X.abnormal_attention(_sai(Views(spark, d)), 5)
 
@@ -604,7 +607,7 @@ _DOC_DAY = "date '2024-01-01' + cast(ord % 30 as integer)"
        f"{_LABEL_CASE.format(p=_contains_sql(BEARISH), c=_contains_sql(BULLISH))} as label from posts_doc) "
        "select code, day, count(*) as n_posts, count(*) filter (where label = 'put') as n_put, "
        "count(*) filter (where label = 'call') as n_call, "
-       "round(ln((count(*) filter (where label = 'call') + 1) / (count(*) filter (where label = 'put') + 1)), 6) as bullish "
+       "round(ln((count(*) filter (where label = 'call') + 1) / (count(*) filter (where label = 'put') + 1)), 6) + 0.0 as bullish "
        "from l group by code, day")
 def q_sentiment_attention(spark, d):
     p = Views(spark, d).posts_doc().withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"),
@@ -613,8 +616,8 @@ def q_sentiment_attention(spark, d):
 
 
 _RET_SQL = (", ret as (select bk_code, period, close, amount, "
-            "round(close / lag(close) over (partition by bk_code order by period) - 1, 9) as ret, "
-            "round(ln(amount), 9) as log_amount from sector_px) ")
+            "round(close / lag(close) over (partition by bk_code order by period) - 1, 9) + 0.0 as ret, "
+            "round(ln(amount), 9) + 0.0 as log_amount from sector_px) ")
 
 
 @query("sector_returns", with_views("sector_px") + _RET_SQL +
@@ -626,9 +629,9 @@ def q_sector_returns(spark, d):
 
 @query("attention_regression", _SAI_PX_SQL + _RET_SQL +
        ", s as (select bk_code, period, n_posts, lag(n_posts) over (partition by bk_code order by period) as sai_lag "
-       "from sai) select s.bk_code, round(regr_slope(r.ret, cast(s.sai_lag as double)), 6) as slope, "
-       "round(regr_intercept(r.ret, cast(s.sai_lag as double)), 6) as intercept, "
-       "round(regr_r2(r.ret, cast(s.sai_lag as double)), 6) as r2, cast(regr_count(r.ret, cast(s.sai_lag as double)) as bigint) as n_obs "
+       "from sai) select s.bk_code, round(regr_slope(r.ret, cast(s.sai_lag as double)), 6) + 0.0 as slope, "
+       "round(regr_intercept(r.ret, cast(s.sai_lag as double)), 6) + 0.0 as intercept, "
+       "round(regr_r2(r.ret, cast(s.sai_lag as double)), 6) + 0.0 as r2, cast(regr_count(r.ret, cast(s.sai_lag as double)) as bigint) as n_obs "
        "from s join ret r on s.bk_code = r.bk_code and s.period = r.period group by s.bk_code")
 def q_attention_regression(spark, d):
     v = Views(spark, d)
@@ -636,8 +639,8 @@ def q_attention_regression(spark, d):
 
 
 @query("attention_correlation", _SAI_PX_SQL + _RET_SQL +
-       "select s.bk_code, round(corr(r.ret, cast(s.n_posts as double)), 6) as corr_ret, "
-       "round(corr(r.log_amount, cast(s.n_posts as double)), 6) as corr_amount, count(*) as n_obs "
+       "select s.bk_code, round(corr(r.ret, cast(s.n_posts as double)), 6) + 0.0 as corr_ret, "
+       "round(corr(r.log_amount, cast(s.n_posts as double)), 6) + 0.0 as corr_amount, count(*) as n_obs "
        "from sai s join ret r on s.bk_code = r.bk_code and s.period = r.period group by s.bk_code")
 def q_attention_correlation(spark, d):
     v = Views(spark, d)
