@@ -38,21 +38,30 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+_FALLBACK_DIRS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared folder there; it is read from the session and
-    never replaced. Only when it is unset (local tests) a fresh scratch folder
-    is created.
+    never replaced (streams keep their checkpoints under it, so the path must
+    stay the same across restarts). Only when it is unset (local tests) a
+    scratch folder is created once per application and registered with
+    ``setCheckpointDir`` (the setting itself cannot change at run time).
     """
     sc = spark.sparkContext
-    cur = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not cur:
-        cur = tempfile.mkdtemp(prefix="saiflow-ckpt-", dir=os.environ.get("SAIFLOW_SCRATCH", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", cur)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(cur)
-    return cur
+    base = sc.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(base)
+        return base
+    app = sc.applicationId
+    if app not in _FALLBACK_DIRS:
+        _FALLBACK_DIRS[app] = tempfile.mkdtemp(prefix="saiflow-ckpt-", dir=os.environ.get("SAIFLOW_SCRATCH", "/tmp"))
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(_FALLBACK_DIRS[app])
+    return _FALLBACK_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
