@@ -182,3 +182,17 @@ def upsert_bars_to_path(spark: SparkSession, new: DataFrame, path: str, run_id:
     stage = scratch_path(spark, f"stage-bars-{run_id}")
     merged.write.mode("overwrite").partitionBy("year").parquet(stage)
     overwrite_partitions(spark.read.parquet(stage), path, ["year"])
+
+
+def ingest_pages(spark: SparkSession, pages: DataFrame, target: str, year: int | str = "fetch",
+                 name_grams: DataFrame | None = None) -> int:
+    """E1 as one batch job: landed listing pages (``raw_pages``: page_no, code,
+    html, fetched_at) -> parsed posts -> cleaned (F2-F5, optional F3) ->
+    loaded into the day-partitioned post table if absent. Returns the number
+    of posts appended. Every step runs on the executors.
+    """
+    from .clean import clean_posts
+    from .parse import parse_forum_page
+
+    posts = parse_forum_page(pages, year, keep=["code"]).select(*schemas.POST_KEYS)
+    return load_posts(spark, clean_posts(posts, name_grams=name_grams), target)

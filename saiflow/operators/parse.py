@@ -132,13 +132,21 @@ _TITLE_RE = r'<span class="l3 a3">\s*<a [^>]*?title="([^"]*)"'
 _AUTHOR_RE = r'(?s)<span class="l4 a4">.*?<font[^>]*>([^<]*)</font>'
 
 
-def parse_forum_page(pages: DataFrame, year: int | Column, html_col: str = "html",
-                     keep: list[str] | None = None) -> DataFrame:
+def parse_forum_page(pages: DataFrame, year: int | Column | str, html_col: str = "html",
+                     keep: list[str] | None = None, fetched_col: str = "fetched_at") -> DataFrame:
     """Split a landed listing page into post blocks and read time, title
     (the anchor's ``title`` attribute) and author; blocks without a title are
     skipped. ``pos`` is the block's place on the page (page order = newest first).
+
+    ``year``: an int or Column, or ``"fetch"`` to infer each post's year from
+    the page's ``fetched_col`` (see ``post_year_from_fetch``).
     """
-    keep = keep or []
+    keep = list(keep or [])
+    if isinstance(year, str) and year == "fetch":
+        if fetched_col not in keep:
+            keep.append(fetched_col)
+        year = post_year_from_fetch(F.trim(F.get(F.regexp_extract_all(F.col("blk"), F.lit(_TIME_RE), 1), 0)),
+                                    fetched_col)
     body = F.regexp_extract(F.col(html_col), r'(?s)<div id="articlelistnew"(.*)', 1)
     blocks = pages.select(*keep, F.posexplode(F.split(body, _BLOCK_SPLIT)).alias("pos", "blk")) \
                   .where(F.col("pos") > 0)

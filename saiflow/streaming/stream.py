@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators.clean import clean_posts
+from ..operators.parse import parse_forum_page
 from ..operators.load import insert_if_absent, stored_days
 from ..session import scratch_path
 
@@ -30,6 +31,20 @@ def read_landed_posts(spark: SparkSession, landing: str, fmt: str = "parquet",
     return r.load(landing)
 
 
+def read_landed_pages(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming source over landed listing pages (``raw_pages`` schema)."""
+    r = spark.readStream.schema(schemas.RAW_PAGES).format("parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.load(landing)
+
+
+def posts_from_pages(pages: DataFrame) -> DataFrame:
+    """Landed pages -> posts (P1; year from each page's fetch time). A pure
+    DataFrame transform, so it runs the same on a stream or a batch."""
+    return parse_forum_page(pages, "fetch", keep=["code"]).select(*schemas.POST_KEYS)
+
+
 def _event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("event_ts", F.col("dtime").cast("timestamp"))
 
@@ -58,14 +73,15 @@ def dedup_stream(posts: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def start_dedup_load(spark: SparkSession, landing: str, target: str, name: str = "posts_load",
-                     delay: str = "1 day", available_now: bool = True) -> StreamingQuery:
+                     delay: str = "1 day", available_now: bool = True, pages: bool = False) -> StreamingQuery:
     """Land -> clean -> dedup -> insert-if-absent into the parquet table.
 
     Each micro-batch anti-joins with the stored keys before appending, so a
     replayed batch (after a failure between write and commit) appends nothing
     twice. The table is partitioned by day and the day is a join key, so only
     the partitions of the batch's days are scanned. Progress is checkpointed
-    in the shared checkpoint folder.
+    in the shared checkpoint folder. ``pages=True``: the landing folder holds
+    raw listing pages, which are parsed in the stream first.
     """
     def load(batch: DataFrame, batch_id: int) -> None:
         # the micro-batch comes out of a stateful operator: evaluate it once
@@ -83,7 +99,8 @@ def start_dedup_load(spark: SparkSession, landing: str, target: str, name: str =
         finally:
             rows.unpersist()
 
-    w = (dedup_stream(read_landed_posts(spark, landing), delay)
+    src = posts_from_pages(read_landed_pages(spark, landing)) if pages else read_landed_posts(spark, landing)
+    w = (dedup_stream(src, delay)
          .writeStream.foreachBatch(load)
          .option("checkpointLocation", scratch_path(spark, f"stream-{name}")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")

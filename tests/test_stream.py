@@ -94,3 +94,27 @@ def test_daily_volume_append_sink_emits_closed_windows(spark, tmp_path):
     closed = want.where(F.col("trade_date") < F.lit(last - dt.timedelta(days=1)))
     assert got.exceptAll(want).count() == 0          # nothing emitted is wrong
     assert closed.exceptAll(got).count() == 0        # every closed day is emitted
+
+
+PAGE = """<div id="articlelistnew">
+<div class="articleh normal_post"><span class="l3 a3"><a href="/n/1" title="{t1}">x</a></span>
+<span class="l4 a4"><a href="/u"><font>{a1}</font></a></span><span class="l5 a5">{d1}</span></div>
+<div class="articleh normal_post"><span class="l3 a3"><a href="/n/2" title="{t2}">x</a></span>
+<span class="l4 a4"><a href="/u"><font>{a2}</font></a></span><span class="l5 a5">{d2}</span></div></div>"""
+
+
+def test_page_stream_and_batch_ingest_agree(spark, tmp_path):
+    from saiflow.operators.load import ingest_pages
+    root = str(tmp_path)
+    fetched = dt.datetime(2024, 1, 3, 18, 0)
+    rows = [(1, "zssh000001", "u1", PAGE.format(t1="跨年帖", a1="甲", d1="12-31 10:00", t2="新年帖", a2="乙", d2="01-02 10:30"), fetched),
+            (2, "zssh000001", "u2", PAGE.format(t1="新年帖", a1="乙", d1="01-02 10:30", t2="$公告", a2="丙", d2="01-02 11:00"), fetched)]
+    pages = spark.createDataFrame(rows, schemas.RAW_PAGES)
+    pages.write.parquet(f"{root}/pages")
+    q = S.start_dedup_load(spark, f"{root}/pages", f"{root}/stream_posts", name=f"pg-{uuid.uuid4().hex}",
+                           delay="400 days", pages=True)
+    q.awaitTermination()
+    assert ingest_pages(spark, pages, f"{root}/batch_posts") == 2
+    s_rows = sorted((r.dtime, r.title) for r in spark.read.parquet(f"{root}/stream_posts").collect())
+    b_rows = sorted((r.dtime, r.title) for r in spark.read.parquet(f"{root}/batch_posts").collect())
+    assert s_rows == b_rows == [(dt.datetime(2023, 12, 31, 10, 0), "跨年帖"), (dt.datetime(2024, 1, 2, 10, 30), "新年帖")]
