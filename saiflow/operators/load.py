@@ -171,7 +171,8 @@ def upsert_bars_to_path(spark: SparkSession, new: DataFrame, path: str, run_id:
     batch are rewritten. The merged years are staged under the shared
     checkpoint folder first, since Spark cannot overwrite a path it is reading.
     """
-    batch = new.withColumn("year", F.substring("trade_date", 1, 4))
+    # int, as partition discovery reads it back
+    batch = new.withColumn("year", F.substring("trade_date", 1, 4).cast("int"))
     try:
         stored = spark.read.parquet(path)
         years = batch.select("year").distinct()
@@ -196,3 +197,12 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, target: str, year: int |
 
     posts = parse_forum_page(pages, year, keep=["code"]).select(*schemas.POST_KEYS)
     return load_posts(spark, clean_posts(posts, name_grams=name_grams), target)
+
+
+def load_bars(spark: SparkSession, payloads: DataFrame, path: str, run_id: str) -> None:
+    """E3 as one batch job: landed quote payloads (bk_code, body) for every
+    sector and year -> parsed bars (P4) -> upsert into the year-partitioned
+    bar table (L2). Replaces the per-sector driver loop of the original."""
+    from .parse import parse_bars
+
+    upsert_bars_to_path(spark, parse_bars(payloads), path, run_id)

@@ -92,3 +92,14 @@ def test_load_prunes_stored_days(spark, tmp_path):
     assert scans and all("Subquery" in s for s in scans)
     assert target.count() == 3
     assert D.load_posts(spark, batch.drop("day"), path) == 1
+
+
+def test_load_bars_from_payloads(spark, tmp_path):
+    payloads = spark.createDataFrame([
+        ("881101", '({"data":"20170103,3377.61,3443.5,3375.48,3443.5,274943000,3716640000;'
+                   '20180104,3460.55,3485.34,3450.91,3483.28,274666000,3556330000"})')], "bk_code string, body string")
+    path = str(tmp_path / "bars")
+    D.load_bars(spark, payloads, path, uuid.uuid4().hex)
+    D.load_bars(spark, payloads, path, uuid.uuid4().hex)      # nightly rerun: same table
+    rows = spark.read.parquet(path).orderBy("trade_date").collect()
+    assert [(r.trade_date, r.year, r.close) for r in rows] == [("20170103", 2017, 3443.5), ("20180104", 2018, 3483.28)]
