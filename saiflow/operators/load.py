@@ -17,14 +17,6 @@ from ..sources.sinks import append_by_name, overwrite_partitions
 from .clean import session_hours
 
 
-def _null_safe_keys(left: DataFrame, right: DataFrame, keys: list[str]):
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
-
-
 def _non_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key columns are NOT NULL in the stored tables; rows with a null key are
     not loadable and are left out (a database would reject them too)."""
@@ -109,15 +101,15 @@ def incremental_backfill(new: DataFrame, stored: DataFrame, year: int,
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
     """L2: the table after loading ``new`` — stored rows whose key is not in
     the batch, plus the batch (the batch wins on conflicts; within the batch
-    the last row by ``order_col`` wins)."""
+    the last row by ``order_col`` wins). Batch rows with a null key are not
+    loadable and are left out."""
     if order_col is not None:
         others = [c for c in new.columns if c not in keys]
         new = (new.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order_col)).alias("_r"))
                   .select(*keys, "_r.*").select(*new.columns).drop(order_col))
-    cols = [c for c in stored.columns]
-    nk = new.select(*keys)
-    kept = stored.join(nk, _null_safe_keys(stored, nk, keys), "left_anti")
-    return kept.unionByName(new.select(*cols))
+    new = _non_null_keys(new, keys)          # key columns are NOT NULL in the table
+    kept = stored.join(new.select(*keys), keys, "left_anti")
+    return kept.unionByName(new.select(*stored.columns))
 
 
 # ---- writers -----------------------------------------------------------------
