@@ -103,3 +103,26 @@ def test_load_bars_from_payloads(spark, tmp_path):
     D.load_bars(spark, payloads, path, uuid.uuid4().hex)      # nightly rerun: same table
     rows = spark.read.parquet(path).orderBy("trade_date").collect()
     assert [(r.trade_date, r.year, r.close) for r in rows] == [("20170103", 2017, 3443.5), ("20180104", 2018, 3483.28)]
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_POST = st.tuples(st.sampled_from(["A", "B"]), st.integers(0, 3), st.sampled_from(["t1", "t2"]), st.sampled_from(["u", "v"]))
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(_POST, max_size=12), st.lists(_POST, max_size=12))
+def test_union_dedup_property(spark_session_holder, a, b):
+    spark = spark_session_holder
+    mk = lambda rows: posts_df(spark, [(c, f"2024-01-0{d + 1} 10:00:00", t, u) for c, d, t, u in rows])
+    got = D.dedup_posts(D.union_batches(mk(a), mk(b)))
+    want = D.dedup_posts(mk(a + b))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == sorted(
+        map(tuple, posts_df(spark, sorted({(c, f"2024-01-0{d + 1} 10:00:00", t, u) for c, d, t, u in a + b})).collect()))
+
+
+def test_dedup_keeps_first_by_order(spark):
+    df = spark.createDataFrame([("k", 3, "late"), ("k", 1, "first"), ("j", 2, "only")], "code string, pos int, note string")
+    got = {r.code: r.note for r in D.dedup_posts(df, ["code"], order_col="pos").collect()}
+    assert got == {"k": "first", "j": "only"}
