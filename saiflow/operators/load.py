@@ -32,10 +32,30 @@ def with_code(posts: DataFrame, code: str) -> DataFrame:
     return posts.withColumn("code", F.lit(code))
 
 
-def dedup_posts(posts: DataFrame, keys: list[str] | None = None, order_col: str | None = None) -> DataFrame:
+def with_collation(df: DataFrame, keys: list[str], collation: str | None) -> DataFrame:
+    """Give the string key columns a collation (e.g. ``UTF8_LCASE`` or
+    ``UNICODE_CI_AI``) so grouping and joins compare them like a
+    case-insensitive database key would. ``None`` keeps binary comparison."""
+    if not collation:
+        return df
+    strings = {c for c, t in df.dtypes if t == "string" or t.startswith("string collate")}
+    return df.select(*[F.collate(F.col(c), collation).alias(c) if c in keys and c in strings else F.col(c)
+                       for c in df.columns])
+
+
+def _plain_strings(df: DataFrame) -> DataFrame:
+    """Collated string columns back to plain (binary) strings for writing."""
+    return df.select(*[F.col(c).cast("string").alias(c) if t.startswith("string collate") else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def dedup_posts(posts: DataFrame, keys: list[str] | None = None, order_col: str | None = None,
+                collation: str | None = None) -> DataFrame:
     """One row per key. With ``order_col`` the first row (smallest order)
-    is kept deterministically; otherwise any (all columns are keys for posts)."""
+    is kept deterministically; otherwise any (all columns are keys for posts).
+    ``collation`` compares string keys under that collation (binary by default)."""
     keys = keys or schemas.POST_KEYS
+    posts = with_collation(posts, keys, collation)
     if order_col is None:
         return posts.dropDuplicates(keys)
     others = [c for c in posts.columns if c not in keys]
@@ -52,16 +72,19 @@ def union_batches(*batches: DataFrame) -> DataFrame:
 
 
 def insert_if_absent(new: DataFrame, target: DataFrame, keys: list[str] | None = None,
-                     order_col: str | None = None) -> DataFrame:
+                     order_col: str | None = None, collation: str | None = None) -> DataFrame:
     """Rows of ``new`` (deduplicated) whose key is not stored yet.
 
-    Appending the result is idempotent: a rerun finds every key stored.
+    Appending the result is idempotent: a rerun finds every key stored. With
+    ``collation`` (e.g. ``UTF8_LCASE``) keys that differ only in case count as
+    the same key, as in a case-insensitive database table.
     """
     keys = keys or schemas.POST_KEYS
-    fresh = dedup_posts(_non_null_keys(new, keys), keys, order_col)
+    fresh = dedup_posts(_non_null_keys(new, keys), keys, order_col, collation)
     # a plain equi-join on the keys reuses the dedup's hash partitioning, so
     # the batch side is shuffled once
-    return fresh.join(target.select(*keys), keys, "left_anti")
+    rows = fresh.join(with_collation(target.select(*keys), keys, collation), keys, "left_anti")
+    return _plain_strings(rows) if collation else rows
 
 
 def append_until_conflict(new: DataFrame, target: DataFrame, order_col: str,

@@ -126,3 +126,13 @@ def test_dedup_keeps_first_by_order(spark):
     df = spark.createDataFrame([("k", 3, "late"), ("k", 1, "first"), ("j", 2, "only")], "code string, pos int, note string")
     got = {r.code: r.note for r in D.dedup_posts(df, ["code"], order_col="pos").collect()}
     assert got == {"k": "first", "j": "only"}
+
+
+def test_case_insensitive_keys_option(spark):
+    new = posts_df(spark, [("A", "2024-01-02 10:00:00", "Bull Run", "u"), ("A", "2024-01-02 10:00:00", "bull run", "u"),
+                           ("A", "2024-01-02 11:00:00", "NEW", "u")])
+    stored = posts_df(spark, [("A", "2024-01-02 11:00:00", "new", "u")])
+    assert D.insert_if_absent(new, stored).count() == 3                       # binary keys (default)
+    rows = D.insert_if_absent(new, stored, collation="UTF8_LCASE").collect()    # database-like keys
+    assert len(rows) == 1 and rows[0].title.lower() == "bull run"
+    assert dict(D.insert_if_absent(new, stored, collation="UTF8_LCASE").dtypes)["title"] == "string"
