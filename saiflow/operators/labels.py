@@ -101,3 +101,62 @@ def score_sentiment(model, posts: DataFrame, text_col: str = "text") -> DataFram
         F.round(p[0], 4).alias("negative_probs"),
         F.col(text_col).alias("text"),
     )
+
+
+# ---- naive Bayes as DataFrame operations (N4, exact vocabulary) -------------
+
+_TOKEN_RE = r"[\p{L}\p{N}]+"
+
+
+def fit_token_bayes(train: DataFrame, text_col: str = "text", label_col: str = "label",
+                    smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Multinomial naive Bayes over the exact tokens of labelled posts
+    (labels 0/1), as plain aggregates. Returns ``(priors(c, n_c),
+    log_probs(w, c, lp))`` with lp = ln((n(w,c) + a) / (n(c) + a*V)) for every
+    vocabulary word and class; nothing is collected.
+    """
+    docs = train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()) \
+                .select(F.col(label_col).cast("int").alias("c"), F.col(text_col).alias("t"))
+    priors = docs.groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
+    n_wc = (docs.select("c", F.explode(F.regexp_extract_all("t", F.lit(_TOKEN_RE), 0)).alias("w"))
+                .groupBy("w", "c").agg(F.count(F.lit(1)).alias("n_wc")))
+    per_class = n_wc.groupBy("c").agg(F.sum("n_wc").alias("n_words"))
+    vocab = n_wc.select("w").distinct()
+    v = vocab.agg(F.count(F.lit(1))).scalar()                  # vocabulary size
+    grid = vocab.select("w", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).join(priors.select("c"), "c", "left_semi")
+    log_probs = (grid.join(n_wc, ["w", "c"], "left").join(per_class, "c").withColumn("_v", v)
+                 .select("w", "c", F.log((F.coalesce("n_wc", F.lit(0)).cast("double") + smoothing)
+                                         / (F.col("n_words").cast("double") + smoothing * F.col("_v").cast("double")))
+                         .alias("lp")))
+    return priors, log_probs
+
+
+def score_token_bayes(priors: DataFrame, log_probs: DataFrame, posts: DataFrame, key_col: str,
+                      text_col: str = "text") -> DataFrame:
+    """Score posts with a model from ``fit_token_bayes``:
+    sentiment_label, sentiment_key, positive_probs, negative_probs, text.
+
+    Per post and class: ln prior + sum over tokens of tf * lp (words outside
+    the vocabulary are ignored); P(positive) is the logistic of the score
+    difference, written so that it never overflows.
+    """
+    posts = posts.where(F.col(text_col).isNotNull())
+    total = priors.agg(F.sum("n_c")).scalar()
+    lprior = priors.withColumn("_n", total).select("c", F.log(F.col("n_c") / F.col("_n")).alias("lpc"))
+    tf = (posts.select(key_col, F.explode(F.regexp_extract_all(text_col, F.lit(_TOKEN_RE), 0)).alias("w"))
+               .groupBy(key_col, "w").agg(F.count(F.lit(1)).alias("tf")))
+    ll = tf.join(log_probs, "w").groupBy(key_col, "c").agg(F.sum(F.col("tf") * F.col("lp")).alias("ll"))
+    grid = posts.select(key_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).join(lprior, "c")
+    sc = grid.join(ll, [key_col, "c"], "left").select(key_col, "c", (F.col("lpc") + F.coalesce("ll", F.lit(0.0))).alias("sc"))
+    pv = sc.groupBy(key_col).agg(F.max(F.when(F.col("c") == 0, F.col("sc"))).alias("s0"),
+                                 F.max(F.when(F.col("c") == 1, F.col("sc"))).alias("s1"))
+    d = F.col("s0") - F.col("s1")
+    p1 = F.when(d >= 0, F.exp(-d) / (1 + F.exp(-d))).otherwise(1 / (1 + F.exp(d)))
+    out = pv.select(key_col, p1.alias("_p")).join(posts.select(key_col, text_col), key_col)
+    pos = F.col("_p") > 0.5
+    return out.select(
+        F.when(pos, 1).otherwise(0).alias("sentiment_label"),
+        F.when(pos, F.lit("positive")).otherwise(F.lit("negative")).alias("sentiment_key"),
+        F.round("_p", 4).alias("positive_probs"),
+        F.round(1 - F.col("_p"), 4).alias("negative_probs"),
+        F.col(text_col).alias("text"))

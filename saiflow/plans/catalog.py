@@ -543,13 +543,42 @@ def q_anchor_similarity(spark, d):
     return N.anchor_similarity(words, vectors, "0").withColumnRenamed("post_id", "label")
 
 
-@query("score_sentiment", None)
+_TOK_RE = r"[\p{L}\p{N}]+"
+_BAYES_SQL = (
+    "with docs as (select cast(l.quality as integer) as c, d.text as t from documents d join labels l "
+    "on d.doc_id = l.doc_id where d.text is not null and l.quality is not null), "
+    "pri as (select c, count(*) as n_c from docs group by c), "
+    f"nwc as (select w, c, count(*) as n_wc from (select c, unnest(regexp_extract_all(t, '{_TOK_RE}')) as w from docs) "
+    "group by w, c), "
+    "pc as (select c, sum(n_wc) as n_words from nwc group by c), "
+    "v as (select count(*) as v from (select distinct w from nwc)), "
+    "grid as (select x.w, y.c from (select distinct w from nwc) x, (select c from pri) y), "
+    "lp as (select g.w, g.c, ln((cast(coalesce(n.n_wc, 0) as double) + 1.0) / "
+    "(cast(pc.n_words as double) + cast(v.v as double))) as lp "
+    "from grid g left join nwc n on g.w = n.w and g.c = n.c join pc on g.c = pc.c, v), "
+    f"tf as (select doc_id, w, count(*) as tf from (select doc_id, unnest(regexp_extract_all(text, '{_TOK_RE}')) as w "
+    "from documents where text is not null) group by doc_id, w), "
+    "s as (select tf.doc_id, lp.c, sum(tf.tf * lp.lp) as ll from tf join lp on tf.w = lp.w group by tf.doc_id, lp.c), "
+    "lpr as (select c, ln(n_c / (select sum(n_c) from pri)) as lpc from pri), "
+    "sc as (select d.doc_id, lpr.c, lpr.lpc + coalesce(s.ll, 0) as sc from (select doc_id from documents "
+    "where text is not null) d cross join lpr left join s on s.doc_id = d.doc_id and s.c = lpr.c), "
+    "pv as (select doc_id, max(case when c = 0 then sc end) - max(case when c = 1 then sc end) as d from sc group by doc_id), "
+    "pr as (select doc_id, case when d >= 0 then exp(-d) / (1 + exp(-d)) else 1 / (1 + exp(d)) end as p from pv) "
+    "select case when p > 0.5 then 1 else 0 end as sentiment_label, "
+    "case when p > 0.5 then 'positive' else 'negative' end as sentiment_key, "
+    "round(p, 4) + 0.0 as positive_probs, round(1 - p, 4) + 0.0 as negative_probs, d.text "
+    "from pr join documents d on pr.doc_id = d.doc_id")
+
+
+@query("score_sentiment", _BAYES_SQL)
 def q_score_sentiment(spark, d):
+    """N4 with an exact-vocabulary naive Bayes (DataFrame aggregates) trained
+    on the labelled documents (label = quality) and applied to all documents."""
     v = Views(spark, d)
     docs = v.t("documents").select("doc_id", "text")
-    train = docs.join(v.t("labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    model = L.train_sentiment_model(train, "text", "label", num_features=1 << 16)
-    return L.score_sentiment(model, docs, "text")
+    train = docs.join(v.t("labels").select("doc_id", "quality"), "doc_id")
+    priors, log_probs = L.fit_token_bayes(train, "text", "quality")
+    return L.score_token_bayes(priors, log_probs, docs, "doc_id", "text")
 
 
 # DuckDB rounds a tiny negative value to -0.0 where Spark's decimal rounding
