@@ -134,7 +134,8 @@ def concat_grams(names: DataFrame, n_min: int, n_max: int, *, order_col: str = "
                      .groupBy(F.col("tb").alias("bk"))
                      .agg(F.array_sort(F.collect_list(F.struct("bk", "head"))).alias("_c"))
                      .select("bk", F.substring(F.array_join(F.transform("_c", lambda x: x["head"]), ""), 1, look).alias("cont")))
-        ext = (nb.withColumn("_nx", nxt).join(cont, "bk", "left")
+        # at most `buckets` rows (one per range): broadcast, never shuffle on the range id
+        ext = (nb.withColumn("_nx", nxt).join(F.broadcast(cont), "bk", "left")
                  .select("n", F.concat("n", F.substring(F.concat("_nx", F.coalesce("cont", F.lit(""))), 1, look)).alias("s")))
     else:
         ext = nb.select("n", F.col("n").alias("s"))

@@ -123,8 +123,11 @@ def fit_token_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
     per_class = n_wc.groupBy("c").agg(F.sum("n_wc").alias("n_words"))
     vocab = n_wc.select("w").distinct()
     v = vocab.agg(F.count(F.lit(1))).scalar()                  # vocabulary size
-    grid = vocab.select("w", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).join(priors.select("c"), "c", "left_semi")
-    log_probs = (grid.join(n_wc, ["w", "c"], "left").join(per_class, "c").withColumn("_v", v)
+    # class tables hold one row per class (binary labels): broadcast them, a
+    # shuffle keyed on two class values would funnel everything into two tasks
+    grid = vocab.select("w", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")) \
+                .join(F.broadcast(priors.select("c")), "c", "left_semi")
+    log_probs = (grid.join(n_wc, ["w", "c"], "left").join(F.broadcast(per_class), "c").withColumn("_v", v)
                  .select("w", "c", F.log((F.coalesce("n_wc", F.lit(0)).cast("double") + smoothing)
                                          / (F.col("n_words").cast("double") + smoothing * F.col("_v").cast("double")))
                          .alias("lp")))
@@ -146,7 +149,7 @@ def score_token_bayes(priors: DataFrame, log_probs: DataFrame, posts: DataFrame,
     tf = (posts.select(key_col, F.explode(F.regexp_extract_all(text_col, F.lit(_TOKEN_RE), 0)).alias("w"))
                .groupBy(key_col, "w").agg(F.count(F.lit(1)).alias("tf")))
     ll = tf.join(log_probs, "w").groupBy(key_col, "c").agg(F.sum(F.col("tf") * F.col("lp")).alias("ll"))
-    grid = posts.select(key_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).join(lprior, "c")
+    grid = posts.select(key_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).join(F.broadcast(lprior), "c")
     sc = grid.join(ll, [key_col, "c"], "left").select(key_col, "c", (F.col("lpc") + F.coalesce("ll", F.lit(0.0))).alias("sc"))
     pv = sc.groupBy(key_col).agg(F.max(F.when(F.col("c") == 0, F.col("sc"))).alias("s0"),
                                  F.max(F.when(F.col("c") == 1, F.col("sc"))).alias("s1"))

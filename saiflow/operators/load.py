@@ -148,7 +148,9 @@ def stored_days(stored: DataFrame, batch: DataFrame, partition_col: str = "day")
     rng = batch.agg(F.struct(F.min(partition_col).alias("lo"), F.max(partition_col).alias("hi")).alias("r")).scalar()
     p = F.col(partition_col)
     in_range = stored.withColumn("_r", rng).where(p.between(F.col("_r.lo"), F.col("_r.hi"))).drop("_r")
-    return in_range.join(batch.select(partition_col).distinct(), partition_col, "left_semi")
+    # one row per day of the batch: broadcast, so a heavy day of the stored
+    # table is never funnelled into one shuffle partition
+    return in_range.join(F.broadcast(batch.select(partition_col).distinct()), partition_col, "left_semi")
 
 
 def load_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None,

@@ -25,4 +25,5 @@ def coverage_check(bars: DataFrame, calendar: DataFrame | None = None) -> DataFr
         return per.withColumn("expected", F.lit(None).cast("long")).withColumn("complete", F.lit(None).cast("boolean"))
     exp = calendar.groupBy(F.date_format("trade_date", "yyyy").alias("year")) \
                   .agg(F.count(F.lit(1)).alias("expected"))
-    return per.join(exp, "year", "left").withColumn("complete", F.col("n_bars") == F.col("expected"))
+    # one row per calendar year: broadcast
+    return per.join(F.broadcast(exp), "year", "left").withColumn("complete", F.col("n_bars") == F.col("expected"))
