@@ -26,6 +26,8 @@ def summarize(plan: str) -> dict:
         "pushed": sorted(set(re.findall(r"PushedFilters: \[([^\]]+)\]", plan))),
         "subqueries": subq,
         "python": "ArrowEvalPython" in plan or "MapInPandas" in plan or "BatchEvalPython" in plan,
+        # whole-stage codegen spans are printed as "*(n)" before the fused operators
+        "codegen": len(set(re.findall(r"\*\((\d+)\)", plan))),
     }
 
 
@@ -36,15 +38,15 @@ def main():
     print("Generated by `tools/plan_report.py`. `shuffles` counts exchanges; `single` the one-row "
           "SinglePartition exchanges of global aggregates (after map-side partial aggregation); "
           "`subq` distinct scalar subqueries (each evaluated once).\n")
-    print("| query | shuffles | single | joins | windows | subq | python | pushed filters |")
-    print("|---|---|---|---|---|---|---|---|")
+    print("| query | shuffles | single | joins | windows | subq | codegen spans | python | pushed filters |")
+    print("|---|---|---|---|---|---|---|---|---|")
     for name, fn in queries().items():
         df = fn(spark, d)
         df.write.format("noop").mode("overwrite").save()
         s = summarize(df._jdf.queryExecution().executedPlan().toString())
         pushed = "; ".join(p[:80] for p in s["pushed"][:2]) or "-"
         print(f"| {name} | {s['shuffles']} | {s['single']} | {s['joins']} | {s['windows']} | {s['subqueries']} | "
-              f"{'yes' if s['python'] else '-'} | {pushed} |")
+              f"{s['codegen']} | {'yes' if s['python'] else '-'} | {pushed} |")
 
 
 if __name__ == "__main__":
