@@ -37,3 +37,11 @@ def test_no_unpartitioned_window(spark, name):
         if "Exchange SinglePartition" in line:
             nxt = p.splitlines()[p.splitlines().index(line) + 1]
             assert "HashAggregate" in nxt and "partial_" in nxt, line
+
+
+@pytest.mark.parametrize("name", ["score_sentiment", "coverage_check", "filter_name_overlap", "longest_name_match"])
+def test_no_shuffle_join_on_few_valued_keys(spark, name):
+    """Joins keyed only on a class, range id, year or day are broadcast: a
+    shuffle on a handful of key values would funnel rows into a few tasks."""
+    p = plan(queries()[name](spark, SF))
+    assert not re.search(r"SortMergeJoin \[(c|bk|year|day)#\d+\], ", p)
