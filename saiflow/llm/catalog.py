@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archive, packing, sharding, suffix_dedup
+from . import archive, minhash, packing, sharding, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.histogram_sort(spark, table(spark, sf_dir, "documents"), shards=16)
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -50,6 +54,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
+    "op4_circulant_minhash": op4_circulant_minhash,
     "op5_histogram_sort": op5_histogram_sort,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
