@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archive, minhash, packing, sharding, suffix_dedup
+from . import archive, decontaminate, minhash, packing, sharding, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,12 +51,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_histogram_sort": op5_histogram_sort,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
