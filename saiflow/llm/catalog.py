@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archive, decontaminate, minhash, packing, sharding, suffix_dedup
+from . import archive, decontaminate, minhash, packing, sharding, suffix_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,13 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), may_learn=toxicity.fold() != 1)
+    return (toxicity.score(spark, docs, classifier, threshold=0.7)
+            .select("doc_id", (toxicity.fold() == 1).alias("held_out"), "score", "predicted"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -60,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_histogram_sort": op5_histogram_sort,
+    "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }

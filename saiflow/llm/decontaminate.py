@@ -108,7 +108,7 @@ class ItemIndex:
             self.grams[q] = distinct, np.append(first, len(code)), item, at
         self.walks, self.samples, self.sampled = walks, samples, sampled
         self.rng = np.random.default_rng(seed)
-        self.step = np.random.default_rng(seed + 1).integers(0, 2, (walks, 3 * max([len(i[1]) for i in self.items], default=1), 1 << 12), dtype=np.int8)
+        self.step = np.random.default_rng(seed + 1).integers(0, 2, (walks, 3 * max([len(i[1]) for i in self.items], default=1), 1 << 10), dtype=np.int8)
         self.tables: dict[int, tuple[np.ndarray, dict]] = {}
         by_length: dict[int, list[int]] = {}
         for k, (_, ids, _) in enumerate(self.items):
@@ -135,7 +135,7 @@ class ItemIndex:
         out = np.empty((3 * n, self.walks, m), np.int64)
         for j in range(3 * n):
             symbol = out[j] = ends[every, at]
-            at += self.step[walk, j, symbol & 0xFFF]
+            at += self.step[walk, j, symbol & 0x3FF]
             np.minimum(at, n, out=at)
         return out
 
