@@ -32,6 +32,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,10 +180,10 @@ def score(spark: SparkSession, docs: DataFrame, classifier: Classifier | None, t
     sent = spark.sparkContext.broadcast(pickle.dumps(classifier))  # at most 2^bits weights
 
     @F.pandas_udf("double")
-    def scored(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = pickle.loads(sent.value).scorer()
         for texts in batches:
-            yield texts.map(one, na_action=None).astype(float)
+            yield pd.Series([one(t) for t in texts], dtype=float)
 
     return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
