@@ -59,7 +59,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
 
 
 QUERIES: dict[str, Query] = {

@@ -30,11 +30,10 @@ reported; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PUNCTUATION = ".,;:!?\"()[]{}"
@@ -217,34 +216,34 @@ def char_span(text: str, first: int, end: int) -> tuple[int, int]:
     return spans[first][0], spans[min(end, len(spans)) - 1][1]
 
 
-def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, walks: int = 16, samples: int = 6,
-               sampled: int = 3, block_items: int = 20_000) -> DataFrame:
-    """doc_id, item_id, edits, item_words, start_char, end_char: one row for each document and item it holds."""
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()),
-                        ("start_char", pa.int32()), ("end_char", pa.int32())])
-    ddl = "doc_id long, item_id long, edits int, item_words int, start_char int, end_char int"
+def item_hits(benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8,
+              walks: int = 16, samples: int = 6, sampled: int = 3, block_items: int = 20_000) -> Column:
+    """Items that a text holds, as array<struct<item_id, edits, item_words, start_char, end_char>>."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null").distinct()
     blocks = max(1, -(-items.count() // block_items))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def block(n: int) -> DataFrame:
+    def block(n: int) -> Column:
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        index = ItemIndex([(r.item_id, r.text) for r in own.collect()], similarity, walks, samples, sampled)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                        for item, edits, n_words, first, end in index.search(text):
-                            rows.append((doc, item, edits, n_words, *char_span(text, first, end)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, schema)], schema=schema)
-
-        return texts.mapInArrow(search, ddl)
-
-    out = block(0)
-    for n in range(1, blocks):
-        out = out.unionByName(block(n))
-    return out
+        index = ItemIndex(sorted((r.item_id or 0, r.text) for r in own.collect()), similarity, walks, samples, sampled)
+
+        @F.pandas_udf("array<struct<item_id:long,edits:int,item_words:int,start_char:int,end_char:int>>")
+        def hits(texts: pd.Series) -> pd.Series:
+            names = ("item_id", "edits", "item_words", "start_char", "end_char")
+            return pd.Series([[dict(zip(names, (item, edits, n_words, *char_span(t, first, end))))
+                               for item, edits, n_words, first, end in index.search(t)] for t in texts], dtype=object)
+
+        return hits(text)
+
+    return block(0) if blocks == 1 else F.concat(*(block(n) for n in range(blocks)))
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, item_id, edits, item_words, start_char, end_char: one row for each document and item it holds."""
+    hits = docs.select(F.col(id_col).cast("long").alias("doc_id"), item_hits(benchmark, F.col(text_col), **options).alias("hits"))
+    return hits.select("doc_id", F.inline("hits"))
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows whose text holds an item."""
+    hits = docs.withColumn("_dc_hits", item_hits(benchmark, F.col(text_col), **options))
+    return hits.filter(F.size("_dc_hits") == 0).drop("_dc_hits")

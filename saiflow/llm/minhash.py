@@ -280,3 +280,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     component = F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("doc_id"))
     return (joined.withColumn("component_id", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select("doc_id", "n_shingles", "component_id", "kept"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the least id. Rows without id stay."""
+    found = near_duplicates(spark, docs, id_col=id_col, **options)
+    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    rest = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    # rows repeated as a whole share an id, so the join keeps all of them
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col))
+    once = rest.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    return rest.join(again, id_col, "left_anti").select(*docs.columns).unionByName(once)
