@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archive, decontaminate, minhash, packing, sharding, suffix_dedup, toxicity
+from . import archive, decontaminate, imatch, minhash, packing, sharding, suffix_dedup, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.fingerprints(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op5_histogram_sort": op5_histogram_sort,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_imatch": op8_imatch,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
