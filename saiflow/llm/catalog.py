@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archive, decontaminate, imatch, minhash, packing, sharding, suffix_dedup, toxicity
-from .common import table
+from . import archive, backoff, decontaminate, imatch, minhash, packing, sharding, suffix_dedup, token_rollup, toxicity
+from .common import stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,29 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: all are inserted; copies of a text with a smaller id are deleted (sent
+    twice); the rest of low labelled quality is counted anew with another tokenizer. The result is the totals."""
+    first, second = "word_bpe_49k", "byte_bpe_50k"
+    docs = table(spark, sf_dir, "documents").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
+    keep = ["doc_id", "source", "lang", "digest"]
+    counted = stage(spark, token_rollup.with_tokens(docs, token_rollup.word_counter(tokenizer_file(f"{first}.json")), keep), "token-counts")
+    copies = counted.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    gone = counted.join(copies, "digest").filter("doc_id > least")
+    left = counted.join(low, "doc_id").join(copies, "digest", "left").filter("least is null or doc_id <= least")
+    again = docs.join(low, "doc_id").select("doc_id", "digest", "text").distinct()
+    again = token_rollup.with_tokens(again, token_rollup.library_counter(tokenizer_file(f"{second}.json")), ["doc_id", "digest"])
+    changed = left.join(again.withColumnRenamed("tokens", "new_tokens"), ["doc_id", "digest"])
+
+    rollup = token_rollup.Rollup(spark, scratch_path(spark, f"token-rollup-{uuid.uuid4().hex}"))
+    rollup.commit(1, token_rollup.signed(counted, 1, first))
+    rollup.commit(2, token_rollup.signed(gone, -1, first))
+    rollup.commit(2, token_rollup.signed(gone, -1, first))
+    rollup.commit(3, token_rollup.revised(changed, first, "tokens", second, "new_tokens"))
+    return rollup.totals()
+
+
 def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
@@ -64,6 +88,10 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "edited_fingerprint", "near_edited", "near_next")
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
 
@@ -71,11 +99,13 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
+    "op3_token_rollup": op3_token_rollup,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_histogram_sort": op5_histogram_sort,
     "op6_nnpu_toxicity": op6_nnpu_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_imatch": op8_imatch,
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
