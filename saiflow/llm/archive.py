@@ -215,7 +215,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, id_col: s
             args = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
             packer = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=True, **args)
             path, total = f"{base}/{uuid.uuid4().hex}.warc.zst", 0
-            with system.open_output_stream(path) as out:
+            with system.open_output_stream(path, compression=None) as out:
                 if dictionary:
                     total += out.write(dictionary_frame(dictionary)) or 0
                 for r in waiting:
@@ -250,7 +250,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payload: bool = True
     def rows(path: str) -> Iterator[dict]:
         system, at = _filesystem(path)
         nth = 0
-        with system.open_input_stream(at) as stream:
+        with system.open_input_stream(at, compression=None) as stream:
             try:
                 for raw in read_frames(stream):
                     try:
