@@ -11,7 +11,8 @@ n copies costs about n comparisons instead of n * n:
 
 1. each set is compared with the least set of each of its bands;
 2. within a band, only sets that step 1 left in different components are
-   compared, all of them.
+   compared, all of them, each pair in the first band that it shares and
+   unless other links of that band join it already.
 
 Sets whose signatures agree in too few coordinates to reach the threshold (by
 ``margin`` standard deviations) are not compared. A band with more than
@@ -19,7 +20,7 @@ Sets whose signatures agree in too few coordinates to reach the threshold (by
 meet under pairs of bands), again and again while it is too large.
 
 Equal sets are one node. A pair of sets at the threshold is missed with
-probability (1 - threshold ** rows) ** bands, about 2e-6 by default, and less
+probability (1 - threshold ** rows) ** bands, about 5e-6 by default, and less
 above it.
 
 Defined results: a text that is null or without words has the empty set and
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -157,6 +159,25 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) -> Data
     return near.select("u", "v", "su", "sv").mapInArrow(agree, "u long, v long")
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, bits: int = 22) -> DataFrame:
+    """(node, text) of the wanted nodes. Documents that cannot be wanted are dropped before the shuffle,
+    by a bitmap of 2^bits hash classes of ids (its size does not depend on the data)."""
+    classes = ids.select(F.xxhash64("node").bitwiseAND(F.lit((1 << bits) - 1)).alias("c"))
+    words_ = classes.groupBy(F.shiftright("c", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias("w"))
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    for r in words_.collect():
+        bitmap[r["at"]] = r["w"]
+
+    @F.pandas_udf("boolean")
+    def maybe(c: pd.Series) -> pd.Series:
+        c = c.to_numpy()
+        return pd.Series((bitmap[c >> 6] >> (c & 63)) & 1 == 1)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("node is not null")
+    some = rows.filter(maybe(F.xxhash64("node").bitwiseAND(F.lit((1 << bits) - 1))))
+    return some.join(ids.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+
+
 def _confirm(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets reach the threshold. ``texts``: node, text."""
 
@@ -177,57 +198,110 @@ def _confirm(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int,
     return stage(spark, both.select("u", "v", "tu", "tv").mapInArrow(check, "u long, v long"), "near-links")
 
 
-def _pairs_between(members: DataFrame, parts: int, least: int, percent: int, block: int = 512) -> DataFrame:
-    """Within each band, the pairs of different components whose signatures and sizes allow the threshold.
-
-    ``members``: key, node, component, n_shingles, sig.
-    """
-
-    def compare(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node = np.array([g[0] for g in group], np.int64)
-        comp = np.unique([g[1] for g in group], return_inverse=True)[1]
-        n = np.array([g[2] for g in group], np.int64)
-        sig = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1)
-        few = np.flatnonzero(comp != np.bincount(comp).argmax())  # every pair has an end outside the largest component
+class _Group:
+    """The sets of one band that lie in several components, and the pairs among them to compare here."""
+
+    def __init__(self, rows: list[dict], least: int, percent: int):
+        self.rows, self.least, self.percent = rows, least, percent
+        self.node = np.array([r["node"] for r in rows], np.int64)
+        self.component = np.unique([r["component"] for r in rows], return_inverse=True)[1]
+        self.size = np.array([r["n_shingles"] for r in rows], np.int64)
+        self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.bands = np.array([r["bands"] for r in rows], np.int64)
+        self.path = np.array(rows[0]["path"])
+
+    def pairs(self, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of different components whose signatures and sizes allow the threshold, each only in
+        the band, or run of bands, that they share first."""
+        few = np.flatnonzero(self.component != np.bincount(self.component).argmax())  # every pair has an end outside the largest
+        outside = np.zeros(len(self.rows), bool)
+        outside[few] = True
         for at in range(0, len(few), 64):
             i = few[at:at + 64]
-            for lo in range(0, len(node), block):
-                j = np.arange(lo, min(lo + block, len(node)))
-                ok = comp[i][:, None] != comp[j][None, :]
-                ok &= 100 * np.minimum(n[i][:, None], n[j][None, :]) >= percent * np.maximum(n[i][:, None], n[j][None, :])
+            for lo in range(0, len(self.rows), block):
+                j = np.arange(lo, min(lo + block, len(self.rows)))
+                ok = self.component[i][:, None] != self.component[j][None, :]
+                ok &= (i[:, None] < j[None, :]) | ~outside[j][None, :]
+                n, m = self.size[i][:, None], self.size[j][None, :]
+                ok &= 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
                 x, y = np.nonzero(ok)
-                for k in range(0, len(x), 1 << 14):
-                    a, b = i[x[k:k + (1 << 14)]], j[y[k:k + (1 << 14)]]
-                    same = (sig[a] == sig[b]).sum(axis=1) >= least
-                    yield np.maximum(node[a[same]], node[b[same]]), np.minimum(node[a[same]], node[b[same]])
-
-    def out(found: list) -> pa.RecordBatch:
-        u, v = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 2
-        uv = np.unique(np.stack([u, v], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], ["u", "v"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, group, found, n = None, [], [], 0
-        for b in batches:
-            for key, *row in zip(*(b.column(c).to_pylist() for c in ("key", "node", "component", "n_shingles", "sig"))):
-                if key != last:
-                    for f in compare(group) if group else ():
-                        found.append(f)
-                        n += len(f[0])
-                    group, last = [], key
-                    if n > 1 << 18:
-                        yield out(found)
-                        found, n = [], 0
-                group.append(row)
-        found.extend(compare(group) if group else ())
-        yield out(found)
-
-    return members.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(pairs, "u long, v long").distinct()
+                for k in range(0, len(x), 1 << 13):
+                    a, b = i[x[k:k + (1 << 13)]], j[y[k:k + (1 << 13)]]
+                    near = (self.sig[a] == self.sig[b]).sum(axis=1) >= self.least
+                    a, b = a[near], b[near]
+                    shared = self.bands[a] == self.bands[b]
+                    rank = np.cumsum(shared, axis=1)
+                    own = np.ones(len(a), bool)
+                    for depth, band in enumerate(self.path, 1):
+                        own &= shared[:, band] & (rank[:, band] == depth)
+                    if own.any():
+                        yield a[own], b[own]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of each key, of batches sorted by key."""
+    key, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r["key"] != key and rows:
+                yield rows
+                rows = []
+            key = r["key"]
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _to_compare(members: DataFrame, parts: int, least: int, percent: int) -> DataFrame:
+    """(key, node) of the members that are an end of a pair to compare."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            ends = np.zeros(len(rows), bool)
+            for a, b in _Group(rows, least, percent).pairs() if len(rows) > 1 else ():
+                ends[a] = ends[b] = True
+            at = np.flatnonzero(ends).tolist()
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0]["key"]] * len(at), pa.int64()),
+                                                  pa.array([rows[k]["node"] for k in at], pa.int64())], ["key", "node"])
+
+    return members.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(find, "key long, node long")
+
+
+def _compare(members: DataFrame, parts: int, least: int, percent: int, size: int) -> DataFrame:
+    """Links (u, v) among members that carry their text."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            sets: dict[int, np.ndarray] = {}
+            parent = list(range(len(rows)))
+
+            def root(k: int) -> int:
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            links = []
+            for a, b in _Group(rows, least, percent).pairs() if len(rows) > 1 else ():
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if root(x) == root(y):  # already linked through others
+                        continue
+                    for k in (x, y):
+                        if k not in sets:
+                            sets[k] = shingle_set(rows[k]["text"], size)
+                    if jaccard_at_least(sets[x], sets[y], percent):
+                        parent[root(x)] = root(y)
+                        links.append((rows[x]["node"], rows[y]["node"]))
+            if links:
+                u, v = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return members.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(check, "u long, v long")
 
 
 def _mixed_bands(members: DataFrame, band_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Split ``members`` (key, last, node, component) into bands with several components that fit a task, and
-    those that do not. "Several" is judged by the least and greatest component, so it needs one small aggregate."""
+    """``members`` (key, path, node, component) of bands with several components: those that fit a task, and those that do not."""
     size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     mixed = size.filter("c0 <> c1").select("key", (F.col("n") > band_limit).alias("large"))
     rows = members.join(mixed, "key")
@@ -235,7 +309,7 @@ def _mixed_bands(members: DataFrame, band_limit: int) -> tuple[DataFrame, DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
-                    percent: int = 80, bands: int = 44, rows: int = 6, margin: float = 5.0, band_limit: int = 20_000) -> DataFrame:
+                    percent: int = 80, bands: int = 40, rows: int = 6, margin: float = 5.0, band_limit: int = 5_000) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links), kept (it is that id) of each row of ``docs``."""
     signed = stage(spark, signatures(docs, id_col, text_col, shingle_words, bands, rows), "minhash")
     filled = signed.filter("n_shingles > 0")
@@ -244,36 +318,38 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     nodes = stage(spark, nodes, "minhash-nodes")
 
     # bands that several sets share
-    banded = nodes.select("node", F.posexplode("bands").alias("last", "key"))
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = stage(spark, banded.join(shared, "key").select("key", "last", "node", "least"), "minhash-bands")
-    small = nodes.select("node", "n_shingles", "sig").join(members.select("node").distinct(), "node")
-    small = stage(spark, small, "minhash-candidates")
-    ids = small.select("node")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(ids, "node", "left_semi")
-    texts = stage(spark, texts.dropDuplicates(["node"]), "minhash-texts")
+    members = stage(spark, banded.join(shared, "key").select("key", "band", "node", "least"), "minhash-bands")
 
+    # step 1: every set with the least set of each of its bands
     least = least_agreement(bands * rows, percent, margin)
+    narrow = nodes.select("node", "n_shingles", "sig")
     stars = members.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    links = _confirm(spark, _alike(stars, small, least, percent), texts, shingle_words, percent)
+    stars = stage(spark, _alike(stars, narrow, least, percent), "minhash-stars")
+    ends = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
+    links = _confirm(spark, stars, stage(spark, _texts_of(ends, docs, id_col, text_col), "minhash-texts"), shingle_words, percent)
     parts = stage(spark, connected_components(spark, links), "minhash-components")
 
-    # what is left: sets of one band in different components
+    # step 2: sets of one band that are left in different components
     left = (members.join(parts, "node", "left")
-            .select("key", "last", "node", F.coalesce("component", "node").alias("component")))
-    fit, large = _mixed_bands(left, band_limit)
-    work = fit
-    for _ in range(3):
+            .select("key", F.array("band").alias("path"), "node", F.coalesce("component", "node").alias("component")))
+    work, large = _mixed_bands(left, band_limit)
+    for depth in range(1, 4):
         if large.isEmpty():
             break
         deeper = (large.join(nodes.select("node", "bands"), "node")
-                  .select("key", "last", "node", "component", F.posexplode("bands").alias("next", "other")).filter("next > last")
-                  .select(F.xxhash64("key", "other").alias("key"), F.col("next").alias("last"), "node", "component"))
-        fit, large = _mixed_bands(stage(spark, deeper, "minhash-split"), band_limit)
+                  .select("key", "path", "node", "component", F.posexplode("bands").alias("next", "other")).filter(F.col("next") > F.element_at("path", -1))
+                  .select(F.xxhash64("key", "other").alias("key"), F.concat("path", F.array("next")).alias("path"), "node", "component"))
+        fit, large = _mixed_bands(stage(spark, deeper, "minhash-split"), band_limit if depth < 3 else 1 << 62)
         work = work.unionByName(fit)
-    work = work.join(small, "node").select("key", "node", "component", "n_shingles", "sig")
-    more = _confirm(spark, _pairs_between(work, spread(spark), least, percent), texts, shingle_words, percent)
-    parts = connected_components(spark, links.unionByName(more))
+    work = stage(spark, work, "minhash-mixed")
+    full = work.join(nodes.select("node", "n_shingles", "sig", "bands"), "node")
+    wanted = stage(spark, _to_compare(full, spread(spark), least, percent), "minhash-ends")
+    texts = _texts_of(wanted.select("node").distinct(), docs, id_col, text_col)
+    held = full.join(wanted, ["key", "node"], "left_semi").join(texts, "node")
+    more = stage(spark, _compare(held, spread(spark), least, percent, shingle_words), "minhash-more")
+    parts = connected_components(spark, links.unionByName(more)) if not more.isEmpty() else parts
 
     of_set = nodes.select("a", "b", "node").join(parts, "node", "left").select("a", "b", F.coalesce("component", "node").alias("_c"))
     joined = signed.select("doc_id", "n_shingles", "a", "b").join(of_set, ["a", "b"], "left")
