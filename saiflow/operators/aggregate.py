@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import to_yyyymmdd
@@ -47,8 +47,8 @@ def author_histogram(counts: DataFrame, value_col: str = "n_posts", bins: int =
     width = F.when(equal, F.lit(1.0)).otherwise((hi - lo).cast("double"))
     return (grid.join(per_bin.drop("_s"), "bin", "left")
             .select("bin",
-                    F.round(lo_d + F.col("bin") * width / bins, 6).alias("left_edge"),
-                    F.round(lo_d + (F.col("bin") + 1) * width / bins, 6).alias("right_edge"),
+                    (lo_d + F.col("bin") * width / bins).alias("left_edge"),
+                    (lo_d + (F.col("bin") + 1) * width / bins).alias("right_edge"),
                     F.coalesce("n_authors", F.lit(0)).cast("long").alias("n_authors")))
 
 
@@ -70,20 +70,22 @@ def format_trade_date(df: DataFrame, date_col: str = "trade_date", out_col: str
     return df.withColumn(out_col, to_yyyymmdd(date_col))
 
 
-def viewpoints_by_day(views: DataFrame, start: str, chunk: int = 4096,
-                      dt_col: str = "dt", text_col: str = "viewpoint", ord_col: str = "ord") -> DataFrame:
-    """Opinions of each day since ``start`` as ordered lists.
+def viewpoints_by_day(views: DataFrame, start: str, dt_col: str = "dt", text_col: str = "viewpoint",
+                      ord_col: str = "ord", salts: int = 64) -> DataFrame:
+    """The opinions of each day since ``start``, one row each: (dt,
+    pos, viewpoint) with ``pos`` from 0 in ``ord`` order, NULL opinions included.
 
-    One day can hold any number of opinions, so a day's list is cut at fixed
-    ``ord`` boundaries into parts of at most ``chunk`` rows (``ord`` is
-    unique); parts are ordered by ``part`` and, inside, by ``ord``. Joining the
-    parts of a day in ``part`` order gives the day's full list. No group is
-    unbounded.
+    A day can hold any number of opinions, so it is numbered in parts: ``ord``
+    is cut into ``salts`` equal ranges, rows are numbered within (day, range),
+    and the rows of lower ranges are added. No group is a list or one task's work.
     """
-    d = F.col(dt_col)
+    d, o = F.col(dt_col), F.col(ord_col)
     v = views.where(d.isNotNull() & (d >= F.lit(start)))
-    parts = v.groupBy(dt_col, F.floor(F.col(ord_col) / chunk).alias("part")).agg(
-        F.count(F.lit(1)).alias("n_views"),
-        F.array_sort(F.collect_list(F.struct(F.col(ord_col).alias("o"), F.col(text_col).alias("t")))).alias("_l"))
-    return parts.select(dt_col, "part", "n_views",
-                        F.array_join(F.transform("_l", lambda x: x["t"]), "␞").alias("viewpoints"))
+    span = v.agg(F.struct(F.min(o).alias("lo"), F.max(o).alias("hi")).alias("s")).scalar()
+    width = F.greatest(F.ceil((F.col("_s.hi") - F.col("_s.lo") + 1) / salts), F.lit(1))
+    cut = v.withColumn("_s", span).withColumn("_part", F.floor((o - F.col("_s.lo")) / width)).drop("_s")
+    before = cut.groupBy(dt_col, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select(dt_col, "_part", (F.sum("_n").over(Window.partitionBy(dt_col).orderBy("_part")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(dt_col, "_part").orderBy(ord_col)) - 1
+    return cut.withColumn("_own", own).join(before, [dt_col, "_part"]).select(
+        dt_col, (F.col("_own") + F.col("_before")).alias("pos"), F.col(text_col).alias("viewpoint"))

@@ -198,7 +198,7 @@ def filter_name_overlap(posts: DataFrame, grams: DataFrame, n: int = K.NAME_OVER
     """
     t = F.col(title_col)
     keyed = posts.withColumn("_h1", F.xxhash64(t)).withColumn("_h2", F.xxhash64(F.lit("saiflow-fp"), t))
-    hits = (title_grams(keyed.select("_h1", "_h2", t.alias("_t")), n, ["_h1", "_h2"], "_t")
+    hits = (keyed.select("_h1", "_h2", F.explode(F.array_distinct(ngrams(t, n))).alias("gram"))
             .join(grams.select("gram"), "gram", "left_semi")
             .select("_h1", "_h2").distinct())
     return keyed.join(hits, ["_h1", "_h2"], "left_anti").drop("_h1", "_h2")

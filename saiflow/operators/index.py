@@ -59,25 +59,38 @@ def _step(period: str):
 
 
 def sector_attention(posts: DataFrame, constituents: DataFrame, period: str = "day",
-                     date_col: str = "trade_date", zero_fill: bool = True) -> DataFrame:
+                     date_col: str = "trade_date", zero_fill: bool = True, calendar: DataFrame | None = None) -> DataFrame:
     """SAI = posts about a sector's constituent stocks per period.
 
-    Posts are joined to constituents on the stock code (a stock in two sectors
-    counts for both); counts are a two-phase aggregate on (sector, period).
+    Posts are counted by (code, period) before they meet the constituents, so
+    a hot stock is one row for each period and not one for each post; a stock in two
+    sectors counts for both. Pass the representative stocks
+    (``top_stocks_per_sector``) as ``constituents`` for the index as stated.
     With ``zero_fill`` every sector gets every period between the first and
-    last period of the posts; the grid is generated per sector by
-    ``explode(sequence(...))``, not by a join.
+    last one of the posts. By day that needs the trading ``calendar``: days
+    off it have no row, and posts on them are left out.
     """
-    p = posts.select("code", _period(date_col, period).alias("period"))
+    p = posts.select("code", _period(date_col, period).alias("period")).groupBy("code", "period").agg(F.count(F.lit(1)).alias("n"))
     cons = constituents.select("bk_code", "code").distinct()
-    counts = p.join(cons, "code").groupBy("bk_code", "period").agg(F.count(F.lit(1)).alias("n_posts"))
+    counts = p.join(cons, "code").groupBy("bk_code", "period").agg(F.sum("n").alias("n_posts"))
+    if calendar is not None:
+        days = calendar.select(F.col("trade_date").cast("date").alias("period")).distinct()
+        counts = counts.join(F.broadcast(days), "period", "left_semi")
     if not zero_fill:
-        return counts
+        return counts.select("bk_code", "period", "n_posts")
+    if period == "day" and calendar is None:
+        raise ValueError("a daily index with zeros needs the trading calendar")
     # first/last period: one scalar subquery, bound to a column once so it is
     # evaluated once (each textual use of a scalar would be its own scan)
     rng = p.agg(F.struct(F.min("period").alias("lo"), F.max("period").alias("hi")).alias("s")).scalar()
-    grid = cons.select("bk_code").distinct().withColumn("_r", rng).select(
-        "bk_code", F.explode(F.sequence(F.col("_r.lo"), F.col("_r.hi"), F.expr(_step(period)))).alias("period"))
+    sectors = cons.select("bk_code").distinct().withColumn("_r", rng)
+    if calendar is None:
+        each = F.sequence(F.col("_r.lo"), F.col("_r.hi"), F.expr(_step(period)))
+    else:  # a calendar is one row a day: its days are one bounded list
+        listed = days.agg(F.array_sort(F.collect_list("period"))).scalar()
+        sectors = sectors.withColumn("_d", listed)
+        each = F.filter("_d", lambda x: (x >= F.col("_r.lo")) & (x <= F.col("_r.hi")))
+    grid = sectors.select("bk_code", F.explode(each).alias("period"))
     return grid.join(counts, ["bk_code", "period"], "left") \
                .select("bk_code", "period", F.coalesce("n_posts", F.lit(0)).cast("long").alias("n_posts"))
 
@@ -91,7 +104,7 @@ def abnormal_attention(sai: DataFrame, k: int = 5, key_col: str = "bk_code") ->
     w = Window.partitionBy(key_col).orderBy("period").rowsBetween(-k, -1)
     med = F.percentile(F.col("n_posts"), F.lit(0.5)).over(w)
     return sai.select(key_col, "period", "n_posts",
-                      F.round(F.log1p("n_posts") - F.log1p(med), 6).alias("abnormal"))
+                      (F.log1p("n_posts") - F.log1p(med)).alias("abnormal"))
 
 
 def sentiment_attention(labelled: DataFrame, key_col: str = "code", day_col: str = "day") -> DataFrame:
@@ -100,7 +113,20 @@ def sentiment_attention(labelled: DataFrame, key_col: str = "code", day_col: str
         F.count(F.lit(1)).alias("n_posts"),
         F.count_if(F.col("label") == "put").alias("n_put"),
         F.count_if(F.col("label") == "call").alias("n_call"))
-    return agg.withColumn("bullish", F.round(F.log((F.col("n_call") + 1) / (F.col("n_put") + 1)), 6))
+    return agg.withColumn("bullish", _bullish())
+
+
+def _bullish():
+    return F.log((F.col("n_call") + 1) / (F.col("n_put") + 1))
+
+
+def sector_sentiment(labelled: DataFrame, constituents: DataFrame, day_col: str = "day") -> DataFrame:
+    """X4 per sector: put and call counts of the sector's stocks by day.
+    Posts are counted by stock and day before they meet the constituents."""
+    by_code = sentiment_attention(labelled, "code", day_col).drop("bullish")
+    j = by_code.join(constituents.select("bk_code", "code").distinct(), "code")
+    agg = j.groupBy("bk_code", day_col).agg(*(F.sum(c).alias(c) for c in ("n_posts", "n_put", "n_call")))
+    return agg.withColumn("bullish", _bullish())
 
 
 def top_stocks_per_sector(stock_amounts: DataFrame, k: int, key_col: str = "bk_code") -> DataFrame:
@@ -120,31 +146,32 @@ def sector_returns(px: DataFrame, key_col: str = "bk_code", period_col: str = "p
     """Simple return close/previous close - 1 and ln(amount) per sector and period."""
     w = Window.partitionBy(key_col).orderBy(period_col)
     return px.select(key_col, period_col, "close", "amount",
-                     F.round(F.col("close") / F.lag("close").over(w) - 1, 9).alias("ret"),
-                     F.round(F.log("amount"), 9).alias("log_amount"))
+                     (F.col("close") / F.lag("close").over(w) - 1).alias("ret"),
+                     F.log("amount").alias("log_amount"))
 
 
-def attention_regression(sai: DataFrame, returns: DataFrame, key_col: str = "bk_code") -> DataFrame:
-    """Per sector, OLS of the return on the previous period's SAI
-    (slope, intercept, R², n) — built-in ``regr_*`` aggregates."""
+def attention_panel(sai: DataFrame, returns: DataFrame, key_col: str = "bk_code") -> DataFrame:
+    """X6 input: return, ln(amount), SAI and the previous period's SAI per sector and period."""
     w = Window.partitionBy(key_col).orderBy("period")
-    s = sai.select(key_col, "period", "n_posts", F.lag("n_posts").over(w).alias("sai_lag"))
-    j = s.join(returns.select(key_col, "period", "ret"), [key_col, "period"])
-    y, x = F.col("ret"), F.col("sai_lag").cast("double")
-    return j.groupBy(key_col).agg(
-        F.round(F.regr_slope(y, x), 6).alias("slope"),
-        F.round(F.regr_intercept(y, x), 6).alias("intercept"),
-        F.round(F.regr_r2(y, x), 6).alias("r2"),
-        F.regr_count(y, x).alias("n_obs"))
+    s = sai.select(key_col, "period", F.col("n_posts").cast("double").alias("sai"),
+                   F.lag("n_posts").over(w).cast("double").alias("sai_lag"))
+    return s.join(returns.select(key_col, "period", "ret", "log_amount"), [key_col, "period"])
+
+
+def attention_regression(sai: DataFrame, returns: DataFrame, key_col: str = "bk_code", y: str = "ret") -> DataFrame:
+    """Per sector, OLS of ``y`` (the return ``ret`` or the trading amount
+    ``log_amount``) on the previous period's SAI
+    (slope, intercept, R², n) — built-in ``regr_*`` aggregates."""
+    x = F.col("sai_lag")
+    return attention_panel(sai, returns, key_col).groupBy(key_col).agg(
+        F.regr_slope(F.col(y), x).alias("slope"), F.regr_intercept(F.col(y), x).alias("intercept"),
+        F.regr_r2(F.col(y), x).alias("r2"), F.regr_count(F.col(y), x).alias("n_obs"))
 
 
 def attention_correlation(sai: DataFrame, returns: DataFrame, key_col: str = "bk_code") -> DataFrame:
     """Per sector, correlation of SAI with the return and with ln(amount)."""
-    j = sai.join(returns.select(key_col, "period", "ret", "log_amount"), [key_col, "period"])
-    n = F.col("n_posts").cast("double")
-    return j.groupBy(key_col).agg(
-        F.round(F.corr("ret", n), 6).alias("corr_ret"),
-        F.round(F.corr("log_amount", n), 6).alias("corr_amount"),
+    return attention_panel(sai, returns, key_col).groupBy(key_col).agg(
+        F.corr("ret", "sai").alias("corr_ret"), F.corr("log_amount", "sai").alias("corr_amount"),
         F.count(F.lit(1)).alias("n_obs"))
 
 

@@ -66,43 +66,6 @@ def lexicon_term_counts(posts: DataFrame, bearish: Sequence[str] = K.BEARISH_TER
     return sums.select(F.inline(rows))
 
 
-# ---- model scoring (N4) ------------------------------------------------------
-
-def train_sentiment_model(train: DataFrame, text_col: str = "text", label_col: str = "label",
-                          num_features: int = 1 << 18, smoothing: float = 1.0):
-    """Tokens -> hashed term counts -> multinomial naive Bayes.
-
-    A stand-in for the pre-trained sentence classifier, trained on labelled
-    posts. Naive Bayes fits in ONE aggregation pass over the data (per-class
-    term sums, combined map-side), so training cost is one scan however large
-    the labelled set; scoring is a per-row projection. The label column holds
-    0/1 (negative/positive).
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import HashingTF, RegexTokenizer
-
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[\p{L}\p{N}]+", gaps=False)
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    nb = NaiveBayes(featuresCol="_tf", labelCol=label_col, modelType="multinomial", smoothing=smoothing)
-    return Pipeline(stages=[tok, tf, nb]).fit(train.where(F.col(text_col).isNotNull()))
-
-
-def score_sentiment(model, posts: DataFrame, text_col: str = "text") -> DataFrame:
-    """sentiment_label, sentiment_key, positive_probs, negative_probs, text."""
-    from pyspark.ml.functions import vector_to_array
-
-    scored = model.transform(posts.where(F.col(text_col).isNotNull()))
-    p = vector_to_array("probability")
-    return scored.select(
-        F.col("prediction").cast("int").alias("sentiment_label"),
-        F.when(F.col("prediction") >= 1, F.lit("positive")).otherwise(F.lit("negative")).alias("sentiment_key"),
-        F.round(p[1], 4).alias("positive_probs"),
-        F.round(p[0], 4).alias("negative_probs"),
-        F.col(text_col).alias("text"),
-    )
-
-
 # ---- naive Bayes as DataFrame operations (N4, exact vocabulary) -------------
 
 _TOKEN_RE = r"[\p{L}\p{N}]+"
@@ -111,55 +74,42 @@ _TOKEN_RE = r"[\p{L}\p{N}]+"
 def fit_token_bayes(train: DataFrame, text_col: str = "text", label_col: str = "label",
                     smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Multinomial naive Bayes over the exact tokens of labelled posts
-    (labels 0/1), as plain aggregates. Returns ``(priors(c, n_c),
-    log_probs(w, c, lp))`` with lp = ln((n(w,c) + a) / (n(c) + a*V)) for every
-    vocabulary word and class; nothing is collected.
+    (labels 0/1), as plain aggregates. Returns ``(prior(d), words(w, d))``: one
+    row with ln P(0) - ln P(1), and for every vocabulary word ln P(w|0) -
+    ln P(w|1), where P(w|c) = (n(w,c) + a) / (n(c) + a*V). Nothing is collected.
     """
-    docs = train.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()) \
+    docs = train.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)) \
                 .select(F.col(label_col).cast("int").alias("c"), F.col(text_col).alias("t"))
-    priors = docs.groupBy("c").agg(F.count(F.lit(1)).alias("n_c"))
-    n_wc = (docs.select("c", F.explode(F.regexp_extract_all("t", F.lit(_TOKEN_RE), 0)).alias("w"))
-                .groupBy("w", "c").agg(F.count(F.lit(1)).alias("n_wc")))
-    per_class = n_wc.groupBy("c").agg(F.sum("n_wc").alias("n_words"))
-    vocab = n_wc.select("w").distinct()
-    v = vocab.agg(F.count(F.lit(1))).scalar()                  # vocabulary size
-    # class tables hold one row per class (binary labels): broadcast them, a
-    # shuffle keyed on two class values would funnel everything into two tasks
-    grid = vocab.select("w", F.explode(F.array(F.lit(0), F.lit(1))).alias("c")) \
-                .join(F.broadcast(priors.select("c")), "c", "left_semi")
-    log_probs = (grid.join(n_wc, ["w", "c"], "left").join(F.broadcast(per_class), "c").withColumn("_v", v)
-                 .select("w", "c", F.log((F.coalesce("n_wc", F.lit(0)).cast("double") + smoothing)
-                                         / (F.col("n_words").cast("double") + smoothing * F.col("_v").cast("double")))
-                         .alias("lp")))
-    return priors, log_probs
-
-
-def score_token_bayes(priors: DataFrame, log_probs: DataFrame, posts: DataFrame, key_col: str,
+    n0, n1 = F.count_if(F.col("c") == 0), F.count_if(F.col("c") == 1)
+    prior = docs.agg((F.log(n0) - F.log(n1)).alias("d"))
+    counts = (docs.select("c", F.explode(F.regexp_extract_all("t", F.lit(_TOKEN_RE), 0)).alias("w"))
+                  .groupBy("w").agg(n0.alias("n0"), n1.alias("n1")))
+    total = counts.agg(F.struct(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("v")).alias("s")).scalar()
+
+    def log_p(c: str) -> Column:
+        return F.log((F.col(c) + smoothing) / (F.col(f"_s.{c}") + smoothing * F.col("_s.v")))
+
+    return prior, counts.withColumn("_s", total).select("w", (log_p("n0") - log_p("n1")).alias("d"))
+
+
+def score_token_bayes(prior: DataFrame, words: DataFrame, posts: DataFrame, key_col: str,
                       text_col: str = "text") -> DataFrame:
     """Score posts with a model from ``fit_token_bayes``:
     sentiment_label, sentiment_key, positive_probs, negative_probs, text.
 
-    Per post and class: ln prior + sum over tokens of tf * lp (words outside
-    the vocabulary are ignored); P(positive) is the logistic of the score
-    difference, written so that it never overflows.
+    Per post one sum over its tokens of the words' differences (words outside
+    the vocabulary are ignored), plus the prior's; P(positive) is the logistic
+    of that, written so that it never overflows.
     """
     posts = posts.where(F.col(text_col).isNotNull())
-    total = priors.agg(F.sum("n_c")).scalar()
-    lprior = priors.withColumn("_n", total).select("c", F.log(F.col("n_c") / F.col("_n")).alias("lpc"))
-    tf = (posts.select(key_col, F.explode(F.regexp_extract_all(text_col, F.lit(_TOKEN_RE), 0)).alias("w"))
-               .groupBy(key_col, "w").agg(F.count(F.lit(1)).alias("tf")))
-    ll = tf.join(log_probs, "w").groupBy(key_col, "c").agg(F.sum(F.col("tf") * F.col("lp")).alias("ll"))
-    grid = posts.select(key_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("c")).join(F.broadcast(lprior), "c")
-    sc = grid.join(ll, [key_col, "c"], "left").select(key_col, "c", (F.col("lpc") + F.coalesce("ll", F.lit(0.0))).alias("sc"))
-    pv = sc.groupBy(key_col).agg(F.max(F.when(F.col("c") == 0, F.col("sc"))).alias("s0"),
-                                 F.max(F.when(F.col("c") == 1, F.col("sc"))).alias("s1"))
-    d = F.col("s0") - F.col("s1")
+    tokens = posts.select(key_col, F.explode(F.regexp_extract_all(text_col, F.lit(_TOKEN_RE), 0)).alias("w"))
+    sums = tokens.join(words, "w").groupBy(key_col).agg(F.sum("d").alias("_d"))
+    scored = posts.select(key_col, text_col).join(sums, key_col, "left").withColumn("_p0", prior.scalar())
+    d = F.col("_p0") + F.coalesce("_d", F.lit(0.0))
     p1 = F.when(d >= 0, F.exp(-d) / (1 + F.exp(-d))).otherwise(1 / (1 + F.exp(d)))
-    out = pv.select(key_col, p1.alias("_p")).join(posts.select(key_col, text_col), key_col)
     pos = F.col("_p") > 0.5
-    return out.select(
+    return scored.withColumn("_p", p1).select(
         F.when(pos, 1).otherwise(0).alias("sentiment_label"),
         F.when(pos, F.lit("positive")).otherwise(F.lit("negative")).alias("sentiment_key"),
-        F.round("_p", 4).alias("positive_probs"),
-        F.round(1 - F.col("_p"), 4).alias("negative_probs"),
+        F.col("_p").alias("positive_probs"), (1 - F.col("_p")).alias("negative_probs"),
         F.col(text_col).alias("text"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import scratch_path
+from ..session import drop_scratch, ensure_checkpoint_dir, path_exists, scratch_path
 from ..sources.sinks import append_by_name, overwrite_partitions
 from .clean import session_hours
 
@@ -107,32 +107,42 @@ def incremental_backfill(new: DataFrame, stored: DataFrame, year: int,
                          keys: list[str] | None = None, order_col: str | None = None) -> DataFrame:
     """The batch form of the nightly backfill.
 
-    Per code, only days after the stored high-water day are taken, within
-    ``year``, and only posts strictly inside the trading session; the rows are
-    deduplicated and anti-joined with the stored keys (idempotent).
-    Codes with nothing stored take the whole year.
+    Posts of ``year`` strictly inside the trading session that are not stored
+    yet, whatever their day: a post that arrives late, or on a day that is
+    partly stored, is taken too. The anti join reads the stored rows of the
+    batch's time range only (a runtime filter), and is idempotent.
     """
     keys = keys or schemas.POST_KEYS
-    hwm = stored.groupBy("code").agg(F.max(F.to_date("dtime")).alias("_hwm"))
-    cand = (new.where((F.year("dtime") == F.lit(year)) & session_hours("dtime"))
-               .join(hwm, "code", "left")
-               .where(F.col("_hwm").isNull() | (F.to_date("dtime") > F.col("_hwm")))
-               .drop("_hwm"))
-    return insert_if_absent(cand, stored, keys, order_col)
+    cand = new.where((F.year("dtime") == F.lit(year)) & session_hours("dtime"))
+    span = cand.agg(F.struct(F.min("dtime").alias("lo"), F.max("dtime").alias("hi")).alias("r")).scalar()
+    near = stored.withColumn("_r", span).where(F.col("dtime").between(F.col("_r.lo"), F.col("_r.hi"))).drop("_r")
+    return insert_if_absent(cand, near, keys, order_col)
 
 
-def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
+def upsert(stored: DataFrame, new: DataFrame, keys: list[str], order_col: str) -> DataFrame:
     """L2: the table after loading ``new`` — stored rows whose key is not in
-    the batch, plus the batch (the batch wins on conflicts; within the batch
-    the last row by ``order_col`` wins). Batch rows with a null key are not
-    loadable and are left out."""
-    if order_col is not None:
-        others = [c for c in new.columns if c not in keys]
-        new = (new.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order_col)).alias("_r"))
-                  .select(*keys, "_r.*").select(*new.columns).drop(order_col))
-    new = _non_null_keys(new, keys)          # key columns are NOT NULL in the table
-    kept = stored.join(new.select(*keys), keys, "left_anti")
-    return kept.unionByName(new.select(*stored.columns))
+    the batch, plus the batch (the batch wins on conflicts).
+
+    Within the batch the row with the greatest ``order_col`` wins, and among
+    equal ones the greatest row. Rows with a null key are not loadable and are
+    left out; the batch is cast to the stored columns (see ``align``).
+    """
+    batch = _non_null_keys(new, keys)
+    rest = [c for c in new.columns if c not in keys and c != order_col]
+    one = batch.groupBy(*keys).agg(F.max(F.struct(F.col(order_col).alias("_o"), *rest)).alias("_r"))
+    one = one.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest),
+                     *([F.col("_r._o").alias(order_col)] if order_col in stored.columns and order_col not in keys else []))
+    kept = stored.join(one.select(*keys), keys, "left_anti")
+    return kept.unionByName(align(one, stored))
+
+
+def align(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` with the columns, order and types of ``like``: columns that it
+    lacks are NULL; a column that ``like`` lacks is an error, not a loss."""
+    extra = [c for c in df.columns if c not in like.columns]
+    if extra:
+        raise ValueError(f"columns {extra} are not in the stored table")
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema])
 
 
 # ---- writers -----------------------------------------------------------------
@@ -153,73 +163,92 @@ def stored_days(stored: DataFrame, batch: DataFrame, partition_col: str = "day")
     return in_range.join(F.broadcast(batch.select(partition_col).distinct()), partition_col, "left_semi")
 
 
-def load_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None,
-               partition_col: str = "day") -> int:
-    """Append the not-yet-stored posts of ``new`` to the parquet table at ``path``.
-
-    The table is partitioned by post day (``partition_col``). The day is part
-    of the anti-join keys, so dynamic partition pruning restricts the scan of
-    the stored table to the days present in the batch: a nightly load reads
-    a few partitions, not the whole history.
+def append_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None, partition_col: str = "day") -> DataFrame:
+    """Append the not-yet-stored posts of ``new`` to the parquet table at ``path``, and return them.
 
-    The delta is materialised once with a reliable ``checkpoint()`` (in the
-    shared checkpoint folder): it is counted and written from there, so the
-    anti join runs once and a lost executor does not recompute it from the
-    source. Returns the number of rows appended.
+    The table is partitioned by post day (``partition_col``), which is one of
+    the anti-join keys, so only the batch's days of the stored table are read.
+    The batch is written to the shared folder once, since its days are looked
+    at before it is joined, and so is the delta, which is read back to be appended.
     """
-    batch = new.withColumn(partition_col, F.to_date("dtime"))
     keys = [partition_col] + schemas.POST_KEYS
-    try:
+    batch = new.withColumn(partition_col, F.to_date("dtime")).checkpoint(eager=True)
+    if path_exists(spark, path):
         target = stored_days(spark.read.parquet(path).select(*keys), batch, partition_col)
-    except Exception:  # first load: table does not exist yet
+    else:
         target = spark.createDataFrame([], batch.select(*keys).schema)
     rows = insert_if_absent(batch, target, keys=keys, order_col=order_col)
     if order_col is not None:
         rows = rows.drop(order_col)
     rows = rows.checkpoint(eager=True)
-    n = rows.count()
-    if n:
+    if not rows.isEmpty():  # a table without any file could not be read back
         append_by_name(rows, path, partition_by=[partition_col])
-    return n
+    return rows
 
 
-def upsert_bars_to_path(spark: SparkSession, new: DataFrame, path: str, run_id: str) -> None:
+def load_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None,
+               partition_col: str = "day") -> int:
+    """``append_posts``; returns the number of rows appended."""
+    ensure_checkpoint_dir(spark)
+    return append_posts(spark, new, path, order_col, partition_col).count()
+
+
+def upsert_bars_to_path(spark: SparkSession, new: DataFrame, path: str, run_id: str, order_col: str) -> None:
     """L2 writer: bars partitioned by ``year``; only the years present in the
     batch are rewritten. The merged years are staged under the shared
-    checkpoint folder first, since Spark cannot overwrite a path it is reading.
+    checkpoint folder first, since Spark cannot overwrite a path it is
+    reading; the staged copy is removed afterwards.
+
+    A table that is there but cannot be read, or has other columns, is an
+    error: nothing is written then. Rows whose date has no year are left out,
+    like rows with a null key.
     """
     # int, as partition discovery reads it back
-    batch = new.withColumn("year", F.substring("trade_date", 1, 4).cast("int"))
-    try:
-        stored = spark.read.parquet(path)
-        years = batch.select("year").distinct()
-        stored = stored.join(years, "year", "left_semi")
-        merged = upsert(stored, batch, ["bk_code", "trade_date"])
-    except Exception:  # first load
-        merged = batch
+    batch = new.withColumn("year", F.substring("trade_date", 1, 4).try_cast("int")).where(F.col("year").isNotNull())
+    if path_exists(spark, path):
+        stored = spark.read.parquet(path).join(F.broadcast(batch.select("year").distinct()), "year", "left_semi")
+    else:
+        stored = spark.createDataFrame([], batch.drop(order_col).schema)
     stage = scratch_path(spark, f"stage-bars-{run_id}")
-    merged.write.mode("overwrite").partitionBy("year").parquet(stage)
+    upsert(stored, batch, ["year", "bk_code", "trade_date"], order_col).write.mode("overwrite").partitionBy("year").parquet(stage)
     overwrite_partitions(spark.read.parquet(stage), path, ["year"])
+    drop_scratch(spark, stage)
+
+
+def write_rejects(rows: DataFrame, path: str, run_id: str) -> None:
+    """Keep what could not be loaded, by run; a repeated run replaces its own."""
+    overwrite_partitions(rows.withColumn("run_id", F.lit(run_id)), path, ["run_id"])
 
 
 def ingest_pages(spark: SparkSession, pages: DataFrame, target: str, year: int | str = "fetch",
-                 name_grams: DataFrame | None = None) -> int:
+                 name_grams: DataFrame | None = None, rejects: str | None = None, run_id: str = "0") -> int:
     """E1 as one batch job: landed listing pages (``raw_pages``: page_no, code,
     html, fetched_at) -> parsed posts -> cleaned (F2-F5, optional F3) ->
     loaded into the day-partitioned post table if absent. Returns the number
-    of posts appended. Every step runs on the executors.
+    of posts appended. Posts without a readable time, author or code go to the
+    table at ``rejects``, if one is named. Every step runs on the executors.
     """
     from .clean import clean_posts
     from .parse import parse_forum_page
 
-    posts = parse_forum_page(pages, year, keep=["code"]).select(*schemas.POST_KEYS)
-    return load_posts(spark, clean_posts(posts, name_grams=name_grams), target)
+    ensure_checkpoint_dir(spark)
+    posts = parse_forum_page(pages, year, keep=["code"]).checkpoint(eager=True)
+    if rejects is not None:
+        bad = posts.where(F.greatest(*(F.col(c).isNull() for c in schemas.POST_KEYS)))
+        write_rejects(bad.select("code", "time_text", "title", "author"), rejects, run_id)
+    return load_posts(spark, clean_posts(posts.select(*schemas.POST_KEYS), name_grams=name_grams), target)
 
 
-def load_bars(spark: SparkSession, payloads: DataFrame, path: str, run_id: str) -> None:
+def load_bars(spark: SparkSession, payloads: DataFrame, path: str, run_id: str, rejects: str | None = None) -> None:
     """E3 as one batch job: landed quote payloads (bk_code, body) for every
     sector and year -> parsed bars (P4) -> upsert into the year-partitioned
-    bar table (L2). Replaces the per-sector driver loop of the original."""
+    bar table (L2); of repeated days the one later in its payload wins.
+    Rows that cannot be read go to the table at ``rejects``, if one is named.
+    Replaces the per-sector driver loop of the original."""
     from .parse import parse_bars
 
-    upsert_bars_to_path(spark, parse_bars(payloads), path, run_id)
+    ensure_checkpoint_dir(spark)
+    rows = parse_bars(payloads, with_rejects=True).checkpoint(eager=True)
+    if rejects is not None:
+        write_rejects(rows.where("reason is not null").select("bk_code", "pos", "row", "reason"), rejects, run_id)
+    upsert_bars_to_path(spark, rows.where("reason is null").drop("row", "reason"), path, run_id, order_col="pos")

@@ -1,8 +1,8 @@
 """Parsing landed raw data into rows.
 
 Collection (HTTP, browsers) is outside Spark; these jobs start from landed
-page bodies (``raw_pages``/payload tables) and turn them into rows with
-regex extractors and generators, so parsing is spread over all executors.
+page bodies (``raw_pages``/payload tables) and turn them into rows with the
+extractors of ``html`` and generators, so parsing is spread over all executors.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import py_slice
+from . import html
 
-ANCHOR_RE = r'<a href="([^"]*)">([^<]*)</a>'
 BAR_DATA_RE = r'(?s)\{"data":"(.*?)"\}'
 
 
@@ -26,7 +26,7 @@ def sector_type_label(bk_type: str) -> str:
 
 def extract_sector_links(pages: DataFrame, data_date: str, bk_type: str = "thshy",
                          html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """Every anchor of a sector-list page becomes a sector row.
+    """Every anchor of a list page's sector block becomes a sector row.
 
     ``bk_code`` is ``href[-7:-1]``, ``bk_name`` the anchor text; source, type,
     ``use_flag=0`` and ``data_date`` (``yyyyMMdd``, passed in so reruns are
@@ -34,11 +34,8 @@ def extract_sector_links(pages: DataFrame, data_date: str, bk_type: str = "thshy
     """
     label = sector_type_label(bk_type)
     keep = keep or []
-    h = F.col(html_col)
-    z = pages.select(*keep, F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(h, F.lit(ANCHOR_RE), 1).alias("href"),
-        F.regexp_extract_all(h, F.lit(ANCHOR_RE), 2).alias("text"))).alias("pos", "a"))
-    return z.select(
+    anchors = html.column(html.sector_anchors, "array<struct<href:string,text:string>>", html_col)
+    return pages.select(*keep, F.posexplode(anchors).alias("pos", "a")).select(
         *keep, "pos",
         py_slice(F.col("a.href"), -7, -1).alias("bk_code"),
         F.col("a.text").alias("bk_name"),
@@ -49,6 +46,17 @@ def extract_sector_links(pages: DataFrame, data_date: str, bk_type: str = "thshy
     )
 
 
+def extract_constituents(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None, dynamic: bool = True) -> DataFrame:
+    """(code, name) rows of landed constituent pages, in page order.
+
+    ``dynamic`` pages hold triples of anchors in a table body; the others hold
+    pairs of anchors that open a new window.
+    """
+    read, step = (html.table_anchors, 3) if dynamic else (html.blank_anchors, 2)
+    keep = keep or []
+    return strided_rows(pages.select(*keep, html.column(read, "array<string>", html_col).alias("_a")), "_a", step, keep)
+
+
 def strided_rows(df: DataFrame, arr_col: str, step: int, keep: list[str] | None = None) -> DataFrame:
     """Cut a flat list into records of ``step`` items and keep the
     first two as (code, name); ``idx`` is the 0-based record number.
@@ -67,9 +75,12 @@ def strided_rows(df: DataFrame, arr_col: str, step: int, keep: list[str] | None
     return df.select(*keep, F.inline(recs))
 
 
-def anchor_texts(html: Column | str) -> Column:
+ANCHOR_RE = r'<a href="([^"]*)">([^<]*)</a>'
+
+
+def anchor_texts(html_col: Column | str) -> Column:
     """Texts of all plain anchors of a page, in order."""
-    h = F.col(html) if isinstance(html, str) else html
+    h = F.col(html_col) if isinstance(html_col, str) else html_col
     return F.regexp_extract_all(h, F.lit(ANCHOR_RE), 2)
 
 
@@ -77,27 +88,27 @@ def parse_bars(payloads: DataFrame, code_col: str = "bk_code", body_col: str = "
                with_rejects: bool = False) -> DataFrame:
     """Parse JSONP bar payloads into ``sector_daily`` rows.
 
-    First ``{"data":"..."}`` match (dot matches newlines), split on ``;``,
-    prefix the code, split on ``,``, keep 8 fields, numbers via ``try_cast``.
-    One job covers every (sector, year) payload; no driver loop. Rows without a
-    trade date are rejects (returned with ``with_rejects=True``, flag ``ok``).
+    First ``{"data":"..."}`` match (dot matches newlines), split on ``;``, then
+    on ``,``: a date and six numbers, further fields ignored. One job covers
+    every (sector, year) payload; no driver loop. ``with_rejects`` adds the
+    rows that cannot be loaded, with ``row``, ``pos`` and the ``reason``
+    (NULL for good rows): no_code, no_payload, ragged, bad_date, bad_number.
     """
-    data = F.regexp_extract(F.col(body_col), BAR_DATA_RE, 1)
-    rows = payloads.select(F.col(code_col).alias("bk_code"),
-                           F.posexplode(F.split(data, ";")).alias("pos", "row"))
-    rows = rows.where(F.length("row") > 0)
-    f = F.split(F.concat_ws(",", "bk_code", "row"), ",")
+    body = F.col(body_col)
+    data = F.when(body.rlike(BAR_DATA_RE), F.regexp_extract(body, BAR_DATA_RE, 1))
+    rows = payloads.select(F.col(code_col).alias("bk_code"), F.posexplode_outer(F.split(data, ";")).alias("pos", "row"))
+    rows = rows.withColumn("row", F.trim(F.regexp_replace("row", r"[\r\n]+", "")))
+    rows = rows.where(F.col("row").isNull() | (F.col("row") != ""))  # a last separator makes no row
+    f = F.split("row", ",")
     nums = ["open", "high", "low", "close", "vol", "amount"]
-    out = rows.select(
-        "bk_code",
-        F.get(f, 1).alias("trade_date"),
-        *[F.get(f, i + 2).try_cast("double").alias(c) for i, c in enumerate(nums)],
-        "pos",
-    )
-    ok = F.col("trade_date").isNotNull() & (F.length("trade_date") > 0)
-    if with_rejects:
-        return out.withColumn("ok", ok)
-    return out.where(ok).drop("pos")
+    values = [F.get(f, i + 1).try_cast("double") for i in range(len(nums))]
+    day = F.get(f, 0)
+    bad_date = ~day.rlike(r"^\d{8}$") | F.try_to_timestamp(day, F.lit("yyyyMMdd")).isNull()
+    reason = (F.when(F.col("bk_code").isNull(), "no_code").when(F.col("row").isNull(), "no_payload")
+              .when(F.size(f) < 1 + len(nums), "ragged").when(bad_date, "bad_date")
+              .when(F.greatest(*(v.isNull() | F.isnan(v) for v in values)), "bad_number"))
+    out = rows.select("bk_code", day.alias("trade_date"), *(v.alias(c) for v, c in zip(values, nums)), "pos", "row", reason.alias("reason"))
+    return out if with_rejects else out.where("reason is null").drop("pos", "row", "reason")
 
 
 def parse_post_time(text: Column | str, year: Column | int | str) -> Column:
@@ -115,61 +126,37 @@ def parse_post_time(text: Column | str, year: Column | int | str) -> Column:
 
 def post_year_from_fetch(text: Column | str, fetched_at: Column | str) -> Column:
     """P5 year [our choice]: listing pages show ``MM-dd HH:mm`` without a year.
-    A post cannot be newer than the page fetch, so a month later than the
-    fetch month belongs to the previous year."""
-    t = F.col(text) if isinstance(text, str) else text
+    A post cannot be newer than the page fetch, so a time that would lie after
+    it belongs to the previous year. 29 February is sought in the last leap year."""
     f = F.col(fetched_at) if isinstance(fetched_at, str) else fetched_at
-    month = F.regexp_extract(F.trim(t), r"^(\d{1,2})-", 1).try_cast("int")
-    return F.year(f) - F.when(month > F.month(f), 1).otherwise(0)
+    this = parse_post_time(text, F.year(f))
+    return F.when(this.isNull(), F.year(f) - F.pmod(F.year(f), F.lit(4))).otherwise(F.year(f) - F.when(this > f, 1).otherwise(0))
 
 
 # ---- forum listing pages (P1) -----------------------------------------------
 
-# a <div> whose class list holds "normal_post" starts a post block
-_BLOCK_SPLIT = r'<div class="(?:[^"]*\s)?normal_post(?:\s[^"]*)?"'
-_TIME_RE = r'<span class="l5 a5">([^<]*)</span>'
-_TITLE_RE = r'<span class="l3 a3">\s*<a [^>]*?title="([^"]*)"'
-_AUTHOR_RE = r'(?s)<span class="l4 a4">.*?<font[^>]*>([^<]*)</font>'
-
-
 def parse_forum_page(pages: DataFrame, year: int | Column | str, html_col: str = "html",
                      keep: list[str] | None = None, fetched_col: str = "fetched_at") -> DataFrame:
-    """Split a landed listing page into post blocks and read time, title
-    (the anchor's ``title`` attribute) and author; blocks without a title are
-    skipped. ``pos`` is the block's place on the page (page order = newest first).
+    """A landed listing page to posts: time, title (the anchor's ``title``
+    attribute) and author; blocks without a title are skipped. ``pos`` is the
+    block's place on the page (page order = newest first); ``time_text`` stays,
+    and ``dtime`` is NULL where it cannot be read.
 
     ``year``: an int or Column, or ``"fetch"`` to infer each post's year from
     the page's ``fetched_col`` (see ``post_year_from_fetch``).
     """
     keep = list(keep or [])
-    if isinstance(year, str) and year == "fetch":
-        if fetched_col not in keep:
-            keep.append(fetched_col)
-        year = post_year_from_fetch(F.trim(F.get(F.regexp_extract_all(F.col("blk"), F.lit(_TIME_RE), 1), 0)),
-                                    fetched_col)
-    body = F.regexp_extract(F.col(html_col), r'(?s)<div id="articlelistnew"(.*)', 1)
-    blocks = pages.select(*keep, F.posexplode(F.split(body, _BLOCK_SPLIT)).alias("pos", "blk")) \
-                  .where(F.col("pos") > 0)
-
-    def first(pat):
-        return F.get(F.regexp_extract_all(F.col("blk"), F.lit(pat), 1), 0)
-
-    out = blocks.select(*keep, (F.col("pos") - 1).alias("pos"),
-                        parse_post_time(F.trim(first(_TIME_RE)), year).alias("dtime"),
-                        first(_TITLE_RE).alias("title"),
-                        F.trim(first(_AUTHOR_RE)).alias("author"))
-    return out.where(F.col("title").isNotNull())
-
-
-_ITEM_RE = r"<(title|h1|p)>([^<]*)"
+    by_fetch = isinstance(year, str) and year == "fetch"
+    also = [fetched_col] if by_fetch and fetched_col not in keep else []
+    posts = html.column(html.forum_posts, "array<struct<pos:int,time_text:string,title:string,author:string>>", html_col)
+    rows = pages.select(*keep, *also, F.inline(posts))
+    y = post_year_from_fetch("time_text", fetched_col) if by_fetch else year
+    return rows.select(*keep, *also, "pos", parse_post_time("time_text", y).alias("dtime"), "time_text", "title", "author")
 
 
 def extract_page_items(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
-    """P1 on generic landed pages: the text items (title, h1, paragraphs) in
-    page order, as (kind, pos, text); the text runs to the next tag."""
+    """P1 on generic landed pages: the whole texts of title, h1 and paragraphs in
+    page order, as (kind, pos, text), nested tags included and entities decoded."""
     keep = keep or []
-    h = F.col(html_col)
-    z = pages.select(*keep, F.posexplode(F.arrays_zip(
-        F.regexp_extract_all(h, F.lit(_ITEM_RE), 1).alias("kind"),
-        F.regexp_extract_all(h, F.lit(_ITEM_RE), 2).alias("text"))).alias("pos", "it"))
-    return z.select(*keep, "pos", F.col("it.kind").alias("kind"), F.col("it.text").alias("text"))
+    items = html.column(html.text_items, "array<struct<kind:string,text:string>>", html_col)
+    return pages.select(*keep, F.posexplode(items).alias("pos", "it")).select(*keep, "pos", "it.kind", "it.text")

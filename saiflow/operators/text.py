@@ -14,6 +14,8 @@ from .. import constants as K
 from ..functions.exprs import cosine_similarity, pad_codes
 
 WORD_RE = r"[\p{L}\p{N}]+"
+# words of a segmentation dictionary: what each Python worker may hold (about 100 MB)
+MAX_DICTIONARY = 1_000_000
 
 
 
@@ -27,8 +29,10 @@ def make_segmenter(dictionary: Sequence[str], max_word: int | None = None):
     """N1 for Chinese: a vectorised (Arrow) UDF that splits each run of Han
     characters by forward longest match against ``dictionary``; other tokens
     pass through. The dictionary travels with the function to every executor
-    once; each batch is processed as a pandas Series."""
+    once, so its size is bounded; each batch is processed as a pandas Series."""
     words = frozenset(w for w in dictionary if w)
+    if len(words) > MAX_DICTIONARY:
+        raise ValueError(f"{len(words)} words: a segmentation dictionary may hold {MAX_DICTIONARY}")
     longest = max_word or max((len(w) for w in words), default=1)
 
     def cut(run: str) -> list[str]:
@@ -76,11 +80,11 @@ def remove_stopwords(df: DataFrame, stopwords: Sequence[str], tokens_col: str =
     the placeholders appended to the list never match).
     """
     sw = list(dict.fromkeys([w for w in stopwords if w] + K.STOPWORD_PLACEHOLDERS))
-    arr = F.array(*[F.lit(w) for w in sw])
+    # a literal list of more than ten is looked up in a hash set
     if first_char:
-        keep = lambda t: ~F.array_contains(arr, F.substring(t, 1, 1))
+        keep = lambda t: ~F.substring(t, 1, 1).isin(sw)
     else:
-        keep = lambda t: ~F.array_contains(arr, t)
+        keep = lambda t: ~t.isin(sw)
     return df.withColumn(tokens_col, F.filter(F.col(tokens_col), keep))
 
 
@@ -108,37 +112,40 @@ def anchor_similarity(post_words: DataFrame, vectors: DataFrame, anchor: str, po
     """Mean cosine similarity of each post's words to an
     anchor word, rounded half-even, highest first.
 
-    Words are looked up by an equi-join with the vector table (a shuffle join
-    when it is large). A post with any word missing from the table is dropped,
-    as is a post without words or with an undefined mean (zero vector).
+    The similarity is computed once for each word of the vector table, and only
+    (word, similarity) meets the posts' words. Of vectors that one word has
+    several of, the least stands for it. A post with any word missing from the
+    table is dropped, as is a post without words or with an undefined mean (zero vector).
     """
-    # the anchor's vector is attached by an equi-join on the anchor word (one
-    # matching row, so the join is a broadcast hash join)
-    # The anchor's vector is attached by an equi-join on the anchor word. Every
-    # row carries the same key, so this side must be broadcast (a shuffle
-    # would send all rows to one task); limit(1) proves it is one row.
-    av = (vectors.where(F.col("word") == F.lit(anchor)).limit(1)
-          .select(F.col("word").alias("_aw"), F.col("vec").alias("_av")))
-    joined = (post_words.select(post_col, F.col(word_col).alias("word"), F.lit(anchor).alias("_aw"))
-              .join(vectors.select("word", "vec"), "word", "left")
-              .join(F.broadcast(av), "_aw", "left"))
-    per_post = joined.groupBy(post_col).agg(
-        F.bool_and(F.col("vec").isNotNull()).alias("_known"),
-        F.avg(cosine_similarity("vec", "_av")).alias("_m"))
+    known = vectors.groupBy("word").agg(F.min("vec").alias("vec"))
+    av = vectors.where(F.col("word") == F.lit(anchor)).agg(F.min("vec")).scalar()
+    sims = known.withColumn("_av", av).select("word", cosine_similarity("vec", "_av").alias("_s"), F.lit(True).alias("_in"))
+    joined = post_words.select(post_col, F.col(word_col).alias("word")).join(sims, "word", "left")
+    per_post = joined.groupBy(post_col).agg(F.bool_and(F.col("_in").isNotNull()).alias("_known"), F.avg("_s").alias("_m"))
     out = per_post.where(F.col("_known") & F.col("_m").isNotNull() & ~F.isnan("_m")) \
                   .select(post_col, F.bround("_m", digits).alias("similarity"))
     return out.orderBy(F.desc("similarity"), post_col)
 
 
+def title_similarity(posts: DataFrame, dictionary: Sequence[str], pos: DataFrame, vectors: DataFrame, anchor: str,
+                     tags: Sequence[str] = ("n",), post_col: str = "post_id", title_col: str = "title", digits: int = 3) -> DataFrame:
+    """N1 -> N5: titles are segmented, words whose part of speech is in ``tags``
+    are kept, and their mean similarity to the anchor is the post's."""
+    words = pos.where(F.col("tag").isin(list(tags))).select("word").distinct()
+    toks = tokenize_posts(posts, title_col, dictionary).select(post_col, F.explode("tokens").alias("word"))
+    return anchor_similarity(toks.join(words, "word", "left_semi"), vectors, anchor, post_col, "word", digits)
+
+
 def sector_keywords(sectors: DataFrame, pos: DataFrame, tags: Sequence[str] = ("n", "v"),
-                    key_col: str = "bk_code", name_col: str = "bk_name") -> DataFrame:
-    """Content words (POS in ``tags``) of each sector name, in order.
+                    key_col: str = "bk_code", name_col: str = "bk_name", dictionary: Sequence[str] | None = None) -> DataFrame:
+    """Content words (POS in ``tags``) of each sector name, in order;
+    names without spaces are segmented by ``dictionary``.
 
     Tokens are exploded with their position, semi-joined with the POS table,
     and gathered back per sector (bounded by the length of one name).
     """
     words = pos.where(F.col("tag").isin(list(tags))).select("word").distinct()
-    toks = sectors.select(key_col, F.posexplode(tokens(name_col)).alias("i", "word"))
+    toks = tokenize_posts(sectors, name_col, dictionary).select(key_col, F.posexplode("tokens").alias("i", "word"))
     kept = toks.join(words, "word", "left_semi")
     agg = kept.groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct("i", "word"))).alias("_w"))
     out = sectors.select(key_col).join(agg, key_col, "left")

@@ -7,11 +7,13 @@ same way on both sides; floating results are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions.exprs import to_yyyymmdd
 from ..operators import aggregate as A
 from ..operators import clean as C
@@ -21,8 +23,10 @@ from ..operators import load as D
 from ..operators import market as M
 from ..operators import parse as P
 from ..operators import text as N
+from ..session import drop_scratch, scratch_path
+from ..sources.files import read_terms
 from ..sources.sql import param_sql
-from .fixtures import DUCK, Views, with_views
+from .fixtures import DUCK, HAN, HAN_END, LATIN, Views, with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -37,6 +41,11 @@ def query(name: str, sql: str | None):
     return deco
 
 
+def _rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
+    """Floating columns as both engines give them; operators keep full precision."""
+    return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
+
+
 # ---- fixture parameters (test stand-ins, not the original's constants) -------
 CODE = "click"
 PX_CODE, PX_LO, PX_HI = "purchase", "2024-01-05", "2024-01-25"
@@ -71,7 +80,7 @@ _PX_SQL = ("select ts_code, trade_date, close, round(amount, 6) as amount from s
     c=f"'{PX_CODE}'", lo=f"date '{PX_LO}'", hi=f"date '{PX_HI}'"))
 def q_param_sql_read(spark, d):
     import datetime as dt
-    return param_sql(spark, _PX_SQL.format(c=":code", lo=":lo", hi=":hi"),
+    return param_sql(spark, _PX_SQL.replace("from stock_px", "from {{stock_px}}").format(c=":code", lo=":lo", hi=":hi"),
                      {"code": PX_CODE, "lo": dt.date.fromisoformat(PX_LO), "hi": dt.date.fromisoformat(PX_HI)},
                      stock_px=Views(spark, d).stock_px())
 
@@ -223,17 +232,15 @@ def q_append_until_conflict(spark, d):
 
 @query("incremental_backfill", with_views("posts_ev") +
        f", st as (select * from posts_ev where {_STORED} and code <> 'error'), "
-       "hwm as (select code, max(cast(dtime as date)) as h from st group by code), "
-       "nw as (select distinct p.code, p.dtime, p.title, p.author from posts_ev p left join hwm on p.code = hwm.code "
+       "nw as (select distinct p.code, p.dtime, p.title, p.author from posts_ev p "
        "where year(p.dtime) = 2024 and strftime(p.dtime, '%H:%M:%S.%f') > '09:00:00.000000' "
-       "and strftime(p.dtime, '%H:%M:%S.%f') < '17:00:00.000000' "
-       "and (hwm.h is null or cast(p.dtime as date) > hwm.h)) "
+       "and strftime(p.dtime, '%H:%M:%S.%f') < '17:00:00.000000') "
        "select * from nw where not exists (select 1 from st where st.code = nw.code and st.dtime = nw.dtime "
        "and st.title = nw.title and st.author = nw.author)")
 def q_incremental_backfill(spark, d):
     ev = Views(spark, d).posts_ev().drop("ord")
     stored = ev.where((F.col("dtime") < F.lit(SPLIT_STORED).cast("timestamp_ntz")) & (F.col("code") != "error"))
-    return D.incremental_backfill(ev, stored, 2024)
+    return D.incremental_backfill(ev, stored, 2024)  # posts of stored days and codes too, as far as they are not stored
 
 
 _BAR_COLS = "bk_code, trade_date, open, high, low, close, vol, amount"
@@ -251,7 +258,11 @@ def q_upsert_bars(spark, d):
     b = _bars_text(Views(spark, d))
     stored = b.where(F.col("trade_date") < "20240120")
     new = b.where(F.col("trade_date") >= "20240115").withColumn("close", F.round(F.col("close") * 1.5, 6))
-    return D.upsert(stored, new, ["bk_code", "trade_date"])
+    # the batch holds an older copy of every bar and bars without a key
+    old = new.withColumn("close", F.col("close") - 1).withColumn("vol", F.lit(None).cast("double"))
+    batch = old.withColumn("seq", F.lit(1)).unionByName(new.withColumn("seq", F.lit(2))) \
+               .unionByName(new.withColumn("bk_code", F.lit(None).cast("string")).withColumn("seq", F.lit(3)))
+    return D.upsert(stored, batch, ["bk_code", "trade_date"], "seq")
 
 
 def _bars_text(v: Views) -> DataFrame:
@@ -264,15 +275,83 @@ def _bars_text(v: Views) -> DataFrame:
 _ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
 
 
-@query("extract_sector_links",
-       f"select page_id, cast(pos as integer) as pos, "
-       "substr(href, greatest(length(href) - 6, 1), greatest(least(6, length(href) - 1), 0)) as bk_code, "
-       "txt as bk_name, '同花顺' as bk_source, '行业板块' as bk_type, 0 as use_flag, "
-       f"'{DATA_DATE}' as data_date from (select page_id, unnest(regexp_extract_all(html, '{_ANCHOR}', 1)) as href, "
-       f"unnest(regexp_extract_all(html, '{_ANCHOR}', 2)) as txt, "
-       f"unnest(range(0, len(regexp_extract_all(html, '{_ANCHOR}', 1)))) as pos from pages)")
+def _esc(c):
+    """Text as page markup: entities for the signs that need them."""
+    c = F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.replace(F.replace(c, F.lit('"'), F.lit("&quot;")), F.lit("$"), F.lit("&#36;"))
+
+
+def _page(rows: DataFrame, group: list, before: str, after: str) -> DataFrame:
+    """One page of each group: its rows' markup (columns ord, m) between noise."""
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "m"))), lambda x: x["m"]), "\n")
+    return rows.groupBy(*group).agg(F.concat(F.lit(before), body, F.lit(after)).alias("html"))
+
+
+_NOISE = '<html><head><title>x &lt; y</title><script>var a="</a><a href=\'/no/\'>";</script></head><body><nav><a href="/nav/1/">no</a></nav>'
+
+
+@query("extract_sector_links", with_views("sectors") +
+       "select bk_type as page, cast(row_number() over (partition by bk_type order by bk_code) - 1 as integer) as pos, "
+       "right('000000' || bk_code, 6) as bk_code, bk_name || ' & ' || bk_type || ' $' as bk_name, "
+       "'同花顺' as bk_source, '行业板块' as bk_type, 0 as use_flag, "
+       f"'{DATA_DATE}' as data_date from sectors")
 def q_extract_sector_links(spark, d):
-    return P.extract_sector_links(Views(spark, d).t("pages"), DATA_DATE, "thshy", keep=["page_id"])
+    """List pages built from the sectors, with other anchors around the sector block, and read back."""
+    v = Views(spark, d)
+    name = F.concat_ws("", "bk_name", F.lit(" & "), "bk_type", F.lit(" $"))
+    code = F.lpad(F.col("bk_code").cast("string"), 6, "0")
+    m = F.concat(F.lit("<div><a class='c' href='http://q.x.cn/thshy/detail/code/"), code, F.lit("/' target=_blank><b>"),
+                 F.substring(_esc(name), 1, 3), F.lit("</b>"), F.expr("substring({0}, 4)".format("_e")), F.lit("</a></div>"))
+    rows = v.sectors().withColumn("_e", _esc(name)).select(F.col("bk_type").alias("page"), F.col("bk_code").alias("ord"), m.alias("m"))
+    pages = _page(rows, ["page"], _NOISE + '<div class="cate_inner visible">', '</div><a href="/foot/">no</a></body></html>')
+    return P.extract_sector_links(pages, DATA_DATE, "thshy", keep=["page"])
+
+
+@query("parse_constituents",
+       "select s_nationkey as bk_code, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as integer) as idx, "
+       "right('000000' || s_suppkey, 6) as code, s_name || ' <A&B>' as name from supplier")
+def q_parse_constituents(spark, d):
+    """Constituent pages: three anchors a stock in a table body, with noise around, and read back."""
+    s = Views(spark, d).t("supplier")
+    code, name = F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), _esc(F.concat("s_name", F.lit(" <A&B>")))
+    m = F.concat(F.lit('<tr><td>1</td><td><a target="_blank" href="/c/">'), code, F.lit("</a></td><td><a href='/n/' target='_blank'><i>"), name,
+                 F.lit('</i></a></td><td><a href="#" title="a>b">+</a></td></tr>'))
+    rows = s.select(F.col("s_nationkey").alias("bk_code"), F.col("s_suppkey").alias("ord"), m.alias("m"))
+    pages = _page(rows, ["bk_code"], _NOISE + '<div class="body m-pager-box"><table><thead><tr><th><a href="/sort">no</a></th></tr></thead><tbody>',
+                  '</tbody></table></div><div class="m-pager"><a target="_blank">no</a></div></body></html>')
+    return P.extract_constituents(pages, keep=["bk_code"])
+
+
+@query("parse_constituents_static",
+       "select s_nationkey as bk_code, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as integer) as idx, "
+       "right('000000' || s_suppkey, 6) as code, s_name as name from supplier")
+def q_parse_constituents_static(spark, d):
+    s = Views(spark, d).t("supplier")
+    m = F.concat(F.lit("<a href=/c/ target=_blank>"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"),
+                 F.lit('</a> <a href="/no/">no</a> <a data-x="1" target="_blank" href="/n/">'), _esc(F.col("s_name")), F.lit("</a>"))
+    rows = s.select(F.col("s_nationkey").alias("bk_code"), F.col("s_suppkey").alias("ord"), m.alias("m"))
+    return P.extract_constituents(_page(rows, ["bk_code"], _NOISE, "</body></html>"), keep=["bk_code"], dynamic=False)
+
+
+@query("parse_forum_pages", with_views("posts_pages") +
+       ", p as (select *, row_number() over (partition by page_no order by ord desc) - 1 as pos from posts_pages) "
+       "select page_no, cast(pos as integer) as pos, date_trunc('minute', dtime) as dtime, "
+       "title || ' & $\"q\" <1>' as title, ' ' || author as author from p where ord % 11 <> 0")
+def q_parse_forum_pages(spark, d):
+    """Listing pages built from the posts (some blocks without a title), fetched in February, and read back."""
+    p = Views(spark, d).posts_pages()
+    title = _esc(F.concat("title", F.lit(' & $"q" <1>')))
+    quoted = F.when(F.col("ord") % 2 == 0, F.concat(F.lit('title="'), title, F.lit('"'))).otherwise(
+        F.concat(F.lit("class=x title='"), F.replace(title, F.lit("'"), F.lit("&#39;")), F.lit("'")))
+    link = F.when(F.col("ord") % 11 == 0, F.lit("<a href='/n'>")).otherwise(F.concat(F.lit("<a href='/n/1' "), quoted, F.lit(">")))
+    m = F.concat(F.lit("<div class='articleh normal_post odd'><span class='l1 a1'>7</span><span class=\"l3 a3\"><em>hot</em>"), link,
+                 F.lit("short</a></span><span class='l4 a4'><a href='/u'><font color=red> <b>"), F.substring("author", 1, 1), F.lit("</b>"),
+                 F.expr("substring(author, 2)"), F.lit("</font></a></span><span class='l5 a5'>"), F.date_format("dtime", "MM-dd HH:mm"), F.lit("</span></div>"))
+    pages = _page(p.select("page_no", (-F.col("ord")).alias("ord"), m.alias("m")), ["page_no"], _NOISE + "<div id='articlelistnew'><div class='dheader'>",
+                  "</div></div><div class='normal_post'><span class='l3 a3'><a title='no'>no</a></span></div></body></html>")
+    pages = pages.withColumn("fetched_at", F.lit("2024-02-03 08:00:00").cast("timestamp_ntz"))
+    out = P.parse_forum_page(pages, "fetch", keep=["page_no"])
+    return out.drop("fetched_at", "time_text")
 
 
 def _strided_sql(step: int) -> str:
@@ -293,13 +372,15 @@ def q_strided_triples(spark, d):
     return P.strided_rows(pages, "arr", 3, keep=["page_id"])
 
 
-_ITEM = r"<(title|h1|p)>([^<]*)"
-
-
+# in the oracle a paragraph ends where the next one starts
 @query("extract_page_items",
-       f"select page_id, cast(pos as integer) as pos, kind, text from (select page_id, "
-       f"unnest(regexp_extract_all(html, '{_ITEM}', 1)) as kind, unnest(regexp_extract_all(html, '{_ITEM}', 2)) as text, "
-       f"unnest(range(0, len(regexp_extract_all(html, '{_ITEM}', 1)))) as pos from pages)")
+       "with c as (select page_id, replace(regexp_replace(html, '<script>.*?</script>', '', 'gs'), '<p>', '</p><p>') as h from pages), "
+       "r as (select page_id, unnest(regexp_extract_all(h, '(?s)<(title|h1|p)>(.*?)</(?:title|h1|p|article)>', 1)) as kind, "
+       "unnest(regexp_extract_all(h, '(?s)<(title|h1|p)>(.*?)</(?:title|h1|p|article)>', 2)) as t, "
+       "unnest(range(0, len(regexp_extract_all(h, '(?s)<(title|h1|p)>(.*?)</(?:title|h1|p|article)>', 1)))) as pos from c) "
+       "select page_id, cast(pos as integer) as pos, kind, replace(replace(replace(replace(replace(replace(replace("
+       "regexp_replace(t, '<[^>]*>', '', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&#39;', chr(39)), "
+       "'&amp;', '&') as text from r")
 def q_extract_page_items(spark, d):
     return P.extract_page_items(Views(spark, d).t("pages"), keep=["page_id"])
 
@@ -310,14 +391,40 @@ def q_extract_page_items(spark, d):
 def q_parse_bars(spark, d):
     """Payloads are built from the bars (one per sector and year, the shape
     the quote server returns) and parsed back."""
-    b = _bars_text(Views(spark, d))
+    return P.parse_bars(_payloads(_bars_text(Views(spark, d))))
+
+
+def _payloads(b: DataFrame) -> DataFrame:
     row = F.concat_ws(",", "trade_date", *[F.col(c).cast("string") for c in ["open", "high", "low", "close", "vol", "amount"]])
-    payloads = b.groupBy("bk_code", F.substring("trade_date", 1, 4).alias("year")).agg(
+    return b.groupBy("bk_code", F.substring("trade_date", 1, 4).alias("year")).agg(
         F.concat(F.lit('quotebridge_v4_line({"data":"'),
                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", row.alias("r")))),
                                           lambda x: x["r"]), ";"),
                  F.lit('"})')).alias("body"))
-    return P.parse_bars(payloads)
+
+
+# what is wrong with order k: nothing, or one of seven defects
+_REJECT_SQL = ("case o_orderkey % 8 when 1 then 'no_code' when 2 then 'no_payload' when 3 then 'no_payload' when 4 then 'ragged' "
+               "when 5 then 'bad_date' when 6 then 'bad_number' when 7 then 'bad_number' end")
+
+
+@query("parse_bars_rejects",
+       "select case when reason = 'no_code' then null else cast(o_orderkey as varchar) end as bk_code, reason, "
+       "case when reason is null then strftime(o_orderdate, '%Y%m%d') end as trade_date, "
+       "case when reason is null then o_totalprice end as close from "
+       f"(select o_orderkey, o_orderdate, o_totalprice, {_REJECT_SQL} as reason from orders)")
+def q_parse_bars_rejects(spark, d):
+    """A payload of one bar for each order, most of them spoilt in one of seven ways."""
+    k, day, px = F.col("o_orderkey") % 8, F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_totalprice").cast("string")
+    first = F.when(k == 5, F.lit("20240231")).otherwise(day)
+    fields = F.concat_ws(",", first, F.when(k == 6, F.lit("x1")).otherwise(px), px, px, px, F.when(k == 7, F.lit("")).otherwise(F.lit("1")), px)
+    row = F.when(k == 4, F.concat_ws(",", day, px)).otherwise(fields)
+    body = F.when(k == 2, F.lit(None)).when(k == 3, F.lit("error 403")).otherwise(F.concat(F.lit('f({"data":"'), row, F.lit(';\n"})')))
+    code = F.when(k != 1, F.col("o_orderkey").cast("string"))
+    parsed = P.parse_bars(Views(spark, d).t("orders").select(code.alias("bk_code"), body.alias("body")), with_rejects=True)
+    good = F.col("reason").isNull()
+    return parsed.select("bk_code", "reason", F.when(good, F.col("trade_date")).alias("trade_date"),
+                         F.when(good, F.col("close")).alias("close"))
 
 
 _POST_YEAR = 2023
@@ -359,7 +466,8 @@ def q_posts_per_author(spark, d):
        f"round(e.l0 + (g.bin + 1) * e.w / {HIST_BINS}, 6) as right_edge, "
        "(select count(*) from b where b.bin = g.bin) as n_authors from g, e")
 def q_author_histogram(spark, d):
-    return A.author_histogram(A.posts_per_author(Views(spark, d).posts_ev(), ordered=False), "n_posts", HIST_BINS)
+    h = A.author_histogram(A.posts_per_author(Views(spark, d).posts_ev(), ordered=False), "n_posts", HIST_BINS)
+    return _rounded(h, 6, "left_edge", "right_edge")
 
 
 _DAILY = "select code, cast(dtime as date) as trade_date, count(*) as n_posts from posts_ev group by code, cast(dtime as date)"
@@ -406,12 +514,13 @@ def q_attention_vs_close_all_days(spark, d):
 
 
 @query("viewpoints_by_day", with_views("posts_ev") +
-       "select cast(dtime as date) as dt, floor(ord / 4096) as part, count(*) as n_views, "
-       "string_agg(title, '␞' order by ord) as viewpoints from posts_ev "
-       f"where cast(dtime as date) >= date '{VIEW_START}' group by cast(dtime as date), floor(ord / 4096)")
+       "select cast(dtime as date) as dt, row_number() over (partition by cast(dtime as date) order by ord) - 1 as pos, "
+       "case when ord % 7 = 0 then null else title end as viewpoint from posts_ev "
+       f"where cast(dtime as date) >= date '{VIEW_START}'")
 def q_viewpoints_by_day(spark, d):
-    ev = Views(spark, d).posts_ev().select(F.col("dtime").cast("date").alias("dt"), F.col("title").alias("viewpoint"), "ord")
-    return A.viewpoints_by_day(ev, VIEW_START, 4096).withColumn("part", F.col("part").cast("double"))
+    text = F.when(F.col("ord") % 7 != 0, F.col("title"))  # some opinions are empty cells
+    ev = Views(spark, d).posts_ev().select(F.col("dtime").cast("date").alias("dt"), text.alias("viewpoint"), "ord")
+    return A.viewpoints_by_day(ev, VIEW_START)
 
 
 # sector_info stand-in that grows with the data: one sector row per supplier
@@ -472,8 +581,98 @@ def q_lexicon_label_cumulative(spark, d):
     return L.lexicon_label_cumulative(Views(spark, d).posts_doc(), "ord", BEARISH, BULLISH).select("ord", "label")
 
 
+_FULL = [("put", t) for t in K.BEARISH_TERMS] + [("call", t) for t in K.BULLISH_TERMS]
+_FULL_DUCK = ("lexicon as (select * from (values " + ", ".join(f"({i}, '{side}', '{t}')" for i, (side, t) in enumerate(_FULL)) + ") v(i, side, term)), "
+              "lex_posts as (select h.ord, case when h.ord % 3 = 0 then h.title else h.title || x.term || h.title end as title "
+              f"from han_titles h join lexicon x on x.i = h.ord % {len(_FULL)})")
+
+
+def _lexicon_posts(v: Views) -> DataFrame:
+    """Han titles, two thirds of them with a term of the full lexicon inside."""
+    terms = F.array(*[F.lit(t) for _, t in _FULL])
+    term = F.get(terms, (F.col("ord") % len(_FULL)).cast("int"))
+    return v.han_titles().select("ord", F.when(F.col("ord") % 3 == 0, F.col("title")).otherwise(F.concat("title", term, "title")).alias("title"))
+
+
+def _lexicon_files(spark: SparkSession) -> tuple[list[str], list[str]]:
+    """The full lexicon, written as term files with stray white space and read back."""
+    out = []
+    for side in ("put", "call"):
+        path = scratch_path(spark, f"lexicon-{side}-{uuid.uuid4().hex}")
+        lines = [(f"\t{t}\u3000 ",) for s, t in _FULL if s == side] + [("  ",)]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
+        out.append([r.term for r in read_terms(spark, path).collect()])  # hand-made lists of tens of terms
+        drop_scratch(spark, path)
+    return out[0], out[1]
+
+
+@query("lexicon_label_full", with_views("han_titles") + ", " + _FULL_DUCK +
+       ", f as (select p.ord, bool_or(x.side = 'put' and contains(p.title, x.term)) as hp, "
+       "bool_or(x.side = 'call' and contains(p.title, x.term)) as hc from lex_posts p, lexicon x group by p.ord) "
+       f"select ord, {_LABEL_CASE.format(p='hp', c='hc')} as label from f")
+def q_lexicon_label_full(spark, d):
+    put, call = _lexicon_files(spark)
+    return L.lexicon_label(_lexicon_posts(Views(spark, d)), put, call).select("ord", "label")
+
+
+@query("lexicon_term_counts_full", with_views("han_titles") + ", " + _FULL_DUCK +
+       ", n as (select x.i, count(*) as n from lex_posts p join lexicon x on contains(p.title, x.term) group by x.i) "
+       "select x.side, x.term, coalesce(n.n, 0) as n_titles from lexicon x left join n on n.i = x.i")
+def q_lexicon_term_counts_full(spark, d):
+    put, call = _lexicon_files(spark)
+    return L.lexicon_term_counts(_lexicon_posts(Views(spark, d)), put, call)
+
+
 # ---- text ------------------------------------------------------------------------
 
+_HAN = f"translate(lower(w), '{LATIN}', '{HAN}') || '{HAN_END}'"
+# words of a title in order; its nouns are the words with an even number of letters
+_HAN_WORDS = ("hw as (select p_partkey as ord, unnest(string_split(p_name, ' ')) as w, "
+              "unnest(range(0, len(string_split(p_name, ' ')))) as i from part)")
+
+
+def _han_dictionary(v: Views) -> list[str]:
+    return [r.word for r in v.han_words().collect()]  # the words that part names are made of: tens
+
+
+def _han_pos(v: Views) -> DataFrame:
+    return v.han_words().select("word", F.when(F.length("latin") % 2 == 0, "n").otherwise("x").alias("tag"))
+
+
+@query("segment_titles", f"with {_HAN_WORDS} select ord, count(*) as n_tokens, string_agg({_HAN}, ' ' order by i) as tokens "
+       "from hw where w <> '' group by ord")
+def q_segment_titles(spark, d):
+    v = Views(spark, d)
+    t = N.tokenize_posts(v.han_titles(), "title", _han_dictionary(v))
+    return t.select("ord", F.size("tokens").cast("long").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("sector_keywords_han", f"with {_HAN_WORDS} select p.p_partkey as bk_code, coalesce((select string_agg({_HAN}, ' ' order by i) from hw "
+       "where hw.ord = p.p_partkey and w <> '' and length(w) % 2 = 0), '') as keywords from part p")
+def q_sector_keywords_han(spark, d):
+    v = Views(spark, d)
+    out = N.sector_keywords(v.han_titles().select(F.col("ord").alias("bk_code"), F.col("title").alias("bk_name")), _han_pos(v), ("n",),
+                            dictionary=_han_dictionary(v))
+    return out.select("bk_code", F.array_join("keywords", " ").alias("keywords"))
+
+
+# a word's vector: the embedding numbered by its letters
+_VEC_NO = "(length(w) * 31 + ascii(w) * 7 + ascii(right(w, 1))) % 100"
+
+
+@query("title_similarity", f"with {_HAN_WORDS}, n as (select ord, w from hw where w <> '' and length(w) % 2 = 0), "
+       "a as (select e.embedding as v from embeddings e where e.vec_id = 0) "
+       "select n.ord, round_even(avg({cos}), 3) + 0.0 as similarity from n join embeddings e on e.vec_id = ".replace("{cos}", "__COS__") +
+       _VEC_NO + ", a group by n.ord")
+def q_title_similarity(spark, d):
+    """Titles -> segmentation -> nouns -> mean similarity to an anchor word."""
+    v = Views(spark, d)
+    e = v.t("embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    w = v.han_words().withColumn("w", F.col("latin")).withColumn("vec_id", F.expr(_VEC_NO).cast("long"))
+    vectors = w.join(e, "vec_id").select("word", "vec").unionByName(e.where("vec_id = 0").select(F.lit("锚").alias("word"), "vec"))
+    out = N.title_similarity(v.han_titles(), _han_dictionary(v), _han_pos(v), vectors, "锚", ("n",), "ord")
+    return out
+
 _TOK = r"regexp_extract_all(title, '[\p{L}\p{N}]+')"
 
 
@@ -532,6 +731,9 @@ def _cos_sql(a, b):
     return f"({dot(a, b)} / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})))"
 
 
+ORACLE["title_similarity"] = ORACLE["title_similarity"].replace("__COS__", _cos_sql("e.embedding", "a.v"))
+
+
 @query("anchor_similarity",
        "with a as (select embedding as v from embeddings where vec_id = 0) "
        f"select label, (round_even(avg({_cos_sql('embedding', 'a.v')}), 3) + 0.0) as similarity "
@@ -577,8 +779,8 @@ def q_score_sentiment(spark, d):
     v = Views(spark, d)
     docs = v.t("documents").select("doc_id", "text")
     train = docs.join(v.t("labels").select("doc_id", "quality"), "doc_id")
-    priors, log_probs = L.fit_token_bayes(train, "text", "quality")
-    return L.score_token_bayes(priors, log_probs, docs, "doc_id", "text")
+    prior, words = L.fit_token_bayes(train, "text", "quality")
+    return _rounded(L.score_token_bayes(prior, words, docs, "doc_id", "text"), 4, "positive_probs", "negative_probs")
 
 
 # DuckDB rounds a tiny negative value to -0.0 where Spark's decimal rounding
@@ -625,7 +827,7 @@ def q_sector_attention(spark, d):
        "select bk_code, period, n_posts, round(ln(1 + n_posts) - ln(1 + quantile_cont(n_posts, 0.5) over "
        "(partition by bk_code order by period rows between 5 preceding and 1 preceding)), 6) + 0.0 as abnormal from sai")
 def q_abnormal_attention(spark, d):
-    return X.abnormal_attention(_sai(Views(spark, d)), 5)
+    return _rounded(X.abnormal_attention(_sai(Views(spark, d)), 5), 6, "abnormal")
 
 
 _DOC_DAY = "date '2024-01-01' + cast(ord % 30 as integer)"
@@ -641,36 +843,103 @@ _DOC_DAY = "date '2024-01-01' + cast(ord % 30 as integer)"
 def q_sentiment_attention(spark, d):
     p = Views(spark, d).posts_doc().withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"),
                                                                  (F.col("ord") % 30).cast("int")))
-    return X.sentiment_attention(L.lexicon_label(p, BEARISH, BULLISH), "code", "day")
+    return _rounded(X.sentiment_attention(L.lexicon_label(p, BEARISH, BULLISH), "code", "day"), 6, "bullish")
 
 
 _RET_SQL = (", ret as (select bk_code, period, close, amount, "
-            "round(close / lag(close) over (partition by bk_code order by period) - 1, 9) + 0.0 as ret, "
-            "round(ln(amount), 9) + 0.0 as log_amount from sector_px) ")
+            "close / lag(close) over (partition by bk_code order by period) - 1 as ret, "
+            "ln(amount) as log_amount from sector_px) ")
 
 
 @query("sector_returns", with_views("sector_px") + _RET_SQL +
-       "select bk_code, period, close, round(amount, 4) as amount, ret, log_amount from ret")
+       "select bk_code, period, close, round(amount, 4) as amount, round(ret, 9) + 0.0 as ret, round(log_amount, 9) + 0.0 as log_amount from ret")
 def q_sector_returns(spark, d):
     r = X.sector_returns(Views(spark, d).sector_px())
-    return r.withColumn("amount", F.round("amount", 4))
+    return _rounded(_rounded(r, 4, "amount"), 9, "ret", "log_amount")
 
 
-@query("attention_regression", _SAI_PX_SQL + _RET_SQL +
-       ", s as (select bk_code, period, n_posts, lag(n_posts) over (partition by bk_code order by period) as sai_lag "
-       "from sai) select s.bk_code, round(regr_slope(r.ret, cast(s.sai_lag as double)), 6) + 0.0 as slope, "
-       "round(regr_intercept(r.ret, cast(s.sai_lag as double)), 6) + 0.0 as intercept, "
-       "round(regr_r2(r.ret, cast(s.sai_lag as double)), 6) + 0.0 as r2, cast(regr_count(r.ret, cast(s.sai_lag as double)) as bigint) as n_obs "
-       "from s join ret r on s.bk_code = r.bk_code and s.period = r.period group by s.bk_code")
-def q_attention_regression(spark, d):
+_PANEL_SQL = (_SAI_PX_SQL + _RET_SQL +
+              ", s as (select bk_code, period, cast(n_posts as double) as sai, cast(lag(n_posts) over (partition by bk_code order by period) as double) "
+              "as sai_lag from sai), pan as (select s.*, r.ret, r.log_amount from s join ret r on s.bk_code = r.bk_code and s.period = r.period) ")
+
+
+def _regr_sql(y: str) -> str:
+    return (_PANEL_SQL + f"select bk_code, round(regr_slope({y}, sai_lag), 9) + 0.0 as slope, round(regr_intercept({y}, sai_lag), 6) + 0.0 as intercept, "
+            f"round(regr_r2({y}, sai_lag), 6) + 0.0 as r2, cast(regr_count({y}, sai_lag) as bigint) as n_obs from pan group by bk_code")
+
+
+def _regression(spark, d, y):
     v = Views(spark, d)
-    return X.attention_regression(_sai(v), X.sector_returns(v.sector_px()))
+    r = X.attention_regression(_sai(v), X.sector_returns(v.sector_px()), y=y)
+    return _rounded(_rounded(r, 6, "intercept", "r2"), 9, "slope")
+
+
+@query("attention_regression", _regr_sql("ret"))
+def q_attention_regression(spark, d):
+    return _regression(spark, d, "ret")
+
+
+@query("attention_regression_amount", _regr_sql("log_amount"))
+def q_attention_regression_amount(spark, d):
+    return _regression(spark, d, "log_amount")
 
 
-@query("attention_correlation", _SAI_PX_SQL + _RET_SQL +
-       "select s.bk_code, round(corr(r.ret, cast(s.n_posts as double)), 6) + 0.0 as corr_ret, "
-       "round(corr(r.log_amount, cast(s.n_posts as double)), 6) + 0.0 as corr_amount, count(*) as n_obs "
-       "from sai s join ret r on s.bk_code = r.bk_code and s.period = r.period group by s.bk_code")
+@query("attention_correlation", _PANEL_SQL +
+       "select bk_code, round(corr(ret, sai), 6) + 0.0 as corr_ret, round(corr(log_amount, sai), 6) + 0.0 as corr_amount, count(*) as n_obs "
+       "from pan group by bk_code")
 def q_attention_correlation(spark, d):
     v = Views(spark, d)
-    return X.attention_correlation(_sai(v), X.sector_returns(v.sector_px()))
+    return _rounded(X.attention_correlation(_sai(v), X.sector_returns(v.sector_px())), 6, "corr_ret", "corr_amount")
+
+
+@query("pooled_regression", _PANEL_SQL +
+       ", q as (select ret as y, sai_lag as a, log_amount as b from pan where ret is not null and sai_lag is not null), "
+       "m as (select var_pop(a) as aa, var_pop(b) as bb, covar_pop(a, b) as ab, covar_pop(a, y) as ay, covar_pop(b, y) as byy, "
+       "avg(a) as ma, avg(b) as mb, avg(y) as my from q), "
+       "fit as (select (ay * bb - byy * ab) / (aa * bb - ab * ab) as ca, (byy * aa - ay * ab) / (aa * bb - ab * ab) as cb, ma, mb, my from m) "
+       "select 'sai_lag' as term, round(ca, 8) + 0.0 as coef from fit union all select 'log_amount', round(cb, 8) + 0.0 from fit "
+       "union all select 'intercept', round(my - ca * ma - cb * mb, 6) + 0.0 from fit")
+def q_pooled_regression(spark, d):
+    v = Views(spark, d)
+    fit = X.pooled_regression(X.attention_panel(_sai(v), X.sector_returns(v.sector_px())), "ret", ["sai_lag", "log_amount"])
+    digits = F.when(F.col("term") == "intercept", F.round("coef", 6)).otherwise(F.round("coef", 8))
+    return fit.select("term", digits.alias("coef"))
+
+
+_TOP_DUCK = ("amt as (select s.s_nationkey as bk_code, s.s_suppkey as code, sum(l.l_extendedprice) as amount from lineitem l "
+             "join supplier s on l.l_suppkey = s.s_suppkey group by 1, 2), "
+             "reps as (select bk_code, code from (select *, row_number() over (partition by bk_code order by round(amount, 4) desc, code) as r "
+             "from amt) where r <= 2)")
+
+
+def _representative(v: Views) -> DataFrame:
+    amt = v.t("lineitem").groupBy(F.col("l_suppkey").alias("code")).agg(F.sum("l_extendedprice").alias("amount"))
+    sa = amt.join(v.constituents(), "code").select("bk_code", "code", F.round("amount", 4).alias("amount"))
+    return X.top_stocks_per_sector(sa, 2).select("bk_code", "code")
+
+
+# weekdays of the post dates: the trading calendar of the order years
+_WEEKDAYS_DUCK = "days as (select distinct cast(l_shipdate as date) as trade_date from lineitem where isodow(cast(l_shipdate as date)) < 6)"
+
+
+@query("sector_attention_daily", with_views("posts_li") + f", {_TOP_DUCK}, {_WEEKDAYS_DUCK}, "
+       "c as (select r.bk_code, p.trade_date as period, count(*) as n from posts_li p join reps r on p.code = r.code group by 1, 2) "
+       "select b.bk_code, d.trade_date as period, coalesce(c.n, 0) as n_posts from (select distinct bk_code from reps) b cross join days d "
+       "left join c on c.bk_code = b.bk_code and c.period = d.trade_date")
+def q_sector_attention_daily(spark, d):
+    """The index as stated: posts about a sector's stocks of the greatest trading amount, on trading days."""
+    v = Views(spark, d)
+    days = v.posts_li().select("trade_date").distinct().where(F.weekday("trade_date") < 5)
+    return X.sector_attention(v.posts_li(), _representative(v), "day", calendar=days)
+
+
+@query("sector_sentiment", with_views("posts_stock", "constituents") +
+       f", l as (select code, day, {_LABEL_CASE.format(p=_contains_sql(BEARISH), c=_contains_sql(BULLISH))} as label from posts_stock), "
+       "j as (select c.bk_code, l.day, l.label from l join constituents c on l.code = c.code) "
+       "select bk_code, day, count(*) as n_posts, count(*) filter (where label = 'put') as n_put, "
+       "count(*) filter (where label = 'call') as n_call, "
+       "round(ln((count(*) filter (where label = 'call') + 1) / (count(*) filter (where label = 'put') + 1)), 6) + 0.0 as bullish "
+       "from j group by bk_code, day")
+def q_sector_sentiment(spark, d):
+    v = Views(spark, d)
+    return _rounded(X.sector_sentiment(L.lexicon_label(v.posts_stock(), BEARISH, BULLISH), v.constituents()), 6, "bullish")

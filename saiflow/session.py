@@ -38,7 +38,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
-_FALLBACK_DIRS: dict[str, str] = {}
+_LOCAL_DIRS: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -46,22 +46,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster names a shared folder there; it is read from the session and
     never replaced (streams keep their checkpoints under it, so the path must
-    stay the same across restarts). Only when it is unset (local tests) a
-    scratch folder is created once per application and registered with
-    ``setCheckpointDir`` (the setting itself cannot change at run time).
+    stay the same across restarts). Without it only a one-machine session
+    (master ``local``) gets a scratch folder, once per application, in
+    ``SAIFLOW_SCRATCH``, which tests set; on a cluster that is an error, as
+    executors do not share a local folder.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
-    if base:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(base)
-        return base
-    app = sc.applicationId
-    if app not in _FALLBACK_DIRS:
-        _FALLBACK_DIRS[app] = tempfile.mkdtemp(prefix="saiflow-ckpt-", dir=os.environ.get("SAIFLOW_SCRATCH", "/tmp"))
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(_FALLBACK_DIRS[app])
-    return _FALLBACK_DIRS[app]
+    if not base:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        app = sc.applicationId
+        if app not in _LOCAL_DIRS:
+            _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="saiflow-ckpt-", dir=os.environ.get("SAIFLOW_SCRATCH") or None)
+        base = _LOCAL_DIRS[app]
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(base)
+    return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -70,6 +71,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; any other failure is raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a staged table; only paths of ``scratch_path`` are accepted."""
+    if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not a staged table")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scale_conf(input_bytes: int, executors: int, cores_per_executor: int,
                target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings for a cluster job over ``input_bytes`` of input.

@@ -13,14 +13,21 @@ def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
-def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_posts_csv(spark: SparkSession, path: str, multi_line: bool = False, with_rejects: bool = False) -> DataFrame:
     """Post CSV export; its header row is discarded and the four columns
-    are named by position (code, dtime, title, author)."""
-    return (spark.read.schema(schemas.POSTS)
-            .option("header", True).option("enforceSchema", True)
-            .option("multiLine", True).option("escape", '"')
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-            .csv(path))
+    are named by position (code, dtime, title, author).
+
+    Files are split among tasks; ``multi_line`` reads quoted line breaks, one
+    task a file. Times may lack seconds. ``with_rejects`` adds ``time_text``,
+    so rows whose time cannot be read (``dtime`` NULL) can be told.
+    """
+    raw = (spark.read.schema("code string, time_text string, title string, author string")
+           .option("header", True).option("enforceSchema", True)
+           .option("multiLine", multi_line).option("escape", '"').csv(path))
+    t = F.trim("time_text")
+    when = F.coalesce(*(F.try_to_timestamp(t, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm")))
+    out = raw.select("code", when.cast("timestamp_ntz").alias("dtime"), "title", "author", "time_text")
+    return out if with_rejects else out.drop("time_text")
 
 
 def read_sector_list(spark: SparkSession, path: str) -> DataFrame:
@@ -44,10 +51,10 @@ def read_viewpoints(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """Term list, one per line, trimmed; blank lines dropped (a blank term
+    """Term list, one per line, all white space trimmed; blank lines dropped (a blank term
     would match every title)."""
     return (spark.read.text(path)
-            .select(F.trim("value").alias("term"))
+            .select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("term"))
             .where(F.length("term") > 0))
 
 

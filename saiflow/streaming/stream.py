@@ -1,12 +1,11 @@
 """Continuous forms of the post load (T1) and of the daily volume.
 
 The original is a batch poller; here landed post files are a streaming file
-source. Event time is the post time. A TIMESTAMP_NTZ column cannot carry a
-watermark, so it is cast to TIMESTAMP (the session zone is UTC in our jobs;
-the cast and its inverse cancel out for any fixed zone).
-
-Posts older than the watermark are not lost: they go through the batch
-backfill (``operators.load.incremental_backfill``), which is idempotent.
+source. Each micro-batch is loaded by the same anti join as a batch load, so a
+post takes effect once however late it lands and however often it is crawled
+or a batch is replayed; no post is dropped by a watermark and no state is kept
+but the stored table. Daily counts are then taken anew from the stored posts
+for the days that the micro-batch touched.
 """
 
 from __future__ import annotations
@@ -16,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..operators.aggregate import daily_post_volume
 from ..operators.clean import clean_posts
+from ..operators.load import append_posts, write_rejects
 from ..operators.parse import parse_forum_page
-from ..operators.load import insert_if_absent, stored_days
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
+from ..sources.sinks import overwrite_partitions
 
 
 def read_landed_posts(spark: SparkSession, landing: str, fmt: str = "parquet",
@@ -40,88 +41,57 @@ def read_landed_pages(spark: SparkSession, landing: str, max_files_per_trigger:
 
 
 def posts_from_pages(pages: DataFrame) -> DataFrame:
-    """Landed pages -> posts (P1; year from each page's fetch time). A pure
-    DataFrame transform, so it runs the same on a stream or a batch."""
-    return parse_forum_page(pages, "fetch", keep=["code"]).select(*schemas.POST_KEYS)
-
-
-def _event_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("event_ts", F.col("dtime").cast("timestamp"))
+    """Landed pages -> posts (P1; year from each page's fetch time), with the
+    text of the time. A pure DataFrame transform, so it runs the same on a stream or a batch."""
+    return parse_forum_page(pages, "fetch", keep=["code"]).select(*schemas.POST_KEYS, "time_text")
 
 
-def _drop_batch_copies(batches):
-    """Drop repeated posts inside each Arrow batch (no state, no shuffle)."""
-    for pdf in batches:
-        yield pdf.drop_duplicates(subset=schemas.POST_KEYS)
+def _start(posts: DataFrame, step, name: str, available_now: bool) -> StreamingQuery:
+    spark = posts.sparkSession
+    ensure_checkpoint_dir(spark)
+    w = posts.writeStream.foreachBatch(step).option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()
 
 
-def dedup_stream(posts: DataFrame, delay: str = "1 day") -> DataFrame:
-    """T1 core: cleaned posts, duplicates dropped within the watermark delay.
-
-    The stateful dedup has no map-side combine, so copies of one post (a
-    re-crawled page, a spam wave) would all reach one state task. Copies are
-    first dropped inside each Arrow batch of each partition (vectorised,
-    stateless), which bounds what reaches a state task to one row per key and
-    batch. State holds each key only until the watermark passes it, so state
-    size is bounded by the posts of one ``delay`` window.
-    """
-    cleaned = clean_posts(posts).select(*schemas.POST_KEYS)
-    local = cleaned.mapInPandas(_drop_batch_copies, schema=schemas.POSTS)
-    return (_event_time(local)
-            .withWatermark("event_ts", delay)
-            .dropDuplicatesWithinWatermark(schemas.POST_KEYS))
+def _load(batch: DataFrame, batch_id: int, target: str, rejects: str | None) -> DataFrame:
+    """Clean a micro-batch and append what is not stored yet; returns the appended posts."""
+    rows = batch.checkpoint(eager=True)
+    if rejects is not None:
+        bad = rows.where(F.greatest(*(F.col(c).isNull() for c in schemas.POST_KEYS)))
+        write_rejects(bad, rejects, f"stream-{batch_id}")
+    return append_posts(batch.sparkSession, clean_posts(rows).select(*schemas.POST_KEYS), target)
 
 
 def start_dedup_load(spark: SparkSession, landing: str, target: str, name: str = "posts_load",
-                     delay: str = "1 day", available_now: bool = True, pages: bool = False) -> StreamingQuery:
-    """Land -> clean -> dedup -> insert-if-absent into the parquet table.
-
-    Each micro-batch anti-joins with the stored keys before appending, so a
-    replayed batch (after a failure between write and commit) appends nothing
-    twice. The table is partitioned by day and the day is a join key, so only
-    the partitions of the batch's days are scanned. Progress is checkpointed
-    in the shared checkpoint folder. ``pages=True``: the landing folder holds
-    raw listing pages, which are parsed in the stream first.
+                     available_now: bool = True, pages: bool = False, rejects: str | None = None) -> StreamingQuery:
+    """Land -> clean -> insert-if-absent into the parquet table.
+
+    Each micro-batch is deduplicated (combined before its shuffle) and
+    anti-joined with the stored keys of its days, so a replayed batch (after a
+    failure between write and commit) and a re-crawled post append nothing
+    twice, and a late post is stored like any other. ``pages=True``: the
+    landing folder holds raw listing pages, which are parsed in the stream
+    first. Posts that cannot be loaded go to the table at ``rejects``.
     """
-    def load(batch: DataFrame, batch_id: int) -> None:
-        # the micro-batch comes out of a stateful operator: evaluate it once
-        rows = batch.select(*schemas.POST_KEYS).withColumn("day", F.to_date("dtime")).persist()
-        ss = batch.sparkSession          # the micro-batch's own session
-        keys = ["day"] + schemas.POST_KEYS
-        try:
-            try:
-                stored = stored_days(ss.read.parquet(target).select(*keys), rows)
-            except Exception:  # first batch: table does not exist yet
-                stored = ss.createDataFrame([], rows.select(*keys).schema)
-            # day is a key and the partition column: only the batch's days are read
-            (insert_if_absent(rows, stored, keys=keys)
-             .write.mode("append").partitionBy("day").parquet(target))
-        finally:
-            rows.unpersist()
-
     src = posts_from_pages(read_landed_pages(spark, landing)) if pages else read_landed_posts(spark, landing)
-    w = (dedup_stream(src, delay)
-         .writeStream.foreachBatch(load)
-         .option("checkpointLocation", scratch_path(spark, f"stream-{name}")))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
-
-
-def daily_volume_stream(posts: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Posts per code and day as tumbling one-day event-time windows."""
-    return (_event_time(posts)
-            .withWatermark("event_ts", delay)
-            .groupBy(F.window("event_ts", "1 day").alias("w"), "code")
-            .agg(F.count(F.lit(1)).alias("n_posts"))
-            .select("code", F.col("w.start").cast("timestamp_ntz").cast("date").alias("trade_date"), "n_posts"))
-
-
-def start_daily_volume(spark: SparkSession, landing: str, sink: str, name: str = "daily_volume",
-                       delay: str = "1 day", available_now: bool = True) -> StreamingQuery:
-    """T2 writer: append mode emits each (code, day) once its window closes."""
-    w = (daily_volume_stream(read_landed_posts(spark, landing), delay)
-         .writeStream.outputMode("append").format("parquet")
-         .option("path", sink)
-         .option("checkpointLocation", scratch_path(spark, f"stream-{name}")))
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start()
+    return _start(src, lambda batch, i: _load(batch, i, target, rejects), name, available_now)
+
+
+def start_daily_volume(spark: SparkSession, landing: str, target: str, sink: str, name: str = "daily_volume",
+                       available_now: bool = True) -> StreamingQuery:
+    """Loads posts as T1 does and keeps the table ``sink`` of posts per code
+    and day (one folder a day), whose touched days are counted anew from the
+    stored posts: an update of exact counts, without an end of lateness."""
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        ss = batch.sparkSession
+        _load(batch, batch_id, target, None)
+        # a replay appends nothing, so the days come from the batch itself
+        days = batch.select(F.to_date("dtime").alias("day")).where("day is not null").distinct().checkpoint(eager=True)
+        if days.isEmpty():
+            return
+        stored = ss.read.parquet(target).join(F.broadcast(days), "day", "left_semi")
+        daily = daily_post_volume(stored.select(*schemas.POST_KEYS))
+        overwrite_partitions(daily.withColumn("day", F.col("trade_date")), sink, ["day"])
+
+    return _start(read_landed_posts(spark, landing), count, name, available_now)

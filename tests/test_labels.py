@@ -50,25 +50,18 @@ def test_term_counts(spark):
     assert got == {("put", "跳水"): 2, ("call", "涨停"): 1}
 
 
-def test_score_sentiment_schema(spark):
-    train = spark.createDataFrame([("good great up", 1.0), ("bad down crash", 0.0)] * 10, "text string, label double")
-    model = L.train_sentiment_model(train, num_features=64)
-    out = L.score_sentiment(model, spark.createDataFrame([("great up",), (None,)], "text string"))
-    rows = out.collect()
-    assert out.columns == ["sentiment_label", "sentiment_key", "positive_probs", "negative_probs", "text"]
-    assert len(rows) == 1 and rows[0].sentiment_key == "positive"
-    assert abs(rows[0].positive_probs + rows[0].negative_probs - 1) < 1e-3
-
-
 def test_token_bayes_small(spark):
-    train = spark.createDataFrame([("up up good", 1), ("good gain", 1), ("down bad", 0), ("bad loss down", 0)],
+    train = spark.createDataFrame([("up up good", 1), ("good gain", 1), ("down bad", 0), ("bad loss down", 0), (None, 1), ("x", None)],
                                   "text string, label int")
-    priors, lp = L.fit_token_bayes(train)
+    prior, words = L.fit_token_bayes(train)
     # V = 6 words; class 1 has 5 tokens: P(up|1) = (2+1)/(5+6)
-    got = {(r.w, r.c): r.lp for r in lp.collect()}
     import math
-    assert abs(got[("up", 1)] - math.log(3 / 11)) < 1e-12 and abs(got[("up", 0)] - math.log(1 / 11)) < 1e-12
-    posts = spark.createDataFrame([(1, "good up"), (2, "bad"), (3, "unseen")], "k int, text string")
-    rows = {r.text: r for r in L.score_token_bayes(priors, lp, posts, "k").collect()}
+    got = {r.w: r.d for r in words.collect()}
+    assert len(got) == 6 and abs(got["up"] - (math.log(1 / 11) - math.log(3 / 11))) < 1e-12
+    posts = spark.createDataFrame([(1, "good up"), (2, "bad"), (3, "unseen"), (4, None)], "k int, text string")
+    out = L.score_token_bayes(prior, words, posts, "k")
+    assert out.columns == ["sentiment_label", "sentiment_key", "positive_probs", "negative_probs", "text"]
+    rows = {r.text: r for r in out.collect()}
+    assert set(rows) == {"good up", "bad", "unseen"}
     assert rows["good up"].sentiment_key == "positive" and rows["bad"].sentiment_key == "negative"
     assert rows["unseen"].positive_probs == 0.5 and rows["unseen"].sentiment_label == 0

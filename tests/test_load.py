@@ -1,12 +1,13 @@
+import os
 import uuid
 
-from pyspark.sql import functions as F
-
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import posts_df
 from saiflow import schemas
 from saiflow.operators import load as D
+from saiflow.session import ensure_checkpoint_dir
 
 NEW = [
     ("zssh000001", "2024-01-05 10:00:00", "c", "u3"),
@@ -58,24 +59,74 @@ def test_incremental_backfill(spark):
         ("B", "2023-12-29 10:00:00", "other year", "u"),
     ])
     got = sorted(r.title for r in D.incremental_backfill(new, stored, 2024).collect())
-    assert got == ["next day", "nothing stored for B"]
+    assert got == ["next day", "nothing stored for B", "same day as stored"]
+    assert D.incremental_backfill(new, new, 2024).count() == 0
+
+
+def bars(spark, rows):
+    return spark.createDataFrame(rows, schemas.SECTOR_DAILY).withColumn("seq", F.monotonically_increasing_id())
 
 
 def test_upsert_bars_partition_overwrite(spark, tmp_path):
-    path = str(tmp_path / "bars")
-    mk = lambda rows: spark.createDataFrame(rows, schemas.SECTOR_DAILY)
-    first = mk([("881101", "20230103", 1.0, 2.0, 0.5, 1.5, 10.0, 100.0),
-                ("881101", "20220103", 1.0, 2.0, 0.5, 1.5, 10.0, 100.0)])
-    D.upsert_bars_to_path(spark, first, path, uuid.uuid4().hex)
-    again = mk([("881101", "20230103", 1.0, 2.0, 0.5, 9.9, 10.0, 100.0),
-                ("881101", "20230104", 1.0, 2.0, 0.5, 1.6, 10.0, 3716640000.0)])
-    D.upsert_bars_to_path(spark, again, path, uuid.uuid4().hex)
+    path, staged = str(tmp_path / "bars"), ensure_checkpoint_dir(spark)
+    first = bars(spark, [("881101", "20230103", 1.0, 2.0, 0.5, 1.5, 10.0, 100.0), ("881101", "20220103", 1.0, 2.0, 0.5, 1.5, 10.0, 100.0)])
+    D.upsert_bars_to_path(spark, first, path, uuid.uuid4().hex, "seq")
+    again = bars(spark, [("881101", "20230103", 1.0, 2.0, 0.5, 9.9, 10.0, 100.0), ("881101", "20230104", 1.0, 2.0, 0.5, 1.6, 10.0, 3716640000.0)])
+    D.upsert_bars_to_path(spark, again, path, uuid.uuid4().hex, "seq")
     rows = {(r.trade_date): r for r in spark.read.parquet(path).collect()}
     assert set(rows) == {"20220103", "20230103", "20230104"}
     assert rows["20230103"].close == 9.9
     assert rows["20230104"].amount == 3716640000.0     # above 2^24, kept exact as DOUBLE
-    D.upsert_bars_to_path(spark, again, path, uuid.uuid4().hex)  # replay: same table
+    D.upsert_bars_to_path(spark, again, path, uuid.uuid4().hex, "seq")  # replay: same table
     assert spark.read.parquet(path).count() == 3
+    assert not any(n.startswith("stage-bars") for n in os.listdir(staged.removeprefix("file:")))
+
+
+def test_upsert_keeps_one_row_per_key(spark, tmp_path):
+    """Duplicates and null keys, on the first load and on a later one."""
+    path = str(tmp_path / "bars")
+    rows = [("A", "20230103", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), ("A", "20230103", 2.0, 2.0, 2.0, 2.0, None, 2.0), (None, "20230103", 3.0, 3.0, 3.0, 3.0, 3.0, 3.0),
+            ("A", None, 3.0, 3.0, 3.0, 3.0, 3.0, 3.0), ("A", "n/a", 3.0, 3.0, 3.0, 3.0, 3.0, 3.0)]
+    for _ in range(2):
+        D.upsert_bars_to_path(spark, bars(spark, rows).coalesce(1), path, uuid.uuid4().hex, "seq")
+        assert [(r.bk_code, r.trade_date, r.open, r.vol) for r in spark.read.parquet(path).collect()] == [("A", "20230103", 2.0, None)]
+
+
+def test_writers_do_not_take_errors_for_a_first_load(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    old = bars(spark, [("A", "20230103", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), ("B", "20230104", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0)])
+    D.upsert_bars_to_path(spark, old, path, uuid.uuid4().hex, "seq")
+    lacking = bars(spark, [("A", "20230103", 7.0, 1.0, 1.0, 1.0, 1.0, 1.0)]).drop("vol")
+    D.upsert_bars_to_path(spark, lacking, path, uuid.uuid4().hex, "seq")   # a lacking column is NULL, stored rows stay
+    assert sorted((r.bk_code, r.open, r.vol) for r in spark.read.parquet(path).collect()) == [("A", 7.0, None), ("B", 1.0, 1.0)]
+    with pytest.raises(ValueError):
+        D.upsert_bars_to_path(spark, old.withColumn("extra", F.lit(1)), path, uuid.uuid4().hex, "seq")
+    broken = tmp_path / "broken"
+    (broken / "day=2024-01-05").mkdir(parents=True)
+    (broken / "day=2024-01-05" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        D.load_posts(spark, posts_df(spark, NEW), str(broken))
+    assert [p.name for p in broken.rglob("*.parquet")] == ["part-0.parquet"]
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_posts_twice_in_one_table_only_once(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    assert D.load_posts(spark, posts_df(spark, []), path) == 0
+    assert D.load_posts(spark, posts_df(spark, NEW[:2]), path) == 2
+    assert D.load_posts(spark, posts_df(spark, NEW), path) == 2
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_rejects_are_kept_by_run(spark, tmp_path):
+    path, rejects = str(tmp_path / "bars"), str(tmp_path / "rejects")
+    payloads = spark.createDataFrame([("A", '({"data":"20230103,1,1,1,1,1,1;bad;20230104,1,x,1,1,1,1"})'), (None, '({"data":"20230103,1,1,1,1,1,1"})')],
+                                     "bk_code string, body string")
+    for run in ("r1", "r1", "r2"):
+        D.load_bars(spark, payloads, path, run, rejects)
+    assert spark.read.parquet(path).count() == 1
+    got = sorted((r.run_id, r.bk_code or "", r.reason) for r in spark.read.parquet(rejects).collect())
+    assert got == [(run, c, why) for run in ("r1", "r2") for c, why in (("", "no_code"), ("A", "bad_number"), ("A", "ragged"))]
 
 
 def test_load_prunes_stored_days(spark, tmp_path):

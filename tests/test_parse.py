@@ -58,27 +58,46 @@ def test_parse_bars_edges(spark):
     bodies = [
         ("881101", 'quotebridge({"data":"20170103,3377.61,3443.5,3375.48,3443.5,274943000,3716640000,x;'
                    '20170104,3460.55,3485.34,3450.91,3483.28,274666000,3556330000;20170105,1,2\n"})'),
-        ("881102", 'no payload here'),
-        ("881103", '({"data":""})'),
-        ("881104", '({"data":"20170103,,1,1,1,1,1"})'),
+        ("881102", "no payload here"), ("881103", '({"data":""})'), ("881104", '({"data":"20170103,,1,1,1,1,1"})'),
+        (None, '({"data":"20170103,1,1,1,1,1,1"})'), ("881105", None), ("881106", '({"data":"2017-01-3,1,1,1,1,1,1;20170230,1,1,1,1,1,1;bad"})'),
     ]
     df = spark.createDataFrame(bodies, "bk_code string, body string")
-    rows = {(r.bk_code, r.trade_date): r for r in P.parse_bars(df).collect()}
-    assert set(rows) == {("881101", "20170103"), ("881101", "20170104"), ("881101", "20170105"), ("881104", "20170103")}
-    r = rows[("881101", "20170103")]
+    good = {(r.bk_code, r.trade_date): r for r in P.parse_bars(df).collect()}
+    assert set(good) == {("881101", "20170103"), ("881101", "20170104")}
+    r = good[("881101", "20170103")]
     assert (r.open, r.close, r.amount) == (3377.61, 3443.5, 3716640000.0)
-    assert rows[("881101", "20170105")].low is None          # short row -> NULL fields
-    assert rows[("881104", "20170103")].open is None         # empty number -> NULL
+    bad = sorted((r.bk_code or "", r.reason) for r in P.parse_bars(df, with_rejects=True).collect() if r.reason)
+    assert bad == [("", "no_code"), ("881101", "ragged"), ("881102", "no_payload"), ("881104", "bad_number"), ("881105", "no_payload"),
+                   ("881106", "bad_date"), ("881106", "bad_date"), ("881106", "ragged")]
 
 
 def test_page_items(spark):
-    df = spark.createDataFrame([(1, "<title>T</title><h1>H</h1><p>a<b>x</b><p>b</p>")], "id int, html string")
+    df = spark.createDataFrame([(1, "<title>T &amp; U</title><script>'<p>no</p>'</script><h1>H</h1><p class=x>a<b>x</b> y<p>b</p>"), (2, None)], "id int, html string")
     got = [(r.kind, r.text) for r in P.extract_page_items(df, keep=["id"]).orderBy("pos").collect()]
-    assert got == [("title", "T"), ("h1", "H"), ("p", "a"), ("p", "b")]
+    assert got == [("title", "T & U"), ("h1", "H"), ("p", "ax y"), ("p", "b")]
+
+
+def test_forum_markup_as_browsers_read_it(spark):
+    page = """<div id=articlelistnew><div class='x normal_post'><span class="l3 a3"><em>!</em><a class=q href='/n' title='A&amp;B &quot;q&quot; &#36;'>s</a></span>
+<span class='l4 a4'><font> u <b>v</b> </font></span><span class="l5 a5"> 01-05 10:31 </span></div><div class=normal_post></div></div>
+<div class="normal_post"><span class="l3 a3"><a title="outside">x</a></span></div>"""
+    rows = P.parse_forum_page(spark.createDataFrame([(page,)], "html string"), 2024).collect()
+    assert [(r.title, r.author, r.dtime) for r in rows] == [('A&B "q" $', " u v ", dt.datetime(2024, 1, 5, 10, 31))]
+
+
+def test_constituents(spark):
+    page = '<nav><a target="_blank">no</a></nav><div class="body m-pager-box"><table><tbody><tr><td><a href="/c" target="_blank">600000</a></td>' \
+           '<td><a target="_blank">浦发&amp;银行</a></td><td><a>+</a></td></tr></tbody></table></div>'
+    df = spark.createDataFrame([("k", page), ("none", "<p>x</p>"), ("null", None)], "bk_code string, html string")
+    assert [tuple(r) for r in P.extract_constituents(df, keep=["bk_code"]).collect()] == [("k", 0, "600000", "浦发&银行")]
+    pairs = P.extract_constituents(spark.createDataFrame([("<a target=_blank>1</a><a>no</a><a x='' target='_blank'>n</a>",)], "html string"), dynamic=False)
+    assert [(r.code, r.name) for r in pairs.collect()] == [("1", "n")]
 
 
 def test_post_year_from_fetch(spark):
-    df = spark.createDataFrame([("12-31 10:00", dt.datetime(2024, 1, 2, 8, 0)), ("01-02 07:00", dt.datetime(2024, 1, 2, 8, 0))],
+    df = spark.createDataFrame([("12-31 10:00", dt.datetime(2024, 1, 2, 8, 0)), ("01-02 07:00", dt.datetime(2024, 1, 2, 8, 0)),
+                                ("01-20 07:00", dt.datetime(2024, 1, 5, 8, 0)), ("02-29 07:00", dt.datetime(2025, 1, 5, 8, 0))],
                                "t string, f timestamp_ntz")
     rows = df.select(P.parse_post_time("t", P.post_year_from_fetch("t", "f")).alias("ts")).collect()
-    assert [r.ts for r in rows] == [dt.datetime(2023, 12, 31, 10, 0), dt.datetime(2024, 1, 2, 7, 0)]
+    assert [r.ts for r in rows] == [dt.datetime(2023, 12, 31, 10, 0), dt.datetime(2024, 1, 2, 7, 0),
+                                    dt.datetime(2023, 1, 20, 7, 0), dt.datetime(2024, 2, 29, 7, 0)]

@@ -45,3 +45,13 @@ def test_no_shuffle_join_on_few_valued_keys(spark, name):
     shuffle on a handful of key values would funnel rows into a few tasks."""
     p = plan(queries()[name](spark, SF))
     assert not re.search(r"SortMergeJoin \[(c|bk|year|day)#\d+\], ", p)
+
+
+@pytest.mark.parametrize("name", ["sector_attention", "sector_attention_daily", "sector_sentiment"])
+def test_posts_are_counted_before_they_meet_constituents(spark, name):
+    """A hot stock reaches the join as one row a period: below the join lies an aggregate by code."""
+    p = plan(queries()[name](spark, SF))
+    joins = [k for k, line in enumerate(p.splitlines()) if re.search(r"Join \[code#\d+", line)]
+    assert joins
+    below = ["\n".join(p.splitlines()[k:]) for k in joins]
+    assert any(re.search(r"HashAggregate\(keys=\[code#\d+[^\]]*, ", b) for b in below)

@@ -32,3 +32,25 @@ def test_configured_checkpoint_dir_is_used(spark):
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         assert ensure_checkpoint_dir(spark) == configured
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    """Executors of a cluster do not share a local folder, so none is made up for them."""
+    import pytest
+    from saiflow.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())

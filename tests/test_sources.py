@@ -1,5 +1,8 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from saiflow import sources
 from saiflow.operators import aggregate as A
 
@@ -20,7 +23,7 @@ def test_sector_tsv_calendar_terms(spark, tmp_path):
     (tmp_path / "cal.csv").write_text("2024-01-02\n2024-01-03\n", encoding="utf-8")
     cal = sources.read_calendar(spark, str(tmp_path / "cal.csv"))
     assert [r.trade_date for r in cal.collect()] == [dt.date(2024, 1, 2), dt.date(2024, 1, 3)]
-    (tmp_path / "terms.txt").write_text(" 跳水 \n\n快跑\n", encoding="utf-8")
+    (tmp_path / "terms.txt").write_text(" 跳水 \n\n\u3000快跑\t\n \t\n", encoding="utf-8")
     assert [r.term for r in sources.read_terms(spark, str(tmp_path / "terms.txt")).collect()] == ["跳水", "快跑"]
 
 
@@ -29,15 +32,52 @@ def test_tsv_sink_and_param_sql(spark, tmp_path):
     sources.write_tsv(df, str(tmp_path / "out"))
     back = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out"))
     assert sorted(tuple(r) for r in back.collect()) == [("a", "1"), ("b", "2")]
-    got = sources.param_sql(spark, "select author from t where n_posts > :k", {"k": 1}, t=df).collect()
+    got = sources.param_sql(spark, "select author from {t} where n_posts > :k", {"k": 1}, t=df).collect()
     assert [r.author for r in got] == ["b"]
 
 
-def test_viewpoints_chunks(spark):
+def test_param_sql_leaves_session_views(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    assert sources.param_sql(spark, "select count(*) n from {mine}", mine=spark.range(5)).first().n == 5
+    assert spark.table("mine").count() == 3
+
+
+def test_tsv_quotes_are_doubled(spark, tmp_path):
+    sources.write_tsv(spark.createDataFrame([('a "b"\tc', "x")], "t string, u string"), str(tmp_path / "q"))
+    text = next((tmp_path / "q").glob("part-*")).read_text()
+    assert '"a ""b""\tc"\tx' in text
+
+
+def test_posts_csv_splits_and_tells_bad_times(spark, tmp_path):
+    p = tmp_path / "posts.csv"
+    p.write_text("a,b,c,d\n" + "600999,2024-01-02 11:00,x,y\n600999,soon,x,y\n" * 4000, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+        df = sources.read_posts_csv(spark, str(p), with_rejects=True)
+        assert df.rdd.getNumPartitions() > 1
+        assert df.where("dtime is null").select("time_text").distinct().collect()[0][0] == "soon"
+        assert df.where("dtime is not null").count() == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_append_refuses_other_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sources.append_by_name(spark.range(2), path)
+    sources.append_by_name(spark.range(2), path)
+    with pytest.raises(ValueError):
+        sources.append_by_name(spark.range(2).withColumn("x", F.lit(1)), path)
+    with pytest.raises(ValueError):
+        sources.jdbc_read(spark, "jdbc:none", "t")
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_viewpoints_keep_order_and_nulls(spark):
     views = spark.createDataFrame([("2024-01-02", "x", 5), ("2024-01-02", "y", 1), ("2024-01-01", "z", 2),
-                                   (None, "w", 3), ("2024-01-02", "v", 4100)], "dt string, viewpoint string, ord long")
-    rows = A.viewpoints_by_day(views, "2024-01-02", chunk=4096).orderBy("part").collect()
-    assert [(r.part, r.viewpoints) for r in rows] == [(0, "y␞x"), (1, "v")]
+                                   (None, "w", 3), ("2024-01-02", None, 4100), ("2024-01-03", "u", 7)], "dt string, viewpoint string, ord long")
+    rows = A.viewpoints_by_day(views, "2024-01-02").orderBy("dt", "pos").collect()
+    assert [tuple(r) for r in rows] == [("2024-01-02", 0, "y"), ("2024-01-02", 1, "x"), ("2024-01-02", 2, None), ("2024-01-03", 0, "u")]
 
 
 def test_histogram_equal_values(spark):

@@ -28,72 +28,49 @@ def test_stream_dedup_load_matches_batch_and_is_idempotent(spark, tmp_path):
     root = str(tmp_path)
     posts = _land(spark, root)
     landing, target = f"{root}/landing", f"{root}/posts"
-    q = S.start_dedup_load(spark, landing, target, name=f"t1-{uuid.uuid4().hex}", delay="40 days")
+    q = S.start_dedup_load(spark, landing, target, name=f"t1-{uuid.uuid4().hex}")
     q.awaitTermination()
     got = spark.read.parquet(target).drop("day")
     want = dedup_posts(clean_posts(posts))
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0
     # a second run over the same files (new checkpoint) appends nothing
-    q2 = S.start_dedup_load(spark, landing, target, name=f"t1b-{uuid.uuid4().hex}", delay="40 days")
+    q2 = S.start_dedup_load(spark, landing, target, name=f"t1b-{uuid.uuid4().hex}")
     q2.awaitTermination()
     assert spark.read.parquet(target).count() == want.count()
     assert {r.day for r in spark.read.parquet(target).select("day").distinct().collect()} == \
         {r.d for r in want.select(F.to_date("dtime").alias("d")).distinct().collect()}
 
 
-def test_stream_daily_volume_matches_batch(spark, tmp_path):
-    root = str(tmp_path)
-    posts = _land(spark, root)
-    src = S.read_landed_posts(spark, f"{root}/landing/batch=[0-2]")
-    q = (S.daily_volume_stream(src, "40 days").writeStream.outputMode("update").format("memory")
-         .queryName("t2_daily").option("checkpointLocation", f"{root}/ck2").trigger(availableNow=True).start())
-    q.awaitTermination()
-    got = spark.table("t2_daily").groupBy("code", "trade_date").agg(F.max("n_posts").alias("n_posts"))
-    want = daily_post_volume(posts)
-    assert got.count() == want.count()
-    assert got.exceptAll(want).count() == 0
-
-
-def test_late_row_is_left_to_backfill(spark, tmp_path):
-    """A post older than the watermark does not change a closed window; the
-    batch backfill (idempotent) is the path for it."""
-    import datetime as dt
+def test_late_same_day_and_replayed_posts_count_once(spark, tmp_path):
+    """A late post, a post of a stored day and a replay are each in the table and the daily count once."""
     root = str(tmp_path)
     mk = lambda rows: spark.createDataFrame(
         [("A", dt.datetime.fromisoformat(t), ti, "u") for t, ti in rows], schemas.POSTS)
-    mk([("2024-01-02 10:00:00", "a"), ("2024-01-10 10:00:00", "b")]).write.parquet(f"{root}/land/f1")
-    ck = f"{root}/ck-late"
-
-    def run():
-        src = S.read_landed_posts(spark, f"{root}/land/*")
-        q = (S.daily_volume_stream(src, "1 day").writeStream.outputMode("update")
-             .foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{root}/updates"))
-             .option("checkpointLocation", ck).trigger(availableNow=True).start())
-        q.awaitTermination()
-
-    run()
-    mk([("2024-01-02 11:00:00", "late"), ("2024-01-11 10:00:00", "c")]).write.parquet(f"{root}/land/f2")
-    run()
-    upd = spark.read.parquet(f"{root}/updates").groupBy("trade_date").agg(F.max("n_posts").alias("n_posts"))
-    got = {(r.trade_date.isoformat(), r.n_posts) for r in upd.collect()}
-    assert ("2024-01-02", 2) not in got and ("2024-01-02", 1) in got
-    assert ("2024-01-11", 1) in got
-
-
-def test_daily_volume_append_sink_emits_closed_windows(spark, tmp_path):
-    """Append mode writes a (code, day) once the watermark has passed the day's
-    end; the still-open last days stay in state."""
+    name = f"t2-{uuid.uuid4().hex}"
+
+    def run(name):
+        S.start_daily_volume(spark, f"{root}/land/*", f"{root}/posts", f"{root}/daily", name=name).awaitTermination()
+        return {(str(r.trade_date), r.n_posts) for r in spark.read.parquet(f"{root}/daily").collect()}
+
+    mk([("2024-01-02 10:00:00", "a"), ("2024-01-10 10:00:00", "b"), ("2024-01-10 10:00:00", "b")]).write.parquet(f"{root}/land/f1")
+    assert run(name) == {("2024-01-02", 1), ("2024-01-10", 1)}
+    mk([("2024-01-02 11:00:00", "late"), ("2024-01-10 11:00:00", "same day"), ("2024-01-11 10:00:00", "c"),
+        ("2024-01-10 10:00:00", "b")]).write.parquet(f"{root}/land/f2")
+    want = {("2024-01-02", 2), ("2024-01-10", 2), ("2024-01-11", 1)}
+    assert run(name) == want
+    assert run(f"{name}-replay") == want          # a new checkpoint reads all files again
+    assert spark.read.parquet(f"{root}/posts").count() == 5
+
+
+def test_stream_daily_volume_matches_batch(spark, tmp_path):
     root = str(tmp_path)
     posts = _land(spark, root)
-    q = S.start_daily_volume(spark, f"{root}/landing/batch=[0-2]", f"{root}/daily", name=f"t2-{uuid.uuid4().hex}")
-    q.awaitTermination()
-    got = spark.read.parquet(f"{root}/daily")
-    want = daily_post_volume(posts)
-    last = posts.agg(F.max("dtime")).first()[0].date()
-    closed = want.where(F.col("trade_date") < F.lit(last - dt.timedelta(days=1)))
-    assert got.exceptAll(want).count() == 0          # nothing emitted is wrong
-    assert closed.exceptAll(got).count() == 0        # every closed day is emitted
+    S.start_daily_volume(spark, f"{root}/landing", f"{root}/posts", f"{root}/daily", name=f"t2-{uuid.uuid4().hex}").awaitTermination()
+    got = spark.read.parquet(f"{root}/daily").select("code", "trade_date", "n_posts")
+    want = daily_post_volume(dedup_posts(clean_posts(posts)))
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0
 
 
 PAGE = """<div id="articlelistnew">
@@ -107,14 +84,17 @@ def test_page_stream_and_batch_ingest_agree(spark, tmp_path):
     from saiflow.operators.load import ingest_pages
     root = str(tmp_path)
     fetched = dt.datetime(2024, 1, 3, 18, 0)
-    rows = [(1, "zssh000001", "u1", PAGE.format(t1="跨年帖", a1="甲", d1="12-31 10:00", t2="新年帖", a2="乙", d2="01-02 10:30"), fetched),
+    rows = [(3, "zssh000001", "u3", PAGE.format(t1="无时间", a1="甲", d1="soon", t2="新年帖", a2="乙", d2="01-02 10:30"), fetched),
+            (1, "zssh000001", "u1", PAGE.format(t1="跨年帖", a1="甲", d1="12-31 10:00", t2="新年帖", a2="乙", d2="01-02 10:30"), fetched),
             (2, "zssh000001", "u2", PAGE.format(t1="新年帖", a1="乙", d1="01-02 10:30", t2="$公告", a2="丙", d2="01-02 11:00"), fetched)]
     pages = spark.createDataFrame(rows, schemas.RAW_PAGES)
     pages.write.parquet(f"{root}/pages")
     q = S.start_dedup_load(spark, f"{root}/pages", f"{root}/stream_posts", name=f"pg-{uuid.uuid4().hex}",
-                           delay="400 days", pages=True)
+                           pages=True, rejects=f"{root}/stream_rejects")
     q.awaitTermination()
-    assert ingest_pages(spark, pages, f"{root}/batch_posts") == 2
+    assert ingest_pages(spark, pages, f"{root}/batch_posts", rejects=f"{root}/rejects") == 2
+    for table in ("rejects", "stream_rejects"):
+        assert [(r.time_text, r.title) for r in spark.read.parquet(f"{root}/{table}").collect()] == [("soon", "无时间")]
     s_rows = sorted((r.dtime, r.title) for r in spark.read.parquet(f"{root}/stream_posts").collect())
     b_rows = sorted((r.dtime, r.title) for r in spark.read.parquet(f"{root}/batch_posts").collect())
     assert s_rows == b_rows == [(dt.datetime(2023, 12, 31, 10, 0), "跨年帖"), (dt.datetime(2024, 1, 2, 10, 30), "新年帖")]

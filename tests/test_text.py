@@ -51,3 +51,24 @@ def test_pooled_regression(spark):
     got = {r.term: r for r in pooled_regression(df, "y", ["x1", "x2"]).collect()}
     assert abs(got["x1"].coef - 2.0) < 1e-2 and abs(got["x2"].coef + 1.0) < 1e-2
     assert abs(got["intercept"].coef - 0.5) < 5e-2 and got["x1"].std_err > 0
+
+
+def test_duplicate_vectors_and_title_similarity(spark):
+    vecs = spark.createDataFrame([("钢铁", [1.0, 0.0]), ("钢铁", [1.0, 0.0]), ("煤炭", [1.0, 1.0]), ("煤炭", [9.0, 1.0])], "word string, vec array<float>")
+    words = spark.createDataFrame([(1, "煤炭")], "post_id int, word string")
+    assert [r.similarity for r in N.anchor_similarity(words, vecs, "钢铁").collect()] == [0.707]
+    posts = spark.createDataFrame([(1, "煤炭大涨钢铁"), (2, "大涨")], "post_id int, title string")
+    pos = spark.createDataFrame([("煤炭", "n"), ("钢铁", "n"), ("大涨", "v")], "word string, tag string")
+    got = N.title_similarity(posts, ["煤炭", "大涨", "钢铁"], pos, vecs, "钢铁").collect()
+    assert [(r.post_id, r.similarity) for r in got] == [(1, round((0.7071067811865475 + 1) / 2, 3))]
+
+
+def test_small_slopes_are_kept(spark):
+    from saiflow.operators.index import attention_regression
+    days = [__import__("datetime").date(2024, 1, d) for d in range(1, 29)]
+    n = [1_000_000 + 37 * k * k for k in range(28)]
+    sai = spark.createDataFrame([("s", d, x) for d, x in zip(days, n)], "bk_code string, period date, n_posts long")
+    ret = spark.createDataFrame([("s", d, 1e-9 * n[k - 1] if k else None, 1.0) for k, d in enumerate(days)],
+                                "bk_code string, period date, ret double, log_amount double")
+    r = attention_regression(sai, ret).first()
+    assert abs(r.slope - 1e-9) < 1e-15 and r.n_obs == 27
