@@ -109,4 +109,52 @@ QUERIES: dict[str, Query] = {
     "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+# DuckDB SQL for the queries that need no tokenizer, trained weights or hash of Spark's own.
+_OP1_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, i, md5(substr(h, cast(2 * i + 1 as integer), 400)) as k
+      from (select doc_id, h, unnest(range(0, n - 199)) as i from d where n >= 200)),
+r as (select k from w group by k having count(*) > 1),
+s as (select w.doc_id, w.i from w join r on w.k = r.k),
+g as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as new from s),
+b as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from g),
+spans as (select doc_id, min(i) as a, max(i) + 200 as z from b group by doc_id, run),
+gaps as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) as a, a as z from spans
+         union all select d.doc_id, coalesce(max(s.z), 0), max(d.n) from d left join spans s on s.doc_id = d.doc_id group by d.doc_id),
+kept as (select g.doc_id, string_agg(substr(d.h, cast(2 * g.a + 1 as integer), cast(2 * (g.z - g.a) as integer)), '' order by g.a) as h
+         from gaps g join d on d.doc_id = g.doc_id group by g.doc_id)
+select d.doc_id, d.n as n_bytes, cast(coalesce((select sum(z - a) from spans s where s.doc_id = d.doc_id), 0) as bigint) as n_removed,
+(select count(*) from spans s where s.doc_id = d.doc_id) as n_spans, sha256(unhex(kept.h)) as kept_sha256
+from d join kept on kept.doc_id = d.doc_id
+"""
+
+_OP2_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select page_id, h, sha1(h) as s, min(page_id) over (partition by h) as first from p)
+select page_id, strlen(h) as payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  cast(((cast('0x' || substr(s, cast((i // 4) * 5 + 1 as integer), 5) as integer) >> cast(15 - 5 * (i % 4) as integer)) & 31) + 1 as integer), 1)), '')
+  as payload_digest,
+case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id = first then null else first end as refers_to
+from f
+"""
+
+_OP4_SQL = r"""
+with recursive t as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') as g
+      from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) as i from t where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+link as (select a.doc_id as x, b.doc_id as y from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join n na on na.doc_id = a.doc_id
+         join n nb on nb.doc_id = b.doc_id group by a.doc_id, b.doc_id, na.n, nb.n having 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach as (select doc_id as x, doc_id as y from t union select r.x, l.y from reach r join link l on l.x = r.y),
+c as (select x as doc_id, min(y) as component_id from reach group by x)
+select t.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, t.doc_id = c.component_id as kept
+from t join c on c.doc_id = t.doc_id left join n on n.doc_id = t.doc_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_suffix_dedup": _OP1_SQL,
+    "op2_warc": _OP2_SQL,
+    "op4_circulant_minhash": _OP4_SQL,
+}
