@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import micros_of_day_text
+from ..session import ensure_checkpoint_dir
 
 
 # ---- simple predicates ------------------------------------------------------
@@ -232,11 +233,13 @@ def longest_name_match(posts: DataFrame, names: DataFrame, key_cols: list[str],
     (cap, 2*cap], and so on until no title reaches the band's top. The loop
     runs at most log2(longest title) times.
     """
+    ensure_checkpoint_dir(posts.sparkSession)
     base = posts.select(*key_cols, F.col(title_col).alias("_t"))
     bands = []
     todo, lo, hi = base, 1, start_cap
     while True:
-        best = _best_in_band(todo, names, key_cols, lo, hi).persist()
+        # written to the shared folder: read twice, and no cache is left behind
+        best = _best_in_band(todo, names, key_cols, lo, hi).checkpoint(eager=True)
         bands.append(best)
         reached = best.where(F.col("max_len") >= hi).select(*key_cols)
         if reached.isEmpty():

@@ -7,7 +7,7 @@ import re
 import sys
 
 sys.path.insert(0, ".")
-from __spark_entry__ import queries  # noqa: E402
+from saiflow.plans.catalog import QUERIES  # noqa: E402
 from saiflow.session import build_session  # noqa: E402
 
 
@@ -31,16 +31,10 @@ def summarize(plan: str) -> dict:
     }
 
 
-def main():
-    d = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    spark = build_session()
-    print(f"# Executed plans at {d.rsplit('/', 1)[-1]} (final adaptive plans)\n")
-    print("Generated by `tools/plan_report.py`. `shuffles` counts exchanges; `single` the one-row "
-          "SinglePartition exchanges of global aggregates (after map-side partial aggregation); "
-          "`subq` distinct scalar subqueries (each evaluated once).\n")
+def table(spark, d: str) -> None:
     print("| query | shuffles | single | joins | windows | subq | codegen spans | python | pushed filters |")
     print("|---|---|---|---|---|---|---|---|---|")
-    for name, fn in queries().items():
+    for name, fn in QUERIES.items():
         df = fn(spark, d)
         # run through the DataFrame's own query execution, so the adaptive
         # plan printed below is the final one (results are small at this scale)
@@ -56,5 +50,20 @@ def main():
               f"{s['codegen']} | {'yes' if s['python'] else '-'} | {pushed} |")
 
 
+def main():
+    d = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+    spark = build_session()
+    print(f"# Executed plans at {d.rsplit('/', 1)[-1]} (final adaptive plans)\n")
+    print("Generated by `tools/plan_report.py`. `shuffles` counts exchanges; `single` the one-row "
+          "SinglePartition exchanges of global aggregates (after map-side partial aggregation); "
+          "`subq` distinct scalar subqueries (each evaluated once).\n")
+    table(spark, d)
+    # as on tables whose sides are too large to broadcast; only hinted sides still are
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, "-1")
+    print("\n## Without automatic broadcasts\n")
+    table(spark, d)
+
+
 if __name__ == "__main__":
     main()
