@@ -19,7 +19,8 @@ boundary nearest to its target.
 Defined results: a null text has size 1 and the checksum of no bytes; a null
 id sorts first; repeated rows share a key, stay on one side of a boundary and
 are numbered in any order; an empty table gives no rows; other columns are
-kept by ``histogram_sort`` (names that start with "_hs_" are its own).
+kept by ``histogram_sort``, but for size, text_crc32, shard and slot, which are
+replaced (names that start with "_hs_" are its own).
 """
 
 from __future__ import annotations

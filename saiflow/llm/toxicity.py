@@ -20,7 +20,8 @@ and nothing is shuffled but ids.
 Defined results: a text that is null or without words gets the classifier's
 score of no evidence; without any toxic text all scores are 0; documents
 without an id are scored but not learned from; repeated rows are scored each; an id
-labelled both ways is toxic; an empty table gives no rows; other columns are ignored.
+labelled both ways is toxic; an empty table gives no rows; other columns are ignored (score
+and predicted are replaced).
 """
 
 from __future__ import annotations
