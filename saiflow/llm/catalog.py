@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import archive, backoff, decontaminate, imatch, minhash, packing, sharding, suffix_dedup, token_rollup, toxicity
-from .common import stage, table
+from .common import perhaps, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,16 +34,17 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches over all documents: all are inserted; copies of a text with a smaller id are deleted (sent
     twice); the rest of low labelled quality is counted anew with another tokenizer. The result is the totals."""
     first, second = "word_bpe_49k", "byte_bpe_50k"
-    docs = table(spark, sf_dir, "documents").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    body = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").withColumn("d1", F.xxhash64(body)).withColumn("d2", F.xxhash64(F.lit(17), body))
     low = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id").distinct()
-    keep = ["doc_id", "source", "lang", "digest"]
+    text, keep = ["d1", "d2"], ["doc_id", "source", "lang", "d1", "d2"]
     counted = stage(spark, token_rollup.with_tokens(docs, token_rollup.word_counter(tokenizer_file(f"{first}.json")), keep), "token-counts")
-    copies = counted.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = counted.join(copies, "digest").filter("doc_id > least")
-    left = counted.join(low, "doc_id").join(copies, "digest", "left").filter("least is null or doc_id <= least")
-    again = docs.join(low, "doc_id").select("doc_id", "digest", "text").distinct()
-    again = token_rollup.with_tokens(again, token_rollup.library_counter(tokenizer_file(f"{second}.json")), ["doc_id", "digest"])
-    changed = left.join(again.withColumnRenamed("tokens", "new_tokens"), ["doc_id", "digest"])
+    copies = counted.groupBy(*text).agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    gone = counted.join(copies, text).filter("doc_id > least")
+    left = counted.join(low, "doc_id").join(copies, text, "left").filter("least is null or doc_id <= least")
+    again = perhaps(docs.select("doc_id", *text, "text"), low, "doc_id").join(low, "doc_id").distinct()
+    again = token_rollup.with_tokens(again, token_rollup.library_counter(tokenizer_file(f"{second}.json")), ["doc_id", *text])
+    changed = stage(spark, left.join(again.withColumnRenamed("tokens", "new_tokens"), ["doc_id", *text]), "token-recounts")
 
     rollup = token_rollup.Rollup(spark, scratch_path(spark, f"token-rollup-{uuid.uuid4().hex}"))
     rollup.commit(1, token_rollup.signed(counted, 1, first))

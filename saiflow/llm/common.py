@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
@@ -50,3 +52,20 @@ def byte_slices(column: pa.Array, limit: int = 1 << 20):
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
         yield a, b, data[off[a]:off[b]], off[a:b + 1] - off[a]
         a = b
+
+
+def perhaps(rows: DataFrame, ids: DataFrame, key: str = "node", bits: int = 22) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``ids``, to be joined then with a smaller
+    shuffle: a bitmap of 2^bits hash classes of keys, whose size does not depend on the data, goes to all tasks."""
+    number = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    classes = ids.select(number.alias("c"))
+    longs = classes.groupBy(F.shiftright("c", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias("w")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[longs.column("at").to_numpy()] = longs.column("w").to_numpy()
+
+    @F.pandas_udf("boolean")
+    def maybe(c: pd.Series) -> pd.Series:
+        c = c.to_numpy()
+        return pd.Series((bitmap[c >> 6] >> (c & 63)) & 1 == 1)
+
+    return rows.filter(maybe(number))
