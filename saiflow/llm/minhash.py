@@ -36,13 +36,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, stage
+from .common import perhaps, spread, stage
 from .components import connected_components
 
 PLACES = 1 << 20
@@ -159,23 +158,10 @@ def _alike(pairs: DataFrame, nodes: DataFrame, least: int, percent: int) -> Data
     return near.select("u", "v", "su", "sv").mapInArrow(agree, "u long, v long")
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, bits: int = 22) -> DataFrame:
-    """(node, text) of the wanted nodes. Documents that cannot be wanted are dropped before the shuffle,
-    by a bitmap of 2^bits hash classes of ids (its size does not depend on the data)."""
-    classes = ids.select(F.xxhash64("node").bitwiseAND(F.lit((1 << bits) - 1)).alias("c"))
-    words_ = classes.groupBy(F.shiftright("c", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias("w"))
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    for r in words_.collect():
-        bitmap[r["at"]] = r["w"]
-
-    @F.pandas_udf("boolean")
-    def maybe(c: pd.Series) -> pd.Series:
-        c = c.to_numpy()
-        return pd.Series((bitmap[c >> 6] >> (c & 63)) & 1 == 1)
-
+def _texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the wanted nodes (distinct)."""
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).filter("node is not null")
-    some = rows.filter(maybe(F.xxhash64("node").bitwiseAND(F.lit((1 << bits) - 1))))
-    return some.join(ids.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return perhaps(rows, ids).join(ids, "node", "left_semi").dropDuplicates(["node"])
 
 
 def _confirm(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -325,8 +311,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     # step 1: every set with the least set of each of its bands
     least = least_agreement(bands * rows, percent, margin)
     narrow = nodes.select("node", "n_shingles", "sig")
-    stars = members.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    stars = stage(spark, _alike(stars, narrow, least, percent), "minhash-stars")
+    stars = stage(spark, members.filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "minhash-met")
+    met = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node")))
+    stars = stage(spark, _alike(stars, perhaps(narrow, met), least, percent), "minhash-stars")
     ends = stars.select(F.col("u").alias("node")).union(stars.select(F.col("v").alias("node"))).distinct()
     links = _confirm(spark, stars, stage(spark, _texts_of(ends, docs, id_col, text_col), "minhash-texts"), shingle_words, percent)
     parts = stage(spark, connected_components(spark, links), "minhash-components")
@@ -344,7 +331,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         fit, large = _mixed_bands(stage(spark, deeper, "minhash-split"), band_limit if depth < 3 else 1 << 62)
         work = work.unionByName(fit)
     work = stage(spark, work, "minhash-mixed")
-    full = work.join(nodes.select("node", "n_shingles", "sig", "bands"), "node")
+    full = work.join(perhaps(nodes.select("node", "n_shingles", "sig", "bands"), work), "node")
     wanted = stage(spark, _to_compare(full, spread(spark), least, percent), "minhash-ends")
     texts = _texts_of(wanted.select("node").distinct(), docs, id_col, text_col)
     held = full.join(wanted, ["key", "node"], "left_semi").join(texts, "node")
