@@ -26,8 +26,8 @@ by its length.
 Defined results: a null text is empty, has no spans and keeps b""; texts
 shorter than the window keep all; repeated rows count as separate texts, so
 both lose all their bytes if they are as long as a window; an empty table
-gives no rows; other columns are kept (names that start with "_sd_" are the
-operator's own).
+gives no rows; other columns are kept, but for n_bytes, kept and spans, which
+are replaced (names that start with "_sd_" are the operator's own).
 """
 
 from __future__ import annotations
@@ -145,15 +145,16 @@ def _intervals(starts: set[int]) -> list[tuple[int, int]]:
 
 
 def _resolve_segments(segments: DataFrame, length: int, parts: int) -> DataFrame:
-    """Repeated window starts of segments whose grams have several: key, seg, from, to."""
-    schema = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
+    """Repeated window starts of segments whose grams have several: key, seg, marks array<struct<from, to>>."""
+    mark = pa.struct([("from", pa.int32()), ("to", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("seg", pa.int64()), ("marks", pa.list_(mark))])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch, names, own, last = _Batch(length), [], [], None
 
         def out() -> pa.RecordBatch:
-            rows = [(*names[number], a, b) for number, starts in batch.resolve().items() for a, b in _intervals(starts)]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 4, schema)], schema=schema)
+            rows = [(*names[number], [{"from": a, "to": b} for a, b in _intervals(starts)]) for number, starts in batch.resolve().items()]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 3, schema)], schema=schema)
 
         for b in batches:
             for key, seg, copies, raw, x0, span in zip(*(b.column(c).to_pylist() for c in ("key", "seg", "copies", "raw", "x0", "span"))):
@@ -170,7 +171,7 @@ def _resolve_segments(segments: DataFrame, length: int, parts: int) -> DataFrame
             batch.add_gram(own)
         yield out()
 
-    return segments.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(resolve, "key long, seg long, from int, to int")
+    return segments.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(resolve, "key long, seg long, marks array<struct<from:int,to:int>>")
 
 
 def _count_windows(segments: DataFrame, length: int) -> DataFrame:
@@ -188,14 +189,18 @@ def _count_windows(segments: DataFrame, length: int) -> DataFrame:
 
     rows = segments.mapInArrow(windows, "key long, seg long, copies long, start int, a long, b long")
     twice = rows.groupBy("a", "b").agg(F.sum("copies").alias("n")).filter("n >= 2").drop("n")
-    return rows.join(twice, ["a", "b"], "left_semi").select("key", "seg", F.col("start").alias("from"), F.col("start").alias("to"))
+    found = rows.join(twice, ["a", "b"], "left_semi")
+    # a segment has no more window starts than an anchor spans
+    return found.groupBy("key", "seg").agg(F.collect_list(F.struct(F.col("start").alias("from"), F.col("start").alias("to"))).alias("marks"))
 
 
 def repeated_windows(spark: SparkSession, texts: DataFrame, length: int, gram: int, group_limit: int) -> DataFrame:
-    """Starts of repeated windows of each distinct text (columns text, digest): digest, marks array<struct<from, to>>."""
+    """Starts of repeated windows of each distinct text (columns text, digest): a, b (its digest), marks
+    array<struct<lo, marks array<struct<from, to>>>>, the inner ones counted from lo."""
     occurrences = _occurrences(texts, length, gram)
     common = occurrences.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    places = (occurrences.join(common, "key").groupBy("key", "seg", "a", "b", "lo", "span", "x0").agg(F.count("*").alias("n")))
+    # grouped without the gram, which the segment implies: the join keeps no grouping, so a hot gram can be split
+    places = (occurrences.join(common, "key").groupBy("seg", "a", "b", "lo", "span", "x0").agg(F.min("key").alias("key"), F.count("*").alias("n")))
     places = stage(spark, places, "repeat-places")
     segs = places.groupBy("key", "seg").agg(F.sum("n").alias("copies"), F.min(F.struct("a", "b", "lo", "span", "x0")).alias("at"))
     grams = segs.groupBy("key").agg(F.count("*").alias("segs"))
@@ -213,17 +218,18 @@ def repeated_windows(spark: SparkSession, texts: DataFrame, length: int, gram: i
     found = _resolve_segments(few, length, spread(spark)).unionByName(_count_windows(many, length))
     found = stage(spark, found, "repeat-marks")
     several = segs.select("key").distinct()
-    alone = places.join(several, "key", "left_anti").select("a", "b", F.col("lo").alias("from"), (F.col("lo") + F.col("span")).alias("to"))
-    marked = places.join(found, ["key", "seg"]).select("a", "b", (F.col("lo") + F.col("from")).alias("from"), (F.col("lo") + F.col("to")).alias("to"))
+    whole = F.array(F.struct(F.lit(0).alias("from"), F.col("span").alias("to")))
+    alone = places.join(several, "key", "left_anti").select("a", "b", "lo", whole.alias("marks"))
+    marked = places.join(found, ["key", "seg"]).select("a", "b", "lo", "marks")
     # one row per distinct text; a text's marks are bounded by its length
-    return alone.unionByName(marked).groupBy("a", "b").agg(F.collect_list(F.struct("from", "to")).alias("marks"))
+    return alone.unionByName(marked).groupBy("a", "b").agg(F.collect_list(F.struct("lo", "marks")).alias("marks"))
 
 
 def cut_text(raw: bytes, marks, length: int, whole_chars: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
     """(bytes that stay, maximal removed runs as [start, end)). ``whole_chars`` keeps a character
     whose bytes are not all removed."""
     spans: list[list[int]] = []
-    for a, b in sorted((m["from"], m["to"]) for m in marks):
+    for a, b in sorted((at["lo"] + m["from"], at["lo"] + m["to"]) for at in marks for m in at["marks"]):
         a, b = a, b + length
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
@@ -245,19 +251,19 @@ def cut_text(raw: bytes, marks, length: int, whole_chars: bool = False) -> tuple
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, text_col: str = "text", length: int = 200, gram: int = 64,
-                   group_limit: int = 2000, whole_chars: bool = False) -> DataFrame:
+                   group_limit: int = 20_000, whole_chars: bool = False) -> DataFrame:
     """``docs`` without its text, with n_bytes, spans (array<struct<start, end>> of removed bytes) and kept (binary)."""
     body = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.withColumn("_sd_text", body).drop(text_col).withColumn("_sd_digest", _digest(F.col("_sd_text")))
     texts = rows.select(F.col("_sd_text").alias("text"), F.col("_sd_digest").alias("digest"))
-    marks = repeated_windows(spark, texts, length, gram, group_limit)
-    marked = rows.join(marks, (F.col("_sd_digest.a") == F.col("a")) & (F.col("_sd_digest.b") == F.col("b")), "left").drop("a", "b", "_sd_digest")
+    marks = repeated_windows(spark, texts, length, gram, group_limit).toDF("_sd_a", "_sd_b", "_sd_marks")
+    marked = rows.join(marks, (F.col("_sd_digest.a") == F.col("_sd_a")) & (F.col("_sd_digest.b") == F.col("_sd_b")), "left")
 
     @F.pandas_udf("struct<kept:binary,spans:array<struct<start:int,end:int>>>")
     def cut(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
         out = [(t, []) if m is None or not len(m) else cut_text(t, m, length, whole_chars) for t, m in zip(text, marks)]
         return pd.DataFrame({"kept": [k for k, _ in out], "spans": [[{"start": a, "end": b} for a, b in s] for _, s in out]})
 
-    return (marked.withColumn("_sd_cut", cut("_sd_text", "marks")).withColumn("n_bytes", F.octet_length("_sd_text").cast("long"))
+    return (marked.withColumn("_sd_cut", cut("_sd_text", "_sd_marks")).withColumn("n_bytes", F.octet_length("_sd_text").cast("long"))
             .withColumn("kept", F.col("_sd_cut.kept")).withColumn("spans", F.col("_sd_cut.spans"))
-            .drop("_sd_text", "_sd_cut", "marks"))
+            .drop("_sd_text", "_sd_cut", "_sd_digest", "_sd_a", "_sd_b", "_sd_marks"))
