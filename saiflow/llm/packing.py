@@ -12,7 +12,7 @@ among the pieces of their length. Ranks come from windows over (length, salt):
 a length that holds a third of all pieces is ranked by many tasks.
 
 Defined results: a null text is the empty text (its piece holds the end token
-alone); repeated rows are packed as rows of their own; equal lengths are
+alone); rows without id and repeated rows are packed as rows of their own; equal lengths are
 placed in any order of the rows; an empty table gives no rows; columns other
 than the id and the text are ignored.
 """
@@ -251,8 +251,11 @@ def rank_within(pieces: DataFrame, salts: int) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, file: str, capacity: int = 4096, end_id: int = 1,
          id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Pack the documents' token pieces: adds sequence_id and offset to ``tokenized_pieces``."""
-    pieces = stage(spark, tokenized_pieces(docs, file, capacity, end_id, id_col, text_col, with_ids), "pack-pieces")
-    narrow = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
+    pieces = tokenized_pieces(docs, file, capacity, end_id, id_col, text_col, with_ids)
+    # a number of each piece, fixed by staging: ids may be null and rows may be repeated
+    pieces = stage(spark, pieces.withColumn("row", F.monotonically_increasing_id()) if with_ids else pieces, "pack-pieces")
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["row"] * with_ids
+    narrow = pieces.select(*kept)
     # at most `capacity` rows come to the driver, whatever the number of documents
     histogram = {r[0]: r[1] for r in narrow.groupBy("length").count().collect()}
     plan = best_fit_decreasing(histogram, capacity)
@@ -260,15 +263,12 @@ def pack(spark: SparkSession, docs: DataFrame, file: str, capacity: int = 4096,
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seq, offset = plan.place(b.column("length").to_numpy(), b.column("rank").to_numpy())
-            cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(seq), pa.array(offset)],
-                                             ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(seq), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
-    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    ranked = rank_within(narrow, spread(spark)).select("doc_id", "piece", "start", "length", "ids_crc32",
-                                                       F.col("rank").cast("long").alias("rank"))
+    ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", row long" * with_ids + ", sequence_id long, offset long"
+    ranked = rank_within(narrow, spread(spark)).select(*kept, F.col("rank").cast("long").alias("rank"))
     placed = ranked.mapInArrow(place, ddl)
     if not with_ids:
         return placed
-    keyed = pieces.select("doc_id", "piece", "ids_crc32", "ids").distinct()
-    return placed.join(keyed, ["doc_id", "piece", "ids_crc32"])
+    return (placed.join(pieces.select("row", "ids"), "row")
+            .select("doc_id", "piece", "ids_crc32", "start", "length", "sequence_id", "offset", "ids"))

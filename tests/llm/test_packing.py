@@ -80,5 +80,20 @@ def test_edge_rows(spark, edge_docs, edge_rows):
     assert len(filled) == plain_best_fit([w[3] for w in want], 512)
 
 
+def test_rows_without_id_keep_their_ids(spark, edge_docs, edge_rows):
+    more = [(None, "no id", None, None, None, None, None), (None, None, None, None, None, None, None)]
+    docs = edge_docs.union(spark.createDataFrame(more, edge_docs.schema))
+    tok, want = Tokenizer.from_file(FILE), []
+    for r in edge_rows + more:
+        ids = tok.encode(r[1] or "", add_special_tokens=False).ids + [1]
+        want += [(str(r[0]), k, tuple(ids[at:at + 512])) for k, at in enumerate(range(0, len(ids), 512))]
+    got = packing.pack(spark, docs, FILE, capacity=512).collect()
+    assert sorted((str(r.doc_id), r.piece, tuple(r.ids)) for r in got) == sorted(want)
+    end = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == end[r.sequence_id] and r.length == len(r.ids)
+        end[r.sequence_id] += r.length
+
+
 def test_empty_table(spark, no_docs):
     assert packing.pack(spark, no_docs, FILE).count() == 0
