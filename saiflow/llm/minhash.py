@@ -16,12 +16,14 @@ n copies costs about n comparisons instead of n * n:
 
 Sets whose signatures agree in too few coordinates to reach the threshold (by
 ``margin`` standard deviations) are not compared. A band with more than
-``band_limit`` sets in several components is split by a second band (its sets
-meet under pairs of bands), again and again while it is too large.
+``band_limit`` sets in several components is cut into blocks of about half as
+many; each block of sets outside the band's largest component meets each block
+of all its sets in a group of its own, so every pair of the band is still
+examined and no task holds more than two blocks at a time.
 
 Equal sets are one node. A pair of sets at the threshold is missed with
 probability (1 - threshold ** rows) ** bands, about 5e-6 by default, and less
-above it.
+above it, whatever the size of its bands.
 
 Defined results: a text that is null or without words has the empty set and
 is linked with nothing; a text with fewer words than a shingle has its whole
@@ -38,13 +40,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import perhaps, spread, stage
 from .components import connected_components
 
 PLACES = 1 << 20
+#: What a row of a group stands for: the whole band is the group; or a set of the first block; or one of the second
+#: block, outside the band's largest component or in it.
+WHOLE, FEW, OUTSIDE, INSIDE = range(4)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -185,7 +190,7 @@ def _confirm(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int,
 
 
 class _Group:
-    """The sets of one band that lie in several components, and the pairs among them to compare here."""
+    """The sets of one band that lie in several components, or two blocks of them, and the pairs to compare here."""
 
     def __init__(self, rows: list[dict], least: int, percent: int):
         self.rows, self.least, self.percent = rows, least, percent
@@ -194,20 +199,25 @@ class _Group:
         self.size = np.array([r["n_shingles"] for r in rows], np.int64)
         self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
         self.bands = np.array([r["bands"] for r in rows], np.int64)
-        self.path = np.array(rows[0]["path"])
+        self.band = rows[0]["band"]
+        # every pair has an end outside the band's largest component
+        if rows[0]["side"] == WHOLE:
+            self.outside = self.component != np.bincount(self.component).argmax()
+            self.few, self.all = np.flatnonzero(self.outside), np.arange(len(rows))
+        else:
+            side = np.array([r["side"] for r in rows])
+            self.outside = side != INSIDE
+            self.few, self.all = np.flatnonzero(side == FEW), np.flatnonzero(side != FEW)
 
     def pairs(self, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of different components whose signatures and sizes allow the threshold, each only in
-        the band, or run of bands, that they share first."""
-        few = np.flatnonzero(self.component != np.bincount(self.component).argmax())  # every pair has an end outside the largest
-        outside = np.zeros(len(self.rows), bool)
-        outside[few] = True
-        for at in range(0, len(few), 64):
-            i = few[at:at + 64]
-            for lo in range(0, len(self.rows), block):
-                j = np.arange(lo, min(lo + block, len(self.rows)))
+        the band that they share first."""
+        for at in range(0, len(self.few), 64):
+            i = self.few[at:at + 64]
+            for lo in range(0, len(self.all), block):
+                j = self.all[lo:lo + block]
                 ok = self.component[i][:, None] != self.component[j][None, :]
-                ok &= (i[:, None] < j[None, :]) | ~outside[j][None, :]
+                ok &= (self.node[i][:, None] < self.node[j][None, :]) | ~self.outside[j][None, :]
                 n, m = self.size[i][:, None], self.size[j][None, :]
                 ok &= 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
                 x, y = np.nonzero(ok)
@@ -216,10 +226,7 @@ class _Group:
                     near = (self.sig[a] == self.sig[b]).sum(axis=1) >= self.least
                     a, b = a[near], b[near]
                     shared = self.bands[a] == self.bands[b]
-                    rank = np.cumsum(shared, axis=1)
-                    own = np.ones(len(a), bool)
-                    for depth, band in enumerate(self.path, 1):
-                        own &= shared[:, band] & (rank[:, band] == depth)
+                    own = shared[:, self.band] & ~shared[:, :self.band].any(axis=1)
                     if own.any():
                         yield a[own], b[own]
 
@@ -260,7 +267,9 @@ def _compare(members: DataFrame, parts: int, least: int, percent: int, size: int
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
             sets: dict[int, np.ndarray] = {}
-            parent = list(range(len(rows)))
+            group = _Group(rows, least, percent)
+            of = group.component.tolist()
+            parent = list(range(len(rows)))  # of components
 
             def root(k: int) -> int:
                 while parent[k] != k:
@@ -269,15 +278,15 @@ def _compare(members: DataFrame, parts: int, least: int, percent: int, size: int
                 return k
 
             links = []
-            for a, b in _Group(rows, least, percent).pairs() if len(rows) > 1 else ():
+            for a, b in group.pairs():
                 for x, y in zip(a.tolist(), b.tolist()):
-                    if root(x) == root(y):  # already linked through others
+                    if root(of[x]) == root(of[y]):  # already linked through others
                         continue
                     for k in (x, y):
                         if k not in sets:
                             sets[k] = shingle_set(rows[k]["text"], size)
                     if jaccard_at_least(sets[x], sets[y], percent):
-                        parent[root(x)] = root(y)
+                        parent[root(of[x])] = root(of[y])
                         links.append((rows[x]["node"], rows[y]["node"]))
             if links:
                 u, v = zip(*links)
@@ -287,13 +296,35 @@ def _compare(members: DataFrame, parts: int, least: int, percent: int, size: int
 
 
 def _mixed_bands(members: DataFrame, band_limit: int) -> tuple[DataFrame, DataFrame]:
-    """``members`` (key, path, node, component) of bands with several components: those that fit a task, and those that do not."""
+    """``members`` (key, band, node, component) of bands with several components: those that fit a task, and those that do not."""
     size = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     mixed = size.filter("c0 <> c1").select("key", (F.col("n") > band_limit).alias("large"))
     rows = members.join(mixed, "key")
     return rows.filter(~F.col("large")).drop("large"), rows.filter("large").drop("large")
 
 
+def _block_pairs(large: DataFrame, band_limit: int) -> DataFrame:
+    """Members of large bands in groups of two blocks of about ``band_limit`` / 2: one of sets outside the band's
+    largest component, one of all its sets. Each such pair of blocks is a key of its own."""
+    half = max(1, band_limit // 2)
+    counted = large.groupBy("key", "component").agg(F.count("*").alias("n"))
+    bands = counted.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"))
+    bands = bands.select("key", F.col("most.component").alias("largest"), F.ceil(F.col("n") / half).cast("int").alias("blocks"),
+                         F.ceil((F.col("n") - F.col("most.n")) / half).cast("int").alias("few_blocks"))
+    rows = large.join(bands, "key").withColumn("out", F.col("component") != F.col("largest"))
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(23), F.col("node")), F.col(count)).cast("int")
+
+    def each(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    few = rows.filter("out").withColumn("i", own("few_blocks")).withColumn("j", each("blocks")).withColumn("side", F.lit(FEW))
+    every = (rows.withColumn("j", own("blocks")).withColumn("i", each("few_blocks"))
+             .withColumn("side", F.when(F.col("out"), F.lit(OUTSIDE)).otherwise(F.lit(INSIDE))))
+    return few.unionByName(every).select(F.xxhash64("key", "i", "j").alias("key"), "band", "node", "component", "side")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
                     percent: int = 80, bands: int = 40, rows: int = 6, margin: float = 5.0, band_limit: int = 5_000) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable over links), kept (it is that id) of each row of ``docs``."""
@@ -320,16 +351,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     # step 2: sets of one band that are left in different components
     left = (members.join(parts, "node", "left")
-            .select("key", F.array("band").alias("path"), "node", F.coalesce("component", "node").alias("component")))
+            .select("key", "band", "node", F.coalesce("component", "node").alias("component")))
     work, large = _mixed_bands(left, band_limit)
-    for depth in range(1, 4):
-        if large.isEmpty():
-            break
-        deeper = (large.join(nodes.select("node", "bands"), "node")
-                  .select("key", "path", "node", "component", F.posexplode("bands").alias("next", "other")).filter(F.col("next") > F.element_at("path", -1))
-                  .select(F.xxhash64("key", "other").alias("key"), F.concat("path", F.array("next")).alias("path"), "node", "component"))
-        fit, large = _mixed_bands(stage(spark, deeper, "minhash-split"), band_limit if depth < 3 else 1 << 62)
-        work = work.unionByName(fit)
+    work = work.withColumn("side", F.lit(WHOLE))
+    if not large.isEmpty():
+        work = work.unionByName(_block_pairs(large, band_limit))
     work = stage(spark, work, "minhash-mixed")
     full = work.join(perhaps(nodes.select("node", "n_shingles", "sig", "bands"), work), "node")
     wanted = stage(spark, _to_compare(full, spread(spark), least, percent), "minhash-ends")

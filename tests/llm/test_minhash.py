@@ -56,6 +56,32 @@ def test_chains_of_near_copies(spark, band_limit):
     assert result(minhash.near_duplicates(spark, docs, shingle_words=4, band_limit=band_limit)) == exact(rows, 4, 80)
 
 
+@pytest.mark.parametrize("band_limit", [5000, 4, 1])
+def test_large_band_is_compared_whole(spark, band_limit):
+    """Sets that share one band and no other, in a chain and apart from it, in more blocks than one."""
+    rng, hasher = random.Random(4), minhash.CirculantMinHash(1)
+    mark = lambda w: hasher.signature(minhash.shingle_set(" ".join(w), 4))[0]
+    text = [f"w{rng.randrange(1000)}" for _ in range(120)]
+    want, rows = mark(text), []
+    least = next(k for k in range(117) if mark(text[k:k + 4]) == want)
+    common = text[least:least + 4]
+    while len(rows) < 40:
+        new = list(text)
+        for _ in range(2):
+            new[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+        if mark(new) == want:
+            text = new
+            rows.append((len(rows), " ".join(text)))
+    while len(rows) < 52:
+        new = [f"o{rng.randrange(1000)}" for _ in range(30)] + common + [f"o{rng.randrange(1000)}" for _ in range(30)]
+        if mark(new) == want:
+            rows.append((len(rows), " ".join(new)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(minhash.near_duplicates(spark, docs, shingle_words=4, bands=1, rows=1, band_limit=band_limit))
+    assert got == exact(rows, 4, 80) and len({c for *_, c in got}) > 12
+
+
 def test_threshold_is_exact():
     a = np.arange(90, dtype=np.uint64)
     assert minhash.jaccard_at_least(a, np.arange(10, 100, dtype=np.uint64), 80)
