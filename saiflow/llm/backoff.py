@@ -1,21 +1,25 @@
 """Stupid-backoff language-model scores of documents, from counts of the whole corpus.
 
-The score of word w after v is c(v w) / c(v) if the bigram was counted at
-least ``min_count`` times, else ``alpha`` * c(w) / N; a text's first word has
-c(w) / N. A document's score is the sum of the logarithms.
-
-Words are numbered by 2^class_bits hash classes of their lower-case form.
-
-1. Unigram counts: an aggregate, at most one number for each class.
-2. Bigrams of two of the ``frequent`` commonest classes are counted as a table of
-   frequent x frequent numbers. These are the only bigrams that can hold a
-   large share of a corpus, so no bigram left is a hot key.
-3. All other bigrams are exploded to one row for each document and distinct
-   bigram, and exchanged once by the bigram. The count table has that same hash
-   partitioning, so joining it is a sum over each bigram's rows, next to
-   them. Each row's logarithm is added up by document, first within tasks.
-
-Only steps 1 and 2, of fixed size, reach the driver and all tasks; step 3 grows with the corpus.
+The score of a word after the ``order`` - 1 words before it is c(gram) / c(gram without
+its last word) if the gram was counted at least ``min_count`` times, else
+``alpha`` times the score after one word less; without any word before it, it is
+c(w) / N. Words at a text's beginning have fewer words before them, without a
+factor. A document's score is the sum of the logarithms.
+
+Words are the 64-bit hashes of their lower-case forms, and a gram is its words.
+
+1. Grams below the greatest order (and of order 2 at least) are counted in
+   tables, combined within tasks before their shuffle; those that back off,
+   under ``min_count``, are dropped, words are all kept.
+2. Each document's distinct grams of the greatest order become one row each.
+   From order 3 their counts are sums over the rows of a gram, so they are exchanged once
+   and need no table.
+3. Order by order the rows meet the counts of their gram. A gram that is counted often
+   enough asks the next order for the count of its words but the last, and
+   is settled there; one that is not goes on with its words but the first.
+
+Counts of the ``frequent`` commonest grams of a table go to all tasks, so that no key of a join is hot;
+their number is fixed, everything else grows with the corpus in Spark tables.
 
 Defined results: rows of one id count as one document, and rows without id as
 one with a null id; null texts and texts without words have no
@@ -25,7 +29,6 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,125 +38,128 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stage
 
-def word_classes(text: str | None, class_bits: int) -> np.ndarray:
+#: Stands before a text's first word.
+START = 0
+PENDING, CONTEXT, SETTLED = range(3)
+_K = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_classes(text: str | None, class_bits: int = 64) -> np.ndarray:
+    """The first bits of the hashes of a text's words."""
     w = (text or "").lower().split()
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in w), np.uint64, len(w))
     return (h >> np.uint64(64 - class_bits)).astype(np.int64)
 
 
-def _counted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of n by k, as arrays: (k, n). The number of distinct k is bounded by the caller."""
-    t = rows.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    return t.column("k").to_numpy(), t.column("n").to_numpy()
+def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of ``grams`` and how often they occur."""
+    mixed = np.zeros(len(grams), np.uint64)
+    for column in grams.T:
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _K + column.view(np.uint64)
+    _, first, n = np.unique(mixed, return_index=True, return_counts=True)
+    return grams[first], n
+
 
+def _names(order: int) -> list[str]:
+    return [f"w{k}" for k in range(1, order + 1)]
 
-def _partial(texts: DataFrame, keys) -> DataFrame:
-    """Counts of the numbers that ``keys`` gives for each text: k, n, combined over many texts."""
+
+def _arrays(grams: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(column)) for column in grams.T]
+
+
+def count_grams(texts: DataFrame, order: int, min_count: int) -> DataFrame:
+    """w1..w<order>, count of the grams counted at least ``min_count`` times. ``texts``: one column."""
+    names = _names(order)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["k", "n"])
+            grams, n = _distinct(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([*_arrays(grams), pa.array(n.astype(np.int64))], [*names, "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                own = keys(text.as_py())
-                held.append(own)
-                size += len(own)
-                if size > 4_000_000:
+                h = word_classes(text.as_py())
+                if len(h) >= order:
+                    held.append(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(h, order)))
+                    size += len(h)
+                if size > 2_000_000:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    return texts.mapInArrow(count, "k long, n long")
-
-
-class Counts:
-    """Unigram counts by class, and the counts of bigrams of frequent classes."""
-
-    def __init__(self, unigrams: np.ndarray, rank: np.ndarray, pairs: np.ndarray):
-        self.unigrams, self.rank, self.pairs, self.total = unigrams, rank, pairs, int(unigrams.sum())
+    rows = texts.mapInArrow(count, ", ".join(f"{c} long" for c in names) + ", n long")
+    return rows.groupBy(*names).agg(F.sum("n").alias("count")).filter(F.col("count") >= min_count)
 
-    def log_seen(self, v: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(n, 1)) - np.log(np.maximum(self.unigrams[v], 1))
 
-    def log_alone(self, w: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.unigrams[w], 1)) - np.log(max(self.total, 1))
+def document_grams(docs: DataFrame, order: int) -> DataFrame:
+    """w1..w<order>, doc_id, n of each document's distinct grams, with START before its first words; a document
+    without words has one row with n = 0. ``docs``: doc_id, text."""
+    names = _names(order)
 
-
-def count_corpus(texts: DataFrame, class_bits: int, frequent: int) -> Counts:
-    """Steps 1 and 2. ``texts``: one column."""
-    unigrams = np.zeros(1 << class_bits, np.int64)
-    k, n = _counted(_partial(texts, lambda t: word_classes(t, class_bits)))
-    unigrams[k] = n
-    top = np.argsort(-unigrams, kind="stable")[:frequent]
-    top = top[unigrams[top] > 0]
-    rank = np.full(1 << class_bits, -1, np.int16)
-    rank[top] = np.arange(len(top))
-
-    def both_frequent(text: str | None) -> np.ndarray:
-        r = rank[word_classes(text, class_bits)].astype(np.int64)
-        a, b = r[:-1], r[1:]
-        ok = (a >= 0) & (b >= 0)
-        return a[ok] * frequent + b[ok]
-
-    pairs = np.zeros(frequent * frequent, np.int64)
-    k, n = _counted(_partial(texts, both_frequent))
-    pairs[k] = n
-    return Counts(unigrams, rank, pairs)
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part, grams, ids, ns = batch.slice(at, 500), [], [], []
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    h = word_classes(text)
+                    if len(h):
+                        padded = np.concatenate([np.full(order - 1, START, np.int64), h])
+                        g, n = _distinct(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, order)))
+                    else:  # any number, to spread these rows
+                        g, n = np.full((1, order), xxhash.xxh3_64_intdigest(str(doc)) >> 2, np.int64), np.zeros(1, np.int64)
+                    grams.append(g)
+                    ids += [doc] * len(g)
+                    ns.append(n)
+                yield pa.RecordBatch.from_arrays([*_arrays(np.concatenate(grams)), pa.array(ids, pa.int64()),
+                                                  pa.array(np.concatenate(ns).astype(np.int32))], [*names, "doc_id", "n"])
+
+    return docs.mapInArrow(explode, ", ".join(f"{c} long" for c in names) + ", doc_id long, n int")
+
+
+def _meet(rows: DataFrame, counts: DataFrame, order: int, frequent: int) -> DataFrame:
+    """``rows`` with the ``count`` of their gram, null if it is not among ``counts``."""
+    names = _names(order)
+    common = counts.orderBy(F.desc("count"), *names).limit(frequent).withColumnRenamed("count", "_common")
+    spread = F.pmod(F.xxhash64("doc_id", *names), F.lit(1 << 20)).cast("int") + 1
+    rows = rows.join(F.broadcast(common), names, "left")
+    rows = rows.withColumn("_salt", F.when((F.col("state") == SETTLED) | F.col("_common").isNotNull(), spread).otherwise(F.lit(0)))
+    rows = rows.join(counts.withColumn("_salt", F.lit(0)), ["_salt", *names], "left")
+    return rows.withColumn("count", F.coalesce("_common", "count")).drop("_common", "_salt")
+
+
+def _advance(rows: DataFrame, order: int, min_count: int, alpha: float, total: int) -> DataFrame:
+    """The rows after their gram of ``order`` words met its count: w1..w<order - 1>, doc_id, n, state, value."""
+    pending, context = F.col("state") == PENDING, F.col("state") == CONTEXT
+    log = F.log(F.col("count").cast("double"))
+    if order == 1:
+        value = F.when(pending, F.col("value") + log - F.lit(float(np.log(max(total, 1))))).when(context, F.col("value") - log)
+        return rows.select("doc_id", "n", value.otherwise(F.col("value")).alias("value"))
+    short = F.col("w1") == START
+    seen = pending & ~short & (F.coalesce("count", F.lit(0)) >= min_count)
+    value = F.when(seen, F.col("value") + log).when(context, F.col("value") - log).when(pending & ~short, F.col("value") + F.lit(float(np.log(alpha))))
+    words = [F.when(seen, F.col(f"w{k}")).otherwise(F.col(f"w{k + 1}")).alias(f"w{k}") for k in range(1, order)]
+    state = F.when(seen, F.lit(CONTEXT)).when(context, F.lit(SETTLED)).otherwise(F.col("state"))
+    return rows.select(*words, "doc_id", "n", state.alias("state"), value.otherwise(F.col("value")).alias("value"))
 
 
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2,
-          class_bits: int = 22, frequent: int = 512) -> DataFrame:
+          frequent: int = 512, order: int = 2) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logarithms), mean_log_score of each document."""
+    if order < 2 or min_count < 1:
+        raise ValueError("order must be at least 2 and min_count at least 1")
     texts = docs.select(F.col(text_col).alias("text"))
-    counts = count_corpus(texts, class_bits, frequent)
-    sent = spark.sparkContext.broadcast(pickle.dumps(counts))
-    log_alpha = float(np.log(alpha))
-    schema = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("known", pa.float64())])
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counts = pickle.loads(sent.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, grams, docs_, ns, known = batch.slice(at, 500), [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    w = word_classes(text, class_bits)
-                    v, w1 = w[:-1], w[1:]
-                    a, b = c.rank[v].astype(np.int64), c.rank[w1].astype(np.int64)
-                    both = (a >= 0) & (b >= 0)
-                    n = c.pairs[a[both] * frequent + b[both]]
-                    own = np.where(n >= min_count, c.log_seen(v[both], n), log_alpha + c.log_alone(w1[both])).sum() + c.log_alone(w[:1]).sum()
-                    g, m = np.unique((v[~both] << class_bits) | w1[~both], return_counts=True)
-                    # one row for what is known already; negative numbers are no bigrams and spread these rows
-                    mark = -1 - (xxhash.xxh3_64_intdigest(str(doc)) >> 2)
-                    grams += [np.array([mark]), g]
-                    docs_ += [doc] * (len(g) + 1)
-                    ns += [np.array([len(w)]), m]
-                    known.append(np.concatenate([[own], np.zeros(len(g))]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(docs_, pa.int64()),
-                                                  pa.array(np.concatenate(ns).astype(np.int32)), pa.array(np.concatenate(known))], schema=schema)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        explode, "gram long, doc_id long, n int, known double")
-    joined = rows.withColumn("count", F.sum("n").over(Window.partitionBy("gram")))
-    mask = (1 << class_bits) - 1
-
-    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counts = pickle.loads(sent.value)
-        for b in batches:
-            gram, n, count, known = (b.column(k).to_numpy() for k in ("gram", "n", "count", "known"))
-            base = gram < 0
-            g = np.where(base, 0, gram)
-            v, w = g >> class_bits, g & mask
-            value = np.where(count >= min_count, c.log_seen(v, count), log_alpha + c.log_alone(w)) * n
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.where(base, n, 0).astype(np.int64)), pa.array(np.where(base, known, value))],
-                                             ["doc_id", "tokens", "value"])
-
-    parts = joined.select("gram", "doc_id", "n", "count", "known").mapInArrow(logs, "doc_id long, tokens long, value double")
-    total = parts.groupBy("doc_id").agg(F.sum("tokens").alias("n_tokens"), F.sum("value").alias("log_score"))
-    return total.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))
+    counts = {n: stage(spark, count_grams(texts, n, min_count if n > 1 else 1), f"grams-{n}") for n in range(1, max(order, 3))}
+    total = counts[1].agg(F.sum("count")).first()[0] or 0
+    rows = document_grams(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), order)
+    rows = rows.withColumn("state", F.when(F.col("n") > 0, F.lit(PENDING)).otherwise(F.lit(SETTLED))).withColumn("value", F.lit(0.0))
+    for n in range(order, 0, -1):
+        met = _meet(rows, counts[n], n, frequent) if n in counts else rows.withColumn("count", F.sum("n").over(Window.partitionBy(*_names(n))))
+        rows = _advance(met, n, min_count, alpha, total)
+    sums = rows.groupBy("doc_id").agg(F.sum(F.col("n").cast("long")).alias("n_tokens"), F.sum(F.col("n") * F.col("value")).alias("log_score"))
+    return sums.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

@@ -43,3 +43,44 @@ def test_small_tables_and_empty(spark, no_docs):
     got = {r.doc_id: r.log_score for r in backoff.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows, 0.4, 2, 22)
     assert all(got[d] == pytest.approx(s, abs=1e-9) for d, (_, s) in want.items())
+
+
+def brute_words(rows, alpha, min_count, order):
+    """Of real words, by the recursive definition."""
+    texts = [(r[0], (r[1] or "").lower().split()) for r in rows]
+    count = Counter(tuple(w[k:k + n]) for _, w in texts for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total, out = sum(len(w) for _, w in texts), {}
+
+    def log_score(gram):
+        if len(gram) == 1:
+            return math.log(count[gram] / total)
+        if count[gram] >= min_count:
+            return math.log(count[gram] / count[gram[:-1]])
+        return math.log(alpha) + log_score(gram[1:])
+
+    for d, w in texts:
+        n, s = out.get(d, (0, 0.0))
+        out[d] = n + len(w), s + sum(log_score(tuple(w[max(0, k - order + 1):k + 1])) for k in range(len(w)))
+    return out
+
+
+@pytest.mark.parametrize("order, frequent", [(2, 512), (3, 512), (3, 3), (4, 20)])
+def test_matches_brute_force_of_words(spark, edge_docs, edge_rows, order, frequent):
+    want = brute_words(edge_rows, 0.4, 2, order)
+    got = {r.doc_id: r for r in backoff.score(spark, edge_docs, frequent=frequent, order=order).collect()}
+    assert set(got) == set(want)
+    for d, (n, s) in want.items():
+        assert got[d].n_tokens == n and got[d].log_score == pytest.approx(s, abs=1e-6)
+
+
+def test_many_words_share_no_count(spark):
+    """Two words whose hashes share their first 22 bits are counted apart."""
+    seen, pair, k = {}, None, 0
+    while pair is None:
+        c = int(backoff.word_classes(f"v{k}", 22)[0])
+        pair = (f"v{seen[c]}", f"v{k}") if c in seen else None
+        seen[c], k = k, k + 1
+    rows = [(1, f"{pair[0]} x " * 3), (2, f"{pair[1]} y"), (3, f"{pair[1]} x")]
+    want = brute_words(rows, 0.4, 2, 2)
+    got = {r.doc_id: r.log_score for r in backoff.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()}
+    assert all(got[d] == pytest.approx(s, abs=1e-9) for d, (_, s) in want.items())
