@@ -90,7 +90,7 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(spark, table(spark, sf_dir, "documents"))
+    return backoff.score(spark, table(spark, sf_dir, "documents"), order=3)
 
 
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

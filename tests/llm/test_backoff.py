@@ -2,7 +2,7 @@ import math
 from collections import Counter
 
 import pytest
-from saiflow.llm import backoff
+from saiflow.llm import backoff, catalog
 
 
 def brute(rows, alpha, min_count, bits):
@@ -84,3 +84,10 @@ def test_many_words_share_no_count(spark):
     want = brute_words(rows, 0.4, 2, 2)
     got = {r.doc_id: r.log_score for r in backoff.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()}
     assert all(got[d] == pytest.approx(s, abs=1e-9) for d, (_, s) in want.items())
+
+
+def test_query_scores_trigrams(spark, edge_docs, edge_rows, tmp_path):
+    edge_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_words(edge_rows, 0.4, 2, 3)
+    got = {r.doc_id: r.log_score for r in catalog.op9_stupid_backoff(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(got[d] == pytest.approx(s, abs=1e-6) for d, (_, s) in want.items())
