@@ -8,9 +8,10 @@ which keeps it non-negative.
 
 A word stands for itself, its beginnings of 3 to 6 letters and its last 4,
 each hashed to one of 2^bits features; a feature's value is log(1 + count).
-Features are kept whose share of confirmed texts is a good part of the
-greatest possible multiple of their share of unlabelled texts, 1 / p. Most
-words have none, so a text is scored from few of its words.
+Every feature of at least ``least`` confirmed texts is learned, a fixed count,
+so words that are rare among toxic texts, or that occur in clean ones too, have
+their say. A feature's value is multiplied by the logarithm of its lift (the
+ratio of its shares of confirmed and of unlabelled texts, smoothed), so what tells nothing weighs little.
 
 The training sample is bounded: at most ``max_positive`` toxic and
 ``max_unlabelled`` other texts, whole, chosen by the hash of their ids; that
@@ -75,72 +76,86 @@ class Classifier:
 
     def scorer(self, keep: int = 500_000):
         """A function of a text that remembers the kept features of words."""
-        known: dict[str, tuple[int, ...]] = {}
+        place = {f: k for k, f in enumerate(self.weights)}
+        weights = np.fromiter(self.weights.values(), float, len(place))
+        known: dict[str, np.ndarray] = {}
 
         def score(text: str | None) -> float:
-            count: Counter = Counter()
+            own, times = [], []
             for word, n in word_counts(text).items():
-                own = known.get(word)
-                if own is None:
+                k = known.get(word)
+                if k is None:
                     if len(known) >= keep:
                         known.clear()
-                    own = known[word] = tuple(f for f in word_features(word, self.bits) if f in self.weights)
-                for f in own:
-                    count[f] += n
-            f = self.bias + sum(self.weights[k] * math.log1p(n) for k, n in sorted(count.items()))
+                    k = known[word] = np.array([place[f] for f in word_features(word, self.bits) if f in place], np.int32)
+                if len(k):
+                    own.append(k)
+                    times.append(n)
+            f = self.bias
+            if own:
+                n = np.repeat(times, np.fromiter(map(len, own), np.int64, len(own)))
+                count = np.bincount(np.concatenate(own), n)
+                at = np.flatnonzero(count)
+                f += float(weights[at] @ np.log1p(count[at]))
             return 1 / (1 + math.exp(-min(50.0, max(-50.0, f))))
 
         return score
 
 
-def keep_features(features: list[np.ndarray], positive: np.ndarray, prior: float, bits: int, share: float, least: int) -> np.ndarray:
-    """Sorted features in at least ``least`` confirmed texts whose lift is at least ``share`` of 1 / prior."""
-    in_pos, in_unl = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    for own, p in zip(features, positive):
-        (in_pos if p else in_unl)[own] += 1
-    n_pos, n_unl = max(1, positive.sum()), max(1, (~positive).sum())
-    lift = (in_pos / n_pos) / np.maximum(in_unl / n_unl, 1e-12)
-    return np.flatnonzero((in_pos >= least) & (lift >= share / prior))
+def keep_features(col: np.ndarray, confirmed: np.ndarray, n_pos: int, n_unl: int, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features in at least ``least`` confirmed texts, and the size of the logarithm of their lift.
+
+    ``col``: the features of all texts, ``confirmed``: of which texts they are.
+    """
+    in_pos, in_unl = np.bincount(col[confirmed], minlength=1 << bits), np.bincount(col[~confirmed], minlength=1 << bits)
+    kept = np.flatnonzero(in_pos >= least)
+    lift = (in_pos[kept] + 1) / (n_pos + 2) / ((in_unl[kept] + 1) / (n_unl + 2))
+    return kept, np.abs(np.log(lift)).astype(np.float32)
 
 
-def fit(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, bits: int, share: float = 0.7, rounds: int = 500,
-        rate: float = 0.05, decay: float = 3e-5, least_share: float = 0.03) -> Classifier:
+def fit(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, bits: int, rounds: int = 150,
+        rate: float = 0.05, decay: float = 1e-3, least: int = 2) -> Classifier:
     """Train on features and values of texts; ``positive`` marks the confirmed texts, the others are unlabelled.
 
     Logistic loss, full batches, Adam steps.
     """
     n_pos, n_unl = max(1, positive.sum()), max(1, (~positive).sum())
-    kept = keep_features([f for f, _ in texts], positive, prior, bits, share, least=max(2, int(least_share * n_pos)))
-    row, col, value = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-    for k, (f, v) in enumerate(texts):
-        at = np.searchsorted(kept, f)
-        ok = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == f) if len(kept) else np.zeros(len(f), bool)
-        row.append(np.full(ok.sum(), k))
-        col.append(at[ok])
-        value.append(v[ok])
-    row, col, value = np.concatenate(row), np.concatenate(col), np.concatenate(value)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), [len(f) for f, _ in texts])
+    col, value = np.concatenate([f for f, _ in texts]), np.concatenate([v for _, v in texts])
+    kept, scale = keep_features(col, positive[row], n_pos, n_unl, bits, least)
+    at = np.full(1 << bits, -1, np.int32)
+    at[kept] = np.arange(len(kept))
+    col = at[col]
+    row, col, value = row[col >= 0], col[col >= 0], value[col >= 0]
+    value = value * scale[col]
+    by_col = np.argsort(col, kind="stable")
+    row_c, value_c = row[by_col], value[by_col]
+    full, row_at = np.unique(row, return_index=True)  # texts that have a kept feature, and their first entry
+    col_at = np.searchsorted(col[by_col], np.arange(len(kept)))
     size = len(kept)
-    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    w, m, v = (np.zeros(size + 1, np.float32) for _ in range(3))
     pos, unl = positive, ~positive
     for step in range(1, rounds + 1):
-        f = np.bincount(row, weights=value * w[col], minlength=len(texts)) + w[size]
+        f = np.full(len(texts), w[size], float)
+        if size:
+            f[full] += np.add.reduceat(value * w[col], row_at)
         as_clean = np.logaddexp(0, f)
         p_toxic = 1 / (1 + np.exp(-np.clip(f, -50, 50)))
         negatives = as_clean[unl].sum() / n_unl - prior * as_clean[pos].sum() / n_pos
         # slopes of the risks in f: the loss as toxic has slope p - 1, as clean p
-        slope = np.zeros(len(texts))
+        slope = np.zeros(len(texts), np.float32)
         if negatives >= 0:
             slope[pos] = prior * ((p_toxic[pos] - 1) - p_toxic[pos]) / n_pos
             slope[unl] = p_toxic[unl] / n_unl
         else:
             slope[pos] = prior * p_toxic[pos] / n_pos
             slope[unl] = -p_toxic[unl] / n_unl
-        grad = np.append(np.bincount(col, weights=value * slope[row], minlength=size)[:size], slope.sum())
+        grad = np.append(np.add.reduceat(value_c * slope[row_c], col_at) if size else [], slope.sum())
         grad[:size] += decay * w[:size]
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
-        w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    return Classifier(dict(zip(kept.tolist(), w[:size].tolist())), float(w[size]), bits)
+        w -= (rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+    return Classifier(dict(zip(kept.tolist(), (w[:size] * scale).tolist())), float(w[size]), bits)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int, max_unlabelled: int, id_col: str,

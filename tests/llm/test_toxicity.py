@@ -45,6 +45,29 @@ def test_negative_risk_stays_bounded():
     assert s[toxic].min() > np.median(s[~toxic])
 
 
+def test_long_tailed_vocabulary():
+    """Toxic words of which each is in under 3 % of the toxic texts."""
+    rng = random.Random(9)
+    bad = ["".join(rng.choices("bcdfghjklmnpqrstvz", k=8)) for _ in range(400)]
+
+    def texts(n):
+        out = []
+        for k in range(n):
+            w = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(60, 120))]
+            if k % 8 == 0:
+                w += rng.sample(bad, 6)
+            out.append(" ".join(w))
+        return out
+
+    learn = texts(3000)
+    confirmed = np.arange(3000) % 16 == 0
+    c = toxicity.fit([toxicity.text_features(t, 18) for t in learn], confirmed, 0.125, 18)
+    score = c.scorer()
+    predicted = np.array([score(t) >= 0.7 for t in texts(800)])
+    toxic = np.arange(800) % 8 == 0
+    assert predicted[toxic].mean() > 0.75 and predicted[~toxic].mean() < 0.03
+
+
 def test_edge_rows_and_no_labels(spark, edge_docs, edge_rows, no_docs):
     labels = spark.createDataFrame([(12, 1), (12, 0), (None, 1), (3, None), (9, 0)], "doc_id long, toxic int")
     c = toxicity.train(edge_docs, labels, F.lit(True))
