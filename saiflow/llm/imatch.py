@@ -10,10 +10,10 @@ edit. A text with fewer than ``least_terms`` terms of the lexicon uses all its t
 The likeness of two fingerprints is, at the level where they agree most, the
 share of equal slots among those filled in either (or among ``least_slots``, if fewer are).
 
-Document frequencies are counted over all documents by 2^class_bits hash
-classes of terms, with an aggregate that is combined before its shuffle. Only
-one bit for each class, whether it lies in the band, goes to the tasks: 128 kB
-for 2^20 classes, whatever the vocabulary. Everything is built-in functions.
+Document frequencies are counted for each term (by its 64-bit hash) in an
+aggregate that is combined before its shuffle. The terms of each row are joined to those in the
+band; those above it go before the shuffle, as they are few: each is in a good part of all documents.
+Everything is built-in functions.
 
 Defined results: a null or empty text has no terms and the fingerprint of
 empty slots, which is fully like itself; repeated rows and equal texts have
@@ -23,12 +23,12 @@ documents; other columns are ignored.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import stage
+
 LEAST_ID = -(1 << 63)
 LEVELS, SUBSETS = 10, 8
 
@@ -38,36 +38,32 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
-def _class(word: Column, class_bits: int) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit((1 << class_bits) - 1))
+def lexicon(spark: SparkSession, docs: DataFrame, text_col: str, least_df: int, least_idf: float) -> tuple[DataFrame, DataFrame]:
+    """Hashes h of the terms in the band ``least_df`` <= df and ln(documents / df) >= ``least_idf`` (or df = ``least_df``,
+    in small tables), and of those above it."""
+    hashes = F.array_distinct(F.transform(terms(F.col(text_col)), lambda w: F.xxhash64(w)))
+    df = docs.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
+    inside = (F.col("df") == least_df) | (F.log(F.lit(docs.count()) / F.col("df")) >= least_idf)
+    found = stage(spark, df.select("h", inside.alias("inside")), "imatch-lexicon")
+    return found.filter("inside").select("h"), found.filter("not inside").select("h")
 
 
-def band_bitmap(docs: DataFrame, text_col: str, least_df: int, least_idf: float, class_bits: int) -> Column:
-    """Array of longs, bit c of which tells whether class c is in the band
-    ``least_df`` <= df and ln(documents / df) >= ``least_idf`` (or df = ``least_df``, in small tables)."""
-    classes = F.array_distinct(F.transform(terms(F.col(text_col)), lambda w: _class(w, class_bits)))
-    df = docs.select(F.explode(classes).alias("c")).groupBy("c").agg(F.count("*").alias("df"))
-    total = docs.count()
-    inside = df.filter((F.col("df") >= least_df) & ((F.col("df") == least_df) | (F.log(F.lit(total) / F.col("df")) >= least_idf)))
-    longs = inside.groupBy(F.shiftright("c", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c & 63 AS int))")).alias("bits"))
-    bitmap = [0] * (1 << (class_bits - 6))  # at most this many rows: a bound of the bitmap, not of the data
-    for r in longs.collect():
-        bitmap[r["at"]] = r["bits"]
-    return F.from_json(F.lit(json.dumps(bitmap)), "array<bigint>")
+def with_known(spark: SparkSession, rows: DataFrame, text_col: str, inside: DataFrame, above: DataFrame) -> DataFrame:
+    """``rows``, numbered and staged, with ``_known``: the terms of ``text_col`` that are in the lexicon."""
+    rows = stage(spark, rows.withColumn("_row", F.monotonically_increasing_id()), "imatch-rows")
+    each = rows.select("_row", F.explode(terms(F.col(text_col))).alias("w")).withColumn("h", F.xxhash64("w"))
+    each = each.join(F.broadcast(above), "h", "left_anti").join(inside, "h", "left_semi")
+    known = each.groupBy("_row").agg(F.collect_list("w").alias("_known"))
+    return rows.join(known, "_row", "left").drop("_row")
 
 
-def fingerprint(text: Column, bitmap: Column, least_terms: int, class_bits: int) -> Column:
-    """Slots as array<int>, level by level: 0 for an empty subset, else 1 + 24 bits of its hash."""
+def fingerprint(text: Column, known: Column, least_terms: int) -> Column:
+    """Of a text and its terms of the lexicon. Slots as array<int>, level by level: 0 for an empty subset, else 1 + 24 bits of its hash."""
 
     def bound(value: Column, use) -> Column:
         """``use`` of a value that is computed once."""
         return F.element_at(F.transform(F.array(value), use), 1)
 
-    def known(w: Column) -> Column:
-        c = _class(w, class_bits)
-        bit = F.call_function("shiftright", F.get(bitmap, F.shiftright(c, 6).cast("int")), c.bitwiseAND(F.lit(63)).cast("int"))
-        return bit.bitwiseAND(F.lit(1)) == 1
-
     def slot(hashes: Column) -> Column:
         return F.when(F.size(hashes) == 0, F.lit(0)).otherwise(F.xxhash64(hashes).bitwiseAND(F.lit(0xFFFFFF)).cast("int") + 1)
 
@@ -85,10 +81,8 @@ def fingerprint(text: Column, bitmap: Column, least_terms: int, class_bits: int)
         return bound(by_subset, lambda s: F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), lambda i: F.get(
             s, (i % SUBSETS) * LEVELS + F.floor(i / SUBSETS).cast("int"))))
 
-    def chosen(all_terms: Column) -> Column:
-        return bound(F.filter(all_terms, known), lambda own: F.when(F.size(own) >= least_terms, own).otherwise(all_terms))
-
-    return bound(terms(text), lambda t: bound(F.array_sort(chosen(t)), slots))
+    chosen = F.when(F.size(F.coalesce(known, F.array().cast("array<string>"))) >= least_terms, known).otherwise(terms(text))
+    return bound(F.array_sort(chosen), slots)
 
 
 def as_text(slots: Column) -> Column:
@@ -148,15 +142,17 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_df: int = 2, least_idf: float = 3.0,
-                 least_terms: int = 3, class_bits: int = 20, groups: int | None = None) -> DataFrame:
+                 least_terms: int = 3, groups: int | None = None) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and the likeness of its own to that and to the next document's."""
-    bitmap = band_bitmap(docs, text_col, least_df, least_idf, class_bits)
+    inside, above = lexicon(spark, docs, text_col, least_df, least_idf)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = rows.withColumn("slots", fingerprint(F.col("text"), bitmap, least_terms, class_bits))
+    own = with_known(spark, rows, "text", inside, above)
+    own = stage(spark, own.withColumn("slots", fingerprint(F.col("text"), F.col("_known"), least_terms)).drop("_known"), "imatch-slots")
     groups = groups or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = with_next(spark, own, "doc_id", ["text", "slots"], min(4096, groups))
     both = both.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    both = both.withColumn("edited_slots", fingerprint(F.col("edited_text"), bitmap, least_terms, class_bits))
+    both = with_known(spark, both.drop("next_text"), "edited_text", inside, above)
+    both = both.withColumn("edited_slots", fingerprint(F.col("edited_text"), F.col("_known"), least_terms))
     return both.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited_text", as_text(F.col("slots")).alias("fingerprint"),
                        as_text(F.col("edited_slots")).alias("edited_fingerprint"),
                        likeness(F.col("slots"), F.col("edited_slots")).alias("near_edited"),

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import xxhash
 from saiflow.llm import imatch
 
 
@@ -49,3 +50,14 @@ def test_empty_table_and_plan(spark, no_docs, edge_docs):
     assert imatch.fingerprints(spark, no_docs).count() == 0
     plan = imatch.fingerprints(spark, edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("ArrowEval", "BatchEvalPython", "MapInArrow", "MapInPandas"))
+
+
+def test_terms_of_one_hash_class_are_counted_apart(spark):
+    """Two terms of df 1, whose hashes share 20 bits, stay outside the lexicon."""
+    seen, pair, k = {}, None, 0
+    while pair is None:
+        c = xxhash.xxh64_intdigest(f"v{k}".encode(), seed=42) & ((1 << 20) - 1)
+        pair = (f"v{seen[c]}", f"v{k}") if c in seen else None
+        seen[c], k = k, k + 1
+    got = run(spark, [(1, f"one two three {pair[0]}", "", 0), (2, "one two three", "", 0), (3, f"four five {pair[1]}", "", 0)])
+    assert got[1].fingerprint == got[2].fingerprint != got[3].fingerprint
