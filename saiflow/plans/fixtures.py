@@ -21,14 +21,6 @@ PAGE_SIZE = 80
 LATIN, HAN, HAN_END = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地人和", "了"
 
 
-def to_han(word):
-    return F.concat(F.translate(F.lower(word), LATIN, HAN), F.lit(HAN_END))
-
-
-# Latin letters as Han letters; the last sign ends a word, so no word begins another.
-LATIN, HAN, HAN_END = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地人和", "了"
-
-
 def to_han(word):
     return F.concat(F.translate(F.lower(word), LATIN, HAN), F.lit(HAN_END))
 
@@ -109,43 +101,6 @@ class Views:
         return p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("latin"),
                         F.array_join(F.transform(words, to_han), "").alias("title"))
 
-    def posts_stock(self) -> DataFrame:
-        """Documents as posts about stocks: the supplier numbered by the id, on a day of January."""
-        d = self.t("documents")
-        return d.select((F.col("doc_id") % 100 + 1).alias("code"), F.col("text").alias("title"),
-                        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"))
-
-    def han_words(self) -> DataFrame:
-        """Words of the part names in Han letters, each with a last sign of its own."""
-        w = self.t("part").select(F.explode(F.split("p_name", " ")).alias("w")).where("w <> ''").distinct()
-        return w.select(to_han(F.col("w")).alias("word"), F.col("w").alias("latin"))
-
-    def han_titles(self) -> DataFrame:
-        """Part names written without spaces, with a term of the full lexicon after some of them."""
-        p = self.t("part")
-        words = F.filter(F.split("p_name", " "), lambda w: w != "")
-        return p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("latin"),
-                        F.array_join(F.transform(words, to_han), "").alias("title"))
-
-    def posts_stock(self) -> DataFrame:
-        """Documents as posts about stocks: the supplier numbered by the id, on a day of January."""
-        d = self.t("documents")
-        return d.select((F.col("doc_id") % 100 + 1).alias("code"), F.col("text").alias("title"),
-                        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")).alias("day"))
-
-    def han_words(self) -> DataFrame:
-        """Words of the part names in Han letters, each with a last sign of its own."""
-        w = self.t("part").select(F.explode(F.split("p_name", " ")).alias("w")).where("w <> ''").distinct()
-        num = w.select(F.min(F.struct("w")).alias("_")).limit(0)  # numbering needs no window: words are few, ranked by a join-free sort
-        return w.select(to_han(F.col("w")).alias("word"), F.col("w").alias("latin"))
-
-    def han_titles(self) -> DataFrame:
-        """Part names written without spaces, with a term of the full lexicon after some of them."""
-        p = self.t("part")
-        words = F.filter(F.split("p_name", " "), lambda w: w != "")
-        return p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("latin"),
-                        F.array_join(F.transform(words, to_han), "").alias("title"))
-
     def calendar(self) -> DataFrame:
         """Weekdays of January 2024 (the events span)."""
         return self.spark.range(1).select(
@@ -175,10 +130,6 @@ DUCK = {
                  "join customer on o_custkey = c_custkey group by c_nationkey, "
                  "cast(date_trunc('month', o_orderdate) as date)",
     "posts_stock": "select doc_id % 100 + 1 as code, text as title, date '2024-01-01' + cast(doc_id % 30 as integer) as day from documents",
-    "han_titles": "select p_partkey as ord, p_name as latin, (select string_agg(translate(lower(w), "
-                  f"'{LATIN}', '{HAN}') || '{HAN_END}', '' order by i) from (select unnest(string_split(p_name, ' ')) as w, "
-                  "unnest(range(0, len(string_split(p_name, ' ')))) as i) where w <> '') as title from part",
-    "posts_stock": "select doc_id % 100 + 1 as code, text as title, date '2024-01-01' + cast(doc_id % 30 as integer) as day from documents",
     "han_titles": "select p_partkey as ord, p_name as latin, (select string_agg(translate(lower(w), "
                   f"'{LATIN}', '{HAN}') || '{HAN_END}', '' order by i) from (select unnest(string_split(p_name, ' ')) as w, "
                   "unnest(range(0, len(string_split(p_name, ' ')))) as i) where w <> '') as title from part",

@@ -14,15 +14,6 @@ def spark():
     s.stop()
 
 
-def posts_df(spark, rows):
-    """Inline posts frame: (code, 'yyyy-MM-dd HH:mm:ss' text, title, author)."""
-    import datetime as dt
-
-    from saiflow import schemas
-    data = [(c, dt.datetime.fromisoformat(t) if t else None, ti, a) for c, t, ti, a in rows]
-    return spark.createDataFrame(data, schemas.POSTS)
-
-
 @pytest.fixture(scope="session")
 def spark_session_holder(spark):
     """Same session; a separate name lets hypothesis tests use it (no function-scoped fixture)."""

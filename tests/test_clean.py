@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from conftest import posts_df
+from frames import posts_df
 from saiflow.functions.exprs import py_slice
 from saiflow.operators import clean as C
 

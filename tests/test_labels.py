@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import posts_df
+from frames import posts_df
 from saiflow import constants as K
 from saiflow.operators import labels as L
 

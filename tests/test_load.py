@@ -4,7 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import posts_df
+from frames import posts_df
 from saiflow import schemas
 from saiflow.operators import load as D
 from saiflow.session import ensure_checkpoint_dir
