@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archive, backoff, decontaminate, imatch, minhash, packing, sharding, suffix_dedup, token_rollup, toxicity
+from . import archive, backoff, decontaminate, imatch, minhash, packing, sharding, stream_dedup, suffix_dedup, token_rollup, toxicity
 from .common import perhaps, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,13 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
 
 
+def op13_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = scratch_path(spark, f"stream-dedup-{uuid.uuid4().hex}")
+    found = stream_dedup.Deduplicator(spark, f"{sf_dir.rstrip('/')}/documents.parquet", home)
+    found.ingest()
+    return found.decisions().select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
@@ -108,6 +115,7 @@ QUERIES: dict[str, Query] = {
     "op8_imatch": op8_imatch,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_cgk_decontamination": op10_cgk_decontamination,
+    "op13_stream_dedup": op13_stream_dedup,
 }
 
 # DuckDB SQL for the queries that need no tokenizer, trained weights or hash of Spark's own.
@@ -154,8 +162,15 @@ select t.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, t.doc_id = c.co
 from t join c on c.doc_id = t.doc_id left join n on n.doc_id = t.doc_id
 """
 
+_OP13_SQL = """
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from t
+"""
+
 ORACLE: dict[str, str] = {
     "op1_suffix_dedup": _OP1_SQL,
     "op2_warc": _OP2_SQL,
     "op4_circulant_minhash": _OP4_SQL,
+    "op13_stream_dedup": _OP13_SQL,
 }
