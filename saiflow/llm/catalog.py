@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import archive, backoff, decontaminate, imatch, minhash, packing, sharding, stream_dedup, suffix_dedup, token_rollup, toxicity
+from . import archive, backoff, decontaminate, imatch, lexical_search, minhash, packing, sharding, spelling, stream_dedup, suffix_dedup, token_rollup, toxicity
 from .common import perhaps, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,14 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity=0.8)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2)
+
+
 def op13_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = scratch_path(spark, f"stream-dedup-{uuid.uuid4().hex}")
     found = stream_dedup.Deduplicator(spark, f"{sf_dir.rstrip('/')}/documents.parquet", home)
@@ -115,6 +123,8 @@ QUERIES: dict[str, Query] = {
     "op8_imatch": op8_imatch,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_cgk_decontamination": op10_cgk_decontamination,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_stream_dedup": op13_stream_dedup,
 }
 
@@ -162,6 +172,21 @@ select t.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, t.doc_id = c.co
 from t join c on c.doc_id = t.doc_id left join n on n.doc_id = t.doc_id
 """
 
+_OP11_SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents where text is not null),
+s as (select count(*) as docs, sum(len(t)) as terms from d where len(t) > 0),
+tf as (select r, doc_id, len(t) as n, w, count(*) as tf from (select r, doc_id, t, unnest(t) as w from d) group by r, doc_id, len(t), w),
+df as (select w, count(*) as df from tf group by w),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as w from benchmark),
+p as (select r, doc_id, tf.w, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * df + 1))) as bigint)
+        * ((1000000000 * tf) // (1000 * tf + 8 * cast(10 + (90 * n * docs) // terms as bigint))) as part from tf join df on df.w = tf.w cross join s),
+sc as (select item_id, r, doc_id, cast(sum(part) as bigint) as score from i join p on p.w = i.w group by item_id, r, doc_id having sum(part) > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score
+from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from sc) where rank <= 10
+"""
+
 _OP13_SQL = """
 with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
@@ -172,5 +197,6 @@ ORACLE: dict[str, str] = {
     "op1_suffix_dedup": _OP1_SQL,
     "op2_warc": _OP2_SQL,
     "op4_circulant_minhash": _OP4_SQL,
+    "op11_lexical_search": _OP11_SQL,
     "op13_stream_dedup": _OP13_SQL,
 }
