@@ -38,7 +38,12 @@ from pyspark.sql import functions as F
 from ..session import path_exists
 from .common import native_perhaps, stage
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a partition's files are as long as what is in them, and a batch sends its changes alone to the checkpoint
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 HOT, SHARE = 1024, 1000
 LEDGER = "doc_id long, digest binary, file string, row long"
 LOCATOR = ["file", "row"]
@@ -106,13 +111,15 @@ class Deduplicator:
         changed.write.mode("overwrite").parquet(f"{self.home}/changes/batch={batch}")
 
     def _run(self, writer, name: str) -> None:
-        conf, key = self.spark.conf, "spark.sql.streaming.stateStore.providerClass"
-        before = conf.get(key, None)
-        conf.set(key, ROCKSDB)
+        conf = self.spark.conf
+        before = {key: conf.get(key, None) for key in STATE_STORE}
         try:
+            for key, value in STATE_STORE.items():
+                conf.set(key, value)
             query = writer.option("checkpointLocation", f"{self.home}/checkpoint-{name}").trigger(availableNow=True).start()
         finally:
-            conf.set(key, before) if before else conf.unset(key)
+            for key, value in before.items():
+                conf.set(key, value) if value is not None else conf.unset(key)
         query.awaitTermination()
 
     def ledger(self) -> DataFrame:
