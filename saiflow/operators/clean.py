@@ -205,18 +205,23 @@ def filter_name_overlap(posts: DataFrame, grams: DataFrame, n: int = K.NAME_OVER
     return keyed.join(hits, ["_h1", "_h2"], "left_anti").drop("_h1", "_h2")
 
 
-def _best_in_band(titles: DataFrame, names: DataFrame, key_cols: list[str], lo: int, hi: int) -> DataFrame:
-    """Per title, the longest substring with length in [lo, hi] that occurs in
-    the name string; earliest position among equal lengths."""
-    g_dict = concat_grams(names, lo, hi)
-    per_len = F.array(*[F.struct(F.lit(L).alias("len"), ngrams("_t", L).alias("g")) for L in range(lo, hi + 1)])
-    by_len = titles.select(*key_cols, F.inline(per_len))
-    cand = by_len.select(*key_cols, "len", F.posexplode("g").alias("_i", "gram")) \
-                 .select(*key_cols, (F.col("_i") + 1).alias("pos"), "len", "gram")
-    matched = cand.join(g_dict, "gram", "left_semi")
-    best = matched.groupBy(*key_cols).agg(
-        F.max_by(F.struct("len", "pos", "gram"), F.struct("len", -F.col("pos"))).alias("b"))
-    return best.select(*key_cols, F.col("b.gram").alias("max_sub"), F.col("b.len").alias("max_len"))
+def _longest_from(rows: DataFrame, g_dict: DataFrame, lo: int, top: int) -> DataFrame:
+    """``rows`` with ``len``: how many of the first characters of ``_w``, from
+    ``lo`` to ``top``, make a gram of ``g_dict``; ``top - lo`` is 2^k - 1.
+
+    What begins a match is a match, so the length is found by halving steps:
+    each row meets the grams once for each of k steps. A row too short for a step's
+    length meets them with what it has, as null keys would all go to one task.
+    """
+    known = g_dict.select(F.col("gram").alias("_g"), F.lit(True).alias("_in"))
+    rows, step = rows.withColumn("len", F.lit(lo)), (top - lo + 1) // 2
+    while step:
+        test = F.col("len") + step
+        hit = F.coalesce("_in", F.lit(False)) & (F.length("_w") >= test)
+        rows = (rows.withColumn("_g", F.col("_w").substr(F.lit(1), test)).join(known, "_g", "left")
+                    .withColumn("len", F.when(hit, test).otherwise(F.col("len"))).drop("_g", "_in"))
+        step //= 2
+    return rows
 
 
 def longest_name_match(posts: DataFrame, names: DataFrame, key_cols: list[str],
@@ -227,25 +232,33 @@ def longest_name_match(posts: DataFrame, names: DataFrame, key_cols: list[str],
     title wins; ``('', 0)`` when nothing matches.
 
     ``names(ord, name)`` define the string (names concatenated in ``ord``
-    order). Exact at any length: lengths 1..cap are matched by an equi-join of
-    title grams with the distinct grams of the string (``concat_grams``). Only titles whose best match
-    reaches the cap can have a longer one; they alone are re-run on the band
-    (cap, 2*cap], and so on until no title reaches the band's top. The loop
-    runs at most log2(longest title) times.
+    order). Each position of a title is one row with the characters that
+    follow; the length of its match is searched by halving (``_longest_from``)
+    among the distinct grams of the string (``concat_grams``), on the text
+    itself, so nothing is left to verify. Exact at any length: the first
+    search goes to 2^k - 1 >= ``start_cap``; only titles whose match reaches
+    that top can have a longer one, and they alone are searched again, over
+    twice as many lengths, until no title reaches the top. The loop runs at most log2(longest title) times.
     """
     ensure_checkpoint_dir(posts.sparkSession)
     base = posts.select(*key_cols, F.col(title_col).alias("_t"))
     bands = []
-    todo, lo, hi = base, 1, start_cap
+    todo, lo, width = base, 0, (1 << max(1, start_cap.bit_length())) - 1
     while True:
+        top = lo + width
+        at = todo.select(*key_cols, F.posexplode(F.regexp_extract_all("_t", F.lit(f"(?s)(?=(.{{1,{top}}}))"), 1)).alias("_i", "_w"))
+        found = _longest_from(at.where(F.length("_w") > lo), concat_grams(names, lo + 1, top), lo, top)
+        best = found.where(F.col("len") > lo).groupBy(*key_cols).agg(
+            F.max_by(F.struct("_w", "len"), F.struct("len", -F.col("_i"))).alias("b"))
         # written to the shared folder: read twice, and no cache is left behind
-        best = _best_in_band(todo, names, key_cols, lo, hi).checkpoint(eager=True)
+        best = best.select(*key_cols, F.col("b._w").substr(F.lit(1), F.col("b.len")).alias("max_sub"), F.col("b.len").alias("max_len"))
+        best = best.checkpoint(eager=True)
         bands.append(best)
-        reached = best.where(F.col("max_len") >= hi).select(*key_cols)
+        reached = best.where(F.col("max_len") >= top).select(*key_cols)
         if reached.isEmpty():
             break
         todo = todo.join(reached, key_cols, "left_semi")
-        lo, hi = hi + 1, hi * 2
+        lo, width = top, 2 * width + 1
     found = bands[0]
     for b in bands[1:]:
         found = found.unionByName(b)

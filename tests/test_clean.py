@@ -104,6 +104,20 @@ def test_longest_match_equals_dp(spark_session_holder, titles, names):
     assert got == {i: lcs_first(t, names) for i, t in enumerate(titles)}
 
 
+def test_longest_match_of_every_length(spark):
+    """Matches that end below, at and above the top of each search, and the first of equal ones."""
+    import random
+    rng = random.Random(4)
+    letters = "abcdefghij"
+    names = ["".join(rng.choice(letters) for _ in range(n)) for n in (50, 3, 1, 40, 7)]
+    whole = "".join(names)
+    titles = [f"X{whole[at:at + n]}Y" for n in range(42) for at in (0, 30, 55)] + [whole, whole[5:12] + "-" + whole[20:27], None, ""]
+    df = spark.createDataFrame(list(enumerate(titles)), "ord long, title string")
+    nm = spark.createDataFrame(list(enumerate(names)), "ord long, name string")
+    got = {r.ord: (r.max_sub, r.max_len) for r in C.longest_name_match(df, nm, ["ord"], start_cap=3).collect()}
+    assert got == {i: lcs_first(t or "", whole) for i, t in enumerate(titles)}
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(st.text(max_size=12), st.integers(-15, 15), st.integers(-15, 15)), min_size=1, max_size=40))
 def test_py_slice(spark_session_holder, cases):
