@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import micros_of_day_text
-from ..session import ensure_checkpoint_dir
+from ..session import staged
 
 
 # ---- simple predicates ------------------------------------------------------
@@ -240,7 +240,6 @@ def longest_name_match(posts: DataFrame, names: DataFrame, key_cols: list[str],
     that top can have a longer one, and they alone are searched again, over
     twice as many lengths, until no title reaches the top. The loop runs at most log2(longest title) times.
     """
-    ensure_checkpoint_dir(posts.sparkSession)
     base = posts.select(*key_cols, F.col(title_col).alias("_t"))
     bands = []
     todo, lo, width = base, 0, (1 << max(1, start_cap.bit_length())) - 1
@@ -252,7 +251,7 @@ def longest_name_match(posts: DataFrame, names: DataFrame, key_cols: list[str],
             F.max_by(F.struct("_w", "len"), F.struct("len", -F.col("_i"))).alias("b"))
         # written to the shared folder: read twice, and no cache is left behind
         best = best.select(*key_cols, F.col("b._w").substr(F.lit(1), F.col("b.len")).alias("max_sub"), F.col("b.len").alias("max_len"))
-        best = best.checkpoint(eager=True)
+        best = staged(best, "longest-match")
         bands.append(best)
         reached = best.where(F.col("max_len") >= top).select(*key_cols)
         if reached.isEmpty():

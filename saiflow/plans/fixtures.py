@@ -8,7 +8,7 @@ give the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import read_table
@@ -101,6 +101,31 @@ class Views:
         return p.select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("latin"),
                         F.array_join(F.transform(words, to_han), "").alias("title"))
 
+    def lexicon(self) -> DataFrame:
+        """Words of the benchmark texts and part names as terms, with a side by their length."""
+        words = self.t("benchmark").select(F.explode(F.split("text", " ")).alias("term"))
+        words = words.unionByName(self.t("part").select(F.col("p_name").alias("term"))).where("term <> ''").distinct()
+        return words.select("term", F.when(F.length("term") % 2 == 0, "put").otherwise("call").alias("side"))
+
+    def dense(self) -> DataFrame:
+        """Part names in Han letters without any sign between words."""
+        return self.t("part").select(F.col("p_partkey").alias("ord"), F.translate(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))), LATIN, HAN).alias("title"))
+
+    def pieces(self) -> DataFrame:
+        """word, freq: the words of the part names as often as they occur, and each with the first letter of the next, once."""
+        w = F.split(F.translate(F.lower("p_name"), LATIN, HAN), " ")
+        words = self.t("part").select(F.explode(w).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+        glued = self.t("part").select(w.alias("w")).where(F.size("w") > 1).select(F.concat(F.col("w")[0], F.left(F.col("w")[1], F.lit(1))).alias("word"))
+        return words.unionByName(glued.distinct().select("word", F.lit(1).cast("long").alias("freq")))
+
+    def tagged(self) -> DataFrame:
+        """The events of each user in order. Errors and purchases have a tag of their own; what other words are
+        depends on whether they follow one of these."""
+        w = Window.partitionBy("user_id").orderBy("event_id")
+        ends = F.col("event_type").isin("error", "purchase")
+        tag = F.when(ends, "a").when(F.lag(ends, 1, True).over(w), "v").otherwise("n")
+        return self.t("events").select(F.col("user_id").alias("sentence"), F.col("event_id").alias("i"), F.col("event_type").alias("word"), tag.alias("tag"))
+
     def calendar(self) -> DataFrame:
         """Weekdays of January 2024 (the events span)."""
         return self.spark.range(1).select(
@@ -133,6 +158,14 @@ DUCK = {
     "han_titles": "select p_partkey as ord, p_name as latin, (select string_agg(translate(lower(w), "
                   f"'{LATIN}', '{HAN}') || '{HAN_END}', '' order by i) from (select unnest(string_split(p_name, ' ')) as w, "
                   "unnest(range(0, len(string_split(p_name, ' ')))) as i) where w <> '') as title from part",
+    "lexicon": "select term, case when length(term) % 2 = 0 then 'put' else 'call' end as side from (select distinct term from "
+               "(select unnest(string_split(text, ' ')) as term from benchmark union all select p_name from part) where term <> '')",
+    "dense": f"select p_partkey as ord, translate(lower(replace(p_name, ' ', '')), '{LATIN}', '{HAN}') as title from part",
+    "pieces": f"select word, count(*) as freq from (select unnest(string_split(translate(lower(p_name), '{LATIN}', '{HAN}'), ' ')) as word from part) "
+              f"where word <> '' group by word union all select distinct w[1] || left(w[2], 1), 1 from "
+              f"(select string_split(translate(lower(p_name), '{LATIN}', '{HAN}'), ' ') as w from part) where len(w) > 1",
+    "tagged": "select user_id as sentence, event_id as i, event_type as word, case when event_type in ('error', 'purchase') then 'a' "
+              "when lag(event_type in ('error', 'purchase'), 1, true) over (partition by user_id order by event_id) then 'v' else 'n' end as tag from events",
     "calendar": "select cast(d as date) as trade_date from (select unnest(generate_series(date '2024-01-01', "
                 "date '2024-01-31', interval 1 day)) as d) where isodow(d) < 6",
 }

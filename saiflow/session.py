@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. AQE re-plans joins at runtime (broadcast only
 # when the measured side is under the threshold, else sort-merge), coalesces
@@ -77,6 +78,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder of the shared scratch area and read back: the lineage ends there, and the
+    plan runs once (a checkpoint runs it twice)."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Remove a staged table; only paths of ``scratch_path`` are accepted."""
     if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
