@@ -3,7 +3,12 @@ benchmark passages go, and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of ``documents``; n_chars follows the text.
+columns of ``documents``, and any others the table has; n_chars follows the text.
+
+Defined results: null and empty texts, and rows without id, pass every filter
+(an empty text is toxic, near or contaminated by nothing) and are packed as rows of their own;
+of rows repeated as a whole one stays; rows that share an id are judged each by
+its text; long texts are handled whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +24,16 @@ from saiflow.llm.common import stage, table
 ORACLE_SQL = None
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and all of ``docs`` in one, so that no column of theirs meets one of the same name."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 by the positive-unlabelled classifier."""
     classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), may_learn=toxicity.fold() != 1)
-    scored = toxicity.score(spark, docs, classifier, threshold=0.7)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(spark, carried(docs), classifier, threshold=0.7)
+    return scored.filter("predicted = 0").select("_doc.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +42,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 200 bytes or more that occur elsewhere too; whole characters only."""
-    cut = suffix_dedup.remove_repeats(spark, docs, length=200, whole_chars=True)
-    text = F.col("kept").cast("string")
-    return cut.withColumn("text", text).withColumn("n_chars", F.char_length(text).cast("long")).select(*docs.columns)
+    """Texts without the strings of 200 bytes or more that occur elsewhere too; whole characters only. A null text stays null."""
+    cut = suffix_dedup.remove_repeats(spark, carried(docs), length=200, whole_chars=True)
+    text = F.when(F.col("_doc.text").isNotNull(), F.col("kept").cast("string"))
+    changed = {"text": text, "n_chars": F.char_length(text).cast("long")}
+    return cut.select(*(changed.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), similarity=0.8).select(*docs.columns)
+    return decontaminate.remove_contaminated(carried(docs), table(spark, sf_dir, "benchmark"), similarity=0.8).select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

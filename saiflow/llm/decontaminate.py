@@ -22,7 +22,7 @@ each task gets is bounded; more items mean more passes over the documents.
 Documents are never shuffled.
 
 Defined results: null or empty texts hold nothing, and null or empty items are
-held by nothing; an item of fewer than five words must occur exactly; repeated
+held by nothing; an item without id is reported with a null one; an item of fewer than five words must occur exactly; repeated
 rows are reported each; of several places in a document the nearest one, then the first, is
 reported; an empty table gives no rows; other columns are ignored.
 """
@@ -85,9 +85,9 @@ def find_within(pattern: list[int], text: list[int], edits: int) -> tuple[int, i
 class ItemIndex:
     """Benchmark items ready for search: vocabulary, grams, and LSH tables by item length."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, walks: int, samples: int, sampled: int, seed: int = 5):
+    def __init__(self, items: list[tuple[int | None, str]], similarity: float, walks: int, samples: int, sampled: int, seed: int = 5):
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray, int]] = []  # id, words, edits
+        self.items: list[tuple[int | None, np.ndarray, int]] = []  # id, words, edits
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if ids:
@@ -224,7 +224,7 @@ def item_hits(benchmark: DataFrame, text: Column, item_col: str = "item_id", ite
 
     def block(n: int) -> Column:
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        index = ItemIndex(sorted((r.item_id or 0, r.text) for r in own.collect()), similarity, walks, samples, sampled)
+        index = ItemIndex(sorted(((r.item_id, r.text) for r in own.collect()), key=lambda i: (i[0] is not None, i[0] or 0, i[1])), similarity, walks, samples, sampled)
 
         @F.pandas_udf("array<struct<item_id:long,edits:int,item_words:int,start_char:int,end_char:int>>")
         def hits(texts: pd.Series) -> pd.Series:

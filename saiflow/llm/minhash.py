@@ -372,11 +372,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the least id. Rows without id stay."""
-    found = near_duplicates(spark, docs, id_col=id_col, **options)
-    gone = found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    rest = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    # rows repeated as a whole share an id, so the join keeps all of them
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col))
-    once = rest.join(again, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
-    return rest.join(again, id_col, "left_anti").select(*docs.columns).unionByName(once)
+    """``docs`` with one row of each group of near duplicates: that of the least id, of equal ids any one. Rows without id stay.
+
+    Rows are told apart by a number of their own, so two texts that share an id are two rows, each judged by its text.
+    """
+    rows = stage(spark, docs.withColumn("_mh_row", F.monotonically_increasing_id()), "minhash-numbered")
+    found = near_duplicates(spark, rows, id_col="_mh_row", **options).select(F.col("doc_id").alias("_mh_row"), F.col("component_id").alias("_mh_group"))
+    grouped = rows.select("_mh_row", F.col(id_col).alias("_mh_id")).filter("_mh_id is not null").join(found, "_mh_row")
+    first = grouped.groupBy("_mh_group").agg(F.min(F.struct("_mh_id", "_mh_row")).alias("least"))
+    stay = first.select(F.col("least._mh_row").alias("_mh_row")).unionByName(rows.filter(F.col(id_col).isNull()).select("_mh_row"))
+    return rows.join(stay, "_mh_row", "left_semi").select(*docs.columns)

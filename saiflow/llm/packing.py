@@ -243,7 +243,8 @@ def rank_within(pieces: DataFrame, salts: int) -> DataFrame:
     before = (salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
               .withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
               .drop("_n"))
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    order = ["doc_id", "piece", "ids_crc32", *(c for c in pieces.columns if c == "row")]  # rows without id are told apart by their number
+    own = Window.partitionBy("length", "_salt").orderBy(*order)
     return (salted.withColumn("_own", F.row_number().over(own) - 1).join(before, ["length", "_salt"])
             .withColumn("rank", F.col("_own") + F.col("_before")).drop("_own", "_before", "_salt"))
 

@@ -9,8 +9,9 @@ that was left unfinished is written anew, so a batch takes effect once however
 often it is sent. Totals are the sums over committed batches.
 
 Defined results: a null source or language is a key of its own; a null text
-has no tokens and counts as a document; null counts are 0; repeated rows count each; keys whose documents
-and tokens are both 0 are left out; without batches there are no totals.
+has no tokens and counts as a document; a long text is counted whole; null counts are 0; repeated rows count each; keys whose documents
+and tokens are both 0 are left out; without batches, or of empty ones alone, there are no totals. One writer
+commits a batch id at a time.
 """
 
 from __future__ import annotations
@@ -51,17 +52,21 @@ def library_counter(file: str) -> Callable[[], Counter]:
 
 
 def with_tokens(docs: DataFrame, make: Callable[[], Counter], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``tokens``, the number of tokens of the whole text."""
-    narrow = docs.select(*keep, F.col(text_col).alias("_text"))
-    ddl = ", ".join(f"`{n}` {t}" for n, t in narrow.dtypes if n != "_text") + ", tokens long"
+    """The columns ``keep`` of ``docs`` and ``tokens``, the number of tokens of the whole text.
+
+    A column ``tokens`` among ``keep`` is replaced; the text goes by a reserved name, so any other may be kept.
+    """
+    keep = [c for c in keep if c != "tokens"]
+    narrow = docs.select(*keep, F.col(text_col).alias("_tr_text"))
+    ddl = ", ".join(f"`{n}` {t}" for n, t in narrow.dtypes[:-1] + [("tokens", "bigint")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = make()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                n = counter([t or "" for t in part.column("_text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(n, pa.int64())], [*keep, "tokens"])
+                n = counter([t or "" for t in part.column(len(keep)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(n, pa.int64())], [*keep, "tokens"])
 
     return narrow.mapInArrow(count, ddl)
 

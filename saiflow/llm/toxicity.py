@@ -14,8 +14,9 @@ their say. A feature's value is multiplied by the logarithm of its lift (the
 ratio of its shares of confirmed and of unlabelled texts, smoothed), so what tells nothing weighs little.
 
 The training sample is bounded: at most ``max_positive`` toxic and
-``max_unlabelled`` other texts, whole, chosen by the hash of their ids; that
-is what the driver gets. Scoring runs over whole texts in tasks of their own,
+``max_unlabelled`` other texts, whole, chosen by the hash of their ids. The
+driver gets the features of the confirmed ones, and of the others those
+features alone that are learned, never texts. Scoring runs over whole texts in tasks of their own,
 and nothing is shuffled but ids.
 
 Defined results: a text that is null or without words gets the classifier's
@@ -35,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,9 +160,9 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior:
     return Classifier(dict(zip(kept.tolist(), (w[:size] * scale).tolist())), float(w[size]), bits)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int, max_unlabelled: int, id_col: str,
-                    text_col: str, label_col: str) -> tuple[list[tuple[str, bool]], float]:
-    """([(text, confirmed)], class prior). ``may_learn``: condition on the id column, for texts and labels alike.
+def chosen_texts(docs: DataFrame, labels: DataFrame, may_learn: Column, max_positive: int, max_unlabelled: int, id_col: str,
+                 text_col: str, label_col: str) -> tuple[DataFrame, float]:
+    """(id, text, confirmed of the sample, class prior). ``may_learn``: condition on the id column, for texts and labels alike.
 
     Only ids are ordered; texts come for the chosen ids, whose number is bounded.
     """
@@ -175,18 +177,47 @@ def training_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, max_p
     other = allowed.orderBy(F.xxhash64(F.lit(12), F.col("id")), "id").limit(max_unlabelled)
     chosen = toxic.select("id", F.lit(True).alias("confirmed")).unionByName(other.select("id", F.lit(False).alias("confirmed")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(chosen), "id").select("id", "text", "confirmed").collect()  # bounded by the two limits
-    return [(t, c) for _, t, c in sorted(got, key=lambda r: (not r[2], r[0], r[1] or ""))], float(prior)
+    return texts.join(F.broadcast(chosen), "id").select("id", "text", "confirmed"), float(prior)
+
+
+def sample_features(texts: DataFrame, bits: int, kept: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features and values of each of ``texts`` (id, text), made in tasks, in a fixed order. With ``kept`` (sorted) only those features."""
+    sent = None if kept is None else texts.sparkSession.sparkContext.broadcast(kept)  # at most 2^bits numbers
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                own, value = text_features(text, bits)
+                if sent is not None:
+                    at = np.isin(own, sent.value, assume_unique=True)
+                    own, value = own[at], value[at]
+                rows.append((own, value, xxhash.xxh3_64_intdigest(text or "") >> 1))
+            own, value, mark = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark, pa.int64()), pa.array(own, pa.list_(pa.int32())),
+                                              pa.array(value, pa.list_(pa.float32()))], ["id", "mark", "own", "value"])
+
+    got = texts.select("id", "text").mapInArrow(make, "id long, mark long, own array<int>, value array<float>").toArrow().sort_by([("id", "ascending"), ("mark", "ascending")])
+    own, value = got.column("own").combine_chunks(), got.column("value").combine_chunks()
+    return [(own[k].values.to_numpy(), value[k].values.to_numpy()) for k in range(got.num_rows)]
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_positive: int = 2000, max_unlabelled: int = 6000, bits: int = 20) -> Classifier | None:
-    """A classifier from the bounded sample; None without any confirmed text."""
-    sample, prior = training_sample(docs, labels, may_learn, max_positive, max_unlabelled, id_col, text_col, label_col)
-    confirmed = np.array([c for _, c in sample], bool)
-    if not confirmed.any():
+          max_positive: int = 2000, max_unlabelled: int = 6000, bits: int = 20, least: int = 2) -> Classifier | None:
+    """A classifier from the bounded sample; None without any confirmed text.
+
+    Texts become features in tasks. The driver gets those of the confirmed texts, finds the ones that ``least`` of
+    them have, and asks for these alone of the unlabelled texts.
+    """
+    texts, prior = chosen_texts(docs, labels, may_learn, max_positive, max_unlabelled, id_col, text_col, label_col)
+    positive = sample_features(texts.filter("confirmed"), bits)
+    if not positive:
         return None
-    return fit([text_features(t, bits) for t, _ in sample], confirmed, min(0.9, max(1e-3, prior)), bits)
+    kept = np.flatnonzero(np.bincount(np.concatenate([f for f, _ in positive]), minlength=1 << bits) >= least).astype(np.int32)
+    positive = [(f[at], v[at]) for f, v in positive for at in [np.isin(f, kept, assume_unique=True)]]
+    unlabelled = sample_features(texts.filter("not confirmed"), bits, kept)
+    confirmed = np.arange(len(positive) + len(unlabelled)) < len(positive)
+    return fit(positive + unlabelled, confirmed, min(0.9, max(1e-3, prior)), bits, least=least)
 
 
 def score(spark: SparkSession, docs: DataFrame, classifier: Classifier | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

@@ -76,3 +76,11 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     assert clean.columns == edge_docs.columns and clean.count() == len(edge_rows) - 4
     assert dc.find_items(no_docs, items).count() == 0
     assert dc.find_items(edge_docs, items.limit(0)).count() == 0
+
+
+def test_item_without_id_is_reported_without_one(spark):
+    item = "one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([(None, item), (0, "alpha beta gamma delta epsilon zeta eta theta"), (7, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "alpha beta gamma delta epsilon zeta eta theta"), (None, item)], "doc_id long, text string")
+    got = dc.find_items(docs, benchmark).select("doc_id", "item_id").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(1, None), (2, 0), (None, None)]))

@@ -112,3 +112,13 @@ def test_empty_table_and_keep_one(spark, no_docs, edge_docs, edge_rows):
     assert kept.columns == edge_docs.columns
     parts = {d: c for d, _, c in exact(edge_rows, 4, 80) if d != "None"}
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({d for d, c in parts.items() if d == c} | {"None"})
+
+
+def test_keep_one_loses_no_text_that_shares_an_id(spark):
+    from conftest import words
+
+    rng = random.Random(12)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, c), (3, b), (None, a), (4, ""), (5, None), (2, c), (0, c + " tail")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text or "") for r in minhash.keep_one(spark, docs, shingle_words=4).collect())
+    assert got == sorted([("1", a), ("1", b), ("0", c + " tail"), ("None", a), ("4", ""), ("5", "")])

@@ -97,3 +97,12 @@ def test_rows_without_id_keep_their_ids(spark, edge_docs, edge_rows):
 
 def test_empty_table(spark, no_docs):
     assert packing.pack(spark, no_docs, FILE).count() == 0
+
+
+def test_rows_without_id_have_ranks_of_their_own(spark):
+    rows = [(None, k, 0, 0, 5, 77) for k in range(40)] + [(1, 50, 0, 0, 5, 77)]
+    pieces = spark.createDataFrame(rows, "doc_id long, row long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    ranked = packing.rank_within(pieces, 3)
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(41))
+    own = [e for e in ranked._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in e]
+    assert own and "row#" in own[0].split("windowspecdefinition")[1]

@@ -43,3 +43,18 @@ def test_edge_rows(spark, sf, edge_docs, no_docs):
             out = step(spark, now, sf).collect()
             now = spark.createDataFrame(out, docs.schema) if out and len(out[0]) == 5 else now
         assert (len(out) == 0) == (start is not docs)
+
+
+def test_columns_of_any_name_are_carried(spark, sf):
+    """Columns that operators add by the same name stay the document's own; a null text stays null."""
+    names = ["score", "predicted", "kept", "spans", "n_bytes", "component_id", "_doc"]
+    docs = table(spark, sf, "documents").limit(40).unionByName(spark.createDataFrame([(9001, None, "en", "s", None)], table(spark, sf, "documents").schema))
+    for c in names:
+        docs = docs.withColumn(c, cp.F.concat(cp.F.lit(c), cp.F.col("doc_id").cast("string")))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    for _, step in cp.STAGES[:-1]:
+        out = step(spark, docs, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+        assert [r.text for r in rows if r.doc_id == 9001] == [None]

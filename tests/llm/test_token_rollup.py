@@ -54,3 +54,11 @@ def test_query_matches_brute_force(spark):
             n, k = want.get((s, lang, name), (0, 0))
             want[s, lang, name] = n + 1, k + len(tok[name].encode(t, add_special_tokens=False).ids)
     assert {(r.source, r.lang, r.tokenizer_version): (r.docs, r.tokens) for r in op3_token_rollup(spark, sf).collect()} == want
+
+
+def test_kept_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 9), (2, None, "y", 9)], "doc_id long, text string, _text string, tokens int")
+    file = public_tokenizers.path("word_bpe_49k.json")
+    got = tr.with_tokens(docs, tr.word_counter(file), ["doc_id", "_text", "text", "tokens"])
+    assert got.columns == ["doc_id", "_text", "text", "tokens"]
+    assert sorted(map(tuple, got.collect())) == [(1, "x", "a b", 2), (2, "y", None, 0)]
