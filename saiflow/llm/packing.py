@@ -28,11 +28,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import spread, stage
+from .common import byte_slices, spread, stage
 
 
 class CapacityTree:
@@ -190,12 +191,34 @@ class WordTokenizer:
         self.words.update(zip(new, self._library(new)))
         self.runs.update((run, self.words[w] + tail) for run, (w, tail) in split.items())
 
+    def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """Of the runs of all texts, one after the other: which of the distinct runs each is, the ids of these, and where each text's runs begin."""
+        cut = pc.split_pattern(pa.array([self._plain(t) for t in texts], pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(set(distinct))
+        return coded.indices.to_numpy(), [self.runs[r] for r in distinct], cut.offsets.to_numpy()
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has."""
+        which, ids, first = self._looked_up(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return np.diff(np.concatenate([[0], np.cumsum(size[which])])[first])
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and where each text's ids begin (and the last end)."""
+        which, ids, first = self._looked_up(texts)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin, times = np.cumsum(size) - size, size[which]
+        end = np.cumsum(times)
+        at = np.arange(end[-1] if len(end) else 0) + np.repeat(begin[which] - (end - times), times)
+        return np.frombuffer(b"".join(ids), "<u4")[at], np.concatenate([[0], end])[first]
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self._plain(t).split(" ") for t in texts]
-        self.learn(set().union(*cut))
-        for runs in cut:
-            yield b"".join(map(self.runs.__getitem__, runs))
+        ids, first = self.encode_all(texts)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            yield ids[a:b].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -215,23 +238,27 @@ def tokenized_pieces(docs: DataFrame, file: str, capacity: int, end_id: int, id_
               pa.field("length", pa.int64()), pa.field("ids_crc32", pa.int64())]
     fields += [pa.field("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
-                rows: list[tuple] = []
-                for doc, body in zip(ids, tokenizer.encode(texts)):
-                    body += end
-                    n = len(body) // 4
-                    for piece, start in enumerate(range(0, n, capacity)):
-                        own = body[4 * start:4 * (start + capacity)]
-                        row = (doc, piece, start, len(own) // 4, zlib.crc32(own))
-                        rows.append(row + (np.frombuffer(own, "<i4"),) * with_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for a, b, _, _ in byte_slices(batch.column(1), 4 << 20):
+                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
+                ids, first = tokenizer.encode_all(texts)
+                ids = np.ascontiguousarray(np.insert(ids, first[1:], end_id), "<u4")  # the end token after each text
+                first = first + np.arange(len(first))
+                size = np.diff(first)
+                pieces = -(-size // capacity)
+                doc = np.repeat(np.arange(len(size)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(size[doc] - start, capacity)
+                at = first[doc] + start
+                crc = [zlib.crc32(ids[p:q]) for p, q in zip(at.tolist(), (at + length).tolist())]
+                columns = [batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if with_ids:  # pieces stand in the order of their ids
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, ddl)

@@ -16,23 +16,24 @@ commits a batch id at a time.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import byte_slices
 from .packing import word_tokenizer
 
 KEYS = ("source", "lang", "tokenizer_version")
 DDL = "source string, lang string, tokenizer_version string, docs long, tokens long"
 
-Counter = Callable[[list[str]], list[int]]
+Counter = Callable[[list[str]], Sequence[int]]
 
 
 def word_counter(file: str) -> Callable[[], Counter]:
     """Counts of a word-level tokenizer file that ``packing`` can cut at spaces."""
-    return lambda: lambda texts: [len(ids) // 4 for ids in word_tokenizer(file).encode(texts)]
+    return lambda: lambda texts: word_tokenizer(file).counts(texts)
 
 
 def library_counter(file: str) -> Callable[[], Counter]:
@@ -63,8 +64,8 @@ def with_tokens(docs: DataFrame, make: Callable[[], Counter], keep: list[str], t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for a, b, _, _ in byte_slices(batch.column(len(keep)), 4 << 20):
+                part = batch.slice(a, b - a)
                 n = counter([t or "" for t in part.column(len(keep)).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), pa.array(n, pa.int64())], [*keep, "tokens"])
 
