@@ -8,11 +8,11 @@ written by dynamic partition overwrite through a staged copy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..session import drop_scratch, ensure_checkpoint_dir, path_exists, scratch_path
+from ..session import drop_scratch, ensure_checkpoint_dir, path_exists, scratch_path, staged
 from ..sources.sinks import append_by_name, overwrite_partitions
 from .clean import session_hours
 
@@ -163,8 +163,8 @@ def stored_days(stored: DataFrame, batch: DataFrame, partition_col: str = "day")
     return in_range.join(F.broadcast(batch.select(partition_col).distinct()), partition_col, "left_semi")
 
 
-def append_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None, partition_col: str = "day") -> DataFrame:
-    """Append the not-yet-stored posts of ``new`` to the parquet table at ``path``, and return them.
+def _append_absent(spark: SparkSession, new: DataFrame, path: str, order_col: str | None, partition_col: str) -> tuple[DataFrame, int]:
+    """Append the not-yet-stored posts of ``new`` to the parquet table at ``path``; returns them and their number.
 
     The table is partitioned by post day (``partition_col``), which is one of
     the anti-join keys, so only the batch's days of the stored table are read.
@@ -172,7 +172,7 @@ def append_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str
     at before it is joined, and so is the delta, which is read back to be appended.
     """
     keys = [partition_col] + schemas.POST_KEYS
-    batch = new.withColumn(partition_col, F.to_date("dtime")).checkpoint(eager=True)
+    batch = staged(new.withColumn(partition_col, F.to_date("dtime")), "load-batch")
     if path_exists(spark, path):
         target = stored_days(spark.read.parquet(path).select(*keys), batch, partition_col)
     else:
@@ -180,17 +180,22 @@ def append_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str
     rows = insert_if_absent(batch, target, keys=keys, order_col=order_col)
     if order_col is not None:
         rows = rows.drop(order_col)
-    rows = rows.checkpoint(eager=True)
-    if not rows.isEmpty():  # a table without any file could not be read back
+    written = Observation()
+    rows = staged(rows.observe(written, F.count(F.lit(1)).alias("n")), "load-delta")
+    if written.get["n"]:  # a table without any file could not be read back
         append_by_name(rows, path, partition_by=[partition_col])
-    return rows
+    return rows, written.get["n"]
+
+
+def append_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None, partition_col: str = "day") -> DataFrame:
+    """Append the not-yet-stored posts of ``new`` to the parquet table at ``path``, and return them."""
+    return _append_absent(spark, new, path, order_col, partition_col)[0]
 
 
 def load_posts(spark: SparkSession, new: DataFrame, path: str, order_col: str | None = None,
                partition_col: str = "day") -> int:
-    """``append_posts``; returns the number of rows appended."""
-    ensure_checkpoint_dir(spark)
-    return append_posts(spark, new, path, order_col, partition_col).count()
+    """``append_posts``; returns the number of rows appended (A9), counted while they are written."""
+    return _append_absent(spark, new, path, order_col, partition_col)[1]
 
 
 def upsert_bars_to_path(spark: SparkSession, new: DataFrame, path: str, run_id: str, order_col: str) -> None:
@@ -232,7 +237,7 @@ def ingest_pages(spark: SparkSession, pages: DataFrame, target: str, year: int |
     from .parse import parse_forum_page
 
     ensure_checkpoint_dir(spark)
-    posts = parse_forum_page(pages, year, keep=["code"]).checkpoint(eager=True)
+    posts = staged(parse_forum_page(pages, year, keep=["code"]), "ingest-posts")
     if rejects is not None:
         bad = posts.where(F.greatest(*(F.col(c).isNull() for c in schemas.POST_KEYS)))
         write_rejects(bad.select("code", "time_text", "title", "author"), rejects, run_id)
@@ -248,7 +253,7 @@ def load_bars(spark: SparkSession, payloads: DataFrame, path: str, run_id: str,
     from .parse import parse_bars
 
     ensure_checkpoint_dir(spark)
-    rows = parse_bars(payloads, with_rejects=True).checkpoint(eager=True)
+    rows = staged(parse_bars(payloads, with_rejects=True), "ingest-bars")
     if rejects is not None:
         write_rejects(rows.where("reason is not null").select("bk_code", "pos", "row", "reason"), rejects, run_id)
     upsert_bars_to_path(spark, rows.where("reason is null").drop("row", "reason"), path, run_id, order_col="pos")

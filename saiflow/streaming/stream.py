@@ -6,6 +6,10 @@ post takes effect once however late it lands and however often it is crawled
 or a batch is replayed; no post is dropped by a watermark and no state is kept
 but the stored table. Daily counts are then taken anew from the stored posts
 for the days that the micro-batch touched.
+
+The event-time forms at the end keep state instead and read no stored table
+for what is in time: duplicates are dropped within a watermark, late posts go
+to an exact load, and days are counted in windows.
 """
 
 from __future__ import annotations
@@ -17,9 +21,9 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators.aggregate import daily_post_volume
 from ..operators.clean import clean_posts
-from ..operators.load import append_posts, write_rejects
+from ..operators.load import append_posts, insert_if_absent, stored_days, write_rejects
 from ..operators.parse import parse_forum_page
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir, path_exists, scratch_path, staged
 from ..sources.sinks import overwrite_partitions
 
 
@@ -46,10 +50,10 @@ def posts_from_pages(pages: DataFrame) -> DataFrame:
     return parse_forum_page(pages, "fetch", keep=["code"]).select(*schemas.POST_KEYS, "time_text")
 
 
-def _start(posts: DataFrame, step, name: str, available_now: bool) -> StreamingQuery:
+def _start(posts: DataFrame, step, name: str, available_now: bool, mode: str = "append") -> StreamingQuery:
     spark = posts.sparkSession
     ensure_checkpoint_dir(spark)
-    w = posts.writeStream.foreachBatch(step).option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+    w = posts.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")).start()
 
 
@@ -95,3 +99,77 @@ def start_daily_volume(spark: SparkSession, landing: str, target: str, sink: str
         overwrite_partitions(daily.withColumn("day", F.col("trade_date")), sink, ["day"])
 
     return _start(read_landed_posts(spark, landing), count, name, available_now)
+
+
+# ---- event-time forms ----------------------------------------------------------------
+
+def _append_load(rows: DataFrame, target: str, load: str) -> None:
+    """Rows of one load, in folders of their own (day, load): a load that runs again replaces what it wrote."""
+    overwrite_partitions(rows.withColumns({"day": F.to_date("dtime"), "load": F.lit(load)}), target, ["day", "load"])
+
+
+def start_watermark_dedup(spark: SparkSession, landing: str, target: str, delay: str = "2 days", name: str = "posts_watermark",
+                          available_now: bool = True) -> StreamingQuery:
+    """T1 in event time: land -> clean -> one row for each post key, by Spark's state alone.
+
+    State holds the keys of the last ``delay`` of event time, so the stored
+    table is never read. Posts that are later than that are not in this
+    stream's result; ``start_late_load`` stores them.
+    """
+    posts = clean_posts(read_landed_posts(spark, landing)).where(F.least(*(F.col(c).isNotNull() for c in schemas.POST_KEYS)))
+    once = posts.withColumn("_event", F.col("dtime").cast("timestamp")).withWatermark("_event", delay).dropDuplicatesWithinWatermark(schemas.POST_KEYS)
+    return _start(once.drop("_event"), lambda batch, i: _append_load(batch, target, f"{name}-{i}"), name, available_now)
+
+
+def start_late_load(spark: SparkSession, landing: str, target: str, seen: str, delay: str = "2 days", name: str = "posts_late",
+                    available_now: bool = True) -> StreamingQuery:
+    """The exact load of late posts, after ``start_watermark_dedup`` took the same files with the same ``delay``.
+
+    A post is late if one that landed before or with it is newer by more than
+    ``delay``; that holds for every post the state had given up. Late posts
+    are inserted if absent among the stored ones of their days. ``seen`` is a
+    table of the newest time of each micro-batch, one row a batch.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        ss = batch.sparkSession
+        rows = clean_posts(batch).select(*schemas.POST_KEYS)
+        newest = rows.agg(F.max("dtime").alias("newest"))
+        newest.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{seen}/load={name}-{batch_id}")
+        # batches up to this one: a repeated batch sees what it saw before
+        top = ss.read.parquet(seen).where((F.col("load").startswith(f"{name}-")) & (F.col("batch") <= batch_id)).agg(F.max("newest")).scalar()
+        late = staged(rows.where(F.col("dtime") < top - F.expr(f"interval {delay}")).withColumn("day", F.to_date("dtime")), "late-posts")
+        if late.isEmpty():
+            return
+        own = f"{name}-{batch_id}"
+        if path_exists(ss, target):
+            stored = stored_days(ss.read.parquet(target), late).where(F.col("load") != own).select("day", *schemas.POST_KEYS)
+        else:
+            stored = late.limit(0)
+        fresh = staged(insert_if_absent(late, stored, ["day", *schemas.POST_KEYS]), "late-fresh")
+        _append_load(fresh.drop("day"), target, own)
+
+    return _start(read_landed_posts(spark, landing), load, name, available_now)
+
+
+def start_windowed_volume(spark: SparkSession, landing: str, sink: str, delay: str = "2 days", name: str = "windowed_volume",
+                          available_now: bool = True) -> StreamingQuery:
+    """T2 in event time: landed posts counted by code and day in state, in update mode.
+
+    Each micro-batch hands on the counts that it changed, to a folder of its
+    own. A day leaves the state when the newest post is ``delay`` past its
+    end; posts for it that land later are not counted here (``start_daily_volume`` counts without an end of lateness).
+    """
+    posts = read_landed_posts(spark, landing).withColumn("_event", F.col("dtime").cast("timestamp")).withWatermark("_event", delay)
+    counts = posts.groupBy("code", F.window("_event", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n_posts"))
+    rows = counts.select("code", F.to_date("w.start").alias("trade_date"), "n_posts")
+
+    def hand_on(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return _start(rows, hand_on, name, available_now, "update")
+
+
+def windowed_volume(spark: SparkSession, sink: str) -> DataFrame:
+    """code, trade_date, n_posts as ``start_windowed_volume`` last handed them on (a count only grows)."""
+    return spark.read.parquet(sink).groupBy("code", "trade_date").agg(F.max("n_posts").alias("n_posts"))
