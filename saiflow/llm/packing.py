@@ -20,6 +20,7 @@ than the id and the text are ignored.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -147,57 +148,53 @@ class WordTokenizer:
 
     Such a tokenizer cuts at white space and between letters and other signs
     before it merges, so a run between spaces has the same ids anywhere, and a
-    comma or full stop after a letter adds its own ids. Runs are encoded once
-    by the library and kept, in two tables of bounded size: runs as they
-    stand, and lower-cased words without the last comma or full stop. A run
-    that holds other white space goes to the library as it is.
+    comma or full stop after a letter is a run of its own. The distinct runs of
+    many texts are looked up once; new ones are encoded by the library. What is known is kept in
+    two generations of at most ``keep`` runs: when the younger is full it
+    becomes the elder, from which runs that occur again come back.
     """
 
-    def __init__(self, file: str, keep_runs: int = 300_000, keep_words: int = 900_000):
+    SIGN = re.compile(r"[,.](?<=[^\W\d_][,.])(?= |$)")
+
+    def __init__(self, file: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tok, self.keep_runs, self.keep_words = Tokenizer.from_file(file), keep_runs, keep_words
-        self.runs: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-        self.tail = {sign: self._library([sign])[0] for sign in ",."}
+        self.tok, self.keep = Tokenizer.from_file(file), keep
+        self.young: dict[str, bytes] = {"": b""}
+        self.elder: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _word(self, run: str) -> tuple[str, bytes]:
-        """A run as (word to look up, ids to add)."""
-        if run[-1] in self.tail and run[-2:-1].lower().isalpha():
-            return run[:-1], self.tail[run[-1]]
-        return run, b""
-
-    @staticmethod
-    def _plain(text: str) -> str:
-        """Lower case where that is the same in any order with the library's steps, and spaces for common white space."""
+    def _plain(self, text: str) -> str:
+        """Lower case where that is the same in any order with the library's steps, spaces for common white space and before signs."""
         if "<" not in text and "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
             low = text.lower()
             if unicodedata.is_normalized("NFC", low):
                 text = low
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-
-    def learn(self, runs: set[str]) -> None:
-        """Make the ids of ``runs`` known."""
-        if len(self.runs) + len(runs) > self.keep_runs:
-            self.runs = {"": b""}
-        if len(self.words) + len(runs) > self.keep_words:
-            self.words = {}
-        split = {run: self._word(run) for run in runs.difference(self.runs)}
-        new = list({w for w, _ in split.values()}.difference(self.words))
-        self.words.update(zip(new, self._library(new)))
-        self.runs.update((run, self.words[w] + tail) for run, (w, tail) in split.items())
+        return self.SIGN.sub(r" \g<0>", text.replace("\n", " ").replace("\t", " ").replace("\r", " "))
+
+    def _ids(self, runs: list[str]) -> list[bytes]:
+        """The ids of distinct runs."""
+        ids = list(map(self.young.get, runs))
+        if None in ids:
+            missing = [k for k, b in enumerate(ids) if b is None]
+            again = {k: b for k in missing if (b := self.elder.get(runs[k])) is not None}
+            new = [k for k in missing if k not in again]
+            again.update(zip(new, self._library([runs[k] for k in new])))
+            for k, b in again.items():
+                ids[k] = b
+            self.young.update((runs[k], b) for k, b in again.items())
+            if len(self.young) > self.keep:
+                self.elder, self.young = self.young, {}
+        return ids
 
     def _looked_up(self, texts: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Of the runs of all texts, one after the other: which of the distinct runs each is, the ids of these, and where each text's runs begin."""
         cut = pc.split_pattern(pa.array([self._plain(t) for t in texts], pa.large_string()), " ")
         coded = cut.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn(set(distinct))
-        return coded.indices.to_numpy(), [self.runs[r] for r in distinct], cut.offsets.to_numpy()
+        return coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist()), cut.offsets.to_numpy()
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """How many ids each text has."""
@@ -242,7 +239,7 @@ def tokenized_pieces(docs: DataFrame, file: str, capacity: int, end_id: int, id_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(file)
         for batch in batches:
-            for a, b, _, _ in byte_slices(batch.column(1), 4 << 20):
+            for a, b, _, _ in byte_slices(batch.column(1), 8 << 20):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 ids, first = tokenizer.encode_all(texts)
                 ids = np.ascontiguousarray(np.insert(ids, first[1:], end_id), "<u4")  # the end token after each text

@@ -14,9 +14,8 @@ their say. A feature's value is multiplied by the logarithm of its lift (the
 ratio of its shares of confirmed and of unlabelled texts, smoothed), so what tells nothing weighs little.
 
 The training sample is bounded: at most ``max_positive`` toxic and
-``max_unlabelled`` other texts, whole, chosen by the hash of their ids. The
-driver gets the features of the confirmed ones, and of the others those
-features alone that are learned, never texts. Scoring runs over whole texts in tasks of their own,
+``max_unlabelled`` other texts, whole, chosen by the hash of their ids; their
+features go to one task, which learns, and the driver gets its weights. Scoring runs over whole texts in tasks of their own,
 and nothing is shuffled but ids.
 
 Defined results: a text that is null or without words gets the classifier's
@@ -180,44 +179,43 @@ def chosen_texts(docs: DataFrame, labels: DataFrame, may_learn: Column, max_posi
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "confirmed"), float(prior)
 
 
-def sample_features(texts: DataFrame, bits: int, kept: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and values of each of ``texts`` (id, text), made in tasks, in a fixed order. With ``kept`` (sorted) only those features."""
-    sent = None if kept is None else texts.sparkSession.sparkContext.broadcast(kept)  # at most 2^bits numbers
+def sample_features(texts: DataFrame, bits: int) -> DataFrame:
+    """id, mark, confirmed, own, value: the features and values of each of ``texts`` (id, text, confirmed); ``mark`` tells texts of one id apart."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                own, value = text_features(text, bits)
-                if sent is not None:
-                    at = np.isin(own, sent.value, assume_unique=True)
-                    own, value = own[at], value[at]
-                rows.append((own, value, xxhash.xxh3_64_intdigest(text or "") >> 1))
-            own, value, mark = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mark, pa.int64()), pa.array(own, pa.list_(pa.int32())),
-                                              pa.array(value, pa.list_(pa.float32()))], ["id", "mark", "own", "value"])
-
-    got = texts.select("id", "text").mapInArrow(make, "id long, mark long, own array<int>, value array<float>").toArrow().sort_by([("id", "ascending"), ("mark", "ascending")])
-    own, value = got.column("own").combine_chunks(), got.column("value").combine_chunks()
-    return [(own[k].values.to_numpy(), value[k].values.to_numpy()) for k in range(got.num_rows)]
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                texts = part.column(1).to_pylist()
+                own, value = zip(*(text_features(t, bits) for t in texts))
+                mark = [xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mark, pa.int64()), part.column(2), pa.array(own, pa.list_(pa.int32())),
+                                                  pa.array(value, pa.list_(pa.float32()))], ["id", "mark", "confirmed", "own", "value"])
+
+    return texts.select("id", "text", "confirmed").mapInArrow(make, "id long, mark long, confirmed boolean, own array<int>, value array<float>")
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_positive: int = 2000, max_unlabelled: int = 6000, bits: int = 20, least: int = 2) -> Classifier | None:
+          max_positive: int = 2000, max_unlabelled: int = 6000, bits: int = 20) -> Classifier | None:
     """A classifier from the bounded sample; None without any confirmed text.
 
-    Texts become features in tasks. The driver gets those of the confirmed texts, finds the ones that ``least`` of
-    them have, and asks for these alone of the unlabelled texts.
+    Texts become features in tasks, and one task learns from those of the whole sample; the driver gets the weights.
     """
     texts, prior = chosen_texts(docs, labels, may_learn, max_positive, max_unlabelled, id_col, text_col, label_col)
-    positive = sample_features(texts.filter("confirmed"), bits)
-    if not positive:
-        return None
-    kept = np.flatnonzero(np.bincount(np.concatenate([f for f, _ in positive]), minlength=1 << bits) >= least).astype(np.int32)
-    positive = [(f[at], v[at]) for f, v in positive for at in [np.isin(f, kept, assume_unique=True)]]
-    unlabelled = sample_features(texts.filter("not confirmed"), bits, kept)
-    confirmed = np.arange(len(positive) + len(unlabelled)) < len(positive)
-    return fit(positive + unlabelled, confirmed, min(0.9, max(1e-3, prior)), bits, least=least)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(not c, i, m, np.asarray(o, np.int32), np.asarray(v, np.float32)) for batch in batches
+                  for i, m, c, o, v in zip(*(batch.column(k).to_pylist() for k in range(3)), *([x.values.to_numpy() for x in batch.column(k)] for k in (3, 4)))]
+        sample.sort(key=lambda r: r[:3])  # the order of sums
+        confirmed = np.array([not r[0] for r in sample], bool)
+        if not confirmed.any():
+            return
+        c = fit([r[3:] for r in sample], confirmed, min(0.9, max(1e-3, prior)), bits)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *c.weights], pa.int64()), pa.array([c.bias, *c.weights.values()], pa.float64())], ["feature", "weight"])
+
+    learned = sample_features(texts, bits).repartition(1).mapInArrow(learn, "feature long, weight double").toArrow()
+    weights = dict(zip(learned.column("feature").to_pylist(), learned.column("weight").to_pylist()))
+    return Classifier({f: w for f, w in weights.items() if f >= 0}, weights[-1], bits) if weights else None
 
 
 def score(spark: SparkSession, docs: DataFrame, classifier: Classifier | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
