@@ -84,13 +84,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = imatch.fingerprints(spark, table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint",
-                        "edited_fingerprint", "near_edited", "near_next")
+    return imatch.fingerprints(spark, table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(spark, table(spark, sf_dir, "documents"), order=3)
+    scored = backoff.score(spark, table(spark, sf_dir, "documents"), order=3)
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +171,27 @@ select t.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, t.doc_id = c.co
 from t join c on c.doc_id = t.doc_id left join n on n.doc_id = t.doc_id
 """
 
+# white space as the operator splits it; sums are rounded on both sides
+_OP9_SQL = r"""
+with t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+')
+  as w from documents),
+tok as (select doc_id, w[i] as w3, case when i > 1 then w[i - 1] end as w2, case when i > 2 then w[i - 2] end as w1
+        from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from t)),
+total as (select count(*) as total from tok),
+c1 as (select w3 as w, count(*) as c from tok group by w3),
+c2 as (select w2 as a, w3 as b, count(*) as c from tok where w2 is not null group by w2, w3),
+c3 as (select w1, w2, w3, count(*) as c from tok where w1 is not null group by w1, w2, w3),
+s as (select tok.doc_id, tok.w1, tok.w2, ln(u.c) - ln(total) as uni,
+      case when b.c >= 2 then ln(b.c) - ln(ub.c) else ln(0.4) + ln(u.c) - ln(total) end as bi,
+      case when t3.c >= 2 then ln(t3.c) - ln(bc.c) end as tri
+      from tok cross join total join c1 u on u.w = tok.w3 left join c1 ub on ub.w = tok.w2 left join c2 b on b.a = tok.w2 and b.b = tok.w3
+      left join c2 bc on bc.a = tok.w1 and bc.b = tok.w2 left join c3 t3 on t3.w1 = tok.w1 and t3.w2 = tok.w2 and t3.w3 = tok.w3),
+p as (select doc_id, case when w2 is null then uni when w1 is null then bi else coalesce(tri, ln(0.4) + bi) end as v from s),
+g as (select doc_id, count(*) as n, sum(v) as v from p group by doc_id)
+select d.doc_id, cast(coalesce(g.n, 0) as bigint) as n_tokens, round(coalesce(g.v, 0), 4) + 0.0 as log_score, round(g.v / g.n, 6) as mean_log_score
+from (select distinct doc_id from documents) d left join g on g.doc_id is not distinct from d.doc_id
+"""
+
 _OP11_SQL = r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents where text is not null),
@@ -197,6 +217,7 @@ ORACLE: dict[str, str] = {
     "op1_suffix_dedup": _OP1_SQL,
     "op2_warc": _OP2_SQL,
     "op4_circulant_minhash": _OP4_SQL,
+    "op9_stupid_backoff": _OP9_SQL,
     "op11_lexical_search": _OP11_SQL,
     "op13_stream_dedup": _OP13_SQL,
 }

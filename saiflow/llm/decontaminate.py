@@ -17,9 +17,9 @@ document holds an item if some run of its words is within
 3. Candidates are confirmed exactly: bit-parallel search of the item in the
    window and the words around it.
 
-Items are read to the driver in blocks of at most ``block_items`` items, so what
-each task gets is bounded; more items mean more passes over the documents.
-Documents are never shuffled.
+Items are read to the driver in blocks of about ``block_items`` items, one at a
+time, each a job of its own, so what driver and tasks hold is bounded; more
+items mean more passes over the documents. Documents are never shuffled.
 
 Defined results: null or empty texts hold nothing, and null or empty items are
 held by nothing; an item without id is reported with a null one; an item of fewer than five words must occur exactly; repeated
@@ -30,12 +30,15 @@ reported; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 PUNCTUATION = ".,;:!?\"()[]{}"
 _WORD = re.compile(r"[^\s.,;:!?\"()\[\]{}]+")
 
@@ -216,34 +219,45 @@ def char_span(text: str, first: int, end: int) -> tuple[int, int]:
     return spans[first][0], spans[min(end, len(spans)) - 1][1]
 
 
-def item_hits(benchmark: DataFrame, text: Column, item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8,
-              walks: int = 16, samples: int = 6, sampled: int = 3, block_items: int = 20_000) -> Column:
-    """Items that a text holds, as array<struct<item_id, edits, item_words, start_char, end_char>>."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null").distinct()
-    blocks = max(1, -(-items.count() // block_items))
+def _hits(index: ItemIndex, text: Column) -> Column:
+    """What ``index`` finds in a text, as array<struct<item_id, edits, item_words, start_char, end_char>>."""
 
-    def block(n: int) -> Column:
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        index = ItemIndex(sorted(((r.item_id, r.text) for r in own.collect()), key=lambda i: (i[0] is not None, i[0] or 0, i[1])), similarity, walks, samples, sampled)
+    @F.pandas_udf("array<struct<item_id:long,edits:int,item_words:int,start_char:int,end_char:int>>")
+    def hits(texts: pd.Series) -> pd.Series:
+        names = ("item_id", "edits", "item_words", "start_char", "end_char")
+        return pd.Series([[dict(zip(names, (item, edits, n_words, *char_span(t, first, end))))
+                           for item, edits, n_words, first, end in index.search(t)] for t in texts], dtype=object)
 
-        @F.pandas_udf("array<struct<item_id:long,edits:int,item_words:int,start_char:int,end_char:int>>")
-        def hits(texts: pd.Series) -> pd.Series:
-            names = ("item_id", "edits", "item_words", "start_char", "end_char")
-            return pd.Series([[dict(zip(names, (item, edits, n_words, *char_span(t, first, end))))
-                               for item, edits, n_words, first, end in index.search(t)] for t in texts], dtype=object)
+    return hits(text)
 
-        return hits(text)
 
-    return block(0) if blocks == 1 else F.concat(*(block(n) for n in range(blocks)))
+def item_blocks(benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8,
+                walks: int = 16, samples: int = 6, sampled: int = 3, block_items: int = 20_000) -> Iterator[tuple[ItemIndex, bool]]:
+    """(index, whether it is the last) of the items, block by block: one block at a time is read to the driver, when it is asked for."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("text is not null").distinct()
+    blocks = max(1, -(-items.count() // block_items))
+    for n in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
+        order = sorted(((r.item_id, r.text) for r in own.collect()), key=lambda i: (i[0] is not None, i[0] or 0, i[1]))
+        yield ItemIndex(order, similarity, walks, samples, sampled), n == blocks - 1
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """doc_id, item_id, edits, item_words, start_char, end_char: one row for each document and item it holds."""
-    hits = docs.select(F.col(id_col).cast("long").alias("doc_id"), item_hits(benchmark, F.col(text_col), **options).alias("hits"))
-    return hits.select("doc_id", F.inline("hits"))
+    """doc_id, item_id, edits, item_words, start_char, end_char: one row for each document and item it holds.
+
+    More than one block of items are as many jobs, each written before the next block is read.
+    """
+    found = None
+    for index, last in item_blocks(benchmark, **options):
+        hits = docs.select(F.col(id_col).cast("long").alias("doc_id"), _hits(index, F.col(text_col)).alias("hits")).select("doc_id", F.inline("hits"))
+        hits = hits if last and found is None else stage(docs.sparkSession, hits, "benchmark-hits")
+        found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose text holds an item."""
-    hits = docs.withColumn("_dc_hits", item_hits(benchmark, F.col(text_col), **options))
-    return hits.filter(F.size("_dc_hits") == 0).drop("_dc_hits")
+    """``docs`` without the rows whose text holds an item; a null text holds none. Blocks of items go one after the other, as in ``find_items``."""
+    for index, last in item_blocks(benchmark, **options):
+        docs = docs.withColumn("_dc_hits", _hits(index, F.col(text_col))).filter(F.size("_dc_hits") == 0).drop("_dc_hits")
+        docs = docs if last else stage(docs.sparkSession, docs, "benchmark-rest")
+    return docs

@@ -1,24 +1,28 @@
 """I-Match fingerprints: hashes of the distinct terms within a band of inverse document frequency,
 over several randomised subsets of the lexicon.
 
-The lexicon is the terms whose document frequency lies in the band. Slot
-(level, k) of a fingerprint hashes the sorted terms of a text that fall into a
-random subset holding one in 2^level of the lexicon; k numbers independent
-subsets. A full lexicon tells equal texts, a thin one still agrees after an
-edit. A text with fewer than ``least_terms`` terms of the lexicon uses all its terms.
+The lexicon is the terms whose document frequency lies in the band, each known
+by its 64-bit hash. Slot (level, k) of a fingerprint hashes the sorted terms of a
+text (each as the first 32 bits of its hash) that fall into a random subset
+holding one in 2^level of the lexicon; k numbers independent subsets. A full
+lexicon tells equal texts, a thin one still agrees after an edit. A text with
+fewer than ``least_terms`` terms of the lexicon uses all its terms.
 
 The likeness of two fingerprints is, at the level where they agree most, the
 share of equal slots among those filled in either (or among ``least_slots``, if fewer are).
 
-Document frequencies are counted for each term (by its 64-bit hash) in an
-aggregate that is combined before its shuffle. The terms of each row are joined to those in the
-band; those above it go before the shuffle, as they are few: each is in a good part of all documents.
-Everything is built-in functions.
+How little moves: texts are exchanged once, in runs of ascending ids, where
+each meets the next one and its edited text is made. The distinct terms of a
+text and of its edited text go out together, as terms of both or of one. The
+``COMMON`` commonest terms of the lexicon, which make up most terms that are in it, and the few terms
+above the band are known to all tasks; only the other terms are shuffled to
+meet the rest of the lexicon. A document's terms come back as arrays of 32-bit
+numbers, from which both fingerprints follow. Everything is built-in functions.
 
 Defined results: a null or empty text has no terms and the fingerprint of
 empty slots, which is fully like itself; repeated rows and equal texts have
 equal fingerprints; an empty table gives no rows; rows without id come first in the order of
-documents; other columns are ignored.
+documents, by the hashes of their texts; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import native_perhaps, stage
 
-LEAST_ID = -(1 << 63)
 LEVELS, SUBSETS = 10, 8
+#: Terms of the lexicon that every task holds (8 bytes each, some 50 MB with the table's own room).
+COMMON = 1 << 20
+ROOM = (1 << 63) - 1
+OWN, EDITED, BOTH = 1, 2, 3
 
 
 def terms(text: Column) -> Column:
@@ -38,31 +45,27 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def term_hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(terms(text), lambda w: F.xxhash64(w)))
+
+
 def lexicon(spark: SparkSession, docs: DataFrame, text_col: str, least_df: int, least_idf: float) -> tuple[DataFrame, DataFrame]:
-    """Hashes h of the terms in the band ``least_df`` <= df and ln(documents / df) >= ``least_idf`` (or df = ``least_df``,
-    in small tables), and of those above it."""
-    hashes = F.array_distinct(F.transform(terms(F.col(text_col)), lambda w: F.xxhash64(w)))
-    df = docs.select(F.explode(hashes).alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
+    """Hashes h and df of the terms in the band ``least_df`` <= df and ln(documents / df) >= ``least_idf`` (or df = ``least_df``,
+    in small tables), and of those above it. A document has few terms above the band on average, at most
+    e^least_idf times as many exist: their number does not grow with the documents."""
+    df = docs.select(F.explode(term_hashes(F.col(text_col))).alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
     inside = (F.col("df") == least_df) | (F.log(F.lit(docs.count()) / F.col("df")) >= least_idf)
-    found = stage(spark, df.select("h", inside.alias("inside")), "imatch-lexicon")
-    return found.filter("inside").select("h"), found.filter("not inside").select("h")
+    found = stage(spark, df.select("h", "df", inside.alias("inside")), "imatch-lexicon")
+    return found.filter("inside").select("h", "df"), found.filter("not inside").select("h")
 
 
-def with_known(spark: SparkSession, rows: DataFrame, text_col: str, inside: DataFrame, above: DataFrame) -> DataFrame:
-    """``rows``, numbered and staged, with ``_known``: the terms of ``text_col`` that are in the lexicon."""
-    rows = stage(spark, rows.withColumn("_row", F.monotonically_increasing_id()), "imatch-rows")
-    each = rows.select("_row", F.explode(terms(F.col(text_col))).alias("w")).withColumn("h", F.xxhash64("w"))
-    each = each.join(F.broadcast(above), "h", "left_anti").join(inside, "h", "left_semi")
-    known = each.groupBy("_row").agg(F.collect_list("w").alias("_known"))
-    return rows.join(known, "_row", "left").drop("_row")
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def fingerprint(text: Column, known: Column, least_terms: int) -> Column:
-    """Of a text and its terms of the lexicon. Slots as array<int>, level by level: 0 for an empty subset, else 1 + 24 bits of its hash."""
-
-    def bound(value: Column, use) -> Column:
-        """``use`` of a value that is computed once."""
-        return F.element_at(F.transform(F.array(value), use), 1)
+def fingerprint(short: Column) -> Column:
+    """Of the sorted 32-bit terms of a text. Slots as array<int>, level by level: 0 for an empty subset, else 1 + 24 bits of its hash."""
 
     def slot(hashes: Column) -> Column:
         return F.when(F.size(hashes) == 0, F.lit(0)).otherwise(F.xxhash64(hashes).bitwiseAND(F.lit(0xFFFFFF)).cast("int") + 1)
@@ -70,19 +73,15 @@ def fingerprint(text: Column, known: Column, least_terms: int) -> Column:
     def at_level(hashes: Column, level: int) -> Column:
         return F.filter(hashes, lambda h: h.bitwiseAND(F.lit((1 << level) - 1)) == 0)
 
-    def subset(words: Column, k: int) -> Column:
-        hashes = F.transform(words, lambda w: F.xxhash64(w, F.lit(k)))
+    def subset(k: int) -> Column:
+        hashes = F.transform(short, lambda w: F.xxhash64(w, F.lit(k)))
         dense = lambda h: F.array(slot(h), *(slot(at_level(h, n)) for n in (1, 2)))
         thin = lambda h: F.array(*(slot(at_level(h, n)) for n in range(3, LEVELS)))
         return bound(hashes, lambda h: F.concat(dense(h), bound(at_level(h, 3), thin)))
 
-    def slots(words: Column) -> Column:
-        by_subset = F.flatten(F.array(*(subset(words, k) for k in range(SUBSETS))))
-        return bound(by_subset, lambda s: F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), lambda i: F.get(
-            s, (i % SUBSETS) * LEVELS + F.floor(i / SUBSETS).cast("int"))))
-
-    chosen = F.when(F.size(F.coalesce(known, F.array().cast("array<string>"))) >= least_terms, known).otherwise(terms(text))
-    return bound(F.array_sort(chosen), slots)
+    by_subset = F.flatten(F.array(*(subset(k) for k in range(SUBSETS))))
+    return bound(by_subset, lambda s: F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), lambda i: F.get(
+        s, (i % SUBSETS) * LEVELS + F.floor(i / SUBSETS).cast("int"))))
 
 
 def as_text(slots: Column) -> Column:
@@ -99,39 +98,37 @@ def likeness(a: Column, b: Column, least_slots: int = 4) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(*(level(n) for n in range(LEVELS))).cast("double"))
 
 
-def with_next(spark: SparkSession, docs: DataFrame, id_col: str, columns: list[str], groups: int) -> DataFrame:
-    """Add next_<column> of the next row in ascending id order; after the last comes the first.
+def with_next(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str, columns: list[str], groups: int) -> DataFrame:
+    """Add next_<column> of the next of ``rows`` (which have a number ``row``) in ascending id order; after the last comes the first.
 
-    Ids are counted in 4096 equal cells of their range (that much comes to the
-    driver), and cells joined to ``groups`` runs of about equal rows. The
-    first row of each run is also put at the end of the run before, so one exchange is enough.
+    Rows are dealt to about ``groups`` runs of neighbours: those with an id by
+    approximate quantiles of the ids, which one far id does not move, those
+    without by equal ranges of their texts' hashes. The first rows of each run
+    are also put at the end of the run before, so one exchange is enough. What
+    comes to the driver is a few numbers a run.
     """
-    rows = docs.withColumn("_order", F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)))
-    ends = rows.agg(F.min("_order").alias("lo"), F.max("_order").alias("hi")).first()
-    if ends.lo is None:
-        return rows.select(*docs.columns, *(F.col(c).alias(f"next_{c}") for c in columns))
-    width = max(1, -(-(ends.hi - ends.lo + 1) // 4096))
-    at = lambda c: F.floor((c.cast("decimal(20,0)") - F.lit(ends.lo).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
-    cells = rows.groupBy(at(F.col("_order")).alias("cell")).agg(F.count("*").alias("n"), F.min("_order").alias("lo"))
-    run_of, first, below, total = [0] * 4096, {}, 0, 0
-    counted = sorted((r.cell, r.n, r.lo) for r in cells.collect())
-    total = sum(n for _, n, _ in counted)
-    for cell, n, lo in counted:
-        run_of[cell] = below * groups // total
-        first.setdefault(run_of[cell], lo)
-        below += n
-    runs = sorted(first)
-    table = F.split(F.lit(",".join(map(str, run_of))), ",").cast("array<int>")
-    rows = rows.withColumn("_run", F.element_at(table, at(F.col("_order")) + 1)).withColumn("_extra", F.lit(False))
-    heads = rows.filter(F.col("_order").isin([first[r] for r in runs])).withColumn("_extra", F.lit(True))
+    mark = F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(ROOM))
+    no_id = F.col(id_col).isNull()
+    ends = rows.agg(F.count_if(no_id).alias("none"), F.count("*").alias("n"),
+                    F.percentile_approx(id_col, [k / groups for k in range(1, groups)] or [0.5], 10 * groups).alias("bounds")).first()
+    if not ends.n:
+        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    first_runs = -(-groups * ends.none // ends.n)
+    width = min(ROOM, -(-(ROOM + 1) // max(1, first_runs)))
+    bounds = sorted(set(ends.bounds or []))
+    later = F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b < F.col(id_col))) if bounds else F.lit(0)
+    run = F.when(no_id, F.floor(F.col("_mark").cast("decimal(20,0)") / F.lit(width).cast("decimal(20,0)")).cast("int")).otherwise(later + first_runs)
+    keyed = rows.withColumn("_mark", mark).withColumn("_run", run).withColumn("_order", F.when(no_id, F.col("_mark")).otherwise(F.col(id_col).cast("long")))
+    heads = keyed.groupBy("_run").agg(F.min(F.struct("_order", "_mark")).alias("head")).collect()
+    runs = sorted(r._run for r in heads)
     before = {r: runs[k - 1] for k, r in enumerate(runs)}  # of the first run: the last
-    back = F.split(F.lit(",".join(str(before.get(r, 0)) for r in range(max(runs) + 1))), ",").cast("array<int>")
-    heads = heads.withColumn("_run", F.element_at(back, F.col("_run") + 1))
-    order = Window.partitionBy("_run").orderBy("_extra", "_order", F.xxhash64(*columns))
-    joined = rows.unionByName(heads)
+    first = spark.createDataFrame([(r._run, r.head._order, r.head._mark, before[r._run]) for r in heads], "_run int, _order long, _mark long, _to int")
+    copies = keyed.join(F.broadcast(first), ["_run", "_order", "_mark"]).withColumn("_run", F.col("_to")).select(*keyed.columns)
+    joined = keyed.withColumn("_extra", F.lit(False)).unionByName(copies.withColumn("_extra", F.lit(True)))
+    order = Window.partitionBy("_run").orderBy("_extra", "_order", "_mark", "row")
     for c in columns:
         joined = joined.withColumn(f"next_{c}", F.lead(c).over(order))
-    return joined.filter(~F.col("_extra")).select(*docs.columns, *(f"next_{c}" for c in columns))
+    return joined.filter(~F.col("_extra")).select(*rows.columns, *(f"next_{c}" for c in columns))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -141,19 +138,64 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - quarter), F.substring(following, F.lit(1), quarter))
 
 
+def _short(h: Column) -> Column:
+    """The first 32 bits of a hash."""
+    return F.shiftright(h, 32).cast("int")
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_df: int = 2, least_idf: float = 3.0,
-                 least_terms: int = 3, groups: int | None = None) -> DataFrame:
-    """Per document: its fingerprint, that of its edited text, and the likeness of its own to that and to the next document's."""
+                 least_terms: int = 3, groups: int | None = None, common_terms: int = COMMON, with_text: bool = True) -> DataFrame:
+    """Per document: n_chars, edited_text (``with_text``) and its SHA-256, fingerprint, that of the edited text, and the likeness of its own to that
+    and to the next document's.
+
+    Rows are numbered as they are read, more than once: ``docs`` must give the same rows again, as tables in files do.
+    """
     inside, above = lexicon(spark, docs, text_col, least_df, least_idf)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = with_known(spark, rows, "text", inside, above)
-    own = stage(spark, own.withColumn("slots", fingerprint(F.col("text"), F.col("_known"), least_terms)).drop("_known"), "imatch-slots")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       F.monotonically_increasing_id().alias("row"))
     groups = groups or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = with_next(spark, own, "doc_id", ["text", "slots"], min(4096, groups))
-    both = both.withColumn("edited_text", edited(F.col("text"), F.col("next_text")))
-    both = with_known(spark, both.drop("next_text"), "edited_text", inside, above)
-    both = both.withColumn("edited_slots", fingerprint(F.col("edited_text"), F.col("_known"), least_terms))
-    return both.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited_text", as_text(F.col("slots")).alias("fingerprint"),
-                       as_text(F.col("edited_slots")).alias("edited_fingerprint"),
-                       likeness(F.col("slots"), F.col("edited_slots")).alias("near_edited"),
-                       likeness(F.col("slots"), F.col("next_slots")).alias("near_next"))
+    both = with_next(spark, rows, "doc_id", "text", ["text", "row"], min(1024, groups))
+    both = both.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    key = ["row", "doc_id", "next_row"]
+
+    own, new = F.col("_own"), F.col("_new")
+    parts = [(F.array_intersect(own, new), BOTH), (F.array_except(own, new), OWN), (F.array_except(new, own), EDITED)]
+    each = both.select(*key, F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       term_hashes(F.col("text")).alias("_own"), term_hashes(F.col("edited")).alias("_new"))
+
+    def marked(hashes: Column, of: int) -> Column:
+        return F.transform(hashes, lambda h: F.struct(h.alias("h"), F.lit(of).alias("of")))
+
+    flagged = F.concat(*(marked(hashes, of) for hashes, of in parts))
+    each = each.select(*key, "n_chars", "edited_sha256", F.explode_outer(flagged).alias("t")).select(*key, "n_chars", "edited_sha256", "t.h", "t.of")
+    common = F.broadcast(inside.orderBy(F.desc("df"), "h").limit(common_terms).select("h"))
+    rest = inside.join(common, "h", "left_anti").select("h")
+
+    def lists(of: int) -> Column:
+        return F.collect_list(F.when(F.col("of") == of, _short(F.col("h"))))
+
+    known = each.join(common.withColumn("_known", F.lit(True)), "h", "left").withColumn("of", F.when(F.col("_known"), F.col("of")))
+    known = known.select(*key, "n_chars", "edited_sha256", "h", "of")
+    rare = each.select(*key, "h", "of").filter("h is not null").join(common, "h", "left_anti").join(F.broadcast(above), "h", "left_anti").join(rest, "h", "left_semi")
+    known = known.unionByName(rare.select(*key, F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("string").alias("edited_sha256"), "h", "of"))
+    found = known.groupBy(*key).agg(F.max("n_chars").alias("n_chars"), F.max("edited_sha256").alias("edited_sha256"),
+                                    *(lists(of).alias(f"t{of}") for of in (OWN, EDITED, BOTH)))
+    found = found.withColumns({"of_text": F.array_sort(F.concat("t3", "t1")), "of_edited": F.array_sort(F.concat("t3", "t2"))}).drop("t1", "t2", "t3")
+    found = stage(spark, found, "imatch-terms")
+
+    # texts with too few terms of the lexicon: all their terms, from the texts of these rows alone
+    too_few = found.filter((F.size("of_text") < least_terms) | (F.size("of_edited") < least_terms)).select("row")
+    whole = native_perhaps(both.select("row", "text", "edited"), too_few, ["row"]).join(too_few, "row")
+    every = lambda t: F.array_sort(F.transform(term_hashes(t), _short))
+    whole = whole.select("row", every(F.col("text")).alias("_text"), every(F.col("edited")).alias("_edited"))
+    chosen = found.join(whole, "row", "left")
+    use = lambda few, all_: F.when(F.size(few) < least_terms, F.coalesce(all_, few)).otherwise(few)
+    slots = chosen.select(*key, "n_chars", "edited_sha256", fingerprint(use(F.col("of_text"), F.col("_text"))).alias("slots"),
+                          fingerprint(use(F.col("of_edited"), F.col("_edited"))).alias("edited_slots"))
+    slots = stage(spark, slots, "imatch-slots")
+    following = slots.select(F.col("row").alias("next_row"), F.col("slots").alias("next_slots"))
+    out = slots.join(following, "next_row")
+    if with_text:  # the texts once more
+        out = out.join(both.select("row", F.col("edited").alias("edited_text")), "row")
+    return out.select("doc_id", "n_chars", *["edited_text"] * with_text, "edited_sha256", as_text(F.col("slots")).alias("fingerprint"), as_text(F.col("edited_slots")).alias("edited_fingerprint"),
+                      likeness(F.col("slots"), F.col("edited_slots")).alias("near_edited"), likeness(F.col("slots"), F.col("next_slots")).alias("near_next"))

@@ -27,7 +27,6 @@ and predicted are replaced).
 
 from __future__ import annotations
 
-import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,33 +75,49 @@ class Classifier:
     bias: float
     bits: int
 
-    def scorer(self, keep: int = 500_000):
-        """A function of a text that remembers the kept features of words."""
+    def batch_scorer(self, keep: int = 500_000):
+        """A function of many texts. The kept features of words are remembered, in two generations of at most ``keep`` words."""
         place = {f: k for k, f in enumerate(self.weights)}
         weights = np.fromiter(self.weights.values(), float, len(place))
-        known: dict[str, np.ndarray] = {}
+        known: list[dict[str, np.ndarray]] = [{}, {}]
 
-        def score(text: str | None) -> float:
-            own, times = [], []
-            for word, n in word_counts(text).items():
-                k = known.get(word)
+        def kept(run: str) -> np.ndarray:
+            k = known[0].get(run)
+            if k is None:
+                k = known[1].get(run)
                 if k is None:
-                    if len(known) >= keep:
-                        known.clear()
-                    k = known[word] = np.array([place[f] for f in word_features(word, self.bits) if f in place], np.int32)
-                if len(k):
-                    own.append(k)
-                    times.append(n)
-            f = self.bias
-            if own:
-                n = np.repeat(times, np.fromiter(map(len, own), np.int64, len(own)))
-                count = np.bincount(np.concatenate(own), n)
-                at = np.flatnonzero(count)
-                f += float(weights[at] @ np.log1p(count[at]))
-            return 1 / (1 + math.exp(-min(50.0, max(-50.0, f))))
+                    word = run.strip(_STRIP)
+                    k = np.array([place[f] for f in word_features(word, self.bits) if f in place] if word else [], np.int32)
+                if len(known[0]) >= keep:
+                    known[:] = {}, known[0]
+                known[0][run] = k
+            return k
+
+        def score(texts: list[str | None]) -> np.ndarray:
+            cut = pc.split_pattern(pa.array([" ".join((t or "").lower().split()) for t in texts], pa.large_string()), " ")
+            coded = cut.flatten().dictionary_encode()
+            own = list(map(kept, coded.dictionary.to_pylist()))
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            flat, begin = np.concatenate([*own, np.zeros(0, np.int32)]), np.cumsum(size) - size
+            which = coded.indices.to_numpy()
+            times = size[which]
+            end = np.cumsum(times)
+            each = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(begin[which] - (end - times), times)]
+            first = np.concatenate([[0], end])[cut.offsets.to_numpy()].tolist()
+            f = np.full(len(texts), self.bias)
+            for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
+                if b > a:
+                    at, n = np.unique(each[a:b], return_counts=True)
+                    f[k] += weights[at] @ np.log1p(n)
+            return 1 / (1 + np.exp(-np.clip(f, -50, 50)))
 
         return score
 
+    def scorer(self):
+        """A function of one text."""
+        many = self.batch_scorer()
+        return lambda text: float(many([text])[0])
+
 
 def keep_features(col: np.ndarray, confirmed: np.ndarray, n_pos: int, n_unl: int, bits: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted features in at least ``least`` confirmed texts, and the size of the logarithm of their lift.
@@ -114,6 +130,27 @@ def keep_features(col: np.ndarray, confirmed: np.ndarray, n_pos: int, n_unl: int
     return kept, np.abs(np.log(lift)).astype(np.float32)
 
 
+def risk(f: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk of the toxic, estimated risk of the clean, slope of the step's objective in each output ``f``).
+
+    The objective is the sum of both risks, or where the second is negative, minus that one.
+    """
+    pos, unl = positive, ~positive
+    n_pos, n_unl = max(1, pos.sum()), max(1, unl.sum())
+    as_clean, p_toxic = np.logaddexp(0, f), 1 / (1 + np.exp(-np.clip(f, -50, 50)))
+    toxic = prior * (as_clean[pos] - f[pos]).sum() / n_pos
+    negatives = as_clean[unl].sum() / n_unl - prior * as_clean[pos].sum() / n_pos
+    # slopes of the losses in f: as toxic p - 1, as clean p
+    slope = np.zeros(len(f))
+    if negatives >= 0:
+        slope[pos] = prior * ((p_toxic[pos] - 1) - p_toxic[pos]) / n_pos
+        slope[unl] = p_toxic[unl] / n_unl
+    else:
+        slope[pos] = prior * p_toxic[pos] / n_pos
+        slope[unl] = -p_toxic[unl] / n_unl
+    return float(toxic), float(negatives), slope
+
+
 def fit(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior: float, bits: int, rounds: int = 150,
         rate: float = 0.05, decay: float = 1e-3, least: int = 2) -> Classifier:
     """Train on features and values of texts; ``positive`` marks the confirmed texts, the others are unlabelled.
@@ -135,22 +172,11 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior:
     col_at = np.searchsorted(col[by_col], np.arange(len(kept)))
     size = len(kept)
     w, m, v = (np.zeros(size + 1, np.float32) for _ in range(3))
-    pos, unl = positive, ~positive
     for step in range(1, rounds + 1):
         f = np.full(len(texts), w[size], float)
         if size:
             f[full] += np.add.reduceat(value * w[col], row_at)
-        as_clean = np.logaddexp(0, f)
-        p_toxic = 1 / (1 + np.exp(-np.clip(f, -50, 50)))
-        negatives = as_clean[unl].sum() / n_unl - prior * as_clean[pos].sum() / n_pos
-        # slopes of the risks in f: the loss as toxic has slope p - 1, as clean p
-        slope = np.zeros(len(texts), np.float32)
-        if negatives >= 0:
-            slope[pos] = prior * ((p_toxic[pos] - 1) - p_toxic[pos]) / n_pos
-            slope[unl] = p_toxic[unl] / n_unl
-        else:
-            slope[pos] = prior * p_toxic[pos] / n_pos
-            slope[unl] = -p_toxic[unl] / n_unl
+        slope = risk(f, positive, prior)[2].astype(np.float32)
         grad = np.append(np.add.reduceat(value_c * slope[row_c], col_at) if size else [], slope.sum())
         grad[:size] += decay * w[:size]
         m = 0.9 * m + 0.1 * grad
@@ -226,9 +252,11 @@ def score(spark: SparkSession, docs: DataFrame, classifier: Classifier | None, t
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = pickle.loads(sent.value).scorer()
+        many = pickle.loads(sent.value).batch_scorer()
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype=float)
+            size = np.cumsum([len(t or "") for t in texts])
+            cuts = np.searchsorted(size, np.arange(8 << 20, size[-1] if len(size) else 0, 8 << 20)) + 1
+            yield pd.Series(np.concatenate([many(list(part)) for part in np.split(texts.to_numpy(), np.unique(cuts))]), dtype=float)
 
     return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

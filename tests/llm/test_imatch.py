@@ -1,6 +1,10 @@
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
+import pytest
 import xxhash
 from saiflow.llm import imatch
 
@@ -61,3 +65,75 @@ def test_terms_of_one_hash_class_are_counted_apart(spark):
         seen[c], k = k, k + 1
     got = run(spark, [(1, f"one two three {pair[0]}", "", 0), (2, "one two three", "", 0), (3, f"four five {pair[1]}", "", 0)])
     assert got[1].fingerprint == got[2].fingerprint != got[3].fingerprint
+
+
+def hashed(*numbers):
+    """Spark's 64-bit hash of whole numbers of 4 bytes."""
+    h = 42
+    for k in numbers:
+        h = xxhash.xxh64_intdigest((k & 0xFFFFFFFF).to_bytes(4, "little"), seed=h)
+    return h
+
+
+def short(w):
+    h = xxhash.xxh64_intdigest(w.encode(), seed=42) >> 32
+    return h - (1 << 32) if h >> 31 else h
+
+
+def brute_slots(words):
+    subsets = []
+    for k in range(imatch.SUBSETS):
+        own, levels = [hashed(w, k) for w in sorted(map(short, words))], []
+        for n in range(imatch.LEVELS):
+            h, kept = 42, [x for x in own if x & ((1 << n) - 1) == 0]
+            for x in kept:
+                h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=h)
+            levels.append((h & 0xFFFFFF) + 1 if kept else 0)
+        subsets.append(levels)
+    return [subsets[k][n] for n in range(imatch.LEVELS) for k in range(imatch.SUBSETS)]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    best = 0.0
+    for n in range(imatch.LEVELS):
+        pairs = list(zip(a, b))[n * imatch.SUBSETS:(n + 1) * imatch.SUBSETS]
+        best = max(best, sum(x == y != 0 for x, y in pairs) / max(sum(bool(x or y) for x, y in pairs), 4))
+    return best
+
+
+def test_band_slots_and_likeness_equal_brute_force(spark):
+    """One id far from the others and several rows without id among them."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(k * 3, " ".join(["common"] * (k % 40 > 0) + rng.choices(words, k=rng.randrange(0, 60)) + ["once" + str(k)])) for k in range(150)]
+    rows += [(1 << 50, rows[4][1]), (None, "common w1"), (-5, ""), (7, None), (1000, "long " + " ".join(f"u{k % 900}" for k in range(30_000)))]
+    terms = lambda t: {w for w in re.split(r"[^0-9a-z]+", (t or "").lower()) if w}
+    df = Counter(w for _, t in rows for w in terms(t))
+    band = {w for w, n in df.items() if n == 2 or n > 2 and math.log(len(rows) / n) >= 3.0}
+    assert band and "common" not in band and "once5" not in band
+    slots = lambda t: brute_slots(own if len(own := terms(t) & band) >= 3 else terms(t))
+    text = lambda s: "".join(f"{x:07x}" for x in s)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {}
+    for k, (d, t) in enumerate(order):
+        t, following = t or "", order[(k + 1) % len(order)][1] or ""
+        q = len(t) // 4
+        changed = t[:len(t) - q] + following[:q]
+        want[d] = (text(slots(t)), text(slots(changed)), brute_likeness(slots(t), slots(changed)), brute_likeness(slots(t), slots(following)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = imatch.fingerprints(spark, docs).collect()
+    # with a lexicon of which only a part goes to all tasks
+    assert sorted(map(str, imatch.fingerprints(spark, docs, common_terms=5, with_text=False).collect())) == sorted(map(str, imatch.fingerprints(
+        spark, docs, with_text=False, groups=1).collect()))
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.fingerprint, r.edited_fingerprint) == want[r.doc_id][:2]
+        assert (r.near_edited, r.near_next) == pytest.approx(want[r.doc_id][2:])
+
+
+def test_rows_without_any_id(spark):
+    rows = [(None, f"text {k} of several words") for k in range(30)]
+    got = imatch.fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 30 and all(r.doc_id is None and 0 <= r.near_edited <= 1 for r in got)

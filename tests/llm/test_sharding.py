@@ -49,3 +49,36 @@ def test_empty_table(spark, no_docs):
 def test_main_path_has_no_python(spark, edge_docs):
     plan = histogram_sort(spark, edge_docs, shards=4)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_boundaries_are_the_nearest_of_the_sorted_rows(spark):
+    """Against prefix sums of all rows in key order; rows of one key stay together."""
+    import random
+
+    import xxhash
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(400), rng.choice(["hot text " * 3, f"t{k}" * rng.randrange(40)])) for k in range(1500)] + [(None, None)] * 3 + [(5, "long " * 900)]
+    shards = 16
+    got = histogram_sort(spark, spark.createDataFrame(rows, "doc_id long, text string"), shards=shards).collect()
+    groups = {}
+    for d, t in rows:
+        t = t or ""
+        key = (xxhash.xxh64_intdigest(t.encode(), seed=42) & ((1 << 63) - 1), -(1 << 63) if d is None else d)
+        groups.setdefault(key, []).append((d, t))
+    ends, at = [], 0
+    for key in sorted(groups):
+        size = sum(len(t.encode()) + 1 for _, t in groups[key])
+        ends.append((key, at, at + size))
+        at += size
+    pieces = 8
+    cuts = []
+    for t in range(pieces, shards * pieces, pieces):
+        target = at * t // (shards * pieces)
+        k = next(i for i, e in enumerate(ends) if target <= e[2])
+        cuts.append(k if target - ends[k][1] <= ends[k][2] - target else k + 1)
+    want = {}
+    for i, (key, _, _) in enumerate(ends):
+        for d, t in groups[key]:
+            want.setdefault((d, t), sum(c <= i for c in cuts))
+    assert len(got) == len(rows) and all(r.shard == want[r.doc_id, r.text or ""] for r in got)

@@ -79,3 +79,22 @@ def test_edge_rows_and_no_labels(spark, edge_docs, edge_rows, no_docs):
     assert {(r.score, r.predicted) for r in toxicity.score(spark, edge_docs, None).collect()} == {(0.0, 0)}
     assert toxicity.train(no_docs, labels.limit(0), F.lit(True)) is None
     assert toxicity.score(spark, no_docs, c).count() == 0
+
+
+def test_slopes_equal_differences_of_the_risk():
+    """On both sides of zero of the clean texts' estimated risk, which is compared with its plain formula."""
+    rng = np.random.default_rng(3)
+    positive = np.arange(30) % 3 == 0
+    signs = set()
+    for shift, prior in ((0.0, 0.2), (6.0, 0.9), (-3.0, 0.5), (4.0, 0.8)):
+        f = rng.normal(0, 2, 30) + np.where(positive, shift, 0)
+        loss = lambda z, y: np.log(1 + np.exp(-z if y else z))
+        toxic, clean, slope = toxicity.risk(f, positive, prior)
+        assert np.isclose(toxic, prior * np.mean([loss(z, 1) for z in f[positive]]))
+        assert np.isclose(clean, np.mean([loss(z, 0) for z in f[~positive]]) - prior * np.mean([loss(z, 0) for z in f[positive]]))
+        goal = (lambda g: sum(toxicity.risk(g, positive, prior)[:2])) if clean >= 0 else (lambda g: -toxicity.risk(g, positive, prior)[1])
+        signs.add(clean >= 0)
+        for k in range(30):
+            step = np.eye(30)[k] * 1e-6
+            assert np.isclose((goal(f + step) - goal(f - step)) / 2e-6, slope[k], atol=1e-7)
+    assert signs == {True, False}
