@@ -35,12 +35,16 @@ class Element:
                 yield child
                 todo.append(iter(child.children))
 
-    def all(self, tag: str, cls: str = "", **attrs: str) -> list["Element"]:
+    def find(self, tag: str, cls: str = "", **attrs: str) -> Iterator["Element"]:
         want = set(cls.split())
-        return [e for e in self.walk() if e.tag == tag and want <= e.classes() and all(e.attrs.get(k) == v for k, v in attrs.items())]
+        return (e for e in self.walk() if e.tag == tag and want <= e.classes() and all(e.attrs.get(k) == v for k, v in attrs.items()))
+
+    def all(self, tag: str, cls: str = "", **attrs: str) -> list["Element"]:
+        return list(self.find(tag, cls, **attrs))
 
     def first(self, tag: str, cls: str = "", **attrs: str) -> "Element | None":
-        return next(iter(self.all(tag, cls, **attrs)), None)
+        """The first one; what comes after it is not looked at."""
+        return next(self.find(tag, cls, **attrs), None)
 
     def text(self) -> str:
         out, todo = [], [iter(self.children)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.exprs import contains_any
+from ..session import staged
 
 
 def _label(put: Column, call: Column) -> Column:
@@ -69,13 +70,15 @@ def lexicon_term_counts(posts: DataFrame, bearish: Sequence[str] = K.BEARISH_TER
 # ---- naive Bayes as DataFrame operations (N4, exact vocabulary) -------------
 
 _TOKEN_RE = r"[\p{L}\p{N}]+"
+#: Words that every task holds when posts are scored (a few MB).
+COMMON_WORDS = 20_000
 
 
 def fit_token_bayes(train: DataFrame, text_col: str = "text", label_col: str = "label",
                     smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Multinomial naive Bayes over the exact tokens of labelled posts
-    (labels 0/1), as plain aggregates. Returns ``(prior(d), words(w, d))``: one
-    row with ln P(0) - ln P(1), and for every vocabulary word ln P(w|0) -
+    (labels 0/1), as plain aggregates. Returns ``(prior(d), words(w, n, d))``: one
+    row with ln P(0) - ln P(1), and for every vocabulary word its count and ln P(w|0) -
     ln P(w|1), where P(w|c) = (n(w,c) + a) / (n(c) + a*V). Nothing is collected.
     """
     docs = train.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)) \
@@ -89,7 +92,7 @@ def fit_token_bayes(train: DataFrame, text_col: str = "text", label_col: str = "
     def log_p(c: str) -> Column:
         return F.log((F.col(c) + smoothing) / (F.col(f"_s.{c}") + smoothing * F.col("_s.v")))
 
-    return prior, counts.withColumn("_s", total).select("w", (log_p("n0") - log_p("n1")).alias("d"))
+    return prior, counts.withColumn("_s", total).select("w", (F.col("n0") + F.col("n1")).alias("n"), (log_p("n0") - log_p("n1")).alias("d"))
 
 
 def score_token_bayes(prior: DataFrame, words: DataFrame, posts: DataFrame, key_col: str,
@@ -100,10 +103,18 @@ def score_token_bayes(prior: DataFrame, words: DataFrame, posts: DataFrame, key_
     Per post one sum over its tokens of the words' differences (words outside
     the vocabulary are ignored), plus the prior's; P(positive) is the logistic
     of that, written so that it never overflows.
+
+    The ``COMMON_WORDS`` commonest words, which make up most tokens and the
+    hot keys among them, go to all tasks; only the other tokens are shuffled
+    to meet the rest of the vocabulary.
     """
     posts = posts.where(F.col(text_col).isNotNull())
+    words = staged(words, "bayes-words")
+    common = words.orderBy(F.desc("n"), "w").limit(COMMON_WORDS).select("w", "d")
     tokens = posts.select(key_col, F.explode(F.regexp_extract_all(text_col, F.lit(_TOKEN_RE), 0)).alias("w"))
-    sums = tokens.join(words, "w").groupBy(key_col).agg(F.sum("d").alias("_d"))
+    known = tokens.join(F.broadcast(common), "w").select(key_col, "d")
+    other = tokens.join(F.broadcast(common.select("w")), "w", "left_anti").join(words.select("w", "d"), "w").select(key_col, "d")
+    sums = known.unionByName(other).groupBy(key_col).agg(F.sum("d").alias("_d"))
     scored = posts.select(key_col, text_col).join(sums, key_col, "left").withColumn("_p0", prior.scalar())
     d = F.col("_p0") + F.coalesce("_d", F.lit(0.0))
     p1 = F.when(d >= 0, F.exp(-d) / (1 + F.exp(-d))).otherwise(1 / (1 + F.exp(d)))

@@ -284,7 +284,13 @@ def _esc(c):
 def _page(rows: DataFrame, group: list, before: str, after: str) -> DataFrame:
     """One page of each group: its rows' markup (columns ord, m) between noise."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "m"))), lambda x: x["m"]), "\n")
-    return rows.groupBy(*group).agg(F.concat(F.lit(before), body, F.lit(after)).alias("html"))
+    pages = rows.groupBy(*group).agg(F.concat(F.lit(before), body, F.lit(after)).alias("html"))
+    # landed pages lie in many files; the few bytes of a group-by would be drawn into one task
+    return pages.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
+# suppliers of one nation whose keys share their hundreds are a page
+_LIST_PAGE = 100
 
 
 _NOISE = '<html><head><title>x &lt; y</title><script>var a="</a><a href=\'/no/\'>";</script></head><body><nav><a href="/nav/1/">no</a></nav>'
@@ -308,7 +314,8 @@ def q_extract_sector_links(spark, d):
 
 
 @query("parse_constituents",
-       "select s_nationkey as bk_code, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as integer) as idx, "
+       f"select s_nationkey as bk_code, s_suppkey // {_LIST_PAGE} as page_no, cast(row_number() over (partition by s_nationkey, s_suppkey // {_LIST_PAGE} "
+       "order by s_suppkey) - 1 as integer) as idx, "
        "right('000000' || s_suppkey, 6) as code, s_name || ' <A&B>' as name from supplier")
 def q_parse_constituents(spark, d):
     """Constituent pages: three anchors a stock in a table body, with noise around, and read back."""
@@ -316,21 +323,22 @@ def q_parse_constituents(spark, d):
     code, name = F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), _esc(F.concat("s_name", F.lit(" <A&B>")))
     m = F.concat(F.lit('<tr><td>1</td><td><a target="_blank" href="/c/">'), code, F.lit("</a></td><td><a href='/n/' target='_blank'><i>"), name,
                  F.lit('</i></a></td><td><a href="#" title="a>b">+</a></td></tr>'))
-    rows = s.select(F.col("s_nationkey").alias("bk_code"), F.col("s_suppkey").alias("ord"), m.alias("m"))
-    pages = _page(rows, ["bk_code"], _NOISE + '<div class="body m-pager-box"><table><thead><tr><th><a href="/sort">no</a></th></tr></thead><tbody>',
+    rows = s.select(F.col("s_nationkey").alias("bk_code"), F.expr(f"s_suppkey div {_LIST_PAGE}").alias("page_no"), F.col("s_suppkey").alias("ord"), m.alias("m"))
+    pages = _page(rows, ["bk_code", "page_no"], _NOISE + '<div class="body m-pager-box"><table><thead><tr><th><a href="/sort">no</a></th></tr></thead><tbody>',
                   '</tbody></table></div><div class="m-pager"><a target="_blank">no</a></div></body></html>')
-    return P.extract_constituents(pages, keep=["bk_code"])
+    return P.extract_constituents(pages, keep=["bk_code", "page_no"])
 
 
 @query("parse_constituents_static",
-       "select s_nationkey as bk_code, cast(row_number() over (partition by s_nationkey order by s_suppkey) - 1 as integer) as idx, "
+       f"select s_nationkey as bk_code, s_suppkey // {_LIST_PAGE} as page_no, cast(row_number() over (partition by s_nationkey, s_suppkey // {_LIST_PAGE} "
+       "order by s_suppkey) - 1 as integer) as idx, "
        "right('000000' || s_suppkey, 6) as code, s_name as name from supplier")
 def q_parse_constituents_static(spark, d):
     s = Views(spark, d).t("supplier")
     m = F.concat(F.lit("<a href=/c/ target=_blank>"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0"),
                  F.lit('</a> <a href="/no/">no</a> <a data-x="1" target="_blank" href="/n/">'), _esc(F.col("s_name")), F.lit("</a>"))
-    rows = s.select(F.col("s_nationkey").alias("bk_code"), F.col("s_suppkey").alias("ord"), m.alias("m"))
-    return P.extract_constituents(_page(rows, ["bk_code"], _NOISE, "</body></html>"), keep=["bk_code"], dynamic=False)
+    rows = s.select(F.col("s_nationkey").alias("bk_code"), F.expr(f"s_suppkey div {_LIST_PAGE}").alias("page_no"), F.col("s_suppkey").alias("ord"), m.alias("m"))
+    return P.extract_constituents(_page(rows, ["bk_code", "page_no"], _NOISE, "</body></html>"), keep=["bk_code", "page_no"], dynamic=False)
 
 
 @query("parse_forum_pages", with_views("posts_pages") +

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexicon as X
 from ..operators import segment as S
+from ..operators import sequence_model as M
 from ..operators import tagging as T
 from .catalog import query
 from .fixtures import Views, with_views
@@ -93,3 +94,12 @@ def q_tag_sequences(spark, d):
     tagged = v.tagged()
     out = T.tag_words(T.fit_tagger(tagged), tagged.drop("tag"))
     return out.select("sentence", F.size("words").cast("long").alias("n_words"), F.array_join("tags", "").alias("tags"))
+
+
+@query("score_sequence_model", None)
+def q_score_sequence_model(spark, d):
+    """All documents scored by a sequence model that learned from the labelled ones (a trained model: no SQL)."""
+    v = Views(spark, d)
+    labelled = v.posts_doc().join(v.t("labels").select(F.col("doc_id").alias("ord"), F.col("quality").alias("label")), "ord")
+    scored = M.score_sequence_model(M.train_sequence_model(labelled, "ord"), v.posts_doc())
+    return scored.select("ord", "sentiment_label", "sentiment_key", F.round("positive_probs", 4).alias("positive_probs"))

@@ -187,3 +187,12 @@ def test_case_insensitive_keys_option(spark):
     rows = D.insert_if_absent(new, stored, collation="UTF8_LCASE").collect()    # database-like keys
     assert len(rows) == 1 and rows[0].title.lower() == "bull run"
     assert dict(D.insert_if_absent(new, stored, collation="UTF8_LCASE").dtypes)["title"] == "string"
+
+
+def test_with_code_names_the_posts(spark):
+    """A crawl of one board gets its code; dedup then counts a post of two boards twice."""
+    crawl = spark.createDataFrame([("t", "a"), ("t", "a"), ("u", "b")], "title string, author string")
+    both = D.with_code(crawl, "zssh000001").unionByName(D.with_code(crawl, "600999"))
+    got = D.dedup_posts(both, ["code", "title", "author"])
+    assert sorted(map(tuple, got.select("code", "title", "author").collect())) == [
+        ("600999", "t", "a"), ("600999", "u", "b"), ("zssh000001", "t", "a"), ("zssh000001", "u", "b")]

@@ -114,3 +114,14 @@ def test_read_viewpoints(spark, tmp_path):
     df = sources.read_viewpoints(spark, str(tmp_path / "v.csv"))
     assert df.columns == ["dt", "viewpoint"]
     assert sorted(r.viewpoint for r in df.collect()) == sorted(["看多", "看空, 回调"])
+
+
+def test_word_vectors_by_word_feed_the_similarity(spark, tmp_path):
+    """Columns beyond word and vec are not read; the vectors serve the anchor similarity."""
+    from saiflow.operators.text import anchor_similarity
+    rows = [("up", [1.0, 0.0], "x"), ("high", [1.0, 1.0], "x"), ("down", [-1.0, 0.0], "x")]
+    spark.createDataFrame(rows, "word string, vec array<float>, source string").write.parquet(str(tmp_path / "v"))
+    vectors = sources.read_word_vectors(spark, str(tmp_path / "v"))
+    assert vectors.columns == ["word", "vec"]
+    words = spark.createDataFrame([(1, "high"), (1, "up"), (2, "down"), (3, "nowhere")], "post_id long, word string")
+    assert [(r.post_id, r.similarity) for r in anchor_similarity(words, vectors, "up").collect()] == [(1, 0.854), (2, -1.0)]
