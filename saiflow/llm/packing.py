@@ -156,7 +156,7 @@ class WordTokenizer:
 
     SIGN = re.compile(r"[,.](?<=[^\W\d_][,.])(?= |$)")
 
-    def __init__(self, file: str, keep: int = 500_000):
+    def __init__(self, file: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -239,7 +239,7 @@ def tokenized_pieces(docs: DataFrame, file: str, capacity: int, end_id: int, id_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(file)
         for batch in batches:
-            for a, b, _, _ in byte_slices(batch.column(1), 8 << 20):
+            for a, b, _, _ in byte_slices(batch.column(1), 4 << 20):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 ids, first = tokenizer.encode_all(texts)
                 ids = np.ascontiguousarray(np.insert(ids, first[1:], end_id), "<u4")  # the end token after each text

@@ -52,21 +52,44 @@ def word_counts(text: str | None) -> Counter:
     return out
 
 
-def word_features(word: str, bits: int) -> list[int]:
-    parts = [f"={word}"] + [f"^{word[:k]}" for k in range(3, min(7, len(word) + 1))]
-    if len(word) > 4:
-        parts.append(f"${word[-4:]}")
-    return [xxhash.xxh3_64_intdigest(p) >> (64 - bits) for p in parts]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_features(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which word, feature) of all features of ``words``, none of them empty: the word, its beginnings of 3 to 6 letters, its last 4 if it has more.
+
+    A piece's hash is the sum of the mixed (letter, place) pairs, so sums from the left give all beginnings at once.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    end = np.cumsum(size)
+    start = end - size
+    place = np.arange(len(code)) - np.repeat(start, size)
+    none = np.zeros(1, np.uint64)
+    left = np.concatenate([none, np.cumsum(_mixed(code + (place.astype(np.uint64) + np.uint64(1) << np.uint64(24))), dtype=np.uint64)])
+    back = np.repeat(size, size) - place
+    right = np.concatenate([none, np.cumsum(_mixed(code + (back.astype(np.uint64) << np.uint64(44))), dtype=np.uint64)])
+    which, pieces = [np.arange(len(words))], [left[end] - left[start]]
+    for k in range(3, 7):
+        own = np.flatnonzero(size >= k)
+        which.append(own)
+        pieces.append(left[start[own] + k] - left[start[own]] + np.uint64(k))
+    own = np.flatnonzero(size > 4)
+    which.append(own)
+    pieces.append(right[end[own]] - right[end[own] - 4] + np.uint64(9))
+    return np.concatenate(which), (_mixed(np.concatenate(pieces)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def text_features(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted features of a text and their values."""
-    count: Counter = Counter()
-    for word, n in word_counts(text).items():
-        for f in word_features(word, bits):
-            count[f] += n
-    own = np.array(sorted(count), np.int32)
-    return own, np.log1p(np.array([count[f] for f in own.tolist()], np.float32))
+    count = word_counts(text)
+    which, feature = word_features(list(count), bits)
+    own, back = np.unique(feature, return_inverse=True)
+    times = np.fromiter(count.values(), float, len(count))
+    return own, np.log1p(np.bincount(back, times[which], len(own))).astype(np.float32)
 
 
 @dataclass
@@ -75,40 +98,33 @@ class Classifier:
     bias: float
     bits: int
 
-    def batch_scorer(self, keep: int = 500_000):
-        """A function of many texts. The kept features of words are remembered, in two generations of at most ``keep`` words."""
-        place = {f: k for k, f in enumerate(self.weights)}
-        weights = np.fromiter(self.weights.values(), float, len(place))
-        known: list[dict[str, np.ndarray]] = [{}, {}]
-
-        def kept(run: str) -> np.ndarray:
-            k = known[0].get(run)
-            if k is None:
-                k = known[1].get(run)
-                if k is None:
-                    word = run.strip(_STRIP)
-                    k = np.array([place[f] for f in word_features(word, self.bits) if f in place] if word else [], np.int32)
-                if len(known[0]) >= keep:
-                    known[:] = {}, known[0]
-                known[0][run] = k
-            return k
+    def batch_scorer(self):
+        """A function of many texts, whose distinct words are looked up together."""
+        weights = np.fromiter(self.weights.values(), float, len(self.weights))
+        place = np.full(1 << self.bits, -1, np.int32)
+        place[np.fromiter(self.weights, np.int64, len(weights))] = np.arange(len(weights))
 
         def score(texts: list[str | None]) -> np.ndarray:
             cut = pc.split_pattern(pa.array([" ".join((t or "").lower().split()) for t in texts], pa.large_string()), " ")
             coded = cut.flatten().dictionary_encode()
-            own = list(map(kept, coded.dictionary.to_pylist()))
-            size = np.fromiter(map(len, own), np.int64, len(own))
-            flat, begin = np.concatenate([*own, np.zeros(0, np.int32)]), np.cumsum(size) - size
-            which = coded.indices.to_numpy()
-            times = size[which]
-            end = np.cumsum(times)
-            each = flat[np.arange(end[-1] if len(end) else 0) + np.repeat(begin[which] - (end - times), times)]
-            first = np.concatenate([[0], end])[cut.offsets.to_numpy()].tolist()
+            words = [r.strip(_STRIP) for r in coded.dictionary.to_pylist()]
+            some = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)))
+            which, feature = word_features([words[k] for k in some.tolist()], self.bits)
+            known = place[feature]
+            which, known = some[which[known >= 0]], known[known >= 0]
+            order = np.argsort(which, kind="stable")
+            known, size = known[order], np.bincount(which, minlength=len(words))  # the kept features of each run, one run after the other
+            begin = np.cumsum(size) - size
+            run_of, first = coded.indices.to_numpy(), cut.offsets.to_numpy().tolist()
             f = np.full(len(texts), self.bias)
             for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
-                if b > a:
-                    at, n = np.unique(each[a:b], return_counts=True)
-                    f[k] += weights[at] @ np.log1p(n)
+                run, n = np.unique(run_of[a:b], return_counts=True)
+                times = size[run]
+                end = np.cumsum(times)
+                if len(end) and end[-1]:
+                    each = known[np.arange(end[-1]) + np.repeat(begin[run] - (end - times), times)]
+                    at, back = np.unique(each, return_inverse=True)
+                    f[k] += (weights[at] * np.log1p(np.bincount(back, np.repeat(n, times)))).sum()
             return 1 / (1 + np.exp(-np.clip(f, -50, 50)))
 
         return score
@@ -255,7 +271,7 @@ def score(spark: SparkSession, docs: DataFrame, classifier: Classifier | None, t
         many = pickle.loads(sent.value).batch_scorer()
         for texts in batches:
             size = np.cumsum([len(t or "") for t in texts])
-            cuts = np.searchsorted(size, np.arange(8 << 20, size[-1] if len(size) else 0, 8 << 20)) + 1
+            cuts = np.searchsorted(size, np.arange(2 << 20, size[-1] if len(size) else 0, 2 << 20)) + 1
             yield pd.Series(np.concatenate([many(list(part)) for part in np.split(texts.to_numpy(), np.unique(cuts))]), dtype=float)
 
     return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -98,3 +98,30 @@ def test_slopes_equal_differences_of_the_risk():
             step = np.eye(30)[k] * 1e-6
             assert np.isclose((goal(f + step) - goal(f - step)) / 2e-6, slope[k], atol=1e-7)
     assert signs == {True, False}
+
+
+def test_features_of_words():
+    """A piece has one feature wherever it comes from, and a text's features are those of its words."""
+    words = ["grumf", "grumfy", "gru", "ab", "blaxoumf", "日本語です", "a"]
+    which, feature = toxicity.word_features(words, 40)
+    own = [set(feature[which == k].tolist()) for k in range(len(words))]
+    assert [len(o) for o in own] == [5, 6, 2, 1, 6, 5, 1]
+    assert len(own[0] & own[1]) == 3 and len(own[0] & own[2]) == 1 and not own[1] & own[4]
+    for k, w in enumerate(words):
+        assert set(toxicity.word_features([w], 40)[1].tolist()) == own[k]
+    f, v = toxicity.text_features("Grumf, ab ab (ab) ...", 40)
+    want = {x: 1 for x in own[0]} | {x: 3 for x in own[3]}
+    assert f.tolist() == sorted(want) and np.allclose(v, np.log1p([want[x] for x in f.tolist()]))
+    assert [len(x) for x in toxicity.text_features(None, 20)] == [0, 0]
+
+
+def test_many_texts_score_as_each_alone():
+    texts = [None, "", "...", "grumf grumf ab", "w1 w2 w1, unknown", "ab " * 5000]
+    f = toxicity.text_features("grumf ab w1 w2", 18)[0]
+    c = toxicity.Classifier({int(x): 0.1 * (k - 4) for k, x in enumerate(f)}, 0.3, 18)
+    alone = c.scorer()
+    got = c.batch_scorer()(texts)
+    for t, p in zip(texts, got):
+        own, value = toxicity.text_features(t, 18)
+        z = 0.3 + sum(c.weights.get(x, 0.0) * y for x, y in zip(own.tolist(), value.tolist()))
+        assert np.isclose(p, 1 / (1 + np.exp(-z)), atol=1e-6) and np.isclose(p, alone(t))
