@@ -18,10 +18,11 @@ Blank terms are left out, repeated ones count once; titles are named by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import staged
 from .clean import ngrams
 from .labels import _label
 
@@ -34,15 +35,12 @@ def lexicon_terms(lexicon: DataFrame) -> DataFrame:
     return lexicon.where(F.col("term").isNotNull() & (F.trim("term") != "")).select("term", "side").distinct()
 
 
-def _gram_sets(text: Column, q: int) -> Column:
-    """The distinct grams of a text of 1 to ``q`` characters."""
-    return F.array_distinct(F.concat(*(ngrams(text, n) for n in range(1, q + 1))))
-
-
-def title_anchor_grams(posts: DataFrame, wanted: DataFrame, key_cols: list[str], title_col: str, q: int) -> DataFrame:
-    """key_cols, gram: the distinct grams of each title that are in ``wanted`` (gram)."""
-    grams = posts.select(*key_cols, F.explode(_gram_sets(F.col(title_col), q)).alias("gram"))
-    return grams.join(wanted, "gram", "left_semi")
+def title_grams(posts: DataFrame, wanted: DataFrame, key_cols: list[str], title_col: str, q: int) -> DataFrame:
+    """key_cols, gram: the distinct grams of each title, of the lengths (at most ``q``) that ``wanted`` (gram) has."""
+    lengths = wanted.select(F.length("gram").alias("n")).distinct().agg(F.collect_set("n")).scalar()
+    none = F.array().cast("array<string>")
+    sets = [F.when(F.array_contains("_lengths", n), F.array_distinct(ngrams(title_col, n))).otherwise(none) for n in range(1, q + 1)]
+    return posts.withColumn("_lengths", lengths).select(*key_cols, F.explode(F.concat(*sets)).alias("gram"))
 
 
 def term_anchors(posts: DataFrame, lexicon: DataFrame, title_col: str = "title", q: int = Q) -> DataFrame:
@@ -50,8 +48,8 @@ def term_anchors(posts: DataFrame, lexicon: DataFrame, title_col: str = "title",
     terms = lexicon_terms(lexicon).select("term").distinct()
     own = F.when(F.length("term") < q, F.array("term")).otherwise(F.array_distinct(ngrams("term", q)))
     grams = terms.select("term", F.explode(own).alias("gram"))
-    seen = title_anchor_grams(posts, grams.select("gram").distinct(), [], title_col, q)
-    titles = seen.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    wanted = grams.select("gram").distinct()
+    titles = title_grams(posts, wanted, [], title_col, q).join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a gram in no title at all decides its term: an inner join would keep the term by another gram
     counted = grams.join(titles, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("term").agg(F.min(F.struct("n", "gram")).alias("a"))
@@ -60,10 +58,9 @@ def term_anchors(posts: DataFrame, lexicon: DataFrame, title_col: str = "title",
 
 def lexicon_matches(posts: DataFrame, lexicon: DataFrame, key_cols: list[str], title_col: str = "title", q: int = Q) -> DataFrame:
     """key_cols, side, term of every term that a title contains."""
-    anchors = term_anchors(posts, lexicon, title_col, q)
+    anchors = staged(term_anchors(posts, lexicon, title_col, q), "lexicon-anchors")
     sides = lexicon_terms(lexicon)
-    grams = posts.select(*key_cols, F.explode(_gram_sets(F.col(title_col), q)).alias("gram"))
-    candidates = grams.join(anchors, "gram").select(*key_cols, "term")
+    candidates = title_grams(posts, anchors, key_cols, title_col, q).join(anchors, "gram").select(*key_cols, "term")
     held = candidates.join(posts.select(*key_cols, F.col(title_col).alias("_t")), key_cols).where(F.col("_t").contains(F.col("term")))
     return held.select(*key_cols, "term").join(sides, "term").select(*key_cols, "side", "term")
 
