@@ -154,7 +154,8 @@ class WordTokenizer:
     becomes the elder, from which runs that occur again come back.
     """
 
-    SIGN = re.compile(r"[,.](?<=[^\W\d_][,.])(?= |$)")
+    # not after the capital whose lower case ends in a mark, which goes with the sign
+    SIGN = re.compile(r"[,.](?<=[^\W\d_\u0130][,.])(?= |$)")
 
     def __init__(self, file: str, keep: int = 300_000):
         from tokenizers import Tokenizer
@@ -239,7 +240,7 @@ def tokenized_pieces(docs: DataFrame, file: str, capacity: int, end_id: int, id_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(file)
         for batch in batches:
-            for a, b, _, _ in byte_slices(batch.column(1), 4 << 20):
+            for a, b, _, _ in byte_slices(batch.column(1), 2 << 20):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 ids, first = tokenizer.encode_all(texts)
                 ids = np.ascontiguousarray(np.insert(ids, first[1:], end_id), "<u4")  # the end token after each text
@@ -256,6 +257,7 @@ def tokenized_pieces(docs: DataFrame, file: str, capacity: int, end_id: int, id_
                 if with_ids:  # pieces stand in the order of their ids
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        pa.default_memory_pool().release_unused()  # what the worker keeps between tasks is the known runs
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, ddl)

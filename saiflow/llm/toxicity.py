@@ -182,7 +182,7 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], positive: np.ndarray, prior:
     col = at[col]
     row, col, value = row[col >= 0], col[col >= 0], value[col >= 0]
     value = value * scale[col]
-    by_col = np.argsort(col, kind="stable")
+    by_col = np.argsort(col, kind="stable").astype(np.int32)
     row_c, value_c = row[by_col], value[by_col]
     full, row_at = np.unique(row, return_index=True)  # texts that have a kept feature, and their first entry
     col_at = np.searchsorted(col[by_col], np.arange(len(kept)))
@@ -221,16 +221,22 @@ def chosen_texts(docs: DataFrame, labels: DataFrame, may_learn: Column, max_posi
     return texts.join(F.broadcast(chosen), "id").select("id", "text", "confirmed"), float(prior)
 
 
-def sample_features(texts: DataFrame, bits: int) -> DataFrame:
-    """id, mark, confirmed, own, value: the features and values of each of ``texts`` (id, text, confirmed); ``mark`` tells texts of one id apart."""
+def sample_features(texts: DataFrame, bits: int, kept: np.ndarray | None = None) -> DataFrame:
+    """id, mark, confirmed, own, value: the features and values of each of ``texts`` (id, text, confirmed), of ``kept`` (sorted)
+    alone if that is given; ``mark`` tells texts of one id apart."""
+    sent = None if kept is None else texts.sparkSession.sparkContext.broadcast(kept)  # at most 2^bits numbers
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                texts = part.column(1).to_pylist()
-                own, value = zip(*(text_features(t, bits) for t in texts))
-                mark = [xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts]
+                part, rows = batch.slice(at, 100), []
+                for text in part.column(1).to_pylist():
+                    own, value = text_features(text, bits)
+                    if sent is not None:
+                        among = np.isin(own, sent.value, assume_unique=True)
+                        own, value = own[among], value[among]
+                    rows.append((own, value, xxhash.xxh3_64_intdigest(text or "") >> 1))
+                own, value, mark = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(mark, pa.int64()), part.column(2), pa.array(own, pa.list_(pa.int32())),
                                                   pa.array(value, pa.list_(pa.float32()))], ["id", "mark", "confirmed", "own", "value"])
 
@@ -238,26 +244,32 @@ def sample_features(texts: DataFrame, bits: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_positive: int = 2000, max_unlabelled: int = 6000, bits: int = 20) -> Classifier | None:
+          max_positive: int = 2000, max_unlabelled: int = 6000, bits: int = 20, least: int = 2) -> Classifier | None:
     """A classifier from the bounded sample; None without any confirmed text.
 
-    Texts become features in tasks, and one task learns from those of the whole sample; the driver gets the weights.
+    Texts become features in tasks; those that ``least`` confirmed texts have are counted first, and one task
+    learns from these alone of the whole sample. The driver gets their numbers and weights.
     """
     texts, prior = chosen_texts(docs, labels, may_learn, max_positive, max_unlabelled, id_col, text_col, label_col)
+    confirmed = texts.filter("confirmed")
+    counted = sample_features(confirmed, bits).select(F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    kept = np.sort(counted.select("f").toArrow().column("f").to_numpy())
+    if not len(kept) and confirmed.isEmpty():
+        return None
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = [(not c, i, m, np.asarray(o, np.int32), np.asarray(v, np.float32)) for batch in batches
-                  for i, m, c, o, v in zip(*(batch.column(k).to_pylist() for k in range(3)), *([x.values.to_numpy() for x in batch.column(k)] for k in (3, 4)))]
+        sample = [(not c, i, m, o.values.to_numpy(), v.values.to_numpy()) for batch in batches
+                  for i, m, c, o, v in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4))]
         sample.sort(key=lambda r: r[:3])  # the order of sums
-        confirmed = np.array([not r[0] for r in sample], bool)
-        if not confirmed.any():
-            return
-        c = fit([r[3:] for r in sample], confirmed, min(0.9, max(1e-3, prior)), bits)
+        marks = np.array([not r[0] for r in sample], bool)
+        c = fit([r[3:] for r in sample], marks, min(0.9, max(1e-3, prior)), bits, least=least)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *c.weights], pa.int64()), pa.array([c.bias, *c.weights.values()], pa.float64())], ["feature", "weight"])
+        del sample, c
+        pa.default_memory_pool().release_unused()
 
-    learned = sample_features(texts, bits).repartition(1).mapInArrow(learn, "feature long, weight double").toArrow()
+    learned = sample_features(texts, bits, kept).repartition(1).mapInArrow(learn, "feature long, weight double").toArrow()
     weights = dict(zip(learned.column("feature").to_pylist(), learned.column("weight").to_pylist()))
-    return Classifier({f: w for f, w in weights.items() if f >= 0}, weights[-1], bits) if weights else None
+    return Classifier({f: w for f, w in weights.items() if f >= 0}, weights[-1], bits)
 
 
 def score(spark: SparkSession, docs: DataFrame, classifier: Classifier | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
