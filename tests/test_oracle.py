@@ -21,9 +21,13 @@ def duck():
     return con
 
 
+#: Queries of a trained model, which SQL cannot express; their own tests hold them against held-out labels.
+MODELS = {"score_sequence_model"}
+
+
 def test_every_library_query_has_an_oracle():
     from saiflow.plans.catalog import QUERIES
-    assert set(QUERIES) <= set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - MODELS <= set(oracle_sql()) <= set(queries())
 
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
