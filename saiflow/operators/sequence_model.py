@@ -58,7 +58,7 @@ def gradient(p: dict[str, np.ndarray], rows: np.ndarray, labels: np.ndarray) ->
     dz = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - labels) / n
     dbest = dz[:, None] * p["weights"] * (best > 0)
     own = np.take_along_axis(windows, at[:, :, None].transpose(0, 1, 2), 1)  # n, FILTERS, WIDTH * SIZE: the window each filter chose
-    g = {"weights": hidden.T @ dz, "bias": np.array(dz.sum()), "filters": np.einsum("nfw,nf->wf", own, dbest), "filter_bias": dbest.sum(0),
+    g = {"weights": hidden.T @ dz, "bias": np.array([dz.sum()]), "filters": np.einsum("nfw,nf->wf", own, dbest), "filter_bias": dbest.sum(0),
          "table": np.zeros_like(p["table"])}
     back = (dbest[:, :, None] * p["filters"].T[None]).reshape(n, FILTERS, WIDTH, SIZE)
     touched = rows[np.arange(n)[:, None, None], at[:, :, None] + np.arange(WIDTH)]
@@ -70,7 +70,7 @@ def fit(codes: np.ndarray, labels: np.ndarray, rounds: int = 25, batch: int = 12
     """Parameters after ``rounds`` passes in small batches (Adam steps), the same for the same input."""
     rng = np.random.default_rng(seed)
     p = {"table": rng.normal(0, 0.1, (TABLE, SIZE)), "filters": rng.normal(0, 0.2, (WIDTH * SIZE, FILTERS)), "filter_bias": np.zeros(FILTERS),
-         "weights": rng.normal(0, 0.2, FILTERS), "bias": np.zeros(())}
+         "weights": rng.normal(0, 0.2, FILTERS), "bias": np.zeros(1)}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     rows, step = _rows_of(codes), 0
     for _ in range(rounds):
@@ -92,10 +92,10 @@ def train_sequence_model(labelled: DataFrame, key_col: str, text_col: str = "tit
     sample = rows.select(mix.alias("mix"), pad_codes(text_col, length).alias("seq"), F.col(label_col).cast("int").alias("y")).orderBy("mix", "seq", "y").limit(max_rows)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches), pa.schema([("mix", pa.int64()), ("seq", pa.list_(pa.int32())), ("y", pa.int32())])).sort_by("mix")
-        codes = np.array(got.column("seq").to_pylist(), np.int64).reshape(got.num_rows, length)
+        got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        codes, labels = np.array([r[1] for r in got], np.int64).reshape(-1, length), np.array([r[2] for r in got], float)
         out = io.BytesIO()
-        np.savez_compressed(out, **{k: v.astype(np.float32) for k, v in fit(codes, got.column("y").to_numpy().astype(float)).items()})
+        np.savez_compressed(out, **{k: v.astype(np.float32) for k, v in fit(codes, labels).items()})
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["model"])
 
     return bytes(sample.repartition(1).mapInArrow(learn, "model binary").first().model)

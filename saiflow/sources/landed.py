@@ -68,7 +68,7 @@ def landed_responses(spark: SparkSession, folder: str, code_pattern: str = "", p
                      max_files_per_trigger: int | None = None) -> DataFrame:
     """page_no, code, url, html, fetched_at, reason of every file in ``folder``; ``html`` is null where ``reason`` is not.
 
-    The fetch time is the file's own.
+    The fetch time is the file's own. Spark's reader passes over files of no bytes.
     """
     reader = spark.readStream if stream else spark.read
     if stream and max_files_per_trigger:
