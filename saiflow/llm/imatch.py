@@ -183,11 +183,13 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     found = found.withColumns({"of_text": F.array_sort(F.concat("t3", "t1")), "of_edited": F.array_sort(F.concat("t3", "t2"))}).drop("t1", "t2", "t3")
     found = stage(spark, found, "imatch-terms")
 
-    # texts with too few terms of the lexicon: all their terms, from the texts of these rows alone
-    too_few = found.filter((F.size("of_text") < least_terms) | (F.size("of_edited") < least_terms)).select("row")
-    whole = native_perhaps(both.select("row", "text", "edited"), too_few, ["row"]).join(too_few, "row")
+    # texts with too few terms of the lexicon: all their terms, from these texts and the next ones alone, which are read where they lie
+    too_few = found.filter((F.size("of_text") < least_terms) | (F.size("of_edited") < least_terms)).select("row", "next_row")
+    ids = too_few.select("row").union(too_few.select("next_row")).distinct()
+    texts = native_perhaps(rows.select("row", "text"), ids, ["row"]).join(ids, "row")
+    whole = too_few.join(texts, "row").join(texts.select(F.col("row").alias("next_row"), F.col("text").alias("next_text")), "next_row")
     every = lambda t: F.array_sort(F.transform(term_hashes(t), _short))
-    whole = whole.select("row", every(F.col("text")).alias("_text"), every(F.col("edited")).alias("_edited"))
+    whole = whole.select("row", every(F.col("text")).alias("_text"), every(edited(F.col("text"), F.col("next_text"))).alias("_edited"))
     chosen = found.join(whole, "row", "left")
     use = lambda few, all_: F.when(F.size(few) < least_terms, F.coalesce(all_, few)).otherwise(few)
     slots = chosen.select(*key, "n_chars", "edited_sha256", fingerprint(use(F.col("of_text"), F.col("_text"))).alias("slots"),
