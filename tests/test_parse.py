@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from saiflow.operators import html
 from saiflow.operators import parse as P
 
 FORUM_PAGE = """<html><body><div id="articlelistnew">
@@ -101,3 +102,20 @@ def test_post_year_from_fetch(spark):
     rows = df.select(P.parse_post_time("t", P.post_year_from_fetch("t", "f")).alias("ts")).collect()
     assert [r.ts for r in rows] == [dt.datetime(2023, 12, 31, 10, 0), dt.datetime(2024, 1, 2, 7, 0),
                                     dt.datetime(2023, 1, 20, 7, 0), dt.datetime(2024, 2, 29, 7, 0)]
+
+
+def test_results_of_a_task_are_not_held_together(spark):
+    class Found(list):
+        live = 0
+
+        def __init__(self):
+            Found.live += 1
+            super().__init__([{"n": Found.live}])
+
+        def __del__(self):
+            Found.live -= 1
+
+    pages = spark.range(0, 2000, 1, 1).select("id", F.lit("<p>x</p>").alias("html"))
+    found = pages.select("id", html.column(lambda page: Found(), "array<struct<n:int>>", "html").alias("f")).select("id", F.inline("f"))
+    top = found.agg(F.max("n").alias("n"), F.count("*").alias("rows")).first()
+    assert top.rows == 2000 and top.n <= 200
