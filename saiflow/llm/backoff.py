@@ -6,20 +6,23 @@ its last word) if the gram was counted at least ``min_count`` times, else
 c(w) / N. Words at a text's beginning have fewer words before them, without a
 factor. A document's score is the sum of the logarithms.
 
-Words are the 64-bit hashes of their lower-case forms, and a gram is its words.
-
-1. Grams below the greatest order (and of order 2 at least) are counted in
-   tables, combined within tasks before their shuffle; those that back off,
-   under ``min_count``, are dropped, words are all kept.
-2. Each document's distinct grams of the greatest order become one row each.
-   From order 3 their counts are sums over the rows of a gram, so they are exchanged once
-   and need no table.
-3. Order by order the rows meet the counts of their gram. A gram that is counted often
-   enough asks the next order for the count of its words but the last, and
-   is settled there; one that is not goes on with its words but the first.
-
-Counts of the ``frequent`` commonest grams of a table go to all tasks, so that no key of a join is hot;
-their number is fixed, everything else grows with the corpus in Spark tables.
+Words are the 64-bit hashes of their lower-case forms, and a gram is its words. The
+``frequent`` commonest words at most are known to all tasks, with their counts, and
+travel as small numbers; the other words travel as hashes (63 bits of them, the
+sign marks them). A gram is compared by all its words.
+
+1. Words are counted in a table, combined within tasks before their shuffle.
+2. Each word goes, with the words before it and its document, to the task of its
+   last two words. All grams of one ending meet there, so the counts of all orders but the
+   first follow at once, and each row finds the longest gram that is counted often enough.
+3. What a row divides by, the count of that gram without its last word, was counted in
+   another task: it is asked there, as are the counts of words that not all tasks know.
+4. Documents' sums meet.
+
+These three exchanges carry runs of rows as columns of bytes, compressed (``_pack``):
+small numbers and neighbouring documents take little room, about six bytes a word
+in the largest. Everything grows with the corpus in Spark; the words that all tasks know are a fixed number.
+Rows of one ending (two words) meet in one task.
 
 Defined results: rows of one id count as one document, and rows without id as
 one with a null id; null texts and texts without words have no
@@ -32,17 +35,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import stage
+from .common import spread, stage
 
 #: Stands before a text's first word.
 START = 0
-PENDING, CONTEXT, SETTLED = range(3)
+#: Words that a task takes at a time.
+CHUNK = 1_000_000
+#: Words that every task holds (24 bytes each).
+FREQUENT = 1 << 20
+TOKENS, COUNTS, ASKED, SUMS = range(4)
+PACKED = "part int, kind int, n int, packed binary"
+_RARE = np.int64(-1 << 63)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,113 +62,261 @@ def word_classes(text: str | None, class_bits: int = 64) -> np.ndarray:
     return (h >> np.uint64(64 - class_bits)).astype(np.int64)
 
 
-def _distinct(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of ``grams`` and how often they occur."""
-    mixed = np.zeros(len(grams), np.uint64)
-    for column in grams.T:
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _K + column.view(np.uint64)
-    _, first, n = np.unique(mixed, return_index=True, return_counts=True)
-    return grams[first], n
+class _Numbers(dict):
+    """Numbers words as they come."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-def _names(order: int) -> list[str]:
-    return [f"w{k}" for k in range(1, order + 1)]
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """Of runs of rows, whose last column is their text: hashes of the distinct words, each word's place among them,
+    the rows' numbers of words, and the rows' first column."""
+    numbers, places, lengths, ids = _Numbers(), [], [], []
 
-def _arrays(grams: np.ndarray) -> list[pa.Array]:
-    return [pa.array(np.ascontiguousarray(column)) for column in grams.T]
+    def out():
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in numbers), np.uint64, len(numbers)).view(np.int64)
+        return hashes, np.concatenate(places), np.array(lengths, np.int64), ids
 
+    size = 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0), batch.column(batch.num_columns - 1)):
+            w = (text.as_py() or "").lower().split()
+            places.append(np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)))
+            lengths.append(len(w))
+            ids.append(doc)
+            size += len(w) + 1
+            if size > CHUNK:
+                yield out()
+                numbers, places, lengths, ids, size = _Numbers(), [], [], [], 0
+    if ids:
+        yield out()
 
-def count_grams(texts: DataFrame, order: int, min_count: int) -> DataFrame:
-    """w1..w<order>, count of the grams counted at least ``min_count`` times. ``texts``: one column."""
-    names = _names(order)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def out() -> pa.RecordBatch:
-            grams, n = _distinct(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([*_arrays(grams), pa.array(n.astype(np.int64))], [*names, "n"])
+def count_words(texts: DataFrame) -> DataFrame:
+    """w, count of all words. ``texts``: one column."""
 
-        for batch in batches:
-            for text in batch.column(0):
-                h = word_classes(text.as_py())
-                if len(h) >= order:
-                    held.append(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(h, order)))
-                    size += len(h)
-                if size > 2_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
-
-    rows = texts.mapInArrow(count, ", ".join(f"{c} long" for c in names) + ", n long")
-    return rows.groupBy(*names).agg(F.sum("n").alias("count")).filter(F.col("count") >= min_count)
-
-
-def document_grams(docs: DataFrame, order: int) -> DataFrame:
-    """w1..w<order>, doc_id, n of each document's distinct grams, with START before its first words; a document
-    without words has one row with n = 0. ``docs``: doc_id, text."""
-    names = _names(order)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, places, _, _ in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.bincount(places, minlength=len(hashes)))], ["w", "n"])
+
+    return texts.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("count"))
+
+
+def common_words(counts: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of at most ``frequent`` words, all those above a count: hashes, ascending, their places by descending count, and the counts by place."""
+    bin_ = F.floor(F.log2("count") * 16)
+    left, least = frequent, None
+    for r in counts.groupBy(bin_.alias("bin")).count().orderBy(F.desc("bin")).collect():  # at most 1,024 rows
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r.bin
+    if least is None:
+        return (np.zeros(0, np.int64),) * 3
+    found = counts.filter(bin_ >= least).select("w", "count").toArrow()
+    w, n = (found.column(k).to_numpy() for k in range(2))
+    by_count = np.lexsort((w, -n))
+    w, n = w[by_count], n[by_count]
+    place = np.argsort(w)
+    return w[place], place, n
+
+
+def _numbered(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """1.. for the ``common`` words, the commonest first, else the hash with its sign set."""
+    known, place, _ = common
+    if not len(known):
+        return hashes | _RARE
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, place[at] + 1, hashes | _RARE)
+
+
+def _mixed(columns: list[np.ndarray], parts: int) -> np.ndarray:
+    """A part for each row, by all ``columns``."""
+    mixed = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        mixed = ((mixed ^ (mixed >> np.uint64(29))) + column.view(np.uint64) + np.uint64(1)) * _K
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def _pack(kind: int, part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows by part, in their order: one packed row a part. Columns are numbers of 8 bytes, first by the differences of
+    the first one, then by byte: those of small numbers are nearly all 0."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    columns = [c[order] for c in columns]
+    parts, first = np.unique(part[order], return_index=True)
+    ends, blobs = [*first[1:], len(order)], []
+    for a, z in zip(first, ends):
+        own = [np.diff(columns[0][a:z], prepend=np.int64(0)), *(c[a:z] for c in columns[1:])]
+        planes = b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in own)
+        blobs.append(pa.compress(planes, codec="zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), kind), pa.int32()),
+                                       pa.array(np.subtract(ends, first), pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "n", "packed"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], widths: dict[int, int]) -> dict[int, list[np.ndarray]]:
+    """The columns of each kind of packed rows, which has as many as ``widths`` says."""
+    found: dict[int, list] = {kind: [[] for _ in range(width)] for kind, width in widths.items()}
+    for batch in batches:
+        for kind, n, packed in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
+            planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n * widths[kind], codec="zstd"), np.uint8)
+            for k, p in enumerate(np.split(planes, widths[kind])):
+                column = np.ascontiguousarray(p.reshape(8, n).T).view(np.int64).ravel()
+                found[kind][k].append(column if k else np.cumsum(column))
+
+    def whole(runs: list[np.ndarray]) -> np.ndarray:
+        column = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+        runs.clear()
+        return column
+
+    return {kind: [whole(runs) for runs in columns] for kind, columns in found.items()}
+
+
+def _groups(*columns: np.ndarray) -> np.ndarray:
+    """Numbers of the rows' groups of equal values, from 0."""
+    group = pd.factorize(columns[0])[0]
+    for column in columns[1:]:
+        other = pd.factorize(column)[0]
+        group = pd.factorize(group * (other.max(initial=0) + 1) + other)[0]
+    return group
+
+
+def _first(group: np.ndarray) -> np.ndarray:
+    """The first row of each group."""
+    first = np.zeros(group.max(initial=-1) + 1, np.int64)
+    first[group[::-1]] = np.arange(len(group))[::-1]
+    return first
+
+
+def _sums(doc: np.ndarray, no_id: np.ndarray, n: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+    """One row a document, ascending: doc, no_id, n, value."""
+    group = _groups(doc, no_id)
+    first = _first(group)
+    first_order = np.argsort(doc[first], kind="stable")
+    n, value = (np.bincount(group, x, len(first))[first_order] for x in (n, value))
+    return [doc[first][first_order], no_id[first][first_order], n.astype(np.int64), value]
+
+
+def _pack_sums(doc: np.ndarray, no_id: np.ndarray, n: np.ndarray, value: np.ndarray, parts: int) -> pa.RecordBatch:
+    doc, no_id, n, value = _sums(doc, no_id, n, value)
+    return _pack(SUMS, _mixed([doc, no_id], parts), [doc, no_id, n, value.view(np.int64)])
+
+
+def document_grams(docs: DataFrame, order: int, common, parts: int) -> DataFrame:
+    """Packed rows doc, no_id, w1..w<order> of each word, with START before a text's first; a document without words
+    has one row with START alone. ``docs``: doc_id, text."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, places, lengths, ids in _chunks(batches):
+            ids = pa.array([x.as_py() for x in ids], pa.int64())
+            no_id, ids = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy()
+            row = np.repeat(np.arange(len(ids)), lengths)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            last = _numbered(hashes, common.value)[places] if len(places) else np.zeros(0, np.int64)
+            words = [np.where(at >= k, np.roll(last, k), START) for k in range(order - 1, 0, -1)] + [last]
+            empty = np.flatnonzero(lengths == 0)
+            row = np.append(row, empty)
+            words = [np.append(w, np.full(len(empty), START)) for w in words]
+            doc, none = ids[row], no_id[row]
+            part = np.where(words[-2] == START, _mixed([doc], parts), _mixed(words[-2:], parts))
+            yield _pack(TOKENS, part, [doc, none, *words])
+
+    return docs.mapInArrow(explode, PACKED)
+
+
+def _score_endings(rows: DataFrame, order: int, min_count: int, alpha: float, total: int, common, parts: int) -> DataFrame:
+    """Of all grams of some endings: packed sums of the documents, counts of grams, and counts that are asked."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, no_id, *words = _unpack(batches, {TOKENS: order + 2})[TOKENS]
+        if not len(doc):
+            return
+        real = sum((w != START).astype(np.int64) for w in words)
+        value, longest = np.zeros(len(doc)), np.minimum(real, 1)
+        group = _groups(words[-1])
+        for k in range(2, order + 1):
+            group = _groups(group, words[-k])
+            n = np.bincount(group)
+            seen = (real >= k) & (n[group] >= min_count)
+            longest[seen] = k
+            value[seen] = np.log(n[group][seen])
+            if k < order:
+                first = _first(group)
+                first = first[seen[first]]
+                key = [w[first] for w in ([np.zeros(len(doc), np.int64)] * (order - 1 - k) + words[-k:])]
+                yield _pack(COUNTS, _mixed(key, parts), [*key, n[group][first]])
+        value += (real - longest) * np.log(alpha)
+        value[longest == 1] -= np.log(max(total, 1))
+        # a word's own count, or that of the words before it
+        asked = [np.zeros(len(doc), np.int64) for _ in range(order - 1)]
+        asked[-1] = np.where(longest == 1, words[-1], 0)
+        for k in range(2, order + 1):
+            for j in range(1, k):
+                asked[-j] = np.where(longest == k, words[-1 - j], asked[-j])
+        sign = np.where(longest == 1, 1, -1)
+        alone = (longest == 1) | (longest == 2)
+        known = alone & (asked[-1] > 0)
+        value[known] += sign[known] * np.log(common.value[2][asked[-1][known] - 1])
+        ask = (longest > 0) & ~known
+        key = [a[ask] for a in asked]
+        yield _pack(ASKED, _mixed(key, parts), [doc[ask], no_id[ask], sign[ask], *key])
+        yield _pack_sums(doc, no_id, (real > 0).astype(np.int64), value, parts)
+
+    return rows.mapInArrow(score, PACKED)
+
+
+def _rare_counts(counts: DataFrame, order: int, common, parts: int) -> DataFrame:
+    """Packed counts of the words that not all tasks know."""
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, grams, ids, ns = batch.slice(at, 500), [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    h = word_classes(text)
-                    if len(h):
-                        padded = np.concatenate([np.full(order - 1, START, np.int64), h])
-                        g, n = _distinct(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, order)))
-                    else:  # any number, to spread these rows
-                        g, n = np.full((1, order), xxhash.xxh3_64_intdigest(str(doc)) >> 2, np.int64), np.zeros(1, np.int64)
-                    grams.append(g)
-                    ids += [doc] * len(g)
-                    ns.append(n)
-                yield pa.RecordBatch.from_arrays([*_arrays(np.concatenate(grams)), pa.array(ids, pa.int64()),
-                                                  pa.array(np.concatenate(ns).astype(np.int32))], [*names, "doc_id", "n"])
-
-    return docs.mapInArrow(explode, ", ".join(f"{c} long" for c in names) + ", doc_id long, n int")
-
-
-def _meet(rows: DataFrame, counts: DataFrame, order: int, frequent: int) -> DataFrame:
-    """``rows`` with the ``count`` of their gram, null if it is not among ``counts``."""
-    names = _names(order)
-    common = counts.orderBy(F.desc("count"), *names).limit(frequent).withColumnRenamed("count", "_common")
-    spread = F.pmod(F.xxhash64("doc_id", *names), F.lit(1 << 20)).cast("int") + 1
-    rows = rows.join(F.broadcast(common), names, "left")
-    rows = rows.withColumn("_salt", F.when((F.col("state") == SETTLED) | F.col("_common").isNotNull(), spread).otherwise(F.lit(0)))
-    rows = rows.join(counts.withColumn("_salt", F.lit(0)), ["_salt", *names], "left")
-    return rows.withColumn("count", F.coalesce("_common", "count")).drop("_common", "_salt")
-
-
-def _advance(rows: DataFrame, order: int, min_count: int, alpha: float, total: int) -> DataFrame:
-    """The rows after their gram of ``order`` words met its count: w1..w<order - 1>, doc_id, n, state, value."""
-    pending, context = F.col("state") == PENDING, F.col("state") == CONTEXT
-    log = F.log(F.col("count").cast("double"))
-    if order == 1:
-        value = F.when(pending, F.col("value") + log - F.lit(float(np.log(max(total, 1))))).when(context, F.col("value") - log)
-        return rows.select("doc_id", "n", value.otherwise(F.col("value")).alias("value"))
-    short = F.col("w1") == START
-    seen = pending & ~short & (F.coalesce("count", F.lit(0)) >= min_count)
-    value = F.when(seen, F.col("value") + log).when(context, F.col("value") - log).when(pending & ~short, F.col("value") + F.lit(float(np.log(alpha))))
-    words = [F.when(seen, F.col(f"w{k}")).otherwise(F.col(f"w{k + 1}")).alias(f"w{k}") for k in range(1, order)]
-    state = F.when(seen, F.lit(CONTEXT)).when(context, F.lit(SETTLED)).otherwise(F.col("state"))
-    return rows.select(*words, "doc_id", "n", state.alias("state"), value.otherwise(F.col("value")).alias("value"))
+            w, n = _numbered(batch.column(0).to_numpy(), common.value), batch.column(1).to_numpy()
+            key = [np.zeros(int((w < 0).sum()), np.int64)] * (order - 2) + [w[w < 0]]
+            yield _pack(COUNTS, _mixed(key, parts), [*key, n[w < 0]])
+
+    return counts.select("w", "count").mapInArrow(rare, PACKED)
+
+
+def _answer(rows: DataFrame, order: int, parts: int) -> DataFrame:
+    """Packed sums of documents, with the counts that were asked."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _unpack(batches, {COUNTS: order, ASKED: order + 2, SUMS: 4})
+        *keys, count = found[COUNTS]
+        doc, no_id, sign, *asked = found[ASKED]
+        group = _groups(*(np.concatenate(k) for k in zip(keys, asked)))
+        counted = np.zeros(group.max(initial=-1) + 1, np.int64)
+        counted[group[:len(count)]] = count
+        value = sign * np.log(counted[group[len(count):]])
+        docs, none, n, sums = found[SUMS]
+        doc, no_id = np.append(docs, doc), np.append(none, no_id)
+        if len(doc):
+            yield _pack_sums(doc, no_id, np.append(n, np.zeros(len(value), np.int64)), np.append(sums.view(np.float64), value), parts)
+
+    return rows.mapInArrow(answer, PACKED)
+
+
+def _total(rows: DataFrame) -> DataFrame:
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, no_id, n, value = _unpack(batches, {SUMS: 4})[SUMS]
+        doc, no_id, n, value = _sums(doc, no_id, n, value.view(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array(doc, mask=no_id == 1), pa.array(n), pa.array(value)], ["doc_id", "n_tokens", "log_score"])
+
+    return rows.mapInArrow(total, "doc_id long, n_tokens long, log_score double")
 
 
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2,
-          frequent: int = 512, order: int = 2) -> DataFrame:
+          frequent: int = FREQUENT, order: int = 2) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logarithms), mean_log_score of each document."""
     if order < 2 or min_count < 1:
         raise ValueError("order must be at least 2 and min_count at least 1")
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = {n: stage(spark, count_grams(texts, n, min_count if n > 1 else 1), f"grams-{n}") for n in range(1, max(order, 3))}
-    total = counts[1].agg(F.sum("count")).first()[0] or 0
-    rows = document_grams(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), order)
-    rows = rows.withColumn("state", F.when(F.col("n") > 0, F.lit(PENDING)).otherwise(F.lit(SETTLED))).withColumn("value", F.lit(0.0))
-    for n in range(order, 0, -1):
-        met = _meet(rows, counts[n], n, frequent) if n in counts else rows.withColumn("count", F.sum("n").over(Window.partitionBy(*_names(n))))
-        rows = _advance(met, n, min_count, alpha, total)
-    sums = rows.groupBy("doc_id").agg(F.sum(F.col("n").cast("long")).alias("n_tokens"), F.sum(F.col("n") * F.col("value")).alias("log_score"))
+    parts = spread(spark)
+    counts = stage(spark, count_words(docs.select(F.col(text_col).alias("text"))), "words")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    common = spark.sparkContext.broadcast(common_words(counts, frequent))
+    rows = document_grams(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), order, common, parts)
+    scored = _score_endings(rows.repartitionById(parts, "part"), order, min_count, alpha, total, common, parts)
+    asked = scored.unionByName(_rare_counts(counts, order, common, parts))
+    sums = _total(_answer(asked.repartitionById(parts, "part"), order, parts).repartitionById(parts, "part"))
     return sums.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -91,3 +92,29 @@ def test_query_scores_trigrams(spark, edge_docs, edge_rows, tmp_path):
     want = brute_words(edge_rows, 0.4, 2, 3)
     got = {r.doc_id: r.log_score for r in catalog.op9_stupid_backoff(spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and all(got[d] == pytest.approx(s, abs=1e-6) for d, (_, s) in want.items())
+
+
+def test_words_travel_in_few_bytes_and_meet_without_a_window(spark):
+    """Three words of 64 bits, a document and a number took about 22 bytes a word."""
+    rng = random.Random(3)
+    words = [f"v{k}" for k in range(3000)]
+    rows = [(k * 7, " ".join(rng.choices(words, [1 / (n + 1) for n in range(3000)], k=400))) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counts = backoff.count_words(docs.select("text"))
+    common = spark.sparkContext.broadcast(backoff.common_words(counts, 2500))
+    assert 0 < len(common.value[0]) <= 2500
+    sent = backoff.document_grams(docs, 3, common, 4).selectExpr("sum(n) as n", "sum(length(packed)) as bytes").first()
+    assert sent.n == 500 * 400 and sent.bytes < 9 * sent.n
+    plan = backoff.score(spark, docs, order=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("frequent", [0, 4, 1 << 20])
+def test_ids_of_any_size(spark, frequent):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("abcdefghijkl", k=rng.randrange(0, 30)))) for i in [-(1 << 63), (1 << 63) - 1, None, None, 0, 0, 5, -5, 1 << 40] * 4]
+    want = brute_words(rows, 0.4, 2, 3)
+    got = {r.doc_id: r for r in backoff.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent, order=3).collect()}
+    assert set(got) == set(want)
+    for d, (n, s) in want.items():
+        assert got[d].n_tokens == n and got[d].log_score == pytest.approx(s, abs=1e-6)
