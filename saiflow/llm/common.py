@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,26 @@ def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for a while."""
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stage_alone(spark: SparkSession, df: DataFrame, name: str, values: dict[str, str] | None = None) -> DataFrame:
+    """``stage``, after which the shuffle files of its plan are removed at once, not when the driver happens to collect
+    garbage; ``values`` are settings for this plan."""
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (values or {})):
+        return stage(spark, df, name)
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions for a step whose small input stands for much work."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import native_perhaps, stage
+from .common import native_perhaps, stage_alone
 
 LEVELS, SUBSETS = 10, 8
 #: Terms of the lexicon that every task holds (8 bytes each, some 50 MB with the table's own room).
 COMMON = 1 << 20
+#: Texts whose terms a task gathers in memory before it sorts instead (some 10 kB a text of 400 terms; a task has no more than its share of the texts).
+HELD = 1 << 13
 ROOM = (1 << 63) - 1
 OWN, EDITED, BOTH = 1, 2, 3
 
@@ -55,7 +57,7 @@ def lexicon(spark: SparkSession, docs: DataFrame, text_col: str, least_df: int,
     e^least_idf times as many exist: their number does not grow with the documents."""
     df = docs.select(F.explode(term_hashes(F.col(text_col))).alias("h")).groupBy("h").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
     inside = (F.col("df") == least_df) | (F.log(F.lit(docs.count()) / F.col("df")) >= least_idf)
-    found = stage(spark, df.select("h", "df", inside.alias("inside")), "imatch-lexicon")
+    found = stage_alone(spark, df.select("h", "df", inside.alias("inside")), "imatch-lexicon")
     return found.filter("inside").select("h", "df"), found.filter("not inside").select("h")
 
 
@@ -181,7 +183,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     found = known.groupBy(*key).agg(F.max("n_chars").alias("n_chars"), F.max("edited_sha256").alias("edited_sha256"),
                                     *(lists(of).alias(f"t{of}") for of in (OWN, EDITED, BOTH)))
     found = found.withColumns({"of_text": F.array_sort(F.concat("t3", "t1")), "of_edited": F.array_sort(F.concat("t3", "t2"))}).drop("t1", "t2", "t3")
-    found = stage(spark, found, "imatch-terms")
+    found = stage_alone(spark, found, "imatch-terms", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD)})
 
     # texts with too few terms of the lexicon: all their terms, from these texts and the next ones alone, which are read where they lie
     too_few = found.filter((F.size("of_text") < least_terms) | (F.size("of_edited") < least_terms)).select("row", "next_row")
@@ -194,7 +196,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     use = lambda few, all_: F.when(F.size(few) < least_terms, F.coalesce(all_, few)).otherwise(few)
     slots = chosen.select(*key, "n_chars", "edited_sha256", fingerprint(use(F.col("of_text"), F.col("_text"))).alias("slots"),
                           fingerprint(use(F.col("of_edited"), F.col("_edited"))).alias("edited_slots"))
-    slots = stage(spark, slots, "imatch-slots")
+    slots = stage_alone(spark, slots, "imatch-slots")
     following = slots.select(F.col("row").alias("next_row"), F.col("slots").alias("next_slots"))
     out = slots.join(following, "next_row")
     if with_text:  # the texts once more

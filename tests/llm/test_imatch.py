@@ -2,11 +2,14 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from saiflow.llm import imatch
+from saiflow.llm.common import stage_alone
 
 
 def run(spark, rows, **options):
@@ -137,3 +140,21 @@ def test_rows_without_any_id(spark):
     rows = [(None, f"text {k} of several words") for k in range(30)]
     got = imatch.fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 30 and all(r.doc_id is None and 0 <= r.near_edited <= 1 for r in got)
+
+
+def test_staged_plans_leave_no_shuffle_files(spark):
+    """The files of a staged plan stayed until the driver collected garbage, and added up."""
+    def left():
+        time.sleep(2)  # files go after their plan, in the background
+        sizes = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {sizes.apply(k).getName() for k in range(sizes.size()) if sizes.apply(k).getName().endswith(".data")}
+
+    names = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.objectHashAggregate.sortBased.fallbackThreshold")
+    held = [spark.conf.get(n) for n in names]
+    docs = spark.createDataFrame([(k, f"one two w{k % 7} w{k % 11}") for k in range(60)], "doc_id long, text string").repartition(3)
+    grouped = docs.groupBy("text").agg(F.collect_list("doc_id").alias("ids"))
+    before = left()
+    staged = stage_alone(spark, grouped, "trial", {names[1]: "9"})
+    assert left() <= before
+    assert sorted(r.text for r in staged.collect()) == sorted(r.text for r in grouped.collect())
+    assert [spark.conf.get(n) for n in names] == held
