@@ -22,7 +22,8 @@ sign marks them). A gram is compared by all its words.
 These three exchanges carry runs of rows as columns of bytes, compressed (``_pack``):
 small numbers and neighbouring documents take little room, about six bytes a word
 in the largest. Everything grows with the corpus in Spark; the words that all tasks know are a fixed number.
-Rows of one ending (two words) meet in one task.
+Rows of one ending (two words) meet in one task. A task keeps its runs compressed and unpacks
+about ``held`` rows of them at a time, by a further hash of what meets (``_buckets``).
 
 Defined results: rows of one id count as one document, and rows without id as
 one with a null id; null texts and texts without words have no
@@ -32,7 +33,8 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +49,8 @@ from .common import spread, stage
 START = 0
 #: Words that a task takes at a time.
 CHUNK = 1_000_000
+#: Rows that a task unpacks at a time (those of one ending or gram at least).
+HELD = 1 << 19
 #: Words that every task holds (24 bytes each).
 FREQUENT = 1 << 20
 TOKENS, COUNTS, ASKED, SUMS = range(4)
@@ -73,25 +77,26 @@ class _Numbers(dict):
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
     """Of runs of rows, whose last column is their text: hashes of the distinct words, each word's place among them,
     the rows' numbers of words, and the rows' first column."""
-    numbers, places, lengths, ids = _Numbers(), [], [], []
+    numbers, places, lengths, ids, size = _Numbers(), [], [], [], 0
 
-    def out():
+    def taken():  # nothing of a chunk stays here while it is worked on
+        nonlocal numbers, places, lengths, ids, size
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in numbers), np.uint64, len(numbers)).view(np.int64)
-        return hashes, np.concatenate(places), np.array(lengths, np.int64), ids
+        chunk = hashes, np.concatenate(places), np.array(lengths, np.int64), ids
+        numbers, places, lengths, ids, size = _Numbers(), [], [], [], 0
+        return chunk
 
-    size = 0
     for batch in batches:
         for doc, text in zip(batch.column(0), batch.column(batch.num_columns - 1)):
             w = (text.as_py() or "").lower().split()
-            places.append(np.fromiter(map(numbers.__getitem__, w), np.int64, len(w)))
+            places.append(np.fromiter(map(numbers.__getitem__, w), np.int32, len(w)))
             lengths.append(len(w))
             ids.append(doc)
             size += len(w) + 1
             if size > CHUNK:
-                yield out()
-                numbers, places, lengths, ids, size = _Numbers(), [], [], [], 0
+                yield taken()
     if ids:
-        yield out()
+        yield taken()
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -144,33 +149,55 @@ def _pack(kind: int, part: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBa
     """Rows by part, in their order: one packed row a part. Columns are numbers of 8 bytes, first by the differences of
     the first one, then by byte: those of small numbers are nearly all 0."""
     order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
-    columns = [c[order] for c in columns]
     parts, first = np.unique(part[order], return_index=True)
     ends, blobs = [*first[1:], len(order)], []
     for a, z in zip(first, ends):
-        own = [np.diff(columns[0][a:z], prepend=np.int64(0)), *(c[a:z] for c in columns[1:])]
+        own = [c[order[a:z]] for c in columns]
+        own[0] = np.diff(own[0], prepend=np.int64(0))
         planes = b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in own)
         blobs.append(pa.compress(planes, codec="zstd", asbytes=True))
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(np.full(len(parts), kind), pa.int32()),
                                        pa.array(np.subtract(ends, first), pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "n", "packed"])
 
 
-def _unpack(batches: Iterator[pa.RecordBatch], widths: dict[int, int]) -> dict[int, list[np.ndarray]]:
-    """The columns of each kind of packed rows, which has as many as ``widths`` says."""
-    found: dict[int, list] = {kind: [[] for _ in range(width)] for kind, width in widths.items()}
+def _held(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, bytes]]]:
+    """The packed runs of each kind, with their numbers of rows."""
+    held = defaultdict(list)
     for batch in batches:
         for kind, n, packed in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
-            planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n * widths[kind], codec="zstd"), np.uint8)
-            for k, p in enumerate(np.split(planes, widths[kind])):
-                column = np.ascontiguousarray(p.reshape(8, n).T).view(np.int64).ravel()
-                found[kind][k].append(column if k else np.cumsum(column))
-
-    def whole(runs: list[np.ndarray]) -> np.ndarray:
-        column = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        runs.clear()
+            held[kind].append((n, packed))
+    return held
+
+
+def _buckets(runs: list[tuple[int, bytes]], held: int) -> int:
+    """In how many buckets a task takes its rows: about ``held`` at a time."""
+    return max(1, -(-sum(n for n, _ in runs) // held))
+
+
+def _unpack(runs: list[tuple[int, bytes]], width: int, chosen: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> list[np.ndarray]:
+    """The ``width`` columns of packed runs, of their ``chosen`` rows."""
+    found: list[list] = [[] for _ in range(width)]
+    for n, packed in runs:
+        planes = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n * width, codec="zstd"), np.uint8)
+        columns = [np.ascontiguousarray(p.reshape(8, n).T).view(np.int64).ravel() for p in np.split(planes, width)]
+        columns[0] = np.cumsum(columns[0])
+        if chosen is not None:
+            own = np.flatnonzero(chosen(columns))
+            columns = [c[own] for c in columns]
+        for column, parts in zip(columns, found):
+            parts.append(column)
+
+    def whole(parts: list[np.ndarray]) -> np.ndarray:
+        column = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        parts.clear()
         return column
 
-    return {kind: [whole(runs) for runs in columns] for kind, columns in found.items()}
+    return [whole(parts) for parts in found]
+
+
+def _ending(doc: np.ndarray, words: list[np.ndarray], parts: int) -> np.ndarray:
+    """A part for each row, by its last two words; a text's first word is met by no other."""
+    return np.where(words[-2] == START, _mixed([doc], parts), _mixed(words[-2:], parts))
 
 
 def _groups(*columns: np.ndarray) -> np.ndarray:
@@ -207,31 +234,37 @@ def document_grams(docs: DataFrame, order: int, common, parts: int) -> DataFrame
     """Packed rows doc, no_id, w1..w<order> of each word, with START before a text's first; a document without words
     has one row with START alone. ``docs``: doc_id, text."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, places, lengths, ids in _chunks(batches):
-            ids = pa.array([x.as_py() for x in ids], pa.int64())
-            no_id, ids = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy()
-            row = np.repeat(np.arange(len(ids)), lengths)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            last = _numbered(hashes, common.value)[places] if len(places) else np.zeros(0, np.int64)
-            words = [np.where(at >= k, np.roll(last, k), START) for k in range(order - 1, 0, -1)] + [last]
-            empty = np.flatnonzero(lengths == 0)
+    def grams(hashes: np.ndarray, places: np.ndarray, lengths: np.ndarray, ids: list) -> pa.RecordBatch:
+        ids = pa.array([x.as_py() for x in ids], pa.int64())
+        no_id, ids = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy()
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
+        at = np.arange(len(row), dtype=np.int32)
+        at -= np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+        last = _numbered(hashes, common.value)[places] if len(places) else np.zeros(0, np.int64)
+        words = [last]
+        for k in range(1, order):
+            word = np.roll(last, k)
+            word[at < k] = START
+            words.insert(0, word)
+        empty = np.flatnonzero(lengths == 0).astype(np.int32)
+        if len(empty):
             row = np.append(row, empty)
             words = [np.append(w, np.full(len(empty), START)) for w in words]
-            doc, none = ids[row], no_id[row]
-            part = np.where(words[-2] == START, _mixed([doc], parts), _mixed(words[-2:], parts))
-            yield _pack(TOKENS, part, [doc, none, *words])
+        del at, last
+        doc = ids[row]
+        return _pack(TOKENS, _ending(doc, words, parts), [doc, no_id[row], *words])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            yield grams(*chunk)
 
     return docs.mapInArrow(explode, PACKED)
 
 
-def _score_endings(rows: DataFrame, order: int, min_count: int, alpha: float, total: int, common, parts: int) -> DataFrame:
+def _score_endings(rows: DataFrame, order: int, min_count: int, alpha: float, total: int, common, parts: int, held: int = HELD) -> DataFrame:
     """Of all grams of some endings: packed sums of the documents, counts of grams, and counts that are asked."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, no_id, *words = _unpack(batches, {TOKENS: order + 2})[TOKENS]
-        if not len(doc):
-            return
+    def bucket(doc: np.ndarray, no_id: np.ndarray, words: list[np.ndarray], sums: list) -> Iterator[pa.RecordBatch]:
         real = sum((w != START).astype(np.int64) for w in words)
         value, longest = np.zeros(len(doc)), np.minimum(real, 1)
         group = _groups(words[-1])
@@ -246,6 +279,7 @@ def _score_endings(rows: DataFrame, order: int, min_count: int, alpha: float, to
                 first = first[seen[first]]
                 key = [w[first] for w in ([np.zeros(len(doc), np.int64)] * (order - 1 - k) + words[-k:])]
                 yield _pack(COUNTS, _mixed(key, parts), [*key, n[group][first]])
+        del group, n, seen
         value += (real - longest) * np.log(alpha)
         value[longest == 1] -= np.log(max(total, 1))
         # a word's own count, or that of the words before it
@@ -261,7 +295,17 @@ def _score_endings(rows: DataFrame, order: int, min_count: int, alpha: float, to
         ask = (longest > 0) & ~known
         key = [a[ask] for a in asked]
         yield _pack(ASKED, _mixed(key, parts), [doc[ask], no_id[ask], sign[ask], *key])
-        yield _pack_sums(doc, no_id, (real > 0).astype(np.int64), value, parts)
+        sums.append(_sums(doc, no_id, (real > 0).astype(np.int64), value))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, sums = _held(batches)[TOKENS], []
+        buckets = _buckets(runs, held)
+        for b in range(buckets):
+            doc, no_id, *words = _unpack(runs, order + 2, lambda c: _ending(c[0], c[2:], parts * buckets) // parts == b)
+            if len(doc):
+                yield from bucket(doc, no_id, words, sums)
+        if sums:
+            yield _pack_sums(*map(np.concatenate, zip(*sums)), parts)
 
     return rows.mapInArrow(score, PACKED)
 
@@ -278,36 +322,47 @@ def _rare_counts(counts: DataFrame, order: int, common, parts: int) -> DataFrame
     return counts.select("w", "count").mapInArrow(rare, PACKED)
 
 
-def _answer(rows: DataFrame, order: int, parts: int) -> DataFrame:
+def _answer(rows: DataFrame, order: int, parts: int, held: int = HELD) -> DataFrame:
     """Packed sums of documents, with the counts that were asked."""
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _unpack(batches, {COUNTS: order, ASKED: order + 2, SUMS: 4})
-        *keys, count = found[COUNTS]
-        doc, no_id, sign, *asked = found[ASKED]
+    def bucket(counts: list[np.ndarray], asks: list[np.ndarray]) -> list[np.ndarray]:
+        *keys, count = counts
+        doc, no_id, sign, *asked = asks
         group = _groups(*(np.concatenate(k) for k in zip(keys, asked)))
         counted = np.zeros(group.max(initial=-1) + 1, np.int64)
         counted[group[:len(count)]] = count
         value = sign * np.log(counted[group[len(count):]])
-        docs, none, n, sums = found[SUMS]
-        doc, no_id = np.append(docs, doc), np.append(none, no_id)
+        return _sums(doc, no_id, np.zeros(len(doc), np.int64), value)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = _held(batches)
+        buckets = _buckets(runs[COUNTS] + runs[ASKED], held)
+        docs, none, n, value = _unpack(runs[SUMS], 4)
+        sums = [[docs, none, n, value.view(np.float64)]]
+        for b in range(buckets):
+            mine = lambda key: _mixed(key, parts * buckets) // parts == b  # noqa: B023, E731
+            sums.append(bucket(_unpack(runs[COUNTS], order, lambda c: mine(c[:-1])), _unpack(runs[ASKED], order + 2, lambda c: mine(c[3:]))))
+        doc, no_id, n, value = map(np.concatenate, zip(*sums))
         if len(doc):
-            yield _pack_sums(doc, no_id, np.append(n, np.zeros(len(value), np.int64)), np.append(sums.view(np.float64), value), parts)
+            yield _pack_sums(doc, no_id, n, value, parts)
 
     return rows.mapInArrow(answer, PACKED)
 
 
-def _total(rows: DataFrame) -> DataFrame:
+def _total(rows: DataFrame, parts: int, held: int = HELD) -> DataFrame:
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, no_id, n, value = _unpack(batches, {SUMS: 4})[SUMS]
-        doc, no_id, n, value = _sums(doc, no_id, n, value.view(np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array(doc, mask=no_id == 1), pa.array(n), pa.array(value)], ["doc_id", "n_tokens", "log_score"])
+        runs = _held(batches)[SUMS]
+        buckets = _buckets(runs, held)
+        for b in range(buckets):
+            doc, no_id, n, value = _unpack(runs, 4, lambda c: _mixed(c[:2], parts * buckets) // parts == b)
+            doc, no_id, n, value = _sums(doc, no_id, n, value.view(np.float64))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=no_id == 1), pa.array(n), pa.array(value)], ["doc_id", "n_tokens", "log_score"])
 
     return rows.mapInArrow(total, "doc_id long, n_tokens long, log_score double")
 
 
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2,
-          frequent: int = FREQUENT, order: int = 2) -> DataFrame:
+          frequent: int = FREQUENT, order: int = 2, held: int = HELD) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logarithms), mean_log_score of each document."""
     if order < 2 or min_count < 1:
         raise ValueError("order must be at least 2 and min_count at least 1")
@@ -316,7 +371,8 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     total = counts.agg(F.sum("count")).first()[0] or 0
     common = spark.sparkContext.broadcast(common_words(counts, frequent))
     rows = document_grams(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), order, common, parts)
-    scored = _score_endings(rows.repartitionById(parts, "part"), order, min_count, alpha, total, common, parts)
+    scored = _score_endings(rows.repartitionById(parts, "part"), order, min_count, alpha, total, common, parts, held)
     asked = scored.unionByName(_rare_counts(counts, order, common, parts))
-    sums = _total(_answer(asked.repartitionById(parts, "part"), order, parts).repartitionById(parts, "part"))
+    sums = _answer(asked.repartitionById(parts, "part"), order, parts, held)
+    sums = _total(sums.repartitionById(parts, "part"), parts, held)
     return sums.withColumn("mean_log_score", F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")))

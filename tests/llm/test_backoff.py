@@ -1,7 +1,11 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from saiflow.llm import backoff, catalog
 
@@ -118,3 +122,40 @@ def test_ids_of_any_size(spark, frequent):
     assert set(got) == set(want)
     for d, (n, s) in want.items():
         assert got[d].n_tokens == n and got[d].log_score == pytest.approx(s, abs=1e-6)
+
+
+@pytest.mark.parametrize("order, held", [(2, 1000), (3, 300)])
+def test_few_rows_at_a_time_give_the_same(spark, edge_docs, edge_rows, order, held):
+    want = brute_words(edge_rows, 0.4, 2, order)
+    got = {r.doc_id: r for r in backoff.score(spark, edge_docs.limit(1000), frequent=20, order=order, held=held).collect()}
+    assert set(got) == set(want)
+    for d, (n, s) in want.items():
+        assert got[d].n_tokens == n and got[d].log_score == pytest.approx(s, abs=1e-6)
+
+
+class Steps:
+    """Takes the place of a table: gives a step's function itself."""
+
+    def mapInArrow(self, step, schema):
+        return step
+
+
+def peak_mb(step, batches):
+    tracemalloc.start()
+    out = list(step(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak, out
+
+
+def test_a_task_holds_few_rows(spark):
+    """A worker held 160 MB for the words of a chunk, and 190 MB for each million rows of its partition."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"v{k}" for k in rng.zipf(1.3, 400) % 200_000) for _ in range(2500)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(2500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    common = SimpleNamespace(value=(np.zeros(0, np.int64),) * 3)
+    peak, sent = peak_mb(backoff.document_grams(Steps(), 3, common, 50), [docs])
+    assert sum(map(sum, (b.column("n").to_pylist() for b in sent))) == 2500 * 400
+    assert peak < 120, peak
+    peaks = [peak_mb(backoff._score_endings(Steps(), 3, 2, 0.4, 10**6, common, 50), sent * k)[0] for k in (1, 3)]
+    assert peaks[1] < 260, peaks
