@@ -16,8 +16,8 @@ each meets the next one and its edited text is made. The distinct terms of a
 text and of its edited text go out together, as terms of both or of one. The
 ``COMMON`` commonest terms of the lexicon, which make up most terms that are in it, and the few terms
 above the band are known to all tasks; only the other terms are shuffled to
-meet the rest of the lexicon. A document's terms come back as arrays of 32-bit
-numbers, from which both fingerprints follow. Everything is built-in functions.
+meet the rest of the lexicon, and go back to the run of their text. There a document's terms become arrays of 32-bit
+numbers, from which both fingerprints follow at once. Everything is built-in functions.
 
 Defined results: a null or empty text has no terms and the fingerprint of
 empty slots, which is fully like itself; repeated rows and equal texts have
@@ -44,7 +44,7 @@ OWN, EDITED, BOTH = 1, 2, 3
 
 def terms(text: Column) -> Column:
     """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")), "")
 
 
 def term_hashes(text: Column) -> Column:
@@ -72,14 +72,12 @@ def fingerprint(short: Column) -> Column:
     def slot(hashes: Column) -> Column:
         return F.when(F.size(hashes) == 0, F.lit(0)).otherwise(F.xxhash64(hashes).bitwiseAND(F.lit(0xFFFFFF)).cast("int") + 1)
 
-    def at_level(hashes: Column, level: int) -> Column:
-        return F.filter(hashes, lambda h: h.bitwiseAND(F.lit((1 << level) - 1)) == 0)
-
     def subset(k: int) -> Column:
+        """Each level is looked for in the one before it."""
         hashes = F.transform(short, lambda w: F.xxhash64(w, F.lit(k)))
-        dense = lambda h: F.array(slot(h), *(slot(at_level(h, n)) for n in (1, 2)))
-        thin = lambda h: F.array(*(slot(at_level(h, n)) for n in range(3, LEVELS)))
-        return bound(hashes, lambda h: F.concat(dense(h), bound(at_level(h, 3), thin)))
+        start = F.struct(hashes.alias("h"), F.array().cast("array<int>").alias("s"))
+        return F.aggregate(F.array(*(F.lit(1 << n).cast("long") for n in range(LEVELS))), start, lambda level, bit: F.struct(
+            F.filter(level["h"], lambda h: h.bitwiseAND(bit) == 0).alias("h"), F.concat(level["s"], F.array(slot(level["h"]))).alias("s")), lambda level: level["s"])
 
     by_subset = F.flatten(F.array(*(subset(k) for k in range(SUBSETS))))
     return bound(by_subset, lambda s: F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), lambda i: F.get(
@@ -87,21 +85,29 @@ def fingerprint(short: Column) -> Column:
 
 
 def as_text(slots: Column) -> Column:
-    return F.concat_ws("", F.transform(slots, lambda s: F.lpad(F.lower(F.hex(s)), 7, "0")))
+    """Seven hexadecimal digits a slot, two slots at a time."""
+    def pair(i: Column) -> Column:
+        digits = F.shiftleft(F.get(slots, i).cast("long"), 28).bitwiseOR(F.get(slots, i + 1).cast("long"))
+        return F.substring(F.hex(digits.bitwiseOR(F.lit(1 << 56))), 2, 14)
+
+    return F.lower(F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 2), F.lit(2)), pair)))
 
 
 def likeness(a: Column, b: Column, least_slots: int = 4) -> Column:
-    def level(n: int) -> Column:
-        pairs = F.slice(F.arrays_zip(a.alias("a"), b.alias("b")), n * SUBSETS + 1, SUBSETS)
-        either = F.size(F.filter(pairs, lambda p: (p["a"] != 0) | (p["b"] != 0)))
-        equal = F.size(F.filter(pairs, lambda p: (p["a"] != 0) & (p["a"] == p["b"])))
-        return equal / F.greatest(either, F.lit(least_slots))
+    # each pair of slots is compared once: 0 if both are empty, 16 if they differ, 17 if they are equal
+    agreed = F.zip_with(a, b, lambda x, y: F.when(x != y, 16).when(x != 0, 17).otherwise(0))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(*(level(n) for n in range(LEVELS))).cast("double"))
+    def level(all_: Column, n: Column) -> Column:
+        s = F.aggregate(F.slice(all_, n * SUBSETS + 1, SUBSETS), F.lit(0), lambda s, x: s + x)
+        return bound(s, lambda s: s.bitwiseAND(F.lit(15)) / F.greatest(F.shiftright(s, 4), F.lit(least_slots)))
+
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    return F.when(a == b, F.lit(1.0)).otherwise(F.array_max(bound(agreed, lambda all_: F.transform(levels, lambda n: level(all_, n)))))
 
 
 def with_next(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str, columns: list[str], groups: int) -> DataFrame:
     """Add next_<column> of the next of ``rows`` (which have a number ``row``) in ascending id order; after the last comes the first.
+    Add _run, too: the run of neighbours a row lies in, by which the result is partitioned.
 
     Rows are dealt to about ``groups`` runs of neighbours: those with an id by
     approximate quantiles of the ids, which one far id does not move, those
@@ -114,7 +120,7 @@ def with_next(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str,
     ends = rows.agg(F.count_if(no_id).alias("none"), F.count("*").alias("n"),
                     F.percentile_approx(id_col, [k / groups for k in range(1, groups)] or [0.5], 10 * groups).alias("bounds")).first()
     if not ends.n:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return rows.select("*", F.lit(0).alias("_run"), *(F.col(c).alias(f"next_{c}") for c in columns))
     first_runs = -(-groups * ends.none // ends.n)
     width = min(ROOM, -(-(ROOM + 1) // max(1, first_runs)))
     bounds = sorted(set(ends.bounds or []))
@@ -130,7 +136,7 @@ def with_next(spark: SparkSession, rows: DataFrame, id_col: str, text_col: str,
     order = Window.partitionBy("_run").orderBy("_extra", "_order", "_mark", "row")
     for c in columns:
         joined = joined.withColumn(f"next_{c}", F.lead(c).over(order))
-    return joined.filter(~F.col("_extra")).select(*rows.columns, *(f"next_{c}" for c in columns))
+    return joined.filter(~F.col("_extra")).select(*rows.columns, "_run", *(f"next_{c}" for c in columns))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -158,45 +164,52 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     groups = groups or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = with_next(spark, rows, "doc_id", "text", ["text", "row"], min(1024, groups))
     both = both.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    key = ["row", "doc_id", "next_row"]
+    key = ["_run", "row"]
+    about = ["doc_id", "next_row", "n_chars", "edited_sha256"]
 
     own, new = F.col("_own"), F.col("_new")
-    parts = [(F.array_intersect(own, new), BOTH), (F.array_except(own, new), OWN), (F.array_except(new, own), EDITED)]
-    each = both.select(*key, F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    each = both.select(*key, "doc_id", "next_row", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        term_hashes(F.col("text")).alias("_own"), term_hashes(F.col("edited")).alias("_new"))
-
-    def marked(hashes: Column, of: int) -> Column:
-        return F.transform(hashes, lambda h: F.struct(h.alias("h"), F.lit(of).alias("of")))
-
-    flagged = F.concat(*(marked(hashes, of) for hashes, of in parts))
-    each = each.select(*key, "n_chars", "edited_sha256", F.explode_outer(flagged).alias("t")).select(*key, "n_chars", "edited_sha256", "t.h", "t.of")
+    each = each.select(*key, *about, F.array_intersect(own, new).alias("_both"), F.array_except(own, new).alias("_own"), F.array_except(new, own).alias("_new"))
+    each = each.select(*key, *about, F.size("_both").alias("_n"), (F.size("_both") + F.size("_own")).alias("_m"), F.posexplode_outer(F.concat("_both", "_own", "_new")).alias("_at", "h"))
+    each = each.withColumn("of", F.when(F.col("_at") < F.col("_n"), BOTH).when(F.col("_at") < F.col("_m"), OWN).otherwise(EDITED)).drop("_at", "_n", "_m")
     common = F.broadcast(inside.orderBy(F.desc("df"), "h").limit(common_terms).select("h"))
     rest = inside.join(common, "h", "left_anti").select("h")
 
-    def lists(of: int) -> Column:
-        return F.collect_list(F.when(F.col("of") == of, _short(F.col("h"))))
+    def lists(prefix: str) -> list[Column]:
+        return [F.collect_list(F.when(F.col("of") == of, _short(F.col("h")))).alias(f"{prefix}{of}") for of in (OWN, EDITED, BOTH)]
 
+    # all terms of a text lie where the text does: nothing of ``known`` is exchanged, and the other terms come to it
     known = each.join(common.withColumn("_known", F.lit(True)), "h", "left").withColumn("of", F.when(F.col("_known"), F.col("of")))
-    known = known.select(*key, "n_chars", "edited_sha256", "h", "of")
+    known = known.groupBy(*key).agg(*(F.any_value(c).alias(c) for c in about), *lists("t"))
     rare = each.select(*key, "h", "of").filter("h is not null").join(common, "h", "left_anti").join(F.broadcast(above), "h", "left_anti").join(rest, "h", "left_semi")
-    known = known.unionByName(rare.select(*key, F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("string").alias("edited_sha256"), "h", "of"))
-    found = known.groupBy(*key).agg(F.max("n_chars").alias("n_chars"), F.max("edited_sha256").alias("edited_sha256"),
-                                    *(lists(of).alias(f"t{of}") for of in (OWN, EDITED, BOTH)))
-    found = found.withColumns({"of_text": F.array_sort(F.concat("t3", "t1")), "of_edited": F.array_sort(F.concat("t3", "t2"))}).drop("t1", "t2", "t3")
-    found = stage_alone(spark, found, "imatch-terms", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD)})
+    rare = rare.repartition("_run").groupBy(*key).agg(*lists("r"))
+    found = known.join(rare, key, "left")
+
+    def gathered(of: int) -> Column:
+        parts = (c for part in (BOTH, of) for c in (F.col(f"t{part}"), F.coalesce(f"r{part}", F.array().cast("array<int>"))))
+        return F.array_sort(F.concat(*parts))
+
+    columns = ["row", *about, "few_text", "few_edited", "slots", "edited_slots"]
+    found = found.select("row", *about, gathered(OWN).alias("of_text"), gathered(EDITED).alias("of_edited"))
+    few = lambda c: F.size(c) < least_terms
+    found = found.select("row", *about, few("of_text").alias("few_text"), few("of_edited").alias("few_edited"), fingerprint(F.col("of_text")).alias("slots"),
+                         fingerprint(F.col("of_edited")).alias("edited_slots"))
+    found = stage_alone(spark, found, "imatch-slots", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD)})
 
     # texts with too few terms of the lexicon: all their terms, from these texts and the next ones alone, which are read where they lie
-    too_few = found.filter((F.size("of_text") < least_terms) | (F.size("of_edited") < least_terms)).select("row", "next_row")
+    wanting = F.col("few_text") | F.col("few_edited")
+    too_few = found.filter(wanting)
     ids = too_few.select("row").union(too_few.select("next_row")).distinct()
     texts = native_perhaps(rows.select("row", "text"), ids, ["row"]).join(ids, "row")
     whole = too_few.join(texts, "row").join(texts.select(F.col("row").alias("next_row"), F.col("text").alias("next_text")), "next_row")
+    whole = whole.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     every = lambda t: F.array_sort(F.transform(term_hashes(t), _short))
-    whole = whole.select("row", every(F.col("text")).alias("_text"), every(edited(F.col("text"), F.col("next_text"))).alias("_edited"))
-    chosen = found.join(whole, "row", "left")
-    use = lambda few, all_: F.when(F.size(few) < least_terms, F.coalesce(all_, few)).otherwise(few)
-    slots = chosen.select(*key, "n_chars", "edited_sha256", fingerprint(use(F.col("of_text"), F.col("_text"))).alias("slots"),
-                          fingerprint(use(F.col("of_edited"), F.col("_edited"))).alias("edited_slots"))
-    slots = stage_alone(spark, slots, "imatch-slots")
+    whole = whole.withColumns({"_text": every(F.col("text")), "_edited": every(F.col("edited"))})
+    for few_terms, of, all_terms in (("few_text", "slots", "_text"), ("few_edited", "edited_slots", "_edited")):
+        whole = whole.withColumn(of, F.when(F.col(few_terms), fingerprint(F.col(all_terms))).otherwise(F.col(of)))
+    whole = stage_alone(spark, whole.select(*columns), "imatch-whole")
+    slots = found.filter(~wanting).unionByName(whole).drop("few_text", "few_edited")
     following = slots.select(F.col("row").alias("next_row"), F.col("slots").alias("next_slots"))
     out = slots.join(following, "next_row")
     if with_text:  # the texts once more

@@ -158,3 +158,18 @@ def test_staged_plans_leave_no_shuffle_files(spark):
     assert left() <= before
     assert sorted(r.text for r in staged.collect()) == sorted(r.text for r in grouped.collect())
     assert [spark.conf.get(n) for n in names] == held
+
+
+def test_terms_stay_with_their_texts(spark, edge_docs, monkeypatch):
+    """Terms were exchanged by text, staged, and exchanged once more to meet the few texts that use all their terms."""
+    plans = {}
+
+    def noted(spark, df, name, values=None):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage_alone(spark, df, name, values)
+
+    monkeypatch.setattr(imatch, "stage_alone", noted)
+    imatch.fingerprints(spark, edge_docs, with_text=False)
+    assert set(plans) == {"imatch-lexicon", "imatch-slots", "imatch-whole"}
+    dealt_by = set(re.findall(r"Exchange hashpartitioning\(([a-z_]+)#\d+L?, ([a-z_]*)", plans["imatch-slots"]))
+    assert dealt_by == {("h", ""), ("_run", "")}
