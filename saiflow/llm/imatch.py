@@ -168,7 +168,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     about = ["doc_id", "next_row", "n_chars", "edited_sha256"]
 
     own, new = F.col("_own"), F.col("_new")
-    each = both.select(*key, "doc_id", "next_row", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    # no run is null; a join below would say so of one of two uses, which then could not share the texts' exchange
+    each = both.filter("_run is not null").select(*key, "doc_id", "next_row", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        term_hashes(F.col("text")).alias("_own"), term_hashes(F.col("edited")).alias("_new"))
     each = each.select(*key, *about, F.array_intersect(own, new).alias("_both"), F.array_except(own, new).alias("_own"), F.array_except(new, own).alias("_new"))
     each = each.select(*key, *about, F.size("_both").alias("_n"), (F.size("_both") + F.size("_own")).alias("_m"), F.posexplode_outer(F.concat("_both", "_own", "_new")).alias("_at", "h"))
@@ -182,8 +183,9 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     # all terms of a text lie where the text does: nothing of ``known`` is exchanged, and the other terms come to it
     known = each.join(common.withColumn("_known", F.lit(True)), "h", "left").withColumn("of", F.when(F.col("_known"), F.col("of")))
     known = known.groupBy(*key).agg(*(F.any_value(c).alias(c) for c in about), *lists("t"))
-    rare = each.select(*key, "h", "of").filter("h is not null").join(common, "h", "left_anti").join(F.broadcast(above), "h", "left_anti").join(rest, "h", "left_semi")
-    rare = rare.repartition("_run").groupBy(*key).agg(*lists("r"))
+    # by the same columns as ``known``, so that the texts' exchange serves both
+    rare = each.select(*key, "doc_id", "next_row", "h", "of").filter("h is not null").join(common, "h", "left_anti").join(F.broadcast(above), "h", "left_anti").join(rest, "h", "left_semi")
+    rare = rare.repartition("_run").groupBy(*key, "doc_id", "next_row").agg(*lists("r")).drop("doc_id", "next_row")
     found = known.join(rare, key, "left")
 
     def gathered(of: int) -> Column:
