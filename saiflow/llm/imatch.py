@@ -197,7 +197,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     few = lambda c: F.size(c) < least_terms
     found = found.select("row", *about, few("of_text").alias("few_text"), few("of_edited").alias("few_edited"), fingerprint(F.col("of_text")).alias("slots"),
                          fingerprint(F.col("of_edited")).alias("edited_slots"))
-    found = stage_alone(spark, found, "imatch-slots", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD)})
+    found = stage_alone(spark, found, "imatch-slots", {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": str(HELD),
+                                                          "spark.sql.requireAllClusterKeysForCoPartition": "false"})
 
     # texts with too few terms of the lexicon: all their terms, from these texts and the next ones alone, which are read where they lie
     wanting = F.col("few_text") | F.col("few_edited")

